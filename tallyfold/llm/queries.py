@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, license_scan, media_gif
+from . import chat_format, license_scan, media_gif, quality, toxicity
 from .common import documents
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.held_out(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_gif.digests(media_gif.gif_columns(documents(spark, sf_dir)))
 
@@ -23,7 +35,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_media, op7_license, op10_chat)}
+    return {f.__name__: f for f in (op1_quality, op4_media, op5_toxicity, op7_license, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
