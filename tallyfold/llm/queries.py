@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, license_scan, media_gif, quality, toxicity
+from . import chat_format, decontaminate, language, license_scan, media_gif, quality, toxicity
 from .common import documents
 
 
@@ -18,6 +18,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out(documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out(documents(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -35,7 +43,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op4_media, op5_toxicity, op7_license, op10_chat)}
+    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op4_media, op5_toxicity, op7_license, op8_language, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
