@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, language, license_scan, media_gif, quality, toxicity
+from . import chat_format, decontaminate, language, license_scan, media_gif, packing, quality, toxicity
 from .common import documents
 
 
@@ -38,12 +38,16 @@ def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(documents(spark, sf_dir)).drop("expressions")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op4_media, op5_toxicity, op7_license, op8_language, op10_chat)}
+    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op4_media, op5_toxicity, op7_license, op8_language, op9_packing, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
