@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, language, license_scan, media_gif, packing, quality, simhash, toxicity
+from . import chat_format, decontaminate, kneser_ney, language, license_scan, media_gif, packing, quality, simhash, toxicity
 from .common import documents
 
 
@@ -26,6 +26,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.held_out(documents(spark, sf_dir))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out(documents(spark, sf_dir))
 
@@ -51,7 +55,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op4_media, op5_toxicity, op6_simhash, op7_license, op8_language, op9_packing, op10_chat)}
+    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_kneser_ney, op4_media, op5_toxicity, op6_simhash, op7_license, op8_language, op9_packing, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
