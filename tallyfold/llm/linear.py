@@ -132,10 +132,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, keep, most: int) ->
 
 
 def sketches(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Two least word hashes of each text as one number; texts with nearly the same words mostly share it."""
+    """Two least hashes of a text's three-word shingles as one number; texts that are nearly the same mostly share it, others hardly."""
     low = LOWER[raw]
     starts, ends, cuts = spans(low, offs, ALNUM)
     h = word_hashes(low, starts, ends)
+    n = np.diff(cuts)
+    whole = np.arange(len(h)) + 2 < np.repeat(cuts[1:], n)
+    short = np.repeat(n < 3, n)
+    h = np.where(whole, pair(pair(h, np.roll(h, -1)), np.roll(h, -2)), np.where(short, h, np.uint64(0xFFFFFFFFFFFFFFFF)))
     out = np.zeros(len(offs) - 1, np.uint64)
     own = cuts[:-1] < cuts[1:]
     if own.any():
