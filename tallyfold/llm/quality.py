@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import ALNUM, LOWER, NOT_SPACE, fold, mix, pair, spans, word_hashes
+from .common import ALNUM, LOWER, NOT_SPACE, fold, mix, pair, spans, unused, word_hashes
 
 #: At most so many labelled documents are learned from.
 MOST_LABELLED = 12_000
@@ -79,5 +79,5 @@ def held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that the classifier doesn't reject, their columns as they are."""
-    scored = linear.score(docs, grams, train(docs, labels), name="_quality")
-    return scored.filter(F.col("_quality") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = unused(docs, "quality_score")
+    return linear.score(docs, grams, train(docs, labels), name=name).filter(F.col(name) >= threshold).drop(name)

@@ -10,7 +10,8 @@ bits it leaves free (within distance d one of d + 1 pieces agrees), until its gr
 gathered and no group is compared pair by pair beyond BUCKET; a group reports a tree of its links, no pairs.
 
 Cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows and equal texts
-share a fingerprint; rows with a null id take part, but no component is named after them; an empty table gives
+share a fingerprint; rows with a null id take part, but no component is named after them, and of those in
+components without an id `dedup` keeps one for each text; an empty table gives
 no rows; `dedup` keeps other columns as they are.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, written
+from .common import small_batches, unused, written
 from .components import components
 
 BITS = 64
@@ -242,10 +243,16 @@ def report(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, width: int = SHINGLE, distance: int = DEDUP_DISTANCE) -> DataFrame:
     """One document of each component: the one with the least id, and of rows that share this id the one whose text comes first."""
     found = classes(docs, width, distance)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    out = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept, nth = unused(docs, "kept"), unused(docs, "nth")
+    ids = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept)).distinct()
+    out = docs.join(ids, F.col("doc_id") == F.col(kept), "left_semi")
     shared = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    if shared.isEmpty():
+    if not shared.isEmpty():
+        first = Window.partitionBy("doc_id").orderBy("text")
+        out = out.withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).drop(nth)
+    if found.filter(F.col("component_id").isNull()).isEmpty():
         return out
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return out.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") == 1).drop("_nth")
+    # Components without an id: which texts they have is asked anew, of rows without an id alone.
+    lost = docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
+    named = docs.filter(F.col("doc_id").isNotNull()).select("text")
+    return out.unionByName(lost.join(named, "text", "left_anti").select(*docs.columns))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import ALNUM, LOWER, chunks, flat, fold, mix, small_batches, spans, word_hashes, written
+from .common import ALNUM, LOWER, chunks, flat, fold, mix, small_batches, spans, unused, word_hashes, written
 
 #: At most so many labelled documents are learned from.
 MOST_LABELLED = 12_000
@@ -257,5 +257,5 @@ def held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that the classifier doesn't reject, their columns as they are."""
-    scored = score(docs, train(docs, labels), name="_toxicity")
-    return scored.filter(F.col("_toxicity") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = unused(docs, "toxicity_score")
+    return score(docs, train(docs, labels), name=name).filter(F.col(name) < threshold).drop(name)
