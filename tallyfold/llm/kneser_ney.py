@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import LOWER, NOT_SPACE, chunks, flat, fold, pair, shared_dir, small_batches, spans, word_hashes, written
 
 #: Bytes of text of a chunk, and tokens of the input for each bucket.
-CHUNK_TEXT, BUCKET_TOKENS, LEAST_BUCKETS = 12 << 20, 6_000_000, 16
+CHUNK_TEXT, BUCKET_TOKENS, LEAST_BUCKETS = 8 << 20, 3_000_000, 16
 END, BEGIN = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 
 
