@@ -14,7 +14,8 @@ from .common import written
 def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     side = both if large else both.filter(F.col("b") <= F.col("a"))
-    least = side.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    # Written, so that the join below stands on two plain shuffles, whose hot keys adaptive execution can split.
+    least = written(side.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
     joined = (both.filter(F.col("b") > F.col("a")) if large else side).join(least, "a")
     out = joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:

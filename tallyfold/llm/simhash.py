@@ -226,9 +226,10 @@ def classes(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE) ->
     own = written(fingerprints(docs, width), "fingerprints")
     nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes, distance))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
+    named = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
+    # Written, so that the joins stand on plain shuffles: a root that many fingerprints have can then be split.
+    least = written(named.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    of = written(named.join(least, "root").select("fp", "component_id"), "classes")
     return own.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
