@@ -27,12 +27,14 @@ def funnel(df: DataFrame, rules: Sequence[tuple[Column, str]]) -> DataFrame:
     return df.groupBy(F.coalesce(reject_reason(rules), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-SIGNAL_RULES = [
-    (~F.coalesce(F.col("family").isin(fixed.FAMILIES), F.lit(False)), "unknown family"),
-    (~F.coalesce(F.col("url").rlike("^https?://"), F.lit(False)), "no url"),
-    (F.trim(F.coalesce("name", F.lit(""))) == "", "no name"),
-    (~F.coalesce(F.col("strength").between(0.0, 1.0), F.lit(False)), "strength out of range"),
-]
+def signal_rules() -> list[tuple[Column, str]]:
+    """What every signal must have: a known family, a link, a name, a strength from 0 to 1."""
+    return [
+        (~F.coalesce(F.col("family").isin(fixed.FAMILIES), F.lit(False)), "unknown family"),
+        (~F.coalesce(F.col("url").rlike("^https?://"), F.lit(False)), "no url"),
+        (F.trim(F.coalesce("name", F.lit(""))) == "", "no name"),
+        (~F.coalesce(F.col("strength").between(0.0, 1.0), F.lit(False)), "strength out of range"),
+    ]
 
 
 def window_class(day: Column, today: Column, lookback: int) -> Column:

@@ -8,11 +8,9 @@ from ..functions import fixed
 from ..operators import quality
 from ..operators.ranking import ranked_top
 from ..plans import score
-from ..sources.views import ASOF, awards, signals, table
+from ..sources.views import ASOF, asof_day, awards, signals, table
 from .sqltext import AW, CONVERGENCE, DAY, MOMENTUM, SIG, families, live, over, scored, sq
 
-ASOF_DAY = F.to_date(F.lit(ASOF))
-
 
 @query("m0_board", f"{SIG}, {scored()} SELECT entity_id, momentum, CAST(convergence AS INTEGER) AS convergence, edge, CAST(row_number() OVER (ORDER BY edge DESC, entity_id) AS INTEGER) AS rank FROM scored ORDER BY edge DESC, entity_id LIMIT 20")
 def m0_board(spark, sf):
@@ -31,7 +29,7 @@ def b1_validate(spark, sf):
         X.ladder((F.col("event_type") == "purchase", "capital"), (F.col("event_type") == "signup", "regulatory"), (F.col("event_type") == "error", "github"), (F.col("event_type") == "click", "social")).alias("family"),
         F.when(F.col("user_id") % 10 == 3, "ftp://e").otherwise("https://e").alias("url"), F.when(F.col("event_id") % 7 == 0, " ").otherwise("n").alias("name"), (F.col("value") / 200).alias("strength"),
     )
-    return quality.funnel(rows, quality.SIGNAL_RULES)
+    return quality.funnel(rows, quality.signal_rules())
 
 
 @query("b2_funnel", f"{AW} SELECT CASE WHEN status = 'P' THEN 'pending' WHEN amount < 50000 THEN 'small' WHEN day < DATE '1996-01-01' THEN 'old' WHEN priority = '5-LOW' THEN 'low' ELSE 'kept' END AS reason, count(*) AS n FROM awards GROUP BY 1")
@@ -111,7 +109,11 @@ def s1_clean_domain(spark, sf):
     return table(spark, sf, "pages").groupBy(X.clean_domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("domain").isNotNull())
 
 
-_NAME = F.concat(F.initcap("p_name"), X.ladder((F.col("p_size") % 4 == 0, F.lit(", Inc.")), (F.col("p_size") % 4 == 1, F.lit(" Robotics LLC")), (F.col("p_size") % 4 == 2, F.lit(" Labs (formerly Acme) GmbH")), otherwise=F.lit("")))
+def _name():
+    end = X.ladder((F.col("p_size") % 4 == 0, F.lit(", Inc.")), (F.col("p_size") % 4 == 1, F.lit(" Robotics LLC")), (F.col("p_size") % 4 == 2, F.lit(" Labs (formerly Acme) GmbH")), otherwise=F.lit(""))
+    return F.concat(F.initcap("p_name"), end)
+
+
 _NAME_SQL = """array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ') ||
   CASE p_size % 4 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' Robotics LLC' WHEN 2 THEN ' Labs (formerly Acme) GmbH' ELSE '' END"""
 _BARE_SQL = r"regexp_replace(regexp_replace(name, '\s*\(formerly[^)]*\)', '', 'gi'), '(?i)[\s,]+(inc|llc|gmbh)\.?$', '')"
@@ -119,17 +121,17 @@ _BARE_SQL = r"regexp_replace(regexp_replace(name, '\s*\(formerly[^)]*\)', '', 'g
 
 @query("s2_strip_legal", f"SELECT {_BARE_SQL} AS bare, count(*) AS n FROM (SELECT {_NAME_SQL} AS name FROM part) GROUP BY 1")
 def s2_strip_legal(spark, sf):
-    return table(spark, sf, "part").groupBy(X.strip_legal(_NAME).alias("bare")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "part").groupBy(X.strip_legal(_name()).alias("bare")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s3_normalize_name", f"SELECT lower({_BARE_SQL}) AS key, count(*) AS n FROM (SELECT {_NAME_SQL} AS name FROM part) GROUP BY 1")
 def s3_normalize_name(spark, sf):
-    return table(spark, sf, "part").groupBy(X.normalize_name(_NAME).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "part").groupBy(X.normalize_name(_name()).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s4_loose_name", rf"SELECT regexp_replace(lower({_BARE_SQL}), '\s+(robotics|labs)$', '') AS key, count(*) AS n FROM (SELECT {_NAME_SQL} AS name FROM part) GROUP BY 1")
 def s4_loose_name(spark, sf):
-    return table(spark, sf, "part").groupBy(X.loose_name(_NAME).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "part").groupBy(X.loose_name(_name()).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s5_person_key", "SELECT array_to_string(list_sort(string_split(lower(p_name), ' ')), ' ') AS key, count(*) AS n, max(regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g')) AS brand FROM part GROUP BY 1")
@@ -190,7 +192,7 @@ def s14_interp(spark, sf):
 
 @query("s15_decay", f"{SIG} SELECT entity_id, family, round(sum({live()}), 6) AS live FROM signals GROUP BY ALL")
 def s15_decay(spark, sf):
-    s = score.strength_asof(F.col("strength"), F.col("family"), F.col("occurred_at"), ASOF_DAY)
+    s = score.strength_asof(F.col("strength"), F.col("family"), F.col("occurred_at"), asof_day())
     return signals(spark, sf).groupBy("entity_id", "family").agg(F.round(F.sum(s), 6).alias("live"))
 
 
@@ -265,7 +267,7 @@ def s32_season(spark, sf):
 
 @query("g1_family_strength", f"{SIG}, {families()} SELECT entity_id, capital, regulatory, github, social, hiring FROM fam")
 def g1_family_strength(spark, sf):
-    wide = score.family_strengths(signals(spark, sf), {"now": ASOF_DAY})
+    wide = score.family_strengths(signals(spark, sf), {"now": asof_day()})
     return wide.select("entity_id", *[F.col(f"now_{f}").alias(f) for f in ("capital", "regulatory", "github", "social", "hiring")])
 
 

@@ -6,11 +6,9 @@ from ..catalog import query
 from ..functions import exprs as X
 from ..operators import resolve
 from ..operators.ranking import top_per
-from ..sources.views import awards, table
+from ..sources.views import awards, n_rows, table
 from .sqltext import AW
 
-N = F.count(F.lit(1))
-
 
 @query("r1_components", """
 WITH RECURSIVE host AS (SELECT page_id AS id, regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\\.', '') AS k FROM pages),
@@ -34,7 +32,7 @@ def r4_merge_into(spark, sf):
     p = table(spark, sf, "part")
     into = p.filter("p_partkey % 50 = 0 AND p_partkey > 0").select("p_partkey", (F.col("p_partkey") - 1).alias("into"))
     merged = p.join(into, "p_partkey", "left").withColumn("entity", F.coalesce("into", "p_partkey"))
-    return merged.groupBy("entity").agg(N.alias("n"), F.min("p_brand").alias("brand")).filter("n > 1")
+    return merged.groupBy("entity").agg(n_rows().alias("n"), F.min("p_brand").alias("brand")).filter("n > 1")
 
 
 @query("r5_record_groups", """
@@ -47,7 +45,7 @@ SELECT component, count(*) AS n, CAST(min(day) AS VARCHAR) AS first_day FROM c J
 def r5_record_groups(spark, sf):
     a = awards(spark, sf).filter("award_id % 3 = 0").withColumn("slot", F.concat(F.col("day").cast("string"), F.col("priority")))
     c = resolve.hard_links(a, "award_id", ["firm", "slot"])
-    return c.join(a, "award_id").groupBy("component").agg(N.alias("n"), F.min("day").cast("string").alias("first_day"))
+    return c.join(a, "award_id").groupBy("component").agg(n_rows().alias("n"), F.min("day").cast("string").alias("first_day"))
 
 
 @query("r7_people", "SELECT conv_id, role AS person, arg_min(text, turn) AS first_text, max(length(text)) AS longest, count(*) AS records FROM conversations GROUP BY ALL")

@@ -7,13 +7,10 @@ from ..functions import fixed
 from ..operators.ranking import ranked_top, top_per
 from ..plans import score
 from ..sources import jobs, readers
-from ..sources.views import ASOF, awards, signals, table
+from ..sources.views import ASOF, asof_day, awards, n_rows, signals, table
 from ..streaming import stream
 from .sqltext import AW, DAY, SIG, over, scored, sq
 
-ASOF_DAY = F.to_date(F.lit(ASOF))
-N = F.count(F.lit(1))
-
 
 def _board(spark, sf, n=30):
     s = score.score_entities(signals(spark, sf), ASOF, weeks=1)
@@ -25,9 +22,9 @@ _BOARD = f"{scored()}, board AS (SELECT entity_id, edge, momentum, convergence,
 
 @query("p5_board", f"{SIG}, {_BOARD}, d AS (SELECT entity_id, count(*) AS n, min(occurred_at) AS first_day, max(occurred_at) AS last_day FROM signals GROUP BY 1) SELECT board.entity_id, rank, edge, n, CAST(first_day AS VARCHAR) AS first_day, CAST(last_day AS VARCHAR) AS last_day, date_diff('day', first_day, {DAY}) <= 7 AS is_new, convergence >= 2 AS convergent FROM board JOIN d USING (entity_id)")
 def p5_board(spark, sf):
-    d = signals(spark, sf).groupBy("entity_id").agg(N.alias("n"), F.min("occurred_at").alias("first_day"), F.max("occurred_at").alias("last_day"))
+    d = signals(spark, sf).groupBy("entity_id").agg(n_rows().alias("n"), F.min("occurred_at").alias("first_day"), F.max("occurred_at").alias("last_day"))
     b = _board(spark, sf).join(d, "entity_id")
-    return b.select("entity_id", "rank", "edge", "n", F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"), (F.datediff(ASOF_DAY, "first_day") <= 7).alias("is_new"), (F.col("convergence") >= 2).alias("convergent"))
+    return b.select("entity_id", "rank", "edge", "n", F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"), (F.datediff(asof_day(), "first_day") <= 7).alias("is_new"), (F.col("convergence") >= 2).alias("convergent"))
 
 
 @query("p6_dossier", f"{SIG}, {_BOARD} SELECT entity_id, rank, string_agg(kind || ':' || signal_id, ';' ORDER BY nth) AS top_signals FROM (SELECT s.*, rank, row_number() OVER (PARTITION BY s.entity_id ORDER BY occurred_at DESC, strength DESC, signal_id) AS nth FROM signals s JOIN board USING (entity_id)) WHERE nth <= 10 GROUP BY ALL")
@@ -46,7 +43,7 @@ def p7_feed(spark, sf):
 
 @query("p2_team", f"WITH p AS (SELECT conv_id, role, count(*) AS n, least(count(*), 3) AS firsts, max(length(text)) AS h FROM conversations GROUP BY ALL) SELECT conv_id, round(1 - product(pow(0.45, CASE WHEN role = 'user' THEN firsts ELSE 0 END) * pow(0.7, CASE WHEN role = 'user' THEN 0 ELSE firsts END) * (1 - 0.6 * {sq('h', 25)})), 4) AS team FROM p GROUP BY 1")
 def p2_team(spark, sf):
-    p = table(spark, sf, "conversations").groupBy("conv_id", "role").agg(N.alias("n"), F.max(F.length("text")).alias("h"))
+    p = table(spark, sf, "conversations").groupBy("conv_id", "role").agg(n_rows().alias("n"), F.max(F.length("text")).alias("h"))
     user, zero = F.col("role") == "user", F.lit(0)
     one = score.team_parts(F.when(user, F.col("n")).otherwise(zero), F.when(user, zero).otherwise(F.col("n")), F.col("h"), zero, F.lit(False))
     return p.groupBy("conv_id").agg(F.round(1 - F.product(1 - one), 4).alias("team"))
@@ -55,19 +52,19 @@ def p2_team(spark, sf):
 @query("p9_people_table", "SELECT conv_id, role, round(CASE WHEN role = 'user' THEN 1.35 WHEN role = 'assistant' THEN 1.1 ELSE 1.0 END * (1 + 0.6 * least(count(*), 3) + least(max(turn), 60) / 60.0), 6) AS weight FROM conversations GROUP BY conv_id, role")
 def p9_people_table(spark, sf):
     role = F.when(F.col("role") == "user", 1.35).when(F.col("role") == "assistant", 1.1).otherwise(1.0)
-    c = table(spark, sf, "conversations").groupBy("conv_id", "role").agg(N.alias("n"), F.max("turn").alias("turn"))
+    c = table(spark, sf, "conversations").groupBy("conv_id", "role").agg(n_rows().alias("n"), F.max("turn").alias("turn"))
     return c.select("conv_id", "role", F.round(role * (1 + 0.6 * F.least("n", F.lit(3)) + F.least("turn", F.lit(60)) / 60), 6).alias("weight"))
 
 
 @query("p10_run_meta", f"{SIG} SELECT count(*) AS signals, count(DISTINCT entity_id) AS entities, count(DISTINCT kind) AS sources, count(*) FILTER (WHERE strength >= 0.3) AS strong FROM signals")
 def p10_run_meta(spark, sf):
-    return signals(spark, sf).agg(N.alias("signals"), F.countDistinct("entity_id").alias("entities"), F.countDistinct("kind").alias("sources"), F.count(F.when(F.col("strength") >= 0.3, 1)).alias("strong"))
+    return signals(spark, sf).agg(n_rows().alias("signals"), F.countDistinct("entity_id").alias("entities"), F.countDistinct("kind").alias("sources"), F.count(F.when(F.col("strength") >= 0.3, 1)).alias("strong"))
 
 
 @query("p12_partition", f"{SIG} SELECT entity_id, count(*) FILTER (WHERE subject % 9 <> 0) AS dated, count(*) FILTER (WHERE subject % 9 = 0) AS undated, count(*) > 3 AS more_than_why FROM signals GROUP BY 1")
 def p12_partition(spark, sf):
     state = F.col("subject") % 9 == 0
-    return signals(spark, sf).groupBy("entity_id").agg(F.count(F.when(~state, 1)).alias("dated"), F.count(F.when(state, 1)).alias("undated"), (N > 3).alias("more_than_why"))
+    return signals(spark, sf).groupBy("entity_id").agg(F.count(F.when(~state, 1)).alias("dated"), F.count(F.when(state, 1)).alias("undated"), (n_rows() > 3).alias("more_than_why"))
 
 
 @query("a11_csv_view", f"{SIG} SELECT entity_id, string_agg(DISTINCT kind, '; ' ORDER BY kind) AS kinds FROM signals GROUP BY 1")
@@ -134,7 +131,7 @@ def u7_all_sources(spark, sf):
     out, errors = jobs.run(spark, _tables(spark, sf), F.to_date(F.lit("2001-08-01")))
     if errors:
         raise ValueError(str(errors))
-    return out.groupBy("source", "kind").agg(N.alias("n"), F.round(F.avg("strength"), 4).alias("strength"))
+    return out.groupBy("source", "kind").agg(n_rows().alias("n"), F.round(F.avg("strength"), 4).alias("strength"))
 
 
 # --- streams: the given events replayed, equal to the batch
@@ -156,7 +153,7 @@ def t7_stream_once(spark, sf):
     """Each (type, user) passes once, however often its rows come."""
     e = _events_stream(spark, sf).withColumn("fingerprint", F.concat_ws("|", "event_type", F.col("user_id").cast("string")))
     once = stream.ingested_once(e, "fingerprint", "ts").select("event_type", "fingerprint")
-    return stream.drained(once, "append").groupBy("event_type").agg(N.alias("n"))
+    return stream.drained(once, "append").groupBy("event_type").agg(n_rows().alias("n"))
 
 
 @query("t8_stream_latest", "SELECT user_id, event_type, max(event_id) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth = 1 GROUP BY ALL")

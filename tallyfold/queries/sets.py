@@ -5,11 +5,9 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..operators import store
 from ..operators.ranking import top_per
-from ..sources.views import awards, signals, table
+from ..sources.views import awards, n_rows, signals, table
 from .sqltext import AW, SIG
 
-N = F.count(F.lit(1))
-
 
 @query("u1_fingerprint", f"{SIG} SELECT signal_id, left(sha256(CASE WHEN subject % 5 = 0 THEN concat_ws('|', 'events', kind, entity_id, subject) ELSE concat_ws('|', 'events', kind, entity_id, 'http://e/' || subject, occurred_at) END), 32) AS fingerprint FROM signals")
 def u1_fingerprint(spark, sf):
@@ -50,14 +48,14 @@ def u4_dedupe(spark, sf):
 def u5_pages_union(spark, sf):
     o = table(spark, sf, "orders")
     both = o.filter("o_orderkey % 3 < 2").select("o_custkey", "o_orderpriority").unionByName(o.filter("o_orderkey % 3 > 0").select("o_custkey", "o_orderpriority"))
-    return both.groupBy("o_custkey", "o_orderpriority").agg(N.alias("n")).agg(F.sum("n").alias("walked"), N.alias("kept"))
+    return both.groupBy("o_custkey", "o_orderpriority").agg(n_rows().alias("n")).agg(F.sum("n").alias("walked"), n_rows().alias("kept"))
 
 
 @query("u6_snapshot_diff", "WITH a AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 40 < 9 GROUP BY 1), b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 40 >= 31 GROUP BY 1) SELECT o_custkey, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'updated' END AS change FROM a FULL JOIN b USING (o_custkey) WHERE a.n IS DISTINCT FROM b.n")
 def u6_snapshot_diff(spark, sf):
     o = table(spark, sf, "orders")
-    a = o.filter("o_orderkey % 40 < 9").groupBy("o_custkey").agg(N.alias("n"))
-    b = o.filter("o_orderkey % 40 >= 31").groupBy("o_custkey").agg(N.alias("n"))
+    a = o.filter("o_orderkey % 40 < 9").groupBy("o_custkey").agg(n_rows().alias("n"))
+    b = o.filter("o_orderkey % 40 >= 31").groupBy("o_custkey").agg(n_rows().alias("n"))
     return store.snapshot_diff(a, b, "o_custkey", ["n"])
 
 
@@ -99,7 +97,7 @@ def u13_hash_sample(spark, sf):
 @query("j3_wanted", "SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7) GROUP BY 1")
 def j3_wanted(spark, sf):
     wanted = table(spark, sf, "part").filter("p_size = 7").select(F.col("p_partkey").alias("l_partkey"))
-    return table(spark, sf, "lineitem").join(wanted, "l_partkey", "left_semi").groupBy("l_suppkey").agg(N.alias("n"))
+    return table(spark, sf, "lineitem").join(wanted, "l_partkey", "left_semi").groupBy("l_suppkey").agg(n_rows().alias("n"))
 
 
 @query("j4_new_entrants", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= DATE '2001-01-01' AND NOT o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '2000-01-01' AND o_orderdate < DATE '2000-07-01') AND NOT o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate < DATE '1995-07-01')")
@@ -115,9 +113,9 @@ def j4_new_entrants(spark, sf):
 def j14_overlap(spark, sf):
     """Share of an order's parts that the order after it has too: neighbours join on the part and the number."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    n = li.groupBy("l_orderkey").agg(N.alias("n"))
+    n = li.groupBy("l_orderkey").agg(n_rows().alias("n"))
     after = li.select((F.col("l_orderkey") - 1).alias("l_orderkey"), "l_partkey", F.col("l_orderkey").alias("y"))
-    k = li.join(after, ["l_orderkey", "l_partkey"]).groupBy("l_orderkey", "y").agg(N.alias("k"))
+    k = li.join(after, ["l_orderkey", "l_partkey"]).groupBy("l_orderkey", "y").agg(n_rows().alias("k"))
     return k.join(n, "l_orderkey").select(F.col("l_orderkey").alias("x"), "y", F.round(F.col("k") / F.col("n"), 6).alias("share"))
 
 
@@ -131,7 +129,7 @@ def j16_p8_lead_time(spark, sf):
 def j23_second_source_date(spark, sf):
     s = table(spark, sf, "lineitem").filter("l_linenumber = 1").groupBy("l_orderkey").agg(F.to_date(F.min("l_shipdate")).alias("d"))
     o = table(spark, sf, "orders").join(s, F.col("l_orderkey") == F.col("o_orderkey"), "left").withColumn("day", F.coalesce("d", F.to_date("o_orderdate")))
-    return o.filter("day BETWEEN DATE '1998-01-01' AND DATE '1999-12-31'").groupBy("o_custkey").agg(N.alias("n"))
+    return o.filter("day BETWEEN DATE '1998-01-01' AND DATE '1999-12-31'").groupBy("o_custkey").agg(n_rows().alias("n"))
 
 
 @query("j24_agreement", "WITH t AS (SELECT l_orderkey, sum(l_extendedprice) AS total, max(l_linestatus) AS status FROM lineitem GROUP BY 1) SELECT CASE WHEN l_orderkey IS NULL THEN 'missing' WHEN status <> o_orderstatus THEN 'status' WHEN abs(total - o_totalprice) > 100000 THEN 'amount' ELSE 'agrees' END AS verdict, count(*) AS n FROM orders LEFT JOIN t ON l_orderkey = o_orderkey GROUP BY 1")
@@ -139,13 +137,13 @@ def j24_agreement(spark, sf):
     t = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("total"), F.max("l_linestatus").alias("status"))
     o = table(spark, sf, "orders").join(t, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     verdict = F.when(F.col("l_orderkey").isNull(), "missing").when(F.col("status") != F.col("o_orderstatus"), "status").when(F.abs(F.col("total") - F.col("o_totalprice")) > 100000, "amount").otherwise("agrees")
-    return o.groupBy(verdict.alias("verdict")).agg(N.alias("n"))
+    return o.groupBy(verdict.alias("verdict")).agg(n_rows().alias("n"))
 
 
 @query("j26_interval_overlap", "WITH y AS (SELECT DISTINCT o_custkey, o_orderpriority AS p, year(o_orderdate) AS yr FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')) SELECT a.o_custkey, count(*) AS shared FROM y a JOIN y b ON a.o_custkey = b.o_custkey AND a.yr = b.yr AND a.p < b.p GROUP BY 1 HAVING count(*) >= 2")
 def j26_interval_overlap(spark, sf):
     y = table(spark, sf, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "5-LOW")).groupBy("o_custkey", F.year("o_orderdate").alias("yr")).agg(F.countDistinct("o_orderpriority").alias("k"))
-    return y.filter("k = 2").groupBy("o_custkey").agg(N.alias("shared")).filter("shared >= 2")
+    return y.filter("k = 2").groupBy("o_custkey").agg(n_rows().alias("shared")).filter("shared >= 2")
 
 
 @query("j21_registry", "SELECT c_custkey, n_name, CASE WHEN r_name = 'EUROPE' THEN 'same place' ELSE 'elsewhere' END AS place FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_acctbal < 0")

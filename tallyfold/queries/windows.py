@@ -6,18 +6,15 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..operators import history, ranking
 from ..plans import score
-from ..sources.views import ASOF, awards, signals, table
+from ..sources.views import ASOF, asof_day, awards, n_rows, signals, table
 from .sqltext import AW, DAY, SIG, scored
 
-ASOF_DAY = F.to_date(F.lit(ASOF))
-N = F.count(F.lit(1))
-
 
 @query("j5_prior_history", f"{AW}, h AS (SELECT *, (SELECT 0) AS z, count(*) OVER (PARTITION BY firm ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS prior FROM awards) SELECT CASE WHEN prior = 0 THEN 'first' WHEN prior <= 2 THEN 'early' ELSE 'repeat' END AS status, count(*) AS n, round(avg(amount), 2) AS mean FROM h GROUP BY 1")
 def j5_prior_history(spark, sf):
     h = history.prior_counts(awards(spark, sf), ["firm"], "day")
     status = F.when(F.col("prior") == 0, "first").when(F.col("prior") <= 2, "early").otherwise("repeat")
-    return h.groupBy(status.alias("status")).agg(N.alias("n"), F.round(F.avg("amount"), 2).alias("mean"))
+    return h.groupBy(status.alias("status")).agg(n_rows().alias("n"), F.round(F.avg("amount"), 2).alias("mean"))
 
 
 @query("j6_baseline", f"{AW} SELECT award_id, round(amount - lag(amount) OVER (PARTITION BY firm, priority ORDER BY day, award_id), 2) AS raised FROM awards")
@@ -35,7 +32,7 @@ def j7_asof_series(spark, sf):
 @query("j19_pair_snapshots", "WITH w AS (SELECT user_id, CAST(floor(date_diff('day', CAST(ts AS DATE), DATE '2024-01-30') / 7) AS INTEGER) AS week, count(*) AS n FROM events GROUP BY ALL) SELECT a.user_id, a.n AS now, b.n AS week_ago, c.n AS three_ago FROM w a LEFT JOIN w b ON a.user_id = b.user_id AND b.week = 1 LEFT JOIN w c ON a.user_id = c.user_id AND c.week = 3 WHERE a.week = 0")
 def j19_pair_snapshots(spark, sf):
     """The three weeks side by side by one aggregation instead of two joins."""
-    w = history.trailing(table(spark, sf, "events").withColumn("day", F.to_date("ts")), ["user_id"], "day", ASOF_DAY, {"now": (0, 7), "week_ago": (7, 14), "three_ago": (21, 28)})
+    w = history.trailing(table(spark, sf, "events").withColumn("day", F.to_date("ts")), ["user_id"], "day", asof_day(), {"now": (0, 7), "week_ago": (7, 14), "three_ago": (21, 28)})
     return w.filter("now > 0").select("user_id", "now", *[F.when(F.col(c) > 0, F.col(c)).alias(c) for c in ("week_ago", "three_ago")])
 
 
@@ -107,7 +104,7 @@ def w12_interleave(spark, sf):
 def w13_weekly_windows(spark, sf):
     """Windows at three week ends, as columns of one aggregation, unpivoted afterwards."""
     windows = {f"{name}_{k}": (a + 7 * k, b + 7 * k) for k in range(3) for name, (a, b) in {"n7": (0, 7), "p7": (7, 14)}.items()}
-    wide = history.trailing(signals(spark, sf), ["entity_id"], "occurred_at", ASOF_DAY, windows)
+    wide = history.trailing(signals(spark, sf), ["entity_id"], "occurred_at", asof_day(), windows)
     return wide.select("entity_id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"n7_{k}").alias("n7"), F.col(f"p7_{k}").alias("p7")) for k in range(3)])).alias("x")).select("entity_id", "x.k", "x.n7", "x.p7")
 
 
@@ -132,7 +129,7 @@ def w16_densest(spark, sf):
 
 @query("w17_primary", f"{AW}, b AS (SELECT firm, priority, max(day) AS newest, count(*) AS n FROM awards GROUP BY ALL), f AS (SELECT *, max(newest) OVER (PARTITION BY firm) AS freshest FROM b) SELECT firm, priority, n FROM (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY newest DESC, n DESC, priority) AS nth FROM f WHERE date_diff('day', newest, freshest) <= 90) WHERE nth = 1")
 def w17_primary(spark, sf):
-    b = awards(spark, sf).groupBy("firm", "priority").agg(F.max("day").alias("newest"), N.alias("n"))
+    b = awards(spark, sf).groupBy("firm", "priority").agg(F.max("day").alias("newest"), n_rows().alias("n"))
     fresh = b.withColumn("freshest", F.max("newest").over(Window.partitionBy("firm"))).filter(F.datediff("freshest", "newest") <= 90)
     return ranking.top_per(fresh, ["firm"], [F.desc("newest"), F.desc("n"), F.col("priority")]).select("firm", "priority", "n")
 
@@ -167,7 +164,7 @@ def k4_leads(spark, sf):
 def k5_day_groups(spark, sf):
     s = signals(spark, sf)
     top = ranking.top_per(s, ["occurred_at"], [F.desc("strength"), F.col("signal_id")], 3, nth="nth").groupBy("occurred_at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "signal_id"))), lambda x: x["signal_id"].cast("string")), ",").alias("top"))
-    return s.groupBy("occurred_at").agg(N.alias("n")).join(top, "occurred_at").select(F.col("occurred_at").cast("string").alias("day"), "n", "top")
+    return s.groupBy("occurred_at").agg(n_rows().alias("n")).join(top, "occurred_at").select(F.col("occurred_at").cast("string").alias("day"), "n", "top")
 
 
 @query("k6_budget", f"{SIG} SELECT entity_id, round((1 + sum(strength)) * (1 + 0.5 * (count(DISTINCT kind) - 1)), 6) AS prelim FROM signals GROUP BY 1 ORDER BY round((1 + sum(strength)) * (1 + 0.5 * (count(DISTINCT kind) - 1)), 6) DESC, entity_id LIMIT 25")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASOF = "2024-01-30"
@@ -13,7 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def family_of(kind) -> F.Column:
+def asof_day() -> Column:
+    """The day that the queries over events look back from."""
+    return F.to_date(F.lit(ASOF))
+
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
+
+
+def family_of(kind: Column) -> Column:
     return F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in FAMILY_OF.items()])
 
 
