@@ -111,12 +111,10 @@ def ago(d: Column, asof: Column) -> Column:
 
 
 def strip_legal(name: Column) -> Column:
-    """Trailing legal forms off, up to three, and '(dba ...)' or '(formerly ...)'."""
+    """Trailing legal forms off, and '(dba ...)' or '(formerly ...)'; a name of nothing else stays."""
     s = F.regexp_replace(F.trim(name), r"(?i)\s*\((?:d/?b/?a|formerly)[^)]*\)", "")
-    for _ in range(3):
-        cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "(?i)" + fixed.LEGAL, ""), fixed.LEGAL_CAPITALS, ""), r"[ ,]+$", "")
-        s = F.when(cut == "", s).otherwise(cut)
-    return s
+    forms = rf"(?:(?i:[\s,]+(?:{fixed.LEGAL})\.?)|[\s,]+(?:{fixed.LEGAL_CAPITALS})\.?){{1,6}}[ ,]*$"
+    return F.coalesce(F.nullif(F.regexp_replace(s, forms, ""), F.lit("")), s)
 
 
 def normalize_name(name: Column) -> Column:
@@ -127,8 +125,7 @@ def normalize_name(name: Column) -> Column:
 def loose_name(name: Column) -> Column:
     """normalize_name without one trailing descriptive word."""
     s = normalize_name(name)
-    cut = F.trim(F.regexp_replace(s, "(?i)" + fixed.DESCRIPTIVE, ""))
-    return F.when(cut == "", s).otherwise(cut)
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(s, "(?i)" + fixed.DESCRIPTIVE, "")), F.lit("")), s)
 
 
 def firm_key(name: Column) -> Column:

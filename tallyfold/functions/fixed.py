@@ -31,8 +31,8 @@ dropbox.com zoom.us
 NON_COMPANY_SUFFIXES = ".edu .gov .mil .ac.uk .edu.cn .ac.jp .ac.kr .edu.au .gov.sg .edu.sg .ac.nz .gov.uk .gc.ca .ac.in .edu.hk .ac.cn".split()
 
 # Trailing legal forms (any case, and in capitals only), and trailing words that describe.
-LEGAL = r"[\s,]+(inc|incorporated|llc|l\.l\.c|corp|corporation|ltd|limited|gmbh|plc|pbc|lp|llp|s\.r\.l|srl|b\.v|co\.?,?\s+ltd)\.?$"
-LEGAL_CAPITALS = r"[\s,]+(SA|S\.A\.|AB|AG|BV|OY|KK|SAS|PTE|PTY|USA|OÜ|NV|SE)\.?$"
+LEGAL = r"inc|incorporated|llc|l\.l\.c|corp|corporation|ltd|limited|gmbh|plc|pbc|lp|llp|s\.r\.l|srl|b\.v|co\.?,?\s+ltd"
+LEGAL_CAPITALS = r"SA|S\.A\.|AB|AG|BV|OY|KK|SAS|PTE|PTY|USA|OÜ|NV|SE"
 DESCRIPTIVE = r"\s+(technologies|technology|labs|lab|systems|ai|robotics|industries|aerospace|dynamics|energy|defense|space|group|holdings)$"
 # Fixed value: query parameters that only track.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "fbclid", "gclid"]

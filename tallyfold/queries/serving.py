@@ -96,6 +96,14 @@ def _tables(spark, sf):
         "posts": table(spark, sf, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("entity"), F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("page_id") % 30).cast("int")).alias("day"), "url", (F.col("page_id") % 97).alias("points"), (F.col("page_id") % 13).alias("comments")),
         "ranks": table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("domain"), F.when(F.col("l_returnflag") == "R", F.to_date(F.lit("2024-01-01"))).otherwise(F.to_date(F.lit("2024-01-31"))).alias("list_day")).agg(F.sum("l_quantity").cast("int").alias("rank")),
         "certificates": table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("domain"), F.col("l_partkey").alias("host"), F.to_date("l_shipdate").alias("issued"), F.date_add(F.to_date("l_shipdate"), 90).alias("expires")),
+        "energy_awards": a.select("firm", "day", F.date_add(d, (F.col("firm") % 60).cast("int")).alias("released"), "amount", F.when(F.col("status") == "P", "arpa_e_project").otherwise("nsf_sbir_phase1").alias("program"), F.concat(F.lit("DE-"), F.col("award_id").cast("string")).alias("award")),
+        "other_contracts": a.filter("award_id % 4 = 0").select(F.concat(F.lit("de "), F.col("award_id").cast("string")).alias("contract")),
+        "licences": a.select(F.concat(F.lit("Firm "), F.col("firm").cast("string"), F.lit(" Labs, Inc.")).alias("applicant"), "day", F.when(F.col("status") == "P", "pending").otherwise("granted").alias("status"), F.when(F.col("priority") == "5-LOW", "sta").otherwise("experimental").alias("kind"), (F.col("award_id") % 120).alias("units")),
+        "declarations": a.select(F.concat(F.lit("Maker "), F.col("firm").cast("string")).alias("maker"), F.col("priority").alias("series"), "day", F.when(F.col("status") == "O", "accepted").otherwise("pending").alias("status")),
+        "papers_filed": a.select((F.col("firm") % 300).alias("docket"), F.col("firm").alias("party"), "day", F.col("priority").alias("kind"), F.floor(F.col("award_id") / 2).alias("package")),
+        "hiring_posts": table(spark, sf, "conversations").select((F.col("conv_id") % 70).alias("company"), F.floor(F.col("conv_id") / 20).alias("thread"), F.date_add(F.to_date(F.lit("2024-01-01")), F.floor(F.col("conv_id") / 20).cast("int")).alias("day"), F.when(F.col("turn") % 2 == 0, F.col("turn") * 9 + 1).alias("team_size"), F.lit(0.5).alias("fit"), (F.col("conv_id") % 9 != 0).alias("complete")),
+        "launches": a.select(F.col("firm").alias("company"), "day", (F.col("award_id") % 900).alias("votes")),
+        "cohort_posts": a.filter("award_id % 7 = 0").select(F.col("award_id").alias("post"), F.when(F.col("firm") % 2 == 0, F.floor(F.col("firm") / 4)).alias("portal_id"), F.concat(F.lit("f"), F.col("firm").cast("string")).alias("slug"), "day", F.when(F.col("firm") % 5 > 0, 1990 + F.col("firm") % 12).cast("int").alias("founded")),
         "papers": table(spark, sf, "documents").select(F.col("source").alias("company"), F.substring("text", 1, 30).alias("title"), F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 28).cast("int")).alias("day"), F.lit(True).alias("complete")),
     }
 
@@ -121,7 +129,7 @@ _JOB_SQL = {
     "uspto_trademarks": f"{AW}, n AS (SELECT firm, count(*) AS n, count(DISTINCT lower(priority)) AS brands, min(day) AS first_day FROM awards GROUP BY 1), r AS (SELECT a.*, n.n, n.brands, row_number() OVER (PARTITION BY a.firm ORDER BY day DESC, priority) AS x FROM awards a JOIN n ON a.firm = n.firm WHERE n.n < 25 AND date_diff('day', first_day, DATE '2001-08-01') <= 2920) " + _HEAD.format("uspto_trademarks", "regulatory", "CASE WHEN status = 'F' THEN 'trademark_in_use' ELSE 'trademark_intent_to_use' END", "firm", "day", "n", "least(greatest(0.35 + (CASE WHEN status = 'F' THEN 0 ELSE 0.2 END) + 0.15 / brands, 0.15), 0.97)", "r WHERE x <= 3"),
 }
 _JOB_SQL.pop("uspto_trademarks")  # rows of one owner, day and mark may differ in use, and either may be the third
-for _slug, _day in {"sec_form_d": "2001-08-01", "fpds_ot": "2001-08-01", "sbir_awards": "2001-08-01", "github_velocity": ASOF, "ats_jobs": "2001-08-01", "hn_attention": ASOF, "uspto_trademarks": "2001-08-01", "hn_launch": ASOF, "tranco_rank": ASOF, "domain_footprint": "2001-08-01", "research_affil": ASOF}.items():
+for _slug, _day in {"sec_form_d": "2001-08-01", "fpds_ot": "2001-08-01", "sbir_awards": "2001-08-01", "github_velocity": ASOF, "ats_jobs": "2001-08-01", "hn_attention": ASOF, "uspto_trademarks": "2001-08-01", "hn_launch": ASOF, "tranco_rank": ASOF, "domain_footprint": "2001-08-01", "research_affil": ASOF, "energy_grants": "2001-08-01", "fcc_els": "2001-08-01", "faa_uas": "2001-08-01", "nrc_adams": "2001-08-01", "hn_hiring": ASOF, "yc_directory": "2001-08-01", "accelerators": "2001-08-01"}.items():
     query(f"c_{_slug}", _JOB_SQL.get(_slug))(_job(_slug, _day))
 
 
@@ -134,6 +142,37 @@ def u7_all_sources(spark, sf):
     return out.groupBy("source", "kind").agg(n_rows().alias("n"), F.round(F.avg("strength"), 4).alias("strength"))
 
 
+@query("c_web_presence")
+def c_web_presence(spark, sf):
+    """The sites of the given pages, read and matched to the names that their hosts carry."""
+    from ..functions.wording import read_pages
+
+    p = table(spark, sf, "pages")
+    facts = read_pages(p, "page_id", "html").join(p.select("page_id", "url"), "page_id")
+    label = F.substring_index(F.regexp_replace(F.regexp_extract("url", "://([^/?#]*)", 1), r"^(www|blog|m)\.", ""), ".", 1)
+    rows = facts.select(label.alias("entity"), F.initcap(label).alias("name"), "url", "title", F.coalesce("site_name", label).alias("site_name"), "h1", "copyright", F.to_date(F.lit(ASOF)).alias("day"))
+    return jobs.JOBS["web_presence"][2]({"pages_read": rows}, asof_day()).withColumn("occurred_at", F.col("occurred_at").cast("string"))
+
+
+@query("x7_sql_functions", f"SELECT event_type, round(1 - product(1 - {sq('value', 50)} / 1000), 6) AS either FROM events GROUP BY 1")
+def x7_sql_functions(spark, sf):
+    from ..functions.register import register
+
+    register(spark)
+    table(spark, sf, "events").createOrReplaceTempView("tallyfold_events")
+    return spark.sql("SELECT event_type, round(noisy_or(squash(value, 50) / 1000), 6) AS either FROM tallyfold_events GROUP BY 1")
+
+
+@query("p4_entity_scores", f"{SIG}, {scored()}, m AS (SELECT user_id AS entity_id, count(*) AS n, max(value) AS top FROM events GROUP BY 1), c AS (SELECT entity_id, round(round(1 - (1 - {over('n * 100', 500, 8000)}) * (1 - {over('n', 5, 120)}), 4), 4) AS consensus FROM m) SELECT s.entity_id, momentum, round(100.0 * momentum * (0.4 + 0.6 * (1 - consensus)) * (CASE WHEN convergence < 2 THEN 0.85 ELSE 1.0 END), 2) AS edge FROM scored s JOIN c USING (entity_id)")
+def p4_entity_scores(spark, sf):
+    """Momentum from signals and earliness from what was measured of the same entity."""
+    s = score.score_entities(signals(spark, sf), ASOF, weeks=1)
+    m = table(spark, sf, "events").groupBy(F.col("user_id").alias("entity_id")).agg(n_rows().alias("n"))
+    parts = score.consensus_parts({"stars_total": F.col("n") * 100.0, "hn_mentions_total": F.col("n").cast("double")})
+    one, e = F.lit(1.0), s.join(m.select("entity_id", score.consensus(parts).alias("consensus")), "entity_id")
+    return e.select("entity_id", "momentum", score.edge(F.col("momentum"), one, 1 - F.col("consensus"), one, F.col("convergence")).alias("edge"))
+
+
 # --- streams: the given events replayed, equal to the batch
 
 

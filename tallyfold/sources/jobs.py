@@ -168,3 +168,97 @@ def research_affil(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     f = history.first_flag(one, ["company"], [F.col("day"), F.col("key")], F.col("complete"))
     first = F.coalesce(F.col("is_first"), F.lit(False))
     return made(f, "research_affil", F.when(first, "company_first_paper").otherwise("company_papers"), "company", "day", F.lit(1.0), F.when(first, 0.6).otherwise(0.35))
+
+
+@source("energy_grants", "capital")
+def energy_grants(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
+    """energy_awards(firm, day, released, amount, program): what another award list already has is dropped (other_contracts(contract)); dated at the later of award and release."""
+    e = tables["energy_awards"].withColumn("contract", X.contract_key(F.col("award")))
+    if "other_contracts" in tables:
+        e = e.join(tables["other_contracts"].select(X.contract_key(F.col("contract")).alias("contract")), "contract", "left_anti")
+    h = history.prior_counts(e.withColumn("seen", F.greatest("day", F.coalesce("released", "day"))), ["firm"], "day")
+    s = 0.30 + 0.35 * X.squash(F.col("amount"), 1_000_000) + F.when(F.col("prior") == 0, 0.2).otherwise(0.0)
+    return made(h, "energy_grants", F.col("program"), "firm", "seen", F.col("amount"), X.clamp(s, 0.15, 0.95))
+
+
+@source("fcc_els", "regulatory")
+def fcc_els(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
+    """licences(applicant, day, status, kind, units): three of an applicant and kind at most; units count, and applicants with many this run less."""
+    a = tables["licences"].withColumn("key", X.loose_name(F.col("applicant")))
+    many = a.groupBy("key").agg(F.count(F.lit(1)).alias("filings"))
+    rows = top_per(a, ["key", "kind"], [F.desc("day"), F.desc("units")], 3).join(many, "key")
+    base = X.ladder((F.col("kind") == "sta", F.lit(0.30)), (F.col("status") == "granted", F.lit(0.55)), otherwise=F.lit(0.45))
+    s = base + 0.14 * X.squash(F.col("units"), 40) + F.when(F.col("filings") == 1, 0.1).otherwise(-0.05)
+    return made(rows, "fcc_els", F.concat(F.lit("fcc_"), F.col("kind"), F.lit("_"), F.col("status")), "applicant", "day", F.col("units"), X.clamp(s, 0.15, 0.95))
+
+
+@source("faa_uas", "regulatory")
+def faa_uas(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
+    """declarations(maker, series, day, status): makers with new declarations; more if all series are new."""
+    d = tables["declarations"].withColumn("key", X.normalize_name(F.col("maker")))
+    series = d.groupBy("key", "series").agg(F.min("day").alias("first_day"), F.max("day").alias("day"), F.count(F.when(F.col("status") == "accepted", 1)).alias("accepted"))
+    m = series.withColumn("fresh", F.datediff(asof, "first_day") <= 90).groupBy("key").agg(F.max("day").alias("day"), F.sum("accepted").alias("accepted"), F.bool_and("fresh").alias("all_new"), F.count(F.when(F.col("fresh"), 1)).alias("n_new"))
+    s = 0.35 + F.when(F.col("all_new"), 0.3).otherwise(0.0) + 0.15 * X.squash(F.col("n_new"), 2)
+    return made(m.filter("n_new > 0"), "faa_uas", F.lit("faa_remote_id_doc"), "key", "day", F.col("accepted"), X.clamp(s, 0.15, 0.95))
+
+
+@source("nrc_adams", "regulatory")
+def nrc_adams(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
+    """papers_filed(docket, party, day, kind, package): one of a package, one of a kind and day; a docket's first makes it opened; two of a kind and four of a company at most."""
+    p = top_per(tables["papers_filed"], ["package"], [F.col("day"), F.col("kind")])
+    p = top_per(p, ["docket", "kind", "day"], [F.col("package")])
+    f = history.first_flag(p, ["docket"], [F.col("day"), F.col("package")])
+    age = F.datediff(asof, "day")
+    fade = X.ladder((age <= 90, F.lit(1.0)), (age <= 180, F.lit(0.85)), otherwise=F.lit(0.7))
+    scored = f.withColumn("s", F.when(F.col("is_first"), 0.85).otherwise(0.4 * fade))
+    kept = top_per(top_per(scored, ["party", "kind"], [F.desc("s"), F.desc("day"), F.col("package")], 2), ["party"], [F.desc("s"), F.desc("day"), F.col("package")], 4)
+    return made(kept, "nrc_adams", F.when(F.col("is_first"), "nrc_preapp_docket_opened").otherwise("nrc_preapp_activity"), "party", "day", F.lit(1.0), F.col("s"))
+
+
+@source("hn_hiring", "hiring")
+def hn_hiring(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
+    """hiring_posts(company, thread, day, team_size, fit, complete): the earliest post of a company and thread; a first one counts most, small teams more."""
+    one = top_per(tables["hiring_posts"], ["company", "thread"], [F.col("day"), F.col("thread")])
+    h = history.prior_counts(one, ["company"], "day")
+    first = (F.col("prior") == 0) & F.col("complete")
+    s = 0.15 + X.ladder((first, F.lit(0.36)), (F.col("prior") <= 2, F.lit(0.20)), otherwise=F.lit(0.0)) + 0.30 * (1 - X.squash(F.col("team_size"), 15)) * F.col("team_size").isNotNull().cast("int") + 0.1 * F.col("fit")
+    return made(h, "hn_hiring", F.lit("hn_hiring_post"), "company", "day", F.col("prior"), X.clamp(s, 0.0, 0.95))
+
+
+@source("yc_directory", "launch")
+def yc_directory(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
+    """launches(company, day, votes): ordinal of the launch, and how its votes stand among those of the same month."""
+    from ..operators.ranking import share_below
+
+    nth = history.ordinal(tables["launches"], ["company"], "day")
+    ranked = share_below(nth.withColumn("month", F.trunc("day", "month")), ["month"], "votes")
+    s = X.interp(F.log1p("votes"), [(0.0, 0.15), (3.0, 0.4), (5.0, 0.7), (7.0, 0.9)]) * F.when(F.col("nth") > 1, 0.7).otherwise(1.0) + 0.05 * F.col("share_below")
+    return made(ranked, "yc_directory", F.lit("yc_launch"), "company", "day", F.col("votes"), s)
+
+
+@source("accelerators", "launch")
+def accelerators(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
+    """cohort_posts(post, portal_id, slug, day, founded): posts with one portal id or slug are one company; too old companies and back-filled posts go."""
+    from ..operators.resolve import hard_links
+
+    p = tables["cohort_posts"]
+    c = p.join(hard_links(p, "post", ["portal_id", "slug"]), "post")
+    view = c.groupBy("component").agg(F.min("day").alias("day"), F.max_by("slug", F.struct("day", "post")).alias("slug"), F.min("founded").alias("founded"), F.count(F.lit(1)).alias("n"))
+    young = view.filter(F.col("founded").isNull() | (F.year(asof) - F.col("founded") <= 8))
+    return made(young, "accelerators", F.lit("accelerator_cohort"), "slug", "day", F.col("n"), 0.45 + 0.2 * F.when(F.col("founded").isNull(), 0.5).otherwise(X.clamp(1 - (F.year(asof) - F.col("founded")) / 8, 0.0, 1.0)))
+
+
+@source("web_presence", "traffic", "enrich")
+def web_presence(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
+    """pages_read(entity, name, url, title, site_name, h1, copyright, day): the one site of an entity whose page speaks for it; a baseline of strength 0."""
+    from ..operators.matching import accepted, site_score
+
+    p = tables["pages_read"].withColumn("host", X.host_of(F.col("url")))
+    key = X.normalize_name(F.col("name"))
+    says = lambda c: F.coalesce(X.normalize_name(F.col(c)).contains(key), F.lit(False))
+    slots = says("title").cast("int") + says("site_name").cast("int") + says("h1").cast("int")
+    label = F.substring_index("host", ".", 1)
+    domain = X.ladder((label == F.replace(key, F.lit(" "), F.lit("")), F.lit(2)), (X.owns_domain(F.col("name"), F.col("host")), F.lit(1)), otherwise=F.lit(0))
+    score = site_score(says("site_name"), slots, says("copyright"), domain, says("title"), F.lit(0))
+    found = accepted(p, "entity", "host", score, F.when(F.length(key) < 5, 0.85).otherwise(0.75)).join(p.groupBy("entity", "host").agg(F.max("day").alias("day")), ["entity", "host"])
+    return made(found, "web_presence", F.lit("website_verified"), "entity", "day", F.col("score"), F.lit(0.0))

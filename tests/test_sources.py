@@ -64,7 +64,7 @@ def test_briefs_and_sinks(spark, tmp_path):
         put(tmp_path / "b" / f"{slug}.json", json.dumps({"slug": slug, "summary": summary, "sources": [{"title": "t", "url": "u"}]}))
     assert [r.slug for r in readers.read_briefs(spark, str(tmp_path / "b")).collect()] == ["a"]
     df = spark.createDataFrame([('say "hi", twice', ["x", "y"])], "name string, tags array<string>")
-    readers.write_csv(df, str(tmp_path / "csv"), ["tags"])
+    readers.write_csv(df.coalesce(1), str(tmp_path / "csv"), ["tags"])
     text = "".join(p.read_text() for p in (tmp_path / "csv").glob("part-*"))
     assert text.splitlines() == ["name,tags", '"say ""hi"", twice",x; y']
     assert json.loads(readers.documents_of(df, "name").first().document)["tags"] == ["x", "y"]
@@ -99,3 +99,40 @@ def test_streams_equal_their_batch(spark, tmp_path):
     stream.upsert_stream(keyed, str(tmp_path / "store"))
     last = sorted((tmp_path / "store").iterdir())[-1]
     assert {(r.fingerprint, r.run_id) for r in spark.read.parquet(str(last)).collect()} == {("a", 2), ("b", 3)}
+
+
+def test_dockets_cohorts_and_sites(spark):
+    day = lambda m, d=1: dt.date(2024, m, d)
+    filed = spark.createDataFrame([(1, "a", day(1), "plan", 1), (1, "a", day(1), "plan", 2), (1, "a", day(2), "letter", 3), (1, "a", day(2), "letter", 3)], "docket int, party string, day date, kind string, package int")
+    got = sorted((r.kind, r.strength) for r in jobs.nrc_adams({"papers_filed": filed}, F.to_date(F.lit("2024-03-01"))).collect())
+    assert got == [("nrc_preapp_activity", 0.4), ("nrc_preapp_docket_opened", 0.85)]
+    posts = spark.createDataFrame([(1, 5, "acme", day(1), 2022), (2, 5, "acme-inc", day(2), None), (3, None, "acme-inc", day(3), 2021), (4, None, "old", day(3), 1990)], "post int, portal_id int, slug string, day date, founded int")
+    got = jobs.accelerators({"cohort_posts": posts}, F.to_date(F.lit("2024-03-01"))).collect()
+    assert [(r.entity, r.value, r.occurred_at) for r in got] == [("acme-inc", 3.0, day(1))]
+    pages = spark.createDataFrame([("e", "Acme Robotics", "https://acmerobotics.com", "Acme Robotics", "Acme Robotics", "Acme Robotics", None, day(1)), ("e", "Acme Robotics", "https://elsewhere.com", "News", None, None, None, day(1)), ("f", "Bolt Works", "https://boltworks.com", "Bolt Works", "Bolt Works", None, None, day(1)), ("f", "Bolt Works", "https://bolt-works.io", "Bolt Works", "Bolt Works", "Bolt Works", "Bolt Works", day(1))], "entity string, name string, url string, title string, site_name string, h1 string, copyright string, day date")
+    assert [r.entity for r in jobs.web_presence({"pages_read": pages}, F.to_date(F.lit("2024-03-01"))).collect()] == ["e"]
+
+
+def test_pages_and_hosts(spark):
+    from tallyfold.functions import hosts, wording
+
+    raw = '<html><head><title>Acme &amp; Co</title><meta property="og:site_name" content="Acme"><script>var x = "<p>no</p>"</script></head><body><h1>Hello <b>you</b></h1><p>Text.</p><a href="/x">link</a><p>© 2024 Acme Inc. All rights</p></body></html>'
+    df = spark.createDataFrame([(1, raw), (2, None), (3, "<p>open <b>")], "id int, html string")
+    a, b, c = wording.read_pages(df, "id", "html").orderBy("id").collect()
+    assert (a.title, a.site_name, a.h1, a.copyright, a.links) == ("Acme & Co", "Acme", "Hello you", "Acme Inc", ["/x"]) and "no" not in a.text
+    assert b.text == "" and c.text == "open"
+    names = spark.createDataFrame([("ACME ROBOTICS OF TEXAS LLC",), ("DRONENX",), ("Mixed Case Inc",), ("US UAV II CORP",)], "n string")
+    assert [r.s for r in names.select(wording.display_name(F.col("n")).alias("s")).collect()] == ["Acme Robotics of Texas", "DRONENX", "Mixed Case", "US UAV II"]
+    h = spark.createDataFrame([("api.eu.acme.io", "acme.io"), ("secret-project.api.acme.io", "acme.io"), ("x.other.io", "acme.io")], "h string, d string")
+    assert [r.s for r in h.select(hosts.shown_label(F.col("h"), F.col("d"), ["api", "eu"]).alias("s")).collect()] == ["api.eu", "api", None]
+    m = spark.createDataFrame([("a@acme.io", "Acme Robotics, Inc."), ("a@gmail.com", "Acme"), ("a@else.io", "Acme")], "m string, c string")
+    assert [r.s for r in m.select(hosts.company_mail_domain(F.col("m"), F.col("c")).alias("s")).collect()] == ["acme.io", None, None]
+
+
+def test_registered_sql_names(spark):
+    from tallyfold.functions.register import register
+
+    register(spark)
+    assert spark.sql("SELECT squash(10D, 10D), over_floor(15D, 5D, 10D), decay(1D, 30, 30D)").first()[:] == (0.5, 0.5, 0.5)
+    got = spark.sql("SELECT * FROM explode_series(array(named_struct('t', DATE '2024-01-01', 'v', 1.0D), named_struct('t', DATE '2024-01-10', 'v', 2.0D)), array(DATE '2024-01-05', DATE '2024-01-09', DATE '2023-01-01'))").collect()
+    assert [r.v for r in got] == [1.0, 2.0]
