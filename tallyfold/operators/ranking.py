@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut_lineage
+
 
 def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, nth: str | None = None) -> DataFrame:
     """The first n rows of each key; Spark keeps only n of a key in each task before the shuffle."""
@@ -20,15 +22,23 @@ def ranked_top(df: DataFrame, order: Sequence[Column], n: int, rank: str = "rank
     return df.orderBy(*order).limit(n).withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 
 
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: str, name: str) -> DataFrame:
+    """The sum of `n` over the rows of a key that stand before a row in order. No task needs all rows of a key: rows are dealt by ranges, summed within them, and ranges are added up, of which a key has as many as there are partitions."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(k) for k in keys], *order]
+    # Written with its range: sampled bounds may differ when a plan runs again.
+    dealt = cut_lineage(df.repartitionByRange(parts, *by).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.withColumn("_within", F.coalesce(F.sum(n).over(before.partitionBy("_range", *keys).orderBy(*order)), F.lit(0)))
+    ranges = dealt.groupBy("_range", *keys).agg(F.sum(n).alias("_n"))
+    above = ranges.withColumn("_above", F.coalesce(F.sum("_n").over(before.partitionBy(*keys).orderBy("_range")), F.lit(0))).drop("_n")
+    return within.join(above, ["_range", *keys]).withColumn(name, F.col("_within") + F.col("_above")).drop("_range", "_within", "_above")
+
+
 def global_rank(df: DataFrame, score: str, ties: str, rank: str = "rank") -> DataFrame:
-    """The rank of every row by score, highest first: rows are numbered within ranges of the score, and ranges by the rows of the ranges above, so no task sees all rows."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, F.desc(score), F.col(ties)).withColumn("_range", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc(score), F.col(ties)))
-    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    above = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
-    return dealt.withColumn("_within", within).join(F.broadcast(above), "_range").withColumn(rank, F.col("_above") + F.col("_within")).drop("_range", "_within", "_above")
+    """The rank of every row by score, highest first, without a task that sees all rows."""
+    one = df.withColumn("_one", F.lit(1))
+    return running_total(one, [], [F.desc(score), F.col(ties)], "_one", "_before").withColumn(rank, F.col("_before") + 1).drop("_one", "_before")
 
 
 def capped(df: DataFrame, outer: Sequence[str], inner: Sequence[str], order: Sequence[Column], most_inner: int, most_outer: int) -> DataFrame:
@@ -37,23 +47,24 @@ def capped(df: DataFrame, outer: Sequence[str], inner: Sequence[str], order: Seq
 
 
 def interleaved(df: DataFrame, group: str, order: Sequence[Column], picks: Column, budget: int) -> DataFrame:
-    """Round robin over groups, best first; a group gets `picks` rows a round; cut at the budget."""
-    nth = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("nth", nth).withColumn("round", F.ceil(F.col("nth") / picks).cast("long")).orderBy("round", group, "nth").limit(budget)
+    """Round robin over groups, best first; a group gets `picks` rows a round; cut at the budget. A row beyond the budget in its own group can't come before it, so no more of a group is numbered."""
+    numbered = top_per(df, [group], order, budget, nth="nth")
+    return numbered.withColumn("round", F.ceil(F.col("nth") / picks).cast("long")).orderBy("round", group, "nth").limit(budget)
 
 
 def share_below(df: DataFrame, peers: Sequence[str], value: str, name: str = "share_below") -> DataFrame:
-    """The share of a row's peers whose value is strictly below its own."""
-    same = Window.partitionBy(*peers)
-    below = F.rank().over(same.orderBy(value)) - 1
-    return df.withColumn(name, below / F.count(F.lit(1)).over(same))
+    """The share of a row's peers whose value is strictly below its own: counts of distinct values, summed in order, joined back."""
+    counts = df.groupBy(*peers, value).agg(F.count(F.lit(1)).alias("_n"))
+    below = running_total(counts, peers, [F.col(value)], "_n", "_below").select(*peers, value, "_below")
+    totals = counts.groupBy(*peers).agg(F.sum("_n").alias("_total"))
+    return df.join(below, [*peers, value]).join(totals, list(peers)).withColumn(name, F.col("_below") / F.col("_total")).drop("_below", "_total")
 
 
 def cohort_share(df: DataFrame, rank: str, ratio: str, key: str, band: float = 1.5, least: int = 200) -> DataFrame:
     """share: of the rows whose rank is within a factor of `band`, those with a smaller ratio; null with fewer than `least` of them.
 
-    The range join goes by buckets of log rank: a row meets only its bucket and the two beside it, and only
-    distinct (rank, ratio) pairs with their counts are met."""
+    For rank lists, whose length is bounded (give a hash sample of a longer one). The range join goes by buckets of
+    log rank: a row meets only its bucket and the two beside it, and only distinct (rank, ratio) pairs with counts."""
     bucket = F.floor(F.log(rank) / F.log(F.lit(band))).cast("long")
     points = df.groupBy(F.col(rank).alias("_r"), F.col(ratio).alias("_q")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.floor(F.log("_r") / F.log(F.lit(band))).cast("long"))
     mine = df.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut_lineage
 from .ranking import top_per
 
 
-def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that driver and executors share (spark.checkpoint.dir, else the warehouse)."""
-    spark: SparkSession = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{at.rstrip('/')}/tallyfold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(members: DataFrame, member: str, key: str) -> DataFrame:
     """(member, component): members that share a key, directly or by others, get the least member among them.
 

@@ -27,28 +27,52 @@ def mass_of(scores: Sequence[Column]) -> Column:
     return best + OTHERS * (reduce(lambda a, b: a + b, scores) - best)
 
 
+class Terms:
+    """A dictionary of sectors, each with strong and context terms, as columns: `hits` of a text, and `verdict` of such hits."""
+
+    def __init__(self, dictionary: Mapping[str, Mapping[str, Sequence[str]]], false_friends: Sequence[str] = (), unambiguous: Sequence[str] = ()) -> None:
+        self.terms = [(s, t, w) for s, groups in dictionary.items() for kind, w in (("strong", STRONG), ("context", CONTEXT)) for t in groups.get(kind, ())]
+        self.sectors, self.friends, self.sure = list(dictionary), list(false_friends), set(unambiguous)
+        self.names = {t: f"_t{i}" for i, t in enumerate(dict.fromkeys(t for _, t, _ in self.terms))}
+
+    def low(self, text: Column) -> Column:
+        """Lower-case text with the false friends blanked out."""
+        low = F.lower(text)
+        return F.regexp_replace(low, "|".join(re.escape(x) for x in self.friends), " ") if self.friends else low
+
+    def hits(self, low: Column) -> list[Column]:
+        return [F.coalesce(low.rlike(term_pattern(t)), F.lit(False)).alias(n) for t, n in self.names.items()]
+
+    def verdict(self, hits: DataFrame, kept: Sequence[str]) -> DataFrame:
+        add = lambda a, b: a + b
+        sums = [reduce(add, [F.when(F.col(self.names[t]), F.lit(w)).otherwise(F.lit(0.0)) for x, t, w in self.terms if x == s], F.lit(0.0)) for s in self.sectors]
+        scored = hits.select("*", *[c.alias(f"_s{i}") for i, c in enumerate(sums)])
+        scores = [F.col(f"_s{i}") for i in range(len(sums))]
+        best = F.greatest(*scores) if len(scores) > 1 else scores[0]
+        sector = F.coalesce(*[F.when((c == best) & (c > 0), F.lit(s)) for s, c in zip(self.sectors, scores, strict=True)])
+        n = reduce(add, [F.col(c).cast("int") for c in self.names.values()])
+        sure = reduce(lambda a, b: a | b, [F.col(c) for t, c in self.names.items() if t in self.sure], F.lit(False))
+        fit = 1 - F.exp(-mass_of(scores) / SCALE)
+        fit = F.when((n == 1) & ~sure, F.least(fit, F.lit(LONE_CAP))).otherwise(fit)
+        found = F.array_join(F.array_sort(F.filter(F.array(*[F.when(F.col(c), F.lit(t)) for t, c in self.names.items()]), lambda x: x.isNotNull())), ",")
+        return scored.select(*kept, sector.alias("sector"), F.round(fit, 3).alias("fit"), found.alias("terms"))
+
+
 def classify(df: DataFrame, text: str, dictionary: Mapping[str, Mapping[str, Sequence[str]]], false_friends: Sequence[str] = (), unambiguous: Sequence[str] = ()) -> DataFrame:
     """df with sector (first by dictionary order on ties; null without a term), fit (0 to 1, rounded to 3) and terms (sorted, comma-joined).
 
     One projection and no shuffle: each distinct term counts once, 1 if strong and 0.45 if context; the best sector's sum
     and 0.35 of the others' make fit = 1 - exp(-mass / 1.6); one lone term that isn't unambiguous holds fit at 0.28."""
-    low = F.lower(text)
-    if false_friends:
-        low = F.regexp_replace(low, "|".join(re.escape(x) for x in false_friends), " ")
-    terms = [(s, t, w) for s, groups in dictionary.items() for kind, w in (("strong", STRONG), ("context", CONTEXT)) for t in groups.get(kind, ())]
-    names = {t: f"_t{i}" for i, t in enumerate(dict.fromkeys(t for _, t, _ in terms))}
-    hits = df.withColumn("_low", low).select("*", *[F.coalesce(F.col("_low").rlike(term_pattern(t)), F.lit(False)).alias(n) for t, n in names.items()])
-    sums = {s: reduce(lambda a, b: a + b, [F.when(F.col(names[t]), F.lit(w)).otherwise(F.lit(0.0)) for x, t, w in terms if x == s]) for s in dictionary}
-    scored = hits.select("*", *[c.alias(f"_s{i}") for i, c in enumerate(sums.values())])
-    scores = [F.col(f"_s{i}") for i in range(len(sums))]
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    sector = F.coalesce(*[F.when((c == best) & (c > 0), F.lit(s)) for s, c in zip(sums, scores, strict=True)])
-    n = reduce(lambda a, b: a + b, [F.col(c).cast("int") for c in names.values()])
-    sure = reduce(lambda a, b: a | b, [F.col(names[t]) for t in unambiguous if t in names], F.lit(False))
-    fit = 1 - F.exp(-mass_of(scores) / SCALE)
-    fit = F.when((n == 1) & ~sure, F.least(fit, F.lit(LONE_CAP))).otherwise(fit)
-    found = F.array_join(F.array_sort(F.filter(F.array(*[F.when(F.col(c), F.lit(t)) for t, c in names.items()]), lambda x: x.isNotNull())), ",")
-    return scored.select(*df.columns, sector.alias("sector"), F.round(fit, 3).alias("fit"), found.alias("terms"))
+    t = Terms(dictionary, false_friends, unambiguous)
+    low = df.withColumn("_low", t.low(F.col(text)))
+    return t.verdict(low.select("*", *t.hits(F.col("_low"))), df.columns)
+
+
+def classify_groups(df: DataFrame, keys: Sequence[str], text: str, dictionary: Mapping[str, Mapping[str, Sequence[str]]], false_friends: Sequence[str] = (), unambiguous: Sequence[str] = ()) -> DataFrame:
+    """The same of all texts of a key together. Only which terms a row has is aggregated, so texts are neither joined nor gathered; a term doesn't reach over two rows."""
+    t = Terms(dictionary, false_friends, unambiguous)
+    hits = df.withColumn("_low", t.low(F.col(text))).select(*keys, *t.hits(F.col("_low")))
+    return t.verdict(hits.groupBy(*keys).agg(*[F.bool_or(c).alias(c) for c in t.names.values()]), keys)
 
 
 def longest_matches(df: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:

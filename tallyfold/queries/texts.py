@@ -34,10 +34,7 @@ def d1_classify(spark, sf):
 
 @query("d3_company_class", _classify_sql("(SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1)") + " SELECT conv_id, sector, fit FROM c")
 def d3_company_class(spark, sf):
-    """Texts of one company as one: joined in order, at most its turns."""
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    joined = c.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
-    return X.classify(joined, "text", DICTIONARY, FRIENDS, SURE).select("conv_id", "sector", "fit")
+    return X.classify_groups(table(spark, sf, "conversations"), ["conv_id"], "text", DICTIONARY, FRIENDS, SURE).select("conv_id", "sector", "fit")
 
 
 @query("b4_thesis_gate", f"{_classify_sql('documents')} SELECT sector, count(*) AS n FROM c WHERE fit >= 0.3 GROUP BY 1")

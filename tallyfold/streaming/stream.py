@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_place
 from ..operators.store import upsert
 
 
-def place(spark: SparkSession, name: str) -> str:
-    """A new folder in what driver and executors share."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{at.rstrip('/')}/tallyfold/{name}-{uuid.uuid4().hex}"
-
-
 def windowed_counts(events: DataFrame, moment: str, keys: list[str], size: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
     """Counts of windows; rows later than the watermark are left out."""
     w = F.window(moment, size, slide) if slide else F.window(moment, size)
@@ -25,12 +18,12 @@ def windowed_counts(events: DataFrame, moment: str, keys: list[str], size: str,
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """All that a stream has now, run to its end; the last state of each row it emits is written once and read back."""
     spark = stream.sparkSession
-    out = place(spark, "drained")
+    out = shared_place(spark, "drained")
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", place(spark, "progress")).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", shared_place(spark, "progress")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -50,7 +43,7 @@ def upsert_stream(events: DataFrame, store: str, key: str = "fingerprint") -> No
         old = spark.read.parquet(before) if epoch else batch.limit(0)
         upsert(old, batch, key).write.mode("overwrite").parquet(path)
 
-    q = events.writeStream.foreachBatch(merge).option("checkpointLocation", place(spark, "progress")).trigger(availableNow=True).start()
+    q = events.writeStream.foreachBatch(merge).option("checkpointLocation", shared_place(spark, "progress")).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
