@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task looks at together; one longer text makes a larger buffer of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: Rows that Spark puts in an Arrow batch for the operators here.
 BATCH_ROWS = 400
 
@@ -80,6 +80,8 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column:
             at = to
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:

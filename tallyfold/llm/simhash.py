@@ -35,7 +35,9 @@ SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: their places, which for three-word shingles means a cosine of 0.93 and 7.4 of 64 bits.
 DEDUP_DISTANCE = 7
 #: Fingerprints that are compared with one another at once.
-BUCKET = 2048
+BUCKET = 1024
+#: Links of a batch that are held before they join their trees.
+LINKS_HELD = 1 << 17
 #: Distinct fingerprints that correlations and candidate counts are estimated from.
 SAMPLE = 16_000
 #: What a compared pair costs, of a key that is sent.
@@ -151,6 +153,20 @@ def refined(mask: int, pieces: int) -> list[int]:
     return [mask | sum(1 << b for b in free[k::pieces]) for k in range(min(pieces, len(free)))]
 
 
+def _joined(label: np.ndarray, links_: np.ndarray) -> np.ndarray:
+    """Labels (each the least place of its tree) after links between places join their trees."""
+    while True:
+        a, b = label[links_[0]], label[links_[1]]
+        apart = a != b
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def trees(groups: list[np.ndarray], distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each group of fingerprints the links of a forest that joins what links within the distance join: (fingerprint, the least of its tree)."""
     fp = np.concatenate(groups)
@@ -159,22 +175,18 @@ def trees(groups: list[np.ndarray], distance: int) -> tuple[np.ndarray, np.ndarr
     rank = np.concatenate([np.argsort(np.argsort(g, kind="stable")) for g in groups]) + np.repeat(np.cumsum(size) - size, size)
     order = np.argsort(rank)
     fp, group = fp[order], group[order]
-    left, right = [], []
+    label = np.arange(len(fp))
+    held: list[np.ndarray] = []
+    size_held = 0
     for d in range(1, int(size.max())):
         near = np.flatnonzero((group[d:] == group[:-d]) & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= distance))
-        left.append(near)
-        right.append(near + d)
-    a, b = np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
-    label = np.arange(len(fp))
-    while True:
-        least = np.minimum(label[a], label[b])
-        now = label.copy()
-        np.minimum.at(now, a, least)
-        np.minimum.at(now, b, least)
-        now = now[now]
-        if (now == label).all():
-            break
-        label = now
+        held.append(np.stack([near, near + d]))
+        size_held += len(near)
+        if size_held > LINKS_HELD:
+            label = _joined(label, np.concatenate(held, axis=1))
+            held, size_held = [], 0
+    if held:
+        label = _joined(label, np.concatenate(held, axis=1))
     moved = label != np.arange(len(fp))
     return fp[moved], fp[label[moved]]
 
@@ -193,7 +205,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> D
             for row in batch.column("fps"):
                 groups.append(row.values.to_numpy(zero_copy_only=False).view(np.uint64))
                 work += len(groups[-1]) ** 2
-                if work > 1 << 22:
+                if work > 1 << 21:
                     yield made(groups)
                     groups, work = [], 0
             if groups:

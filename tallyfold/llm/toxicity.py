@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,8 +106,8 @@ def names() -> list[str]:
     return [*LEXICONS, *[f"word{g}" for g in range(GROUPS)], *[f"stem{g}" for g in range(GROUPS)]]
 
 
-def marks(raw: np.ndarray, offs: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, whether it is a word beginning, and its numbers of toxic and other texts, for what stands in two toxic texts or more."""
+def _distinct(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, whether it is a word beginning, and text, of all that stands in each text, once a text."""
     text, kinds, _ = hashed(raw, offs)
     out = []
     for stem, h in enumerate(kinds):
@@ -114,15 +115,27 @@ def marks(raw: np.ndarray, offs: np.ndarray, y: np.ndarray) -> tuple[np.ndarray,
         hs, ts = h[order], text[order]
         fresh = np.ones(len(hs), bool)
         fresh[1:] = (hs[1:] != hs[:-1]) | (ts[1:] != ts[:-1])
-        hs, ts = hs[fresh & (hs != 0)], ts[fresh & (hs != 0)]
-        found, at = np.unique(hs, return_inverse=True)
-        toxic = np.bincount(at, weights=y[ts] >= 0.5, minlength=len(found)).astype(np.int64)
-        other = np.bincount(at, minlength=len(found)) - toxic
-        use = toxic >= 2
-        out.append((found[use], np.full(use.sum(), stem > 0), toxic[use], other[use]))
+        fresh &= hs != 0
+        out.append((hs[fresh], np.full(fresh.sum(), stem > 0), ts[fresh]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def marks(toxic: pa.Table, other: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, whether it is a word beginning, and its numbers of toxic and other texts, for what stands in two toxic texts or more. Chunk by chunk: the toxic texts first, which name the candidates."""
+    seen = [_distinct(*flat(t.column("text")))[:2] for t in chunks(iter(toxic.to_batches()))]
+    if not seen:
+        return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    every, stems = (np.concatenate(x) for x in zip(*seen, strict=True))
+    found, first, n = np.unique(every, return_index=True, return_counts=True)
+    found, stems, n = found[n >= 2], stems[first[n >= 2]], n[n >= 2]
+    against = np.zeros(len(found), np.int64)
+    for t in chunks(iter(other.to_batches())) if len(found) else ():
+        h, _, _ = _distinct(*flat(t.column("text")))
+        at = np.minimum(np.searchsorted(found, h), len(found) - 1)
+        against += np.bincount(at[found[at] == h], minlength=len(found))
+    return found, stems, n, against
+
+
 def voters(found: list[tuple[int, bool]]) -> Voters:
     """Voters for the fixed lexicons and the learned (hash, is a word beginning), each dealt to a group by its hash."""
     groups: dict[int, int] = {}
@@ -198,9 +211,8 @@ def learn_voters(rows: DataFrame, shards: int = 6) -> Voters:
     """Voters from the bounded sample rows (doc_id, text, y)."""
 
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending")])
-        raw, offs = flat(table.column("text"))
-        h, stem, toxic, other = marks(raw, offs, table.column("y").to_numpy())
+        is_toxic = pa.compute.greater_equal(table.column("y"), 0.5)
+        h, stem, toxic, other = marks(table.filter(is_toxic), table.filter(pa.compute.invert(is_toxic)))
         return pa.table({"h": h.view(np.int64), "stem": stem, "toxic": toxic, "other": other})
 
     totals = rows.agg(F.sum((F.col("y") >= 0.5).cast("long")), F.count(F.lit(1))).first()
