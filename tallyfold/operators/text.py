@@ -65,7 +65,8 @@ def classify(df: DataFrame, text: str, dictionary: Mapping[str, Mapping[str, Seq
     and 0.35 of the others' make fit = 1 - exp(-mass / 1.6); one lone term that isn't unambiguous holds fit at 0.28."""
     t = Terms(dictionary, false_friends, unambiguous)
     low = df.withColumn("_low", t.low(F.col(text)))
-    return t.verdict(low.select("*", *t.hits(F.col("_low"))), df.columns)
+    # As a generator's output the hits are made once a row: a filter on fit above isn't pushed below with all patterns in it.
+    return t.verdict(low.select("*", F.inline(F.array(F.struct(*t.hits(F.col("_low")))))), df.columns)
 
 
 def classify_groups(df: DataFrame, keys: Sequence[str], text: str, dictionary: Mapping[str, Mapping[str, Sequence[str]]], false_friends: Sequence[str] = (), unambiguous: Sequence[str] = ()) -> DataFrame:
