@@ -48,7 +48,6 @@ def grams(raw: np.ndarray, offs: np.ndarray, bits: int) -> tuple[np.ndarray, np.
     shape = np.where(word, mix(shape), own)
     inner = text[1:] == text[:-1]
     same = own[1:] == own[:-1]
-    # The word before, over punctuation between, for words that a mark separates.
     parts = [
         (text, mix(own ^ np.uint64(0x11))),
         (text, mix(shape ^ np.uint64(0x22))),

@@ -271,7 +271,6 @@ def test_disposal_and_transparency():
 
 def test_interlaced_rows_and_histogram():
     frame = next(iter(media_gif.read_gif(gif_of([(0, 0, 1, 9, [0, 1, 2, 3, 0, 1, 2, 3, 0], 0, None, 0, 1)], (1, 9)))))
-    assert frame.samples[:, 0].tolist() == [0, 3, 3, 0, 2, 1, 0, 2, 1][:0] or sorted(frame.samples[:, 0].tolist()) == [0, 0, 0, 1, 1, 2, 2, 3, 3]
     assert frame.samples[[0, 8, 4, 2, 6, 1, 3, 5, 7], 0].tolist() == [0, 1, 2, 3, 0, 1, 2, 3, 0]
     assert media_gif.histogram(frame.canvas, 2).sum() == 9
 
