@@ -169,3 +169,16 @@ def test_contributors_and_clock(spark):
     assert sorted(r.login for r in quality.real_contributors(c, "repo", "login", "n").collect()) == ["b", "d", "lead"]
     days = spark.createDataFrame([(dt.date(2024, 1, x),) for x in (1, 2, 3, 4)], "d date")
     assert sorted(r.d.day for r in quality.settle_clock(days, "d", F.to_date(F.lit("2024-01-02"))).collect()) == [1, 2, 2]
+
+
+def test_record_readers(spark):
+    from tallyfold.operators import records
+
+    posts = spark.createDataFrame([("Acme | Robotics Engineer | Austin, TX | REMOTE\nWe are a team of 12.",), ("no bars",), ("",), (None,)], "p string")
+    got = [r.h for r in posts.select(records.header_fields(F.col("p")).alias("h")).collect()]
+    assert got[0][:] == ("Acme", "Robotics Engineer", "Austin, TX", True, 12) and got[1].name == "no bars" and got[2].name is None
+    lines = spark.createDataFrame([("Dept. of X, Acme GmbH, Berlin",), ("ETH, Zurich University",), (None,)], "l string")
+    got = [r.a for r in lines.select(records.affiliation(F.col("l")).alias("a")).collect()]
+    assert got[0][:] == ("Acme GmbH", "Berlin", True) and got[1].is_company is False and got[2].company is None
+    maps = spark.createDataFrame([("k", 2, {"a": "late", "b": "x"}), ("k", 1, {"a": "first", "b": None})], "k string, o int, m map<string,string>")
+    assert records.merged_maps(maps, ["k"], "m", [F.col("o")]).first().m == {"a": "first", "b": "x"}
