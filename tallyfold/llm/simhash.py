@@ -26,14 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import near_copies
 from .common import small_batches, unused, written
 from .components import components
 
 BITS = 64
 SHINGLE, DISTANCE, SEED = 3, 3, 42
-#: The distance of `dedup`. Two texts whose sets of five-word shingles have a similarity of 0.8 differ in a twentieth of
-#: their places, which for three-word shingles means a cosine of 0.93 and 7.4 of 64 bits.
-DEDUP_DISTANCE = 7
 #: Fingerprints that are compared with one another at once.
 BUCKET = 1024
 #: Links of a batch that are held before they join their trees.
@@ -253,9 +251,11 @@ def report(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, width: int = SHINGLE, distance: int = DEDUP_DISTANCE) -> DataFrame:
-    """One document of each component: the one with the least id, and of rows that share this id the one whose text comes first."""
-    found = classes(docs, width, distance)
+def dedup(docs: DataFrame, width: int = SHINGLE, distance: int | None = None) -> DataFrame:
+    """One document of each component: the one with the least id, and of rows that share this id the one whose text comes first.
+
+    Components are those of near copies by their texts (`near_copies`); with a distance, those of fingerprints, by bits alone."""
+    found = near_copies.classes(docs) if distance is None else classes(docs, width, distance)
     kept, nth = unused(docs, "kept"), unused(docs, "nth")
     ids = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept)).distinct()
     out = docs.join(ids, F.col("doc_id") == F.col(kept), "left_semi")

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyfold.llm import chat_format, decontaminate, kneser_ney, language, license_scan, linear, media_gif, packing, quality, simhash, toxicity
+from tallyfold.llm import chat_format, decontaminate, kneser_ney, language, license_scan, linear, media_gif, near_copies, packing, quality, simhash, toxicity
 from tallyfold.llm.common import documents, flat
 from tallyfold.llm.components import components
 
@@ -375,6 +375,47 @@ def test_simhash_on_odd_rows(odd, none):
     assert simhash.report(none).count() == 0 and simhash.dedup(none).count() == 0
 
 
+def five_word_sets(text):
+    words = low(text).split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_a_shared_template_is_no_copy(spark):
+    rng = random.Random(5)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for k in range(20):
+        line = own(9)
+        rows += [(2 * k + j, " ".join([line] * 20) + " " + own(100)) for j in (0, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.dedup(table, distance=7).count() < 40
+    assert simhash.dedup(table).count() == 40
+
+
+@pytest.mark.parametrize("few", [near_copies.FEW_PAIRS, 0])
+def test_near_copies_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(near_copies, "FEW_PAIRS", few)
+    rng = random.Random(6)
+    texts = []
+    for family in range(6):
+        origin = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40, 250))]
+        for _ in range(40):
+            words = list(origin)
+            for _ in range(rng.randrange(1 + len(words) // 14)):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    texts += ["a b c", "A  b\nc", "a b c d e", "a b c d", None, "", " "]
+    of = [five_word_sets(x) for x in texts]
+    near = [[j for j, b in enumerate(of) if (len(a & b) >= 0.8 * len(a | b))] for a in of]
+    label = list(range(len(texts)))
+    while (now := [min(label[j] for j in js) for js in near]) != label:
+        label = now
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies.classes(table).collect()} == dict(enumerate(label))
+    assert 20 < len(set(label)) < 200
+    assert {r.doc_id for r in simhash.dedup(table).collect()} == set(label)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
