@@ -4,8 +4,8 @@ For every participant of a conversation the dialogue is rendered with that speak
 and the others as named users; the mask gives the character spans that are trained on.
 
 Conversations come as rows (conv_id, turn, role, text). Long ones are rendered in segments of
-`max_turns` turn numbers, and a segment of more than `max_rows` rows (many texts under one turn number)
-in parts dealt by a hash, so no group that is collected grows with the input.
+`max_turns` turn numbers, and a segment of more than `max_rows` different rows (many texts under one turn number)
+in parts, consecutive runs of `max_rows` rows by turn, role and text, so no group that is collected grows with the input.
 
 Cases: null role is the participant "unknown"; null text is empty; a null turn sorts first, in segment 0;
 a null conv_id is one conversation of its own; repeated rows count once; different rows with one turn
@@ -15,9 +15,11 @@ conversation of system turns alone gives no row; an empty table gives no rows; o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -38,15 +40,27 @@ def segments(conversations: DataFrame, max_turns: int = 64, max_rows: int = 4096
         _escaped(F.coalesce("role", F.lit("unknown"))).alias("role"),
         _escaped(F.coalesce("text", F.lit(""))).alias("text"),
     ).withColumn("segment", F.coalesce(F.floor(F.col("turn") / max_turns), F.lit(0)).cast("long"))
-    crowded = rows.groupBy("conv_id", "segment").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_rows)
-    parts = F.coalesce(F.ceil(F.col("n") / max_rows), F.lit(1)).cast("long")
-    a, b = rows.alias("a"), crowded.alias("b")
-    return (
-        a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.segment") == F.col("b.segment")), "left")
-        .select("a.*", F.pmod(F.xxhash64("a.turn", "a.role", "a.text"), parts).alias("part"))
-        .groupBy("conv_id", "segment", "part")
-        .agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("messages"))
-    )
+    long = lambda df: df.groupBy("conv_id", "segment").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_rows)
+    among = lambda df, some, how: df.alias("a").join(some.alias("b"), F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.segment") == F.col("b.segment")), how)
+    out = rows.withColumn("part", F.lit(0).cast("long"))
+    many = written(long(rows), "many")
+    if not many.isEmpty():
+        different = written(among(rows, many, "left_semi").distinct(), "different")
+        crowded = written(long(different), "crowded")
+        out = among(out, crowded, "left_anti").unionByName(_in_runs(among(different, crowded, "left_semi"), max_rows))
+    return out.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("messages"))
+
+
+def _in_runs(rows: DataFrame, max_rows: int) -> DataFrame:
+    """rows with `part`, the run of max_rows rows of its segment. Rows are numbered within ranges and the ranges counted, so no task sorts a whole segment."""
+    order = ["conv_id", "segment", "turn", "role", "text"]
+    ranged = written(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranged")
+    before = Window.partitionBy("conv_id", "segment").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("conv_id", "segment", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    a = ranged.withColumn("nth", F.row_number().over(Window.partitionBy("conv_id", "segment", "range").orderBy("turn", "role", "text"))).alias("a")
+    b = counts.alias("b")
+    joined = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.segment") == F.col("b.segment")) & (F.col("a.range") == F.col("b.range")))
+    return joined.select(*[F.col(f"a.{c}") for c in rows.columns], F.floor((F.col("before") + F.col("nth") - 1) / max_rows).cast("long").alias("part"))
 
 
 def rotate(conversations: DataFrame, max_turns: int = 64, max_rows: int = 4096) -> DataFrame:

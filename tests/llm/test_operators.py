@@ -595,6 +595,17 @@ def test_long_conversations_are_cut(spark):
     assert sum(r.n_messages for r in got if r.conv_id == 2) == 50 and len({r.part for r in got if r.conv_id == 2}) > 1
 
 
+def test_repeats_do_not_cut_and_parts_are_runs(spark):
+    rows = [(1, t, "ab"[t % 2], f"m{t}") for t in range(8)] * 6 + [(None, t // 3, "a", f"{t:03}") for t in range(100)] + [(2, None, "b", f"{t:03}") for t in range(45)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.rotate(table, max_turns=64, max_rows=20).collect()
+    assert [(r.part, r.n_messages) for r in got if r.conv_id == 1] == [(0, 8)] * 2
+    for conv, n in ((None, 100), (2, 45)):
+        parts = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.part)
+        assert [r.n_messages for r in parts] == [20] * (n // 20) + [n % 20] * (n % 20 > 0)
+        assert re.findall(r"\d{3}", "".join(r.text for r in parts)) == [f"{t:03}" for t in range(n)]
+
+
 def test_main_path_stays_in_the_jvm(spark, sf):
     plan = chat_format.rotate(spark.read.parquet(f"{sf}/conversations.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
