@@ -64,17 +64,18 @@ TAG_SCORE, BASE_SCORE, NOTICE_SCORE = 1.0, 0.8, 0.6
 ACCEPTED = frozenset("mit mit-0 apache-2.0 bsd-2-clause bsd-3-clause isc zlib bsl-1.0 unlicense cc0-1.0 cc-by-4.0 0bsd".split())
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
-_TAG_VALUE = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]{1,512})", re.I)
+_TAG_START = re.compile(rb"spdx-license-identifier:[ \t]*", re.I)
+_LINE_END = re.compile(rb"[\r\n]")
 
 
 def to_postfix(expression: str) -> list[str] | None:
     """Shunting-yard: the longest well-formed expression that `expression` begins with, in postfix order; None if there is none. Identifiers are lower-cased; `+` stays part of them."""
-    best: list[str] | None = None
+    best: tuple[int, list[str]] | None = None
     out: list[str] = []
     ops: list[str] = []
     operand = True
-    for token in _TOKEN.findall(expression):
-        low = token.lower()
+    for match in _TOKEN.finditer(expression):
+        low = match[0].lower()
         if operand:
             if low == "(":
                 ops.append(low)
@@ -95,8 +96,8 @@ def to_postfix(expression: str) -> list[str] | None:
         else:
             break
         if not operand and "(" not in ops:
-            best = out + ops[::-1]
-    return best
+            best = len(out), ops[::-1]
+    return best and out[: best[0]] + best[1]
 
 
 def evaluate(postfix: list[str], accepted: frozenset[str] = None) -> tuple[bool, list[str]]:
@@ -142,8 +143,19 @@ def scan(raw: bytes, auto) -> tuple[int, list[tuple[int, str]], list[str]]:
         at = start
         found.append((word, phrase))
         tagged |= phrase == TAG
-    tags = [m.decode("utf-8", "replace") for m in _TAG_VALUE.findall(raw)] if tagged else []
-    return len(words), found, tags
+    return len(words), found, tag_values(raw) if tagged else []
+
+
+def tag_values(raw: bytes) -> list[str]:
+    """What stands behind each tag, to the end of its line or the next tag."""
+    places = [m.span() for m in _TAG_START.finditer(raw)]
+    out = []
+    for (_, at), (to, _) in zip(places, [*places[1:], (len(raw), 0)], strict=True):
+        end = _LINE_END.search(raw, at, to)
+        value = raw[at : end.start() if end else to]
+        if value:
+            out.append(value.decode("utf-8", "replace"))
+    return out
 
 
 def judged(n_words: int, found: list[tuple[int, str]], tags: list[str]) -> tuple:

@@ -457,6 +457,13 @@ def test_overlapping_phrases_and_tags():
     assert row[5] == "cc-by,cc-by-nc,gpl-2.0-only,mit,reserved" and row[7] is True and row[8] == 1.0
 
 
+def test_tags_are_read_to_the_end_of_their_line():
+    names = [f"licence-{k}" for k in range(20_000)]
+    raw = f"SPDX-License-Identifier: ({' AND '.join(names)})\nnext".encode()
+    assert set(license_scan.judged(*license_scan.scan(raw, license_scan._automaton()))[5].split(",")) == set(names)
+    assert license_scan.tag_values(b"SPDX-License-Identifier: MIT and SPDX-License-Identifier: ISC\r\n spdx-license-identifier:\n") == ["MIT and ", "ISC"]
+
+
 # --- 8: language
 
 
