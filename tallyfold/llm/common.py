@@ -12,8 +12,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task looks at together; one longer text makes a larger buffer of its own.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that a task looks at together, and texts; one longer text makes a larger buffer of its own.
+CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 20_000
 #: Rows that Spark puts in an Arrow batch for the operators here.
 BATCH_ROWS = 400
 
@@ -21,20 +21,42 @@ _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, else the warehouse."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, else the warehouse. On a cluster the warehouse counts only if it isn't a local folder, as that is another one on each machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    return (at or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if not at:
+        at = spark.conf.get("spark.sql.warehouse.dir")
+        if at.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return at.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which `clear` removes."""
+    path = f"{shared_dir(spark)}/tallyfold/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyfold/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes what `written` has left so far. Results that are still to be computed from it are lost, so it is for the end of a job."""
+    jvm = spark.sparkContext._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keeps Arrow batches small, so that a batch of long texts fits a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -59,10 +81,10 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column: str = "text") -> Iterator[pa.Table]:
-    """Batches put together, or cut between rows, so that each has about `limit` bytes of text."""
+def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column: str = "text", most: int = CHUNK_ROWS) -> Iterator[pa.Table]:
+    """Batches put together, or cut between rows, so that each has about `limit` bytes of text and at most about `most` rows (a batch more)."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = n = 0
     for batch in batches:
         at = 0
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -74,9 +96,10 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column:
             if to > at:
                 held.append(batch.slice(at, to - at))
                 size += int(total[to - 1]) - base
-            if to < batch.num_rows or size >= limit:
+                n += to - at
+            if to < batch.num_rows or size >= limit or n >= most:
                 yield pa.Table.from_batches(held)
-                held, size = [], 0
+                held, size, n = [], 0, 0
             at = to
     if held:
         yield pa.Table.from_batches(held)
@@ -125,21 +148,17 @@ def spans(raw: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     return starts, ends, np.searchsorted(starts, offs)
 
 
-class _Powers:
-    """Powers of the hash's multiplier and of its inverse, made once for a process and only as far as needed."""
+#: Bytes that are hashed at once.
+_BLOCK = 1 << 18
+
 
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
 
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 1 << 16)
-            for name, base in (("up", _MULT), ("down", _INV)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(cls, name, np.cumprod(steps, dtype=np.uint64))
-        return cls.up, cls.down
+
+_UP, _DOWN = _powers(_MULT, _BLOCK), _powers(_INV, _BLOCK)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -152,14 +171,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _long_hash(word: np.ndarray) -> np.uint64:
+    total = 0
+    for at in range(0, len(word), _BLOCK):
+        part = word[at : at + _BLOCK].astype(np.uint64) + np.uint64(1)
+        total += int((part * _UP[: len(part)]).sum(dtype=np.uint64)) * pow(_MULT, at, 1 << 64)
+    return np.uint64(total % (1 << 64))
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes: a polynomial over the whole buffer, differences of its prefix sums, scrambled."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _Powers.upto(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit hash of each span's bytes (spans in order of their starts): a polynomial over blocks of the buffer, differences of its prefix sums, scrambled. The memory it takes goes with the spans, not with the buffer."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = int(np.searchsorted(starts, base + _BLOCK))
+        to = at + int(np.searchsorted(np.maximum.accumulate(ends[at:to]), base + _BLOCK, side="right"))
+        if to == at:
+            out[at] = _long_hash(raw[base : int(ends[at])])
+            at += 1
+            continue
+        a, z = starts[at:to] - base, ends[at:to] - base
+        part = raw[base : base + int(z.max())].astype(np.uint64) + np.uint64(1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * _UP[: len(part)], out=sums[1:])
+        out[at:to] = (sums[z] - sums[a]) * _DOWN[a]
+        at = to
+    return mix(out)
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:

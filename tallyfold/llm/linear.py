@@ -1,8 +1,9 @@
 """Hashed logistic regression trained with follow-the-regularised-leader updates, and scored as sparse dot products.
 
-Rows of a bounded sample are dealt by a hash of their id into a few shards; each shard is one task that
-makes passes over its rows, and the shards' weights are averaged. The weights have a fixed size, 2**bits,
-and go to the scoring tasks with their closure."""
+Rows of a bounded sample are dealt by a hash of their id into SHARDS shards; each shard is one task that
+makes passes over its rows' features, and the shards' weights are averaged. The weights have a fixed size, 2**bits,
+and go to the scoring tasks with their closure. A text of more than LONG bytes is counted in pieces that are cut
+at white space, so the memory it takes is its own bytes and the pieces', whatever its length."""
 
 from __future__ import annotations
 
@@ -11,14 +12,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, chunks, flat, mix, pair, small_batches, spans, word_hashes
+from .common import ALNUM, LOWER, NOT_SPACE, chunks, flat, mix, pair, small_batches, spans, word_hashes
 
-#: Makes features: (bytes, offsets of texts, bits) -> text of each feature, its index, and a value for each text that its features are multiplied by.
+#: Makes features: (bytes, offsets of texts, bits) -> text of each feature, its index from 1, and the number of tokens of each text.
 Features = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: Shards whose weights are averaged, whatever the sample's size.
+SHARDS = 4
+#: Bytes of a text from which on it is counted in pieces of about PIECE bytes.
+LONG, PIECE = 4 << 20, 1 << 20
 
 
 @dataclass
@@ -51,66 +56,124 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def examples(raw: np.ndarray, offs: np.ndarray, features: Features, bits: int, binary: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Indices and values of each text; index 0 is the constant."""
-    text, index, scale = features(raw, offs, bits)
-    keys, counts = np.unique(text.astype(np.int64) << bits | index, return_counts=True)
-    cuts = np.searchsorted(keys, np.arange(len(offs)) << bits)
-    out = []
-    for i in range(len(offs) - 1):
-        own = slice(cuts[i], cuts[i + 1])
-        x = np.ones(cuts[i + 1] - cuts[i]) if binary else counts[own].astype(float)
-        out.append((np.append(keys[own] & (1 << bits) - 1, 0), np.append(x * scale[i], 1.0)))
-    return out
+@dataclass(frozen=True)
+class Kind:
+    """How texts become vectors: their features, whether each counts once or as often as it stands, and the sum that a text's token features are scaled to (None: not scaled)."""
 
+    features: Features
+    bits: int = 18
+    binary: bool = False
+    share: float | None = None
+
+    def scale(self, n: np.ndarray) -> np.ndarray:
+        return np.ones(len(n)) if self.share is None else self.share / np.maximum(n, 1)
+
+
+def pieces(raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A long text's pieces, each with the word before it in front, and that word alone."""
+    at, before = 0, 0
+    while at < len(raw):
+        to, reach = min(at + PIECE, len(raw)), PIECE
+        while to < len(raw):
+            space = np.flatnonzero(~NOT_SPACE[raw[to : to + reach]])
+            if len(space):
+                to += int(space[0])
+                break
+            to, reach = min(to + reach, len(raw)), 2 * reach
+        yield raw[before:to], raw[before:at]
+        inside = np.flatnonzero(NOT_SPACE[raw[at:to]])
+        if len(inside):
+            last = at + int(inside[-1])
+            space = np.flatnonzero(~NOT_SPACE[raw[at:last]])
+            before = at + (int(space[-1]) + 1 if len(space) else 0)
+        at = to
+
+
+def long_counts(raw: np.ndarray, kind: Kind) -> tuple[np.ndarray, int]:
+    """How often each index stands in a long text, and its number of tokens."""
+    counts, n = np.zeros(1 << kind.bits, np.int64), 0
+    for piece, before in pieces(raw):
+        for part, sign in ((piece, 1), (before, -1)):
+            _, index, tokens = kind.features(part, np.array([0, len(part)]), kind.bits)
+            counts += sign * np.bincount(index, minlength=len(counts))
+            n += sign * int(tokens[0])
+    return counts, n
+
+
+def examples(raw: np.ndarray, offs: np.ndarray, kind: Kind) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Indices and values of each text; index 0 is the constant."""
+    if len(raw) > LONG and len(offs) > 2:
+        return [e for a, b in zip(offs[:-1], offs[1:], strict=True) for e in examples(raw[a:b], np.array([0, b - a]), kind)]
+    if len(raw) > LONG:
+        dense, n = long_counts(raw, kind)
+        found = [(np.flatnonzero(dense), dense[dense > 0])]
+        scale = kind.scale(np.array([n]))
+    else:
+        text, index, n = kind.features(raw, offs, kind.bits)
+        keys, counts = np.unique(text.astype(np.int64) << kind.bits | index, return_counts=True)
+        cuts = np.searchsorted(keys, np.arange(len(offs)) << kind.bits)
+        found = [(keys[a:b] & (1 << kind.bits) - 1, counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        scale = kind.scale(n)
+    return [(np.append(at, 0), np.append((np.ones(len(c)) if kind.binary else c.astype(float)) * s, 1.0)) for (at, c), s in zip(found, scale, strict=True)]
+
+
+def fit(rows: DataFrame, kind: Kind, l1: float = 1.0, **params) -> np.ndarray:
+    """Weights learned from rows (doc_id, text, y), which must be a bounded sample: the mean of the weights of SHARDS shards; zeros for no rows. `l1` is the penalty at a thousand rows a shard, and goes with a shard's rows.
+
+    Texts become sparse vectors where they lie; only those are dealt to the shards."""
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("double").alias("y"), F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(SHARDS)).alias("shard"))
+    small_batches(rows.sparkSession)
 
-def fit(rows: DataFrame, features: Features, shards: int = 6, binary: bool = False, bits: int = 18, l1: float = 1.0, **params) -> np.ndarray:
-    """Weights learned from rows (doc_id, text, y), which must be a bounded sample: the mean of the weights of up to `shards` shards of a thousand rows or more; zeros for no rows. `l1` is the penalty at a thousand rows a shard, and goes with a shard's rows."""
-    shards = max(1, min(shards, rows.count() // 1000))
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(batches):
+            made = examples(*flat(table.column("text")), kind)
+            at = pa.array([a.astype("<i4").tobytes() for a, _ in made], pa.binary())
+            x = pa.array([x.tobytes() for _, x in made], pa.binary())
+            yield from table.drop_columns(["text"]).append_column("at", at).append_column("x", x).combine_chunks().to_batches()
 
     def one(table: pa.Table) -> pa.Table:
-        # In order of ids, so that a task that runs again learns the same.
-        table = table.sort_by([("doc_id", "ascending"), ("y", "ascending")])
+        # In order of ids and rows, so that a task that runs again learns the same.
+        table = table.sort_by([("doc_id", "ascending"), ("y", "ascending"), ("at", "ascending"), ("x", "ascending")])
         y = table.column("y").to_numpy()
-        data = []
-        for chunk in chunks(iter(table.to_batches())):
-            data += examples(*flat(chunk.column("text")), features, bits, binary)
-        model = Ftrl(bits=bits, l1=l1 * len(data) / 1000, **params)
+        data = [(np.frombuffer(a, "<i4"), np.frombuffer(x)) for a, x in zip(table.column("at").to_pylist(), table.column("x").to_pylist(), strict=True)]
+        model = Ftrl(bits=kind.bits, l1=l1 * len(data) / 1000, **params)
         dealt = np.random.default_rng(7)
         for _ in range(model.epochs):
             for i in dealt.permutation(len(data)):
                 model.update(*data[i], y[i])
         return pa.table({"n": [len(data)], "w": [model.weights().astype(np.float32).tobytes()]})
 
-    dealt = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("double").alias("y"), F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)).alias("shard"))
-    found = dealt.groupBy("shard").applyInArrow(one, "n long, w binary").collect()
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "text"]).add("at", "binary").add("x", "binary")
+    # SHARDS rows of 2**bits weights.
+    found = rows.mapInArrow(vectors, schema).groupBy("shard").applyInArrow(one, "n long, w binary").collect()
     total = sum(r["n"] for r in found)
-    mean = np.zeros(1 << bits)
+    mean = np.zeros(1 << kind.bits)
     for r in sorted(found, key=lambda r: r["w"]):
         mean += np.frombuffer(r["w"], np.float32) * (r["n"] / total)
     return mean.astype(np.float32)
 
 
-def dot(raw: np.ndarray, offs: np.ndarray, features: Features, weights: np.ndarray, binary: bool) -> np.ndarray:
+def dot(raw: np.ndarray, offs: np.ndarray, kind: Kind, weights: np.ndarray) -> np.ndarray:
     """The linear score of each text."""
-    bits = len(weights).bit_length() - 1
-    text, index, scale = features(raw, offs, bits)
+    if len(raw) > LONG:
+        return np.array([float(weights[at].astype(float) @ x) for at, x in examples(raw, offs, kind)])
+    text, index, n = kind.features(raw, offs, kind.bits)
     w = weights[index]
     text, index, w = text[w != 0], index[w != 0], w[w != 0]
-    if binary:
-        _, first = np.unique(text.astype(np.int64) << bits | index, return_index=True)
+    if kind.binary:
+        _, first = np.unique(text.astype(np.int64) << kind.bits | index, return_index=True)
         text, w = text[first], w[first]
-    return np.bincount(text, weights=w, minlength=len(offs) - 1) * scale + float(weights[0])
+    return np.bincount(text, weights=w, minlength=len(offs) - 1) * kind.scale(n) + float(weights[0])
 
 
-def score(docs: DataFrame, features: Features, weights: np.ndarray, binary: bool = False, name: str = "score") -> DataFrame:
+def score(docs: DataFrame, kind: Kind, weights: np.ndarray, name: str = "score") -> DataFrame:
     """docs (any columns, with text) and their score, 0 to 1. One pass, no shuffle. A column of that name is replaced."""
     docs = docs.drop(name)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in chunks(batches):
-            z = dot(*flat(table.column("text")), features, weights, binary)
+            z = dot(*flat(table.column("text")), kind, weights)
             out = table.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
             yield from out.combine_chunks().to_batches()
 
@@ -118,17 +181,28 @@ def score(docs: DataFrame, features: Features, weights: np.ndarray, binary: bool
     return docs.mapInArrow(run, schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, keep, most: int) -> DataFrame:
-    """(doc_id, text, y): at most `most` labelled documents of those that `keep` (a Column over doc_id) lets through, those whose hashed ids come first. Null labels and ids don't count."""
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids, which must be a bounded table, with `text`: of documents that share an id the text that comes first, so that no id brings more than a row."""
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy(*ids.columns).agg(F.min("text").alias("text"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most: int) -> DataFrame:
+    """(doc_id, text, y): at most `most` labels of those that `keep` (over doc_id) lets through, those whose hashed ids come first. Null labels and ids don't count; repeated ones count once."""
     ids = (
         labels.select("doc_id", F.col(label).cast("double").alias("y"))
         .filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull())
         .filter(keep)
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
         .limit(most)
     )
-    # At most `most` rows of two numbers: small enough to send to every task.
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return _texts_of(docs, ids).select("doc_id", "text", "y")
+
+
+def unlabelled(docs: DataFrame, keep: Column, most: int) -> DataFrame:
+    """(doc_id, text, y) of at most `most` documents, whatever their labels, those whose hashed ids come first; y is null."""
+    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).filter(keep).orderBy(F.xxhash64(F.lit("any"), "doc_id"), "doc_id").limit(most).distinct()
+    return _texts_of(docs, ids).select("doc_id", "text", F.lit(None).cast("double").alias("y"))
 
 
 def sketches(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:

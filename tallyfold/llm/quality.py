@@ -4,8 +4,9 @@ A text is read as two streams of tokens, the words as they are and their shapes
 or the punctuation itself); features are the hashed one- and two-token grams of both, a repeated token
 standing as "same". A feature's value is its share of the text's tokens.
 
-Cases: null and empty texts have the constant feature only; a null label is left out; repeated label rows each
-count as one example; with no labels at all every score is 0.5; other columns pass through.
+Cases: null and empty texts have the constant feature only; a null label is left out; repeated label rows
+count once, and of documents that share an id the text that comes first is learned from; with no labels at all
+every score is 0.5 and `keep_good` keeps all; other columns pass through.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from .common import ALNUM, LOWER, NOT_SPACE, fold, mix, pair, spans, unused, wor
 
 #: At most so many labelled documents are learned from.
 MOST_LABELLED = 12_000
-_CAPS = np.zeros(256, np.int64)
+_CAPS = np.zeros(256, np.int32)
 _CAPS[65:91] = 1
-_LOWER_CASE = np.zeros(256, np.int64)
+_LOWER_CASE = np.zeros(256, np.int32)
 _LOWER_CASE[97:123] = 1
 
 
@@ -40,7 +41,7 @@ def grams(raw: np.ndarray, offs: np.ndarray, bits: int) -> tuple[np.ndarray, np.
     starts, ends, word, text = tokens(raw, offs)
     n = np.bincount(text, minlength=len(offs) - 1)
     own = word_hashes(LOWER[raw], starts, ends)
-    caps, low = np.zeros(len(raw) + 1, np.int64), np.zeros(len(raw) + 1, np.int64)
+    caps, low = np.zeros(len(raw) + 1, np.int32), np.zeros(len(raw) + 1, np.int32)
     np.cumsum(_CAPS[raw], out=caps[1:])
     np.cumsum(_LOWER_CASE[raw], out=low[1:])
     n_caps, n_low = caps[ends] - caps[starts], low[ends] - low[starts]
@@ -56,18 +57,21 @@ def grams(raw: np.ndarray, offs: np.ndarray, bits: int) -> tuple[np.ndarray, np.
     ]
     where = np.concatenate([t for t, _ in parts])
     index = (mix(np.concatenate([h for _, h in parts])) & np.uint64((1 << bits) - 1)).astype(np.int64)
-    return where, np.maximum(index, 1), 4.0 / np.maximum(n, 1)
+    return where, np.maximum(index, 1), n
 
 
-def train(docs: DataFrame, labels: DataFrame, keep=None, most: int = MOST_LABELLED, bits: int = 18) -> np.ndarray:
+KIND = linear.Kind(grams, share=4.0)
+
+
+def train(docs: DataFrame, labels: DataFrame, keep=None, most: int = MOST_LABELLED) -> np.ndarray:
     """Weights learned from at most `most` labelled documents; `keep` is a condition on doc_id."""
     rows = linear.labelled(docs, labels, "quality", F.lit(True) if keep is None else keep, most)
-    return linear.fit(rows, grams, bits=bits, alpha=1.0, l1=0.05)
+    return linear.fit(rows, KIND, alpha=1.0, l1=0.05)
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """docs and the probability that label 1 (good) holds, as `score`."""
-    return linear.score(docs, grams, weights)
+    return linear.score(docs, KIND, weights)
 
 
 def held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -79,4 +83,4 @@ def held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that the classifier doesn't reject, their columns as they are."""
     name = unused(docs, "quality_score")
-    return linear.score(docs, grams, train(docs, labels), name=name).filter(F.col(name) >= threshold).drop(name)
+    return linear.score(docs, KIND, train(docs, labels), name=name).filter(F.col(name) >= threshold).drop(name)
