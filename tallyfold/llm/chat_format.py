@@ -1,15 +1,15 @@
 """Chat formatting: multi-party perspective rotation, DataFrame functions only.
 
-For every participant of a conversation the dialogue is rendered with that speaker as the assistant
+For every participant of a conversation the whole dialogue is rendered with that speaker as the assistant
 and the others as named users; the mask gives the character spans that are trained on.
 
-Conversations come as rows (conv_id, turn, role, text). Long ones are rendered in segments of
-`max_turns` turn numbers, and a segment of more than `max_rows` different rows (many texts under one turn number)
-in parts, consecutive runs of `max_rows` rows by turn, role and text, so no group that is collected grows with the input.
+Conversations come as rows (conv_id, turn, role, text), in order of turn, role and text. Only a conversation of more than
+`max_rows` rows, which no task could hold at some size, is rendered in parts, consecutive runs of `max_rows` rows.
 
-Cases: null role is the participant "unknown"; null text is empty; a null turn sorts first, in segment 0;
-a null conv_id is one conversation of its own; repeated rows count once; different rows with one turn
-stand in order of role, then text; "system" is never a participant, but stays in every rendering, and a
+Cases: null role is the participant "unknown"; null text is empty; a null turn sorts first;
+a null conv_id is one conversation of its own; repeated rows stand as often as they do in the table; control characters
+in a role are one space, so that no role makes a line, and "<|" is broken up in roles and texts, so that neither makes a turn;
+"system" is never a participant, but stays in every rendering, and a
 conversation of system turns alone gives no row; an empty table gives no rows; other columns are ignored.
 """
 
@@ -32,44 +32,44 @@ def _escaped(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
-def segments(conversations: DataFrame, max_turns: int = 64, max_rows: int = 4096) -> DataFrame:
-    """(conv_id, segment, part, messages): the sorted distinct messages of each segment of a conversation."""
-    rows = conversations.select(
-        "conv_id",
-        F.col("turn").cast("long").alias("turn"),
-        _escaped(F.coalesce("role", F.lit("unknown"))).alias("role"),
-        _escaped(F.coalesce("text", F.lit(""))).alias("text"),
-    ).withColumn("segment", F.coalesce(F.floor(F.col("turn") / max_turns), F.lit(0)).cast("long"))
-    long = lambda df: df.groupBy("conv_id", "segment").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_rows)
-    among = lambda df, some, how: df.alias("a").join(some.alias("b"), F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.segment") == F.col("b.segment")), how)
+def _role(role: Column) -> Column:
+    return _escaped(F.regexp_replace(F.coalesce(role, F.lit("unknown")), r"[\x00-\x1F\x7F]+", " "))
+
+
+def dialogues(conversations: DataFrame, max_rows: int = 4096) -> DataFrame:
+    """(conv_id, part, messages): the sorted messages of each part of a conversation. Equal rows travel once, with their number."""
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), _role(F.col("role")).alias("role"), _escaped(F.coalesce("text", F.lit(""))).alias("text"))
+    # A table of its own: sizes are counted on it, and its joins stand on plain shuffles, whose hot keys can be split.
+    rows = written(rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies")), "messages")
+    long = written(rows.groupBy("conv_id").agg(F.sum("copies").alias("n")).filter(F.col("n") > max_rows).select(F.col("conv_id").alias("long_id")), "long")
     out = rows.withColumn("part", F.lit(0).cast("long"))
-    many = written(long(rows), "many")
-    if not many.isEmpty():
-        different = written(among(rows, many, "left_semi").distinct(), "different")
-        crowded = written(long(different), "crowded")
-        out = among(out, crowded, "left_anti").unionByName(_in_runs(among(different, crowded, "left_semi"), max_rows))
-    return out.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("messages"))
+    if not long.isEmpty():
+        among = F.col("conv_id").eqNullSafe(F.col("long_id"))
+        out = out.join(long, among, "left_anti").unionByName(_in_runs(rows.join(long, among, "left_semi"), max_rows))
+    # In order of turn, role and text, as the struct has them; equal messages next to one another.
+    gathered = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "copies")))
+    repeated = F.transform(gathered, lambda x: F.array_repeat(F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["text"].alias("text")), x["copies"].cast("int")))
+    return out.groupBy("conv_id", "part").agg(F.flatten(repeated).alias("messages"))
 
 
 def _in_runs(rows: DataFrame, max_rows: int) -> DataFrame:
-    """rows with `part`, the run of max_rows rows of its segment. Rows are numbered within ranges and the ranges counted, so no task sorts a whole segment."""
-    order = ["conv_id", "segment", "turn", "role", "text"]
+    """rows with `part`, the run of max_rows rows of its conversation, a row of many copies in as many parts as it reaches over. Rows are summed within ranges and the ranges added up, so no task sorts a whole conversation."""
+    order = ["conv_id", "turn", "role", "text"]
     ranged = written(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranged")
-    before = Window.partitionBy("conv_id", "segment").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("conv_id", "segment", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    a = ranged.withColumn("nth", F.row_number().over(Window.partitionBy("conv_id", "segment", "range").orderBy("turn", "role", "text"))).alias("a")
-    b = counts.alias("b")
-    joined = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.segment") == F.col("b.segment")) & (F.col("a.range") == F.col("b.range")))
-    return joined.select(*[F.col(f"a.{c}") for c in rows.columns], F.floor((F.col("before") + F.col("nth") - 1) / max_rows).cast("long").alias("part"))
-
-
-def rotate(conversations: DataFrame, max_turns: int = 64, max_rows: int = 4096) -> DataFrame:
-    """One row per conversation segment and participant: conv_id, segment, part, perspective, n_messages, n_trained, n_chars, trained_chars, mask (spans "start-end", comma-joined), text."""
-    people = (
-        conversations.select(F.col("conv_id").alias("of"), _escaped(F.coalesce("role", F.lit("unknown"))).alias("perspective"))
-        .filter(F.col("perspective") != "system")
-        .distinct()
-    )
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("conv_id", "range").agg(F.sum("copies").alias("n"))
+    sums = sums.select(F.col("conv_id").alias("of"), F.col("range").alias("of_range"), F.coalesce(F.sum("n").over(earlier.partitionBy("conv_id").orderBy("range")), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("copies").over(earlier.partitionBy("conv_id", "range").orderBy("turn", "role", "text")), F.lit(0))
+    placed = ranged.withColumn("within", within).join(sums, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("range") == F.col("of_range"))).withColumn("at", F.col("base") + F.col("within"))
+    last = F.col("at") + F.col("copies")
+    parts = placed.withColumn("last", last).withColumn("part", F.explode(F.sequence(F.floor(F.col("at") / max_rows), F.floor((last - 1) / max_rows))))
+    own = F.least(F.col("last"), (F.col("part") + 1) * max_rows) - F.greatest(F.col("at"), F.col("part") * max_rows)
+    return parts.select(*order, own.cast("long").alias("copies"), F.col("part").cast("long").alias("part"))
+
+
+def rotate(conversations: DataFrame, max_rows: int = 4096) -> DataFrame:
+    """One row per conversation (part) and participant: conv_id, part, perspective, n_messages, n_trained, n_chars, trained_chars, mask (spans "start-end", comma-joined), text."""
+    people = conversations.select(F.col("conv_id").alias("of"), _role(F.col("role")).alias("perspective")).filter(F.col("perspective") != "system").distinct()
     m, p = F.col("messages"), F.col("perspective")
     body = lambda x: F.concat(x["text"], F.lit(CLOSE))
     head = lambda x: F.concat(F.lit(OPEN), _header(x["role"], p), F.lit("\n"))
@@ -81,11 +81,11 @@ def rotate(conversations: DataFrame, max_turns: int = 64, max_rows: int = 4096)
     )
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("mask"), F.lit(0).alias("trained"))
     return (
-        segments(conversations, max_turns, max_rows)
+        dialogues(conversations, max_rows)
         .join(people, F.col("conv_id").eqNullSafe(F.col("of")))
         .withColumn("walk", F.aggregate(pieces, zero, step))
         .select(
-            "conv_id", "segment", "part", "perspective",
+            "conv_id", "part", "perspective",
             F.size(m).cast("long").alias("n_messages"),
             F.size(F.filter(m, lambda x: x["role"] == p)).cast("long").alias("n_trained"),
             F.col("walk.at").cast("long").alias("n_chars"),
@@ -96,32 +96,34 @@ def rotate(conversations: DataFrame, max_turns: int = 64, max_rows: int = 4096)
     )
 
 
-#: rotate() with its defaults, for conversations whose segments fit one part.
-ROTATE_SQL = """
+#: rotate() with its defaults.
+ROTATE_SQL = r"""
 WITH rows_ AS (
-  SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn,
-    replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
-    CAST(coalesce(floor(turn / 64.0), 0) AS BIGINT) AS segment
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn,
+    replace(regexp_replace(coalesce(role, 'unknown'), '[\x00-\x1F\x7F]+', ' ', 'g'), '<|', '< |') AS role,
+    replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS nth FROM rows_),
 people AS (SELECT DISTINCT conv_id AS of_, role AS perspective FROM rows_ WHERE role <> 'system'),
 pieces AS (
-  SELECT r.*, p.perspective, r.role = p.perspective AS t,
-    '<|im_start|>' || CASE WHEN r.role = p.perspective THEN 'assistant' WHEN r.role = 'system' THEN r.role
-      ELSE 'user name=' || r.role END || chr(10) AS head,
-    r.text || '<|im_end|>' AS body
-  FROM rows_ r JOIN people p ON r.conv_id IS NOT DISTINCT FROM p.of_),
+  SELECT n.*, CAST(nth // 4096 AS BIGINT) AS part, p.perspective, n.role = p.perspective AS t,
+    '<|im_start|>' || CASE WHEN n.role = p.perspective THEN 'assistant' WHEN n.role = 'system' THEN n.role
+      ELSE 'user name=' || n.role END || chr(10) AS head,
+    n.text || '<|im_end|>' AS body
+  FROM numbered n JOIN people p ON n.conv_id IS NOT DISTINCT FROM p.of_),
 placed AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
-      PARTITION BY conv_id, segment, perspective ORDER BY turn NULLS FIRST, role, text
+      PARTITION BY conv_id, part, perspective ORDER BY nth
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_
   FROM pieces)
-SELECT conv_id, segment, CAST(0 AS BIGINT) AS part, perspective,
+SELECT conv_id, part, perspective,
   CAST(count(*) AS BIGINT) AS n_messages,
   CAST(count(*) FILTER (WHERE t) AS BIGINT) AS n_trained,
   CAST(sum(length(head) + length(body) + 1) AS BIGINT) AS n_chars,
   CAST(coalesce(sum(length(body)) FILTER (WHERE t), 0) AS BIGINT) AS trained_chars,
   coalesce(string_agg(CAST(at_ + length(head) AS BIGINT) || '-' || CAST(at_ + length(head) + length(body) AS BIGINT), ','
-    ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE t), '') AS mask,
-  string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text
-FROM placed GROUP BY conv_id, segment, perspective
+    ORDER BY nth) FILTER (WHERE t), '') AS mask,
+  string_agg(head || body || chr(10), '' ORDER BY nth) AS text
+FROM placed GROUP BY conv_id, part, perspective
 """
