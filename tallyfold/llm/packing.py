@@ -39,14 +39,15 @@ class Encoder:
     # Fixed value: the splitting rule of byte-level vocabularies.
     RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = True) -> None:
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
+        self.special = [] if special_as_text else [t["content"] for t in said.get("added_tokens", [])]
         before = said.get("pre_tokenizer") or {}
         self.by_words = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not said.get("normalizer")
         self.words = regex.compile(self.RULE).findall
@@ -63,7 +64,7 @@ class Encoder:
                 known[w] = np.array([t.id for t in tokenize(w.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self.by_words:
+        if not self.by_words or any(x in text for x in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = self.words(text)
         try:
@@ -76,8 +77,8 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder_of(path: str) -> Encoder:
-    return Encoder(path)
+def encoder_of(path: str, special_as_text: bool = True) -> Encoder:
+    return Encoder(path, special_as_text)
 
 
 def public_path(name: str = "byte_bpe_50k.json") -> str:
@@ -92,7 +93,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *[(s, capacity) for s in range(first, n, capacity)]]
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, special_as_text: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece, with task and its number among the task's pieces of its length, and on request its ids as bytes."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "number", *["ids"] * keep_ids]
     docs = docs.select("doc_id", "text")
@@ -100,7 +101,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder_of(vocabulary or public_path()).encode
+        encode = encoder_of(vocabulary or public_path(), special_as_text).encode
         task = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
@@ -183,9 +184,11 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> tup
     return np.array(runs, np.int64).reshape(-1, 5), sequences
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece (and its ids on request). The pieces are written once to the shared folder."""
-    cut_up = written(pieces(docs, vocabulary, capacity, keep_ids), "pieces")
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, special_as_text: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece (and its ids on request). The pieces are written once to the shared folder.
+
+    A special token's string in a text is text, as the public vocabularies' own notes have it, so that no text can end a document; without `special_as_text` it is the token."""
+    cut_up = written(pieces(docs, vocabulary, capacity, keep_ids, special_as_text), "pieces")
     by_task = cut_up.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     # At most `capacity` rows.
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
