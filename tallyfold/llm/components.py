@@ -5,6 +5,7 @@ whose hot keys adaptive execution splits. Each round is written to the shared fo
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,17 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = now
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def joined(label: np.ndarray, links_: np.ndarray) -> np.ndarray:
+    """Labels (each the least place of its tree) after links between places join their trees."""
+    while True:
+        a, b = label[links_[0]], label[links_[1]]
+        apart = a != b
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]

@@ -10,9 +10,9 @@ bits it leaves free (within distance d one of d + 1 pieces agrees), until its gr
 gathered and no group is compared pair by pair beyond BUCKET; a group reports a tree of its links, no pairs.
 
 Cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows and equal texts
-share a fingerprint; rows with a null id take part, but no component is named after them, and of those in
-components without an id `dedup` keeps one for each text; an empty table gives
-no rows; `dedup` keeps other columns as they are.
+share a fingerprint; rows with a null id take part, but no component is named after them; different texts under one
+id are documents of their own; an empty table gives no rows; `dedup` keeps one row of every component, whatever ids its rows
+have, and its columns as they are.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near_copies
-from .common import small_batches, unused, written
-from .components import components
+from .common import chunks, small_batches, unused, written
+from .components import components, joined
 
 BITS = 64
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -151,20 +151,6 @@ def refined(mask: int, pieces: int) -> list[int]:
     return [mask | sum(1 << b for b in free[k::pieces]) for k in range(min(pieces, len(free)))]
 
 
-def _joined(label: np.ndarray, links_: np.ndarray) -> np.ndarray:
-    """Labels (each the least place of its tree) after links between places join their trees."""
-    while True:
-        a, b = label[links_[0]], label[links_[1]]
-        apart = a != b
-        if not apart.any():
-            return label
-        a, b = a[apart], b[apart]
-        label = label.copy()
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while (label[label] != label).any():
-            label = label[label]
-
-
 def trees(groups: list[np.ndarray], distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each group of fingerprints the links of a forest that joins what links within the distance join: (fingerprint, the least of its tree)."""
     fp = np.concatenate(groups)
@@ -181,16 +167,18 @@ def trees(groups: list[np.ndarray], distance: int) -> tuple[np.ndarray, np.ndarr
         held.append(np.stack([near, near + d]))
         size_held += len(near)
         if size_held > LINKS_HELD:
-            label = _joined(label, np.concatenate(held, axis=1))
+            label = joined(label, np.concatenate(held, axis=1))
             held, size_held = [], 0
     if held:
-        label = _joined(label, np.concatenate(held, axis=1))
+        label = joined(label, np.concatenate(held, axis=1))
     moved = label != np.arange(len(fp))
     return fp[moved], fp[label[moved]]
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links between distinct fingerprints `fp` within the distance, as trees that join all that such links join."""
+    """(a, b): links between distinct fingerprints `fp` within the distance, as trees that join all that such links join. A bucket holds 2**distance or more, so that refined keys have pieces left to agree on."""
+    if bucket < 1 << distance:
+        raise ValueError(f"a bucket of {bucket} is too small for a distance of {distance}")
     spark = nodes.sparkSession
     n = nodes.count()
     picked = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
@@ -232,15 +220,15 @@ def links(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> D
 
 
 def classes(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id) of each row: its fingerprint, and the least doc_id that links reach."""
+    """(doc_id, fp, root, component_id) of each row: its fingerprint, the least fingerprint and the least doc_id that links reach."""
     own = written(fingerprints(docs, width), "fingerprints")
     nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes, distance))
     named = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
     # Written, so that the joins stand on plain shuffles: a root that many fingerprints have can then be split.
     least = written(named.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    of = written(named.join(least, "root").select("fp", "component_id"), "classes")
-    return own.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = written(named.join(least, "root").select("fp", "root", "component_id"), "classes")
+    return own.join(of, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -255,17 +243,33 @@ def dedup(docs: DataFrame, width: int = SHINGLE, distance: int | None = None) ->
     """One document of each component: the one with the least id, and of rows that share this id the one whose text comes first.
 
     Components are those of near copies by their texts (`near_copies`); with a distance, those of fingerprints, by bits alone."""
-    found = near_copies.classes(docs) if distance is None else classes(docs, width, distance)
-    kept, nth = unused(docs, "kept"), unused(docs, "nth")
-    ids = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept)).distinct()
-    out = docs.join(ids, F.col("doc_id") == F.col(kept), "left_semi")
-    shared = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    if not shared.isEmpty():
-        first = Window.partitionBy("doc_id").orderBy("text")
-        out = out.withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).drop(nth)
-    if found.filter(F.col("component_id").isNull()).isEmpty():
-        return out
-    # Components without an id: which texts they have is asked anew, of rows without an id alone.
-    lost = docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    named = docs.filter(F.col("doc_id").isNotNull()).select("text")
-    return out.unionByName(lost.join(named, "text", "left_anti").select(*docs.columns))
+    found = written(near_copies.classes(docs) if distance is None else classes(docs, width, distance).withColumnRenamed("fp", "node"), "found")
+    # Of each component the row with the least id, a null id last, and its node.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    kept = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.node").alias("kept_node"))
+    kept = written(kept, "kept")
+    # Ids that say which row is meant, and the others: ids of several rows, and rows without one.
+    many = written(found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(F.col("doc_id").alias("many_id")), "many")
+    sure = kept.filter(F.col("kept_id").isNotNull()).join(many, F.col("kept_id") == F.col("many_id"), "left_anti")
+    out = docs.join(sure, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    rest = docs.filter(F.col("doc_id").isNull()).unionByName(docs.join(many, F.col("doc_id") == F.col("many_id"), "left_semi"))
+    # Their nodes are told anew from their texts; equal rows by id and node are one.
+    node, row = unused(docs, "node"), unused(docs, "row")
+    known = with_node(rest, node, None if distance is None else width)
+    once = known.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(node) == F.col("kept_node")), "left_semi")
+    # The text alone decides; rows that share id and text may be any of them.
+    first = once.groupBy("doc_id", node).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias(row))
+    return out.unionByName(first.select(f"{row}.*"))
+
+
+def with_node(docs: DataFrame, name: str, width: int | None) -> DataFrame:
+    """docs and the node of each row: its set's, or with a width its fingerprint."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(batches):
+            column = table.column("text")
+            nodes = near_copies.nodes_of(column) if width is None else np.array([fingerprint(x, width) for x in column.to_pylist()], np.uint64)
+            yield from table.append_column(name, pa.array(nodes.view(np.int64))).combine_chunks().to_batches()
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))

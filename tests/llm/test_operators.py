@@ -52,14 +52,63 @@ def test_ftrl_learns_a_sparse_rule():
     assert min(w[7], w[9]) > 1 and np.abs(np.delete(w, [7, 9])).max() < min(w[7], w[9])
 
 
-def test_dot_is_the_sum_over_distinct_or_counted_features():
-    texts = ["a b a", None, "!! B ###", ""]
+KINDS = (quality.KIND, toxicity.KIND)
+
+
+def test_dot_is_the_sum_over_distinct_or_counted_features(monkeypatch):
+    texts = ["a b a", None, "!! B ###", "", "Ab, ab; xyzxyz " * 40 + "  \n end"]
     raw, offs = flat(pa.array(texts, pa.string()))
-    w = np.random.default_rng(0).normal(size=1 << 10).astype(np.float32)
-    for features, binary in ((quality.grams, False), (toxicity.features, True)):
-        examples = linear.examples(raw, offs, features, 10, binary)
-        slow = [float(w[at].astype(float) @ x) for at, x in examples]
-        assert np.allclose(linear.dot(raw, offs, features, w, binary), slow)
+    for kind in KINDS:
+        w = np.random.default_rng(0).normal(size=1 << kind.bits).astype(np.float32)
+        slow = [float(w[at].astype(float) @ x) for at, x in linear.examples(raw, offs, kind)]
+        assert np.allclose(linear.dot(raw, offs, kind, w), slow)
+        # Long texts in pieces are the same texts.
+        for piece in (1, 9, 100):
+            monkeypatch.setattr(linear, "LONG", 2)
+            monkeypatch.setattr(linear, "PIECE", piece)
+            pieces = [x for i in range(len(texts)) for x in linear.examples(raw[offs[i] : offs[i + 1]], np.array([0, offs[i + 1] - offs[i]]), kind)]
+            monkeypatch.undo()
+            for (at, x), (at2, x2) in zip(linear.examples(raw, offs, kind), pieces, strict=True):
+                assert at.tolist() == at2.tolist() and np.allclose(x, x2)
+
+
+def naive_weights(rows, kind, l1, alpha, epochs):
+    """Shards, passes and coordinates one by one, weights in a dictionary."""
+    total, mean = 0, defaultdict(float)
+    shards = defaultdict(list)
+    for doc_id, text, y, shard in rows:
+        (at, x), = linear.examples(*flat(pa.array([text])), kind)
+        shards[shard].append((doc_id, y, dict(zip(at.tolist(), x.tolist(), strict=True))))
+    for data in shards.values():
+        data.sort(key=lambda r: r[0])
+        z, n = defaultdict(float), defaultdict(float)
+        penalty = l1 * len(data) / 1000
+        w = lambda k: 0.0 if abs(z[k]) <= penalty else (math.copysign(penalty, z[k]) - z[k]) / ((1 + math.sqrt(n[k])) / alpha + 1e-3)  # noqa: E731, B023
+        dealt = np.random.default_rng(7)
+        for _ in range(epochs):
+            for i in dealt.permutation(len(data)):
+                _, y, x = data[i]
+                now = {k: w(k) for k in x}
+                p = 1 / (1 + math.exp(-max(-30, min(30, sum(now[k] * v for k, v in x.items())))))
+                for k, v in x.items():
+                    g = (p - y) * v
+                    z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * now[k]
+                    n[k] += g * g
+        for k in list(z):
+            mean[k] += w(k) * len(data)
+        total += len(data)
+    return {k: v / total for k, v in mean.items() if v}
+
+
+def test_weights_against_naive_updates(spark, docs):
+    from pyspark.sql import functions as F
+
+    rows = docs.filter("text IS NOT NULL").select("doc_id", "text", (F.col("doc_id") % 3 == 0).cast("double").alias("y"))
+    for kind, l1, epochs in ((quality.KIND, 0.05, 3), (toxicity.KIND, 4.0, 4)):
+        want = naive_weights([tuple(r) for r in rows.withColumn("s", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(linear.SHARDS))).collect()], kind, l1, 1.0, epochs)
+        got = linear.fit(rows, kind, l1=l1, alpha=1.0, epochs=epochs)
+        assert set(np.flatnonzero(got).tolist()) <= set(want) and want
+        assert np.allclose(got[list(want)], list(want.values()), rtol=1e-4, atol=1e-6)
 
 
 def test_quality_on_held_out_rows(spark, sf):
@@ -78,21 +127,77 @@ def test_toxicity_label_model_and_classifier(spark):
     assert sum(r.predicted for r in got if r.toxic) >= 0.75 * sum(r.toxic for r in got)
 
 
-def test_label_model_finds_accuracies_and_correlations():
+def some_votes(n=4000):
     rng = np.random.default_rng(3)
-    y = rng.random(4000) < 0.2
-    votes = np.zeros((4000, 5), np.int8)
+    y = rng.random(n) < 0.2
+    votes = np.zeros((n, 5), np.int8)
     for j, (hit, false) in enumerate([(0.7, 0.01), (0.6, 0.02), (0.5, 0.01), (0.5, 0.01)]):
-        votes[:, j] = rng.random(4000) < np.where(y, hit, false)
+        votes[:, j] = rng.random(n) < np.where(y, hit, false)
     votes[:, 4] = votes[:, 3]  # a copy of a voter
+    return y, votes
+
+
+def test_label_model_finds_accuracies_and_correlations():
+    y, votes = some_votes()
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
     model = toxicity.LabelModel.fit(patterns, counts.astype(float))
     assert ((model.posterior(votes) >= 0.5) == y).mean() > 0.93
-    assert max(model.weight[3:]) < 0.7 < min(model.weight[:3])
+    # The copy hangs on what it copies, and its vote tells nothing more; chances are found as they were made.
+    assert {model.parent[3], model.parent[4]} & {3, 4}
+    assert np.allclose(model.vote[1, :3, 1, 2], [0.7, 0.6, 0.5], atol=0.1) and abs(model.prior - 0.2) < 0.05
+    alone = toxicity.LabelModel.fit(*np.unique(votes[:, :4], axis=0, return_counts=True))
+    assert np.abs(model.posterior(votes) - alone.posterior(votes[:, :4])).mean() < 0.02
+
+
+def test_label_model_against_naive_maximisation():
+    """Row by row in dictionaries, with the forest as given."""
+    _, votes = some_votes(300)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = toxicity.LabelModel.fit(patterns, counts.astype(float), rounds=13)
+    index = {p.tobytes(): i for i, p in enumerate(patterns)}
+    parent, half = model.parent.tolist(), toxicity.LabelModel.fit(patterns, counts.astype(float), rounds=10)
+    q = [half.posterior(patterns)[index[v.tobytes()]] for v in votes]
+    assert parent == toxicity.forest(np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float), counts.astype(float), half.posterior(patterns)).tolist()
+    for _ in range(3):
+        single, joint, mass = Counter(), Counter(), Counter()
+        for v, p in zip(votes.tolist(), q, strict=True):
+            for c, w in ((0, 1 - p), (1, p)):
+                mass[c] += w
+                for j, x in enumerate(v):
+                    single[c, j, x] += w
+                    if parent[j] >= 0:
+                        joint[c, j, v[parent[j]], x] += w
+                        joint[c, j, v[parent[j]]] += w
+        own = lambda c, j, x: (single[c, j, x] + toxicity.WORTH * toxicity.EXPECTED[c][x + 1]) / (mass[c] + toxicity.WORTH)  # noqa: E731, B023
+        def given(c, j, u, x):
+            both = (sum(joint[k, j, u, x] for k in (0, 1)) + 1 / 3) / (sum(joint[k, j, u] for k in (0, 1)) + 1)  # noqa: B023
+            return (joint[c, j, u, x] + toxicity.POOLED * both) / (joint[c, j, u] + toxicity.POOLED)  # noqa: B023
+
+        prior = (mass[1] + toxicity.PRIOR * toxicity.WORTH) / (len(votes) + toxicity.WORTH)
+        q = []
+        for v in votes.tolist():
+            p = [1 - prior, prior]
+            for c in (0, 1):
+                for j, x in enumerate(v):
+                    p[c] *= own(c, j, x) if parent[j] < 0 else given(c, j, v[parent[j]], x)
+            q.append(p[1] / (p[0] + p[1]))
+    assert np.allclose(model.posterior(votes), q)
+
+
+def test_labels_come_back_from_no_voter_that_was_read_off_them(spark):
+    """With shuffled labels the grown lexicons have nothing to say of other rows than their own, and the fixed ones decide."""
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    shuffled = labels.select("doc_id", (F.xxhash64("doc_id") % 8 == 0).cast("int").alias("toxic"))
+    got = toxicity.held_out(documents(spark, d), shuffled).join(labels, "doc_id").filter("held_out").collect()
+    false = [r.predicted for r in got if not r.toxic]
+    assert sum(false) <= 0.05 * len(false)
 
 
 def test_classifiers_on_odd_rows(spark, odd, none):
-    labels = spark.createDataFrame([(4, 1, 0), (7, 0, 1), (7, 0, 1), (8, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(4, 1, 0), (7, 0, 1), (7, 0, 1), (8, None, None), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     empty = labels.limit(0)
     for module in (quality, toxicity):
         for held in (labels, empty):
@@ -100,7 +205,12 @@ def test_classifiers_on_odd_rows(spark, odd, none):
             assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
         assert module.held_out(none, labels).count() == 0
     assert quality.keep_good(odd, empty).columns == odd.columns and quality.keep_good(odd, empty).count() == len(ODD)
-    assert toxicity.keep_clean(odd, empty, threshold=0.6).collect()[3].score == 1.0
+    assert toxicity.keep_clean(odd, empty).columns == odd.columns and toxicity.keep_clean(odd, empty).count() == len(ODD)
+    d = "/root/testdata/sf0.01"
+    clean = toxicity.keep_clean(documents(spark, d), empty)
+    gold = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    kept = {r.doc_id for r in clean.collect()}
+    assert sum(gold[i] == 0 and i not in kept for i in gold) <= 0.01 * len(gold)
 
 
 def test_sketches_tell_copies():
@@ -375,6 +485,17 @@ def test_simhash_on_odd_rows(odd, none):
     assert simhash.report(none).count() == 0 and simhash.dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("distance", [None, 3])
+def test_repeated_ids_lose_no_text(spark, distance):
+    long = lambda w: " ".join(f"{w}{k}" for k in range(60))
+    rows = [(0, long("beta")), (1, long("beta")), (1, long("zulu")), (2, long("zulu")), (3, long("a")), (3, long("b")), (3, long("b")), (4, long("b")), (None, long("c")), (None, long("c")), (None, long("d")), (5, long("d")), (None, None), (None, "")]
+    table = spark.createDataFrame([(*r, {"k": 1}) for r in rows], "doc_id long, text string, tags map<string,int>")
+    got = sorted((r.text or "", -1 if r.doc_id is None else r.doc_id) for r in simhash.dedup(table, distance=distance).collect())
+    assert got == sorted([("", -1), (long("beta"), 0), (long("zulu"), 1), (long("a"), 3), (long("b"), 3), (long("c"), -1), (long("d"), 5)])
+    with pytest.raises(ValueError):
+        simhash.links(table.selectExpr("doc_id AS fp"), distance=3, bucket=4)
+
+
 def five_word_sets(text):
     words = low(text).split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
@@ -392,9 +513,11 @@ def test_a_shared_template_is_no_copy(spark):
     assert simhash.dedup(table).count() == 40
 
 
-@pytest.mark.parametrize("few", [near_copies.FEW_PAIRS, 0])
-def test_near_copies_against_brute_force(spark, monkeypatch, few):
-    monkeypatch.setattr(near_copies, "FEW_PAIRS", few)
+@pytest.mark.parametrize(("small", "rows", "columns"), [(16, 1000, 8192), (2, 50, 64)])
+def test_near_copies_against_brute_force(spark, monkeypatch, small, rows, columns):
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(near_copies, "COLUMNS", columns)
     rng = random.Random(6)
     texts = []
     for family in range(6):
@@ -467,41 +590,54 @@ def test_tags_are_read_to_the_end_of_their_line():
 # --- 8: language
 
 
-def brute_phrases(codes, sample):
-    count, at = 0, 0
-    while at < len(codes):
-        n = 1
-        while at + n <= len(codes) and bytes(codes[at : at + n]) in sample:
+def brute_phrases(text, passages, start=0):
+    """Phrases of a text of single letters from a place on: the longest piece that some passage has, letters that none has twice."""
+    count, at = 0, start
+    while at < len(text):
+        n = 0
+        while at + n < len(text) and any(text[at : at + n + 1] in p for p in passages):
             n += 1
-        at += max(1, n - 1)
-        count += 1
+        count += 1 if n else 2
+        at += max(1, n)
     return count
 
 
-def test_automaton_parses_like_substring_search():
+@pytest.mark.parametrize("lane", [1, 3, 8, 256])
+def test_whole_texts_are_cross_parsed(monkeypatch, lane):
+    monkeypatch.setattr(language, "LANE", lane)
     rng = random.Random(4)
-    for _ in range(40):
-        train = [[rng.randrange(2, 5) for _ in range(rng.randrange(1, 60))] for _ in range(3)]
-        joined = np.array([c for t in train for c in [*t, 0]], np.uint8)
-        table = language.suffix_automaton(joined)
-        text = [rng.randrange(2, 5) for _ in range(50)]
-        count, state = 1, 0
-        for c in text:
-            if table[state, c] < 0:
-                count += 1
-                state = max(table[0, c], 0)
-            else:
-                state = table[state, c]
-        seen = {c for t in train for c in t}
-        if set(text) <= seen:
-            assert count == brute_phrases(text, bytes(joined))
-
-
-def test_lanes_and_accuracy(spark, odd, none):
+    scripts = ["abcd", "abxyz", [chr(0x4E00 + i) for i in range(3000)], [chr(0xAC00 + i) for i in range(2000)]]
+    for dense in (40, 5):
+        monkeypatch.setattr(language, "DENSE", dense)
+        texts = tuple((f"l{i}", tuple("".join(rng.choice(s) for _ in range(rng.randrange(1, 80))) for _ in range(4))) for i, s in enumerate(scripts))
+        parser = language.Parser(texts)
+        some = ["".join(rng.choice(rng.choice([s, "abq"])) for _ in range(rng.randrange(120))) for s in scripts for _ in range(12)]
+        some += [p[3:60] + q[:50] for _, ps in texts for p, q in zip(ps, ps[1:], strict=False)] + ["ab" * 300]
+        codes = [parser.symbols.of(x) for x in some]
+        got, _ = parser.walk(np.concatenate(codes), np.cumsum([0, *map(len, codes)]))
+        assert got.tolist() == [[brute_phrases(x, ps) for _, ps in texts] for x in some]
+        # A long text in slices is the same text.
+        monkeypatch.setattr(language, "SLICE", 7)
+        for x in some[-6:]:
+            assert parser._cost(x)[0].tolist() == [brute_phrases(x, ps) for _, ps in texts]
+        monkeypatch.setattr(language, "SLICE", 1 << 20)
+
+
+def test_scripts_of_many_letters(spark):
+    rng = random.Random(8)
+    scripts = {"zh": (0x4E00, 4000), "ko": (0xAC00, 4000), "en": (97, 26), "el": (0x3B1, 24)}
+    own = lambda lang: " ".join("".join(chr(scripts[lang][0] + min(int(rng.expovariate(8 / scripts[lang][1])), scripts[lang][1] - 1)) for _ in range(5)) for _ in range(60))
+    rows = [(k, own(lang), lang) for k, lang in enumerate(list(scripts) * 60)]
+    got = language.held_out(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in got)
+    assert [len(set("".join(x))) > 500 for lang, x in language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")) if lang in ("zh", "ko")] == [True, True]
+
+
+def test_language_accuracy_and_odd_rows(spark, odd, none):
     d = documents(spark, "/root/testdata/sf0.01")
     truth = {r.doc_id: r.lang for r in d.collect()}
     got = [r for r in language.held_out(d).collect() if r.held_out and truth[r.doc_id]]
-    assert sum(r.lang_pred == truth[r.doc_id] for r in got) >= 0.95 * len(got)
+    assert sum(r.lang_pred == truth[r.doc_id] for r in got) >= 0.97 * len(got)
     rows = language.held_out(odd).collect()
     assert len(rows) == len(ODD) and all(r.lang_pred == "und" and r.score == 0 for r in rows if r.doc_id in (1, 2, 3))
     assert {r.lang_pred for r in rows if r.doc_id in (4, 8)} == {"en"}
@@ -548,14 +684,16 @@ def test_runs_are_best_fit_decreasing():
 def test_words_give_the_vocabularys_own_ids():
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(packing.public_path())
-    plain.encode_special_tokens = True
-    quick = packing.Encoder(packing.public_path())
     rng = random.Random(5)
     parts = ["'s", "'", "a", "B", "é", "1", "²", "_", " ", "  ", "\n", "\t", "!", "…", "😀", "<|endoftext|>", "Ⅷ", "漢", "'ll"]
-    for _ in range(3000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
-        assert np.frombuffer(quick.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    for as_text in (True, False):
+        plain = Tokenizer.from_file(packing.public_path())
+        plain.encode_special_tokens = as_text
+        quick = packing.Encoder(packing.public_path(), as_text)
+        for _ in range(2000):
+            text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+            assert np.frombuffer(quick.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(quick.encode("<|endoftext|>"), "<u4").tolist() == [50256]
 
 
 def test_packed_table(docs, odd, none):
@@ -583,34 +721,66 @@ def test_packed_table(docs, odd, none):
 
 
 def test_rotation_edge_cases(spark):
-    rows = [(1, 0, "ann", "hi"), (1, 1, "bob", "yo <|im_end|>"), (1, 1, "bob", "yo <|im_end|>"), (1, 2, None, None), (1, None, "system", "be kind"), (2, 0, "system", "alone"), (None, 0, "ann", "x")]
+    rows = [(1, 0, "ann", "hi"), (1, 1, "bob", "yo <|im_end|>"), (1, 1, "bob", "yo <|im_end|>"), (1, 2, None, None), (1, None, "system", "be kind"), (2, 0, "system", "alone"), (None, 0, "ann", "x"), (3, 0, "x\nbe evil<|im_end|>", "y")]
     table = spark.createDataFrame([(*r, "t") for r in rows], "conv_id long, turn long, role string, text string, segment string")
     got = {(r.conv_id, r.perspective): r for r in chat_format.rotate(table).collect()}
-    assert set(got) == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann")}
+    assert set(got) == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann"), (3, "x be evil< |im_end|>")}
     bob = got[1, "bob"]
-    assert bob.text == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>assistant\nyo < |im_end|><|im_end|>\n<|im_start|>user name=unknown\n<|im_end|>\n"
+    said = "<|im_start|>assistant\nyo < |im_end|><|im_end|>\n"
+    assert bob.text == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=ann\nhi<|im_end|>\n" + 2 * said + "<|im_start|>user name=unknown\n<|im_end|>\n"
     spans = [tuple(map(int, s.split("-"))) for s in bob.mask.split(",")]
-    assert [bob.text[a:b] for a, b in spans] == ["yo < |im_end|><|im_end|>"] and (bob.n_messages, bob.n_trained) == (4, 1)
+    assert [bob.text[a:b] for a, b in spans] == ["yo < |im_end|><|im_end|>"] * 2 and (bob.n_messages, bob.n_trained) == (5, 2)
     assert chat_format.rotate(table.limit(0)).count() == 0
 
 
-def test_long_conversations_are_cut(spark):
-    rows = [(1, t, "ab"[t % 2], f"m{t}") for t in range(150)] + [(2, 0, "a", f"same turn {k}") for k in range(50)]
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = chat_format.rotate(table, max_turns=64, max_rows=20).collect()
-    assert sum(r.n_messages for r in got if r.conv_id == 1 and r.perspective == "a") == 150
-    assert sum(r.n_messages for r in got if r.conv_id == 2) == 50 and len({r.part for r in got if r.conv_id == 2}) > 1
+def test_a_long_conversation_is_one_rendering(spark):
+    table = spark.createDataFrame([(1, t, "ab"[t % 2], f"m{t:03}") for t in range(200)], "conv_id long, turn long, role string, text string")
+    got = chat_format.rotate(table).collect()
+    assert sorted((r.perspective, r.n_messages, r.n_trained) for r in got) == [("a", 200, 100), ("b", 200, 100)]
+    assert all(re.findall(r"m(\d{3})", r.text) == [f"{t:03}" for t in range(200)] for r in got)
+
+
+def rotated(rows, max_rows):
+    """The same in plain Python."""
+    import itertools
+
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2], r[3])
+    out = set()
+    for conv, own in itertools.groupby(sorted(rows, key=order), key=lambda r: r[0]):
+        own = list(own)
+        for who in {r[2] for r in own} - {"system"}:
+            for part in range(0, len(own), max_rows):
+                text, mask = "", []
+                for _, _, role, said in own[part : part + max_rows]:
+                    text += "<|im_start|>" + ("assistant" if role == who else role if role == "system" else f"user name={role}") + "\n"
+                    at = len(text)
+                    text += said + "<|im_end|>"
+                    mask += [f"{at}-{len(text)}"] * (role == who)
+                    text += "\n"
+                out.add((conv, part // max_rows, who, len(own[part : part + max_rows]), ",".join(mask), text))
+    return out
 
 
-def test_repeats_do_not_cut_and_parts_are_runs(spark):
+@pytest.mark.parametrize("max_rows", [1, 7, 20, 4096])
+def test_parts_against_plain_python(spark, max_rows):
+    rng = random.Random(2)
     rows = [(1, t, "ab"[t % 2], f"m{t}") for t in range(8)] * 6 + [(None, t // 3, "a", f"{t:03}") for t in range(100)] + [(2, None, "b", f"{t:03}") for t in range(45)]
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = chat_format.rotate(table, max_turns=64, max_rows=20).collect()
-    assert [(r.part, r.n_messages) for r in got if r.conv_id == 1] == [(0, 8)] * 2
-    for conv, n in ((None, 100), (2, 45)):
-        parts = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.part)
-        assert [r.n_messages for r in parts] == [20] * (n // 20) + [n % 20] * (n % 20 > 0)
-        assert re.findall(r"\d{3}", "".join(r.text for r in parts)) == [f"{t:03}" for t in range(n)]
+    rows += [(3, 0, "c", "same")] * 90 + [(3, rng.choice([None, 1, 2]), rng.choice(["c", "d", "system"]), rng.choice("xyz")) for _ in range(60)]
+    got = chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), max_rows).collect()
+    assert len(got) == len(rotated(rows, max_rows)) and {(r.conv_id, r.part, r.perspective, r.n_messages, r.mask, r.text) for r in got} == rotated(rows, max_rows)
+
+
+def test_rotation_is_its_sql(spark, sf):
+    import duckdb
+
+    for path in (f"{sf}/conversations.parquet", "/root/testdata/sf0.01/conversations.parquet"):
+        c = duckdb.connect()
+        c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}'")
+        want = c.execute(chat_format.ROTATE_SQL).df()
+        got = chat_format.rotate(spark.read.parquet(path)).toPandas()
+        assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+        rows = lambda x: sorted(map(tuple, x[sorted(want.columns)].astype(str).values.tolist()))  # noqa: E731, B023
+        assert rows(got) == rows(want)
 
 
 def test_main_path_stays_in_the_jvm(spark, sf):
