@@ -1,39 +1,51 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted hash arrays
-that workers memory-map.
+"""LM scoring: an interpolated modified Kneser-Ney model of any order from 2, counted in Spark, stored as sorted hash
+arrays that workers memory-map.
 
 Documents become chunks (rows of one table, dealt by chunk): their distinct word hashes and each token's number
-among them. A chunk sends its distinct bigram hashes with training counts to buckets by range of the hash; a
-bucket merges them to the stored arrays and answers every chunk with its bigrams' counts, marking in one of the
-chunks that each bigram is counted there. From these marks chunks tell, word by word, how many bigrams begin and
-end with it; word buckets sum that, store it, and answer too; with both answers a chunk scores its documents. All
-arrays travel sorted, as compressed differences, and nothing larger than a chunk or bucket meets in a task.
+among them. Level by level, from the longest n-grams to words, a chunk sends its distinct n-grams' hashes and figures to buckets by
+range of the hash; a bucket adds them up, writes the sorted arrays to the shared folder, maps them, and answers every chunk
+with the figures of its n-grams, marking in one of the chunks that each n-gram is counted there. From these marks chunks
+tell, for the level below, how many n-grams begin and end with each shorter one. With all answers a chunk scores its documents.
+Another table is scored by the stored model alone: chunks ask, and buckets answer from the mapped files. All
+arrays travel sorted, as compressed differences, and nothing larger than a chunk or bucket meets in a task. A chunk sends
+to a bucket only what it has of it, so there are never more messages than distinct n-grams of chunks.
 
-Tokens are words between white space with A-Z lower-cased, then one end a document; a context mark of its own
-stands before the first. Words are told apart by 64-bit hashes.
+Figures of an n-gram: its count (of the highest order) or the number of different words before it (of the others); of the
+shorter ones besides how many n-grams go on from it that have such a figure of one, two and more, and these figures' sum; of words
+besides how often they stand. A document begins with as many marks of its own as the order needs.
+
+Tokens are words between white space with A-Z lower-cased, then one end a document. Words are told apart by 64-bit hashes.
 
 Cases: null and empty texts are one end token; without training documents all counts are zero and every token is
 an unknown one among V + 1 = 1; repeated rows count as often as they stand; a null id counts as empty text for
-the fold; an empty table gives no rows; other columns are ignored.
+the fold; an empty table gives no rows; other columns are ignored. Files are written under another name and then renamed, so
+a task that runs again, or twice, leaves the same files.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import struct
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_SPACE, chunks, flat, fold, pair, shared_dir, small_batches, spans, word_hashes, written
+from .common import LOWER, NOT_SPACE, chunks, flat, fold, pair, shared_path, small_batches, spans, word_hashes, written
 
 #: Bytes of text of a chunk, and tokens of the input for each bucket.
 CHUNK_TEXT, BUCKET_TOKENS, LEAST_BUCKETS = 8 << 20, 3_000_000, 16
+ORDER = 2
 END, BEGIN = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 
 
@@ -66,36 +78,101 @@ def unpacked_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
-def mapped(values: np.ndarray) -> np.ndarray:
-    """The array in a file without a name, memory-mapped."""
-    if not len(values):
-        return values
-    with tempfile.TemporaryFile() as f:
-        values.tofile(f)
-        f.flush()
-        return np.memmap(f, values.dtype, "r", shape=values.shape)
+def _local(path: str) -> str | None:
+    """A path that the machine can open, if the shared folder is one."""
+    parsed = urlparse(path)
+    return unquote(parsed.path) if parsed.scheme in ("", "file") else None
+
+
+def put(path: str, data: bytes) -> None:
+    """Writes a file of the shared folder, whole or not at all."""
+    aside = f"{path}.{uuid.uuid4().hex}"
+    if (at := _local(aside)) is not None:
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        with open(at, "wb") as f:
+            f.write(data)
+        os.replace(at, _local(path))
+        return
+    fs, at = pa.fs.FileSystem.from_uri(aside)
+    fs.create_dir(os.path.dirname(at))
+    with fs.open_output_stream(at) as f:
+        f.write(data)
+    fs.move(at, pa.fs.FileSystem.from_uri(path)[1])
+
+
+def mapped(path: str, dtype: str) -> np.ndarray:
+    """A stored array, memory-mapped; from a store that can't be mapped it is read (a bucket's arrays are bounded)."""
+    if (at := _local(path)) is not None:
+        return np.memmap(at, dtype, "r") if os.path.getsize(at) else np.zeros(0, dtype)
+    fs, at = pa.fs.FileSystem.from_uri(path)
+    with fs.open_input_stream(at) as f:
+        return np.frombuffer(f.read(), dtype)
+
+
+def _figures(level: int, order: int) -> int:
+    """How many figures an n-gram of a level has."""
+    return 1 if level == order else 6 if level == 1 else 5
+
+
+def _file(folder: str, level: int, bucket: int, kind: str) -> str:
+    return f"{folder}/level{level}/{bucket:08d}.{kind}"
+
+
+def _lookup(folder: str, level: int, order: int, bucket: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The stored figures of hashes, a column each, zeros for what isn't stored."""
+    m = _figures(level, order)
+    keys = mapped(_file(folder, level, bucket, "keys"), "<u8")
+    values = mapped(_file(folder, level, bucket, "figures"), "<i8").reshape(m, -1)
+
+    def found(hashes: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros((m, len(hashes)), np.int64)
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        return np.where(keys[at] == hashes, values[:, at], 0)
+
+    return found
+
+
+@dataclass
+class Model:
+    """What scoring needs besides the stored arrays in `folder`."""
+
+    folder: str
+    order: int
+    bits: int  #: buckets are ranges of so many of the hashes' highest bits
+    train_tokens: int
+    distinct: int
+    kinds: int  #: two-grams
+    left_over: float  #: the share of probability that words leave to unknown ones
+    cuts: list[list[float]]  #: the three discounts of each level, from words on
+
+    def save(self) -> None:
+        put(f"{self.folder}/model.json", json.dumps(asdict(self)).encode())
+
+    @classmethod
+    def load(cls, folder: str) -> Model:
+        return cls(**json.loads(mapped(f"{folder}/model.json", "u1").tobytes()))
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per chunk: its documents, distinct word hashes and tokens."""
     task, number = TaskContext.get().partitionId(), 0
     parts: list[tuple] = []
-    size = 0
+    size = n_rows = 0
 
     def made() -> pa.RecordBatch:
         nonlocal number
-        hashes = np.concatenate([p[2] for p in parts])
-        vocabulary, tokens = np.unique(np.concatenate([hashes, [BEGIN, END]]), return_inverse=True)
+        vocabulary, tokens = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
         row = {
-            "chunk": [task << 24 | number],
-            "doc_ids": [sum((p[0].to_pylist() for p in parts), [])],
-            "held": [sum((p[1].to_pylist() for p in parts), [])],
-            "sizes": [packed(np.concatenate([p[3] for p in parts]).astype(np.uint64))],
-            "words": [packed_sorted(vocabulary)],
-            "tokens": [packed(tokens[:-2].astype(np.uint64))],
+            "chunk": pa.array([task << 24 | number]),
+            "doc_ids": pa.array([sum((p[0].to_pylist() for p in parts), [])], pa.list_(parts[0][0].type)),
+            "held": pa.array([sum((p[1].to_pylist() for p in parts), [])], pa.list_(pa.bool_())),
+            "sizes": pa.array([packed(np.concatenate([p[3] for p in parts]).astype(np.uint64))], pa.binary()),
+            "words": pa.array([packed_sorted(vocabulary)], pa.binary()),
+            "tokens": pa.array([packed(tokens.astype(np.uint64))], pa.binary()),
         }
         number += 1
-        return pa.RecordBatch.from_arrays([pa.array(row["chunk"]), pa.array(row["doc_ids"], pa.list_(parts[0][0].type)), pa.array(row["held"], pa.list_(pa.bool_())), *[pa.array(row[k], pa.binary()) for k in ("sizes", "words", "tokens")]], list(row))
+        return pa.RecordBatch.from_arrays(list(row.values()), list(row))
 
     for table in chunks(batches):
         raw, offs = flat(table.column("text"))
@@ -106,36 +183,81 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream[np.arange(len(starts)) + np.repeat(np.arange(len(n)), n)] = word_hashes(low, starts, ends)
         parts.append((table.column("doc_id").combine_chunks(), table.column("held").combine_chunks(), stream, n + 1))
         size += len(raw)
-        if size >= CHUNK_TEXT:
+        n_rows += table.num_rows
+        if size >= CHUNK_TEXT or n_rows >= CHUNK_TEXT >> 5:
             yield made()
-            parts, size = [], 0
+            parts, size, n_rows = [], 0, 0
     if parts:
         yield made()
 
 
 class Chunk:
-    """A chunk row read back, with its distinct bigrams in order of their hashes."""
+    """A chunk row read back, with its distinct n-grams of each level in order of their hashes. Each document has a place for its beginning before its tokens' places."""
 
-    def __init__(self, row: dict) -> None:
-        self.doc_ids, self.held = row["doc_ids"], np.array(row["held"], bool)
+    def __init__(self, row: dict, order: int) -> None:
+        self.doc_ids, held = row["doc_ids"], np.array(row["held"], bool)
         self.sizes = unpacked(row["sizes"]).astype(np.int64)
-        self.words = unpacked_sorted(row["words"])
-        self.tokens = unpacked(row["tokens"]).astype(np.int64)
-        self.begin, self.end = np.searchsorted(self.words, [BEGIN, END])
+        words = unpacked_sorted(row["words"])
+        tokens = unpacked(row["tokens"]).astype(np.int64)
+        first = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.token = np.ones(len(tokens) + len(first), bool)
+        self.token[first] = False
+        own = np.full(len(self.token), BEGIN, np.uint64)
+        own[self.token] = words[tokens]
+        trained = np.repeat(~held, self.sizes + 1) & self.token
+        self.hashes: dict[int, np.ndarray] = {}
+        self.left: dict[int, np.ndarray] = {}
+        self.right: dict[int, np.ndarray] = {}
+        now, at, begin = own, None, BEGIN
+        for level in range(1, order + 1):
+            if level > 1:
+                longer = np.empty_like(own)
+                longer[1:] = pair(now[:-1], own[1:])
+                begin = pair(np.array([begin]), np.array([BEGIN]))[0]
+                longer[first] = begin
+                now = longer
+            before = at
+            self.hashes[level], where, at = np.unique(now, return_index=True, return_inverse=True)
+            if level == 1:
+                self.raw = np.bincount(at[trained], minlength=len(self.hashes[1]))
+            else:
+                # The n-gram of a document's beginning is none that goes on from another; it has no count, so its left end says nothing.
+                self.left[level] = before[np.maximum(where - 1, 0)]
+                self.right[level] = before[where]
+        self.at = at[self.token]
+        self.counts = np.bincount(at[trained], minlength=len(self.hashes[order]))
+        self.words_at = np.searchsorted(self.hashes[1], own[self.token])
+
+    def figures(self, level: int, order: int, above: np.ndarray | None = None) -> np.ndarray:
+        """The chunk's share in the figures of its n-grams of a level, from the answer for the level above, whose last row marks what is counted here."""
+        if level == order:
+            return self.counts[None, :]
+        n, left, right = len(self.hashes[level]), self.left[level + 1], self.right[level + 1]
+        value, mine = above[0], above[-1].astype(bool)
+        tell = lambda at, when: np.bincount(at[mine & when], minlength=n)
+        rows = [tell(right, True), *[tell(left, when) for when in (value == 1, value == 2, value > 2)]]
+        rows.append(np.bincount(left[mine], weights=value[mine], minlength=n).astype(np.int64))
+        return np.stack([*rows, *[self.raw] * (level == 1)])
+
+    def scored(self, model: Model, answers: dict[int, np.ndarray], kind: pa.DataType) -> pa.Table:
+        word = answers[1]
+        known = word[0] > 0
+        p = np.maximum(word[0] - np.where(known, np.array(model.cuts[0])[np.clip(word[0], 1, 3) - 1], 0), 0) / max(model.kinds, 1) + model.left_over / (model.distinct + 1)
+        for level in range(2, model.order + 1):
+            value, context = answers[level][0], answers[level - 1][:, self.left[level]]
+            d = np.array(model.cuts[level - 1])
+            total = np.maximum(context[4], 1)
+            more = np.where(context[4] > 0, (d[0] * context[1] + d[1] * context[2] + d[2] * context[3]) / total, 1.0)
+            own = np.where(context[4] > 0, np.maximum(value - np.where(value > 0, d[np.clip(value, 1, 3) - 1], 0), 0) / total, 0.0)
+            p = own + more * p[self.right[level]]
+        raw = word[5]
+        base = np.log10((raw + 1) / (model.train_tokens + 1 * (model.distinct + 1)))
         first = np.cumsum(self.sizes) - self.sizes
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[first] = self.begin
-        self.trained = np.repeat(~self.held, self.sizes)
-        keys, at = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
-        left, right = np.divmod(keys, len(self.words))
-        hashes = pair(self.words[left], self.words[right])
-        order = np.argsort(hashes)
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        self.hashes, self.left, self.right = hashes[order], left[order], right[order]
-        self.bigram = place[at]  # of each token
-        self.counts = np.bincount(self.bigram[self.trained], minlength=len(order))
+        sums = lambda x: np.add.reduceat(x, first)
+        return pa.table({
+            "doc_id": pa.array(self.doc_ids, kind), "n_tokens": self.sizes, "n_known": sums((raw > 0)[self.words_at].astype(np.int64)),
+            "train_tokens": np.full(len(self.sizes), model.train_tokens), "base_score": sums(base[self.words_at]), "score": sums(np.log10(p)[self.at]),
+        })
 
 
 def _slices(hashes: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
@@ -154,65 +276,61 @@ def _merged(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return order, np.flatnonzero(fresh), every
 
 
-_BLOB = "bucket int, chunk long, a binary, b binary"
-_OUT = "kind int, bucket int, chunk long, a binary, b binary, n array<long>"
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    """Rows as _OUT has them: kind 0 answers a chunk, 1 is stored, 2 has counts of counts."""
-    columns = list(zip(*rows, strict=True))
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "bucket", "chunk", "a", "b", "n"])
-
-
-def _bigram_bucket(table: pa.Table) -> pa.Table:
-    """Merges the chunks' counts of a bucket's bigrams, stores the sorted arrays and answers the chunks."""
-    table = table.sort_by("chunk")
-    bucket = table.column("bucket")[0].as_py()
-    ids = table.column("chunk").to_pylist()
-    hashes = [unpacked_sorted(x) for x in table.column("a").to_pylist()]
-    counts = [unpacked(x).astype(np.int64) for x in table.column("b").to_pylist()]
-    order, first, every = _merged(hashes)
-    flat_counts = np.concatenate(counts)[order]
-    totals = np.add.reduceat(flat_counts, first)
-    # The first chunk that has a bigram in training is the one that counts it for its words.
-    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(every))))
-    has = np.flatnonzero(flat_counts > 0)
-    _, where = np.unique(group[has], return_index=True)
-    owner = np.zeros(len(every), np.int64)
-    owner[order[has[where]]] = 1
-    stored = totals > 0
-    keys, values = mapped(every[first][stored]), mapped(totals[stored])
-    del every, group, flat_counts
-    rows, at = [], 0
-    for chunk, own in zip(ids, hashes, strict=True):
-        place = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-        found = np.where(keys[place] == own, values[place], 0) if len(keys) else np.zeros(len(own), np.int64)
-        rows.append((0, bucket, chunk, packed((found << 1 | owner[at : at + len(own)]).astype(np.uint64)), None, None))
-        at += len(own)
-    n = [int((values == k).sum()) for k in (1, 2, 3, 4)]
-    rows.append((1, bucket, None, packed_sorted(np.asarray(keys)), packed(np.asarray(values).astype(np.uint64)), None))
-    rows.append((2, bucket, None, None, None, n))
-    return _table(rows)
-
-
-def _word_bucket(table: pa.Table) -> pa.Table:
-    """Sums the chunks' figures of a bucket's words (count, bigrams begun that occur once, twice, more, bigrams ended), stores them and answers the chunks."""
-    table = table.sort_by("chunk")
-    bucket = table.column("bucket")[0].as_py()
-    ids = table.column("chunk").to_pylist()
-    hashes = [unpacked_sorted(x) for x in table.column("a").to_pylist()]
-    figures = np.concatenate([unpacked(x).reshape(5, -1) for x in table.column("b").to_pylist()], axis=1)
-    order, first, every = _merged(hashes)
-    keys = mapped(every[first])
-    totals = mapped(np.add.reduceat(figures[:, order].astype(np.int64), first, axis=1))
-    rows = [(0, bucket, chunk, None, packed(totals[:, np.searchsorted(keys, own)].ravel().astype(np.uint64)), None) for chunk, own in zip(ids, hashes, strict=True)]
-    ended = totals[4]
-    rows.append((1, bucket, None, packed_sorted(np.asarray(keys)), packed(np.asarray(totals).ravel().astype(np.uint64)), None))
-    # Bigrams, words with 1 to 4 and with more kinds of word before them, tokens, distinct words.
-    counts = [int(ended.sum()), *[int((ended == k).sum()) for k in (1, 2, 3, 4)], int((ended > 2).sum()), int(totals[0].sum()), int((totals[0] > 0).sum())]
-    rows.append((2, bucket, None, None, None, counts))
-    return _table(rows)
+_SENT = "level int, bucket int, chunk long, a binary, b binary"
+_OUT = "kind int, level int, bucket int, chunk long, b binary, n array<long>"
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["level", "bucket", "chunk", "a", "b"])
+
+
+def _told(rows: list[tuple]) -> pa.Table:
+    """Rows as _OUT has them: kind 0 answers a chunk, kind 2 has a bucket's sums."""
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "level", "bucket", "chunk", "b", "n"])
+
+
+def _messages(c: Chunk, chunk: int, level: int, bits: int, figures: np.ndarray | None) -> list[tuple]:
+    hashes = c.hashes[level]
+    return [(level, b, chunk, packed_sorted(hashes[i:j]), None if figures is None else packed(np.ascontiguousarray(figures[:, i:j]).ravel().astype(np.uint64))) for b, i, j in _slices(hashes, bits)]
+
+
+def _bucket(folder: str, order: int) -> Callable[[pa.Table], pa.Table]:
+    """Adds up the chunks' figures of a bucket's n-grams, stores the sorted arrays, and answers the chunks from them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        level, bucket = table.column("level")[0].as_py(), table.column("bucket")[0].as_py()
+        ids = table.column("chunk").to_pylist()
+        hashes = [unpacked_sorted(x) for x in table.column("a").to_pylist()]
+        figures = np.concatenate([unpacked(x).reshape(_figures(level, order), -1) for x in table.column("b").to_pylist()], axis=1).astype(np.int64)
+        ordered, first, every = _merged(hashes)
+        figures = figures[:, ordered]
+        totals = np.add.reduceat(figures, first, axis=1)
+        # The first chunk whose figure isn't 0 is the one that counts an n-gram for the level below.
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(every))))
+        has = np.flatnonzero(figures[0] > 0)
+        _, where = np.unique(group[has], return_index=True)
+        owner = np.zeros(len(every), np.int64)
+        owner[ordered[has[where]]] = 1
+        stored = (totals > 0).any(0)
+        put(_file(folder, level, bucket, "keys"), every[first][stored].astype("<u8").tobytes())
+        put(_file(folder, level, bucket, "figures"), np.ascontiguousarray(totals[:, stored], "<i8").tobytes())
+        value = totals[0]
+        sums = [value.sum(), *[(value == k).sum() for k in (1, 2, 3, 4)], (value > 2).sum(), *([totals[5].sum(), (totals[5] > 0).sum()] if level == 1 else [0, 0])]
+        del every, group, figures, totals
+        look = _lookup(folder, level, order, bucket)
+        rows, at = [], 0
+        for chunk, own in zip(ids, hashes, strict=True):
+            answer = np.concatenate([look(own), owner[None, at : at + len(own)]])
+            rows.append((0, level, bucket, chunk, packed(answer.ravel().astype(np.uint64)), None))
+            at += len(own)
+        rows.append((2, level, bucket, None, None, [int(x) for x in sums]))
+        return _told(rows)
+
+    return run
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -224,8 +342,10 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.clip(d, 0.05, [1.0, 2.0, 3.0])
 
 
-def _replies(tables: list[pa.Table], column: str) -> list[bytes]:
-    return [x for t in tables for x in t.sort_by("bucket").column(column).to_pylist()]
+def _answers(replies: pa.Table, level: int, rows: int) -> np.ndarray:
+    """A chunk's answers for a level, buckets in order."""
+    own = replies.filter(pa.compute.equal(replies.column("level"), level)).sort_by("bucket")
+    return np.concatenate([unpacked(x).reshape(rows, -1) for x in own.column("b").to_pylist()], axis=1).astype(np.int64)
 
 
 def table_of_chunks(docs: DataFrame, trained: Column) -> DataFrame:
@@ -235,89 +355,110 @@ def table_of_chunks(docs: DataFrame, trained: Column) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (~trained).alias("held"))
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType())), *[T.StructField(n, T.BinaryType()) for n in ("sizes", "words", "tokens")]])
-    name = f"tallyfold_chunks_{uuid.uuid4().hex}"
+    path = shared_path(spark, "chunks")
+    name = "tallyfold_" + path.rsplit("/", 1)[1].replace("-", "_")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)
-    rows.mapInArrow(_chunk_rows, schema).write.format("parquet").option("path", f"{shared_dir(spark)}/tallyfold/{name}").bucketBy(buckets, "chunk").saveAsTable(name)
-    return spark.table(name)
-
-
-def count(held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The model of a table of chunks: the written bigram and word tables, both with answers for the chunks (kind 0), the sorted arrays (1) and counts of counts (2)."""
+    rows.mapInArrow(_chunk_rows, schema).write.format("parquet").option("path", path).bucketBy(buckets, "chunk").saveAsTable(name)
+    table = spark.table(name)
+    # The plan has what it needs; the files stay, the name needn't.
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def _counted(held: DataFrame, order: int) -> tuple[Model, DataFrame]:
+    """The model of a table of chunks, its arrays stored, and the answers for the chunks: (level, bucket, chunk, b)."""
+    if order < 2:
+        raise ValueError("the order is 2 or more")
+    spark = held.sparkSession
+    folder = shared_path(spark, "kneser-ney")
     tokens = held.select(F.sum(F.length("tokens"))).first()[0] or 0  # about a byte or two a token
     bits = int(max(LEAST_BUCKETS, tokens / 1.5 / BUCKET_TOKENS) - 1).bit_length()
 
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                c = Chunk(row)
-                for b, i, j in _slices(c.hashes, bits):
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["chunk"]]), pa.array([packed_sorted(c.hashes[i:j])]), pa.array([packed(c.counts[i:j].astype(np.uint64))])], ["bucket", "chunk", "a", "b"])
-
-    counted = written(held.mapInArrow(bigrams, _BLOB).groupBy("bucket").applyInArrow(_bigram_bucket, _OUT), "bigrams")
-
-    def words(key: tuple, own: pa.Table, replies: pa.Table) -> pa.Table:
-        rows = []
-        for row in own.to_pylist():
-            c = Chunk(row)
-            told = np.concatenate([unpacked(x) for x in _replies([replies], "a")]).astype(np.int64)
-            total, mine = told >> 1, (told & 1).astype(bool)
-            n = len(c.words)
-            figures = np.stack([
-                np.bincount(c.tokens[c.trained], minlength=n),
-                *[np.bincount(c.left[mine & when], minlength=n) for when in (total == 1, total == 2, total > 2)],
-                np.bincount(c.right[mine], minlength=n),
-            ])
-            rows += [(b, row["chunk"], packed_sorted(c.words[i:j]), packed(np.ascontiguousarray(figures[:, i:j]).ravel().astype(np.uint64))) for b, i, j in _slices(c.words, bits)]
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "a", "b"])
-
-    answers = counted.filter("kind = 0").select("chunk", "bucket", "a")
-    told = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(words, _BLOB)
-    return counted, written(told.groupBy("bucket").applyInArrow(_word_bucket, _OUT), "words")
-
-
-def score(docs: DataFrame, trained: Column) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every document, from a model of the documents that `trained` holds for."""
-    kind = docs.schema["doc_id"].dataType
-    held = table_of_chunks(docs, trained)
-    bigrams, words = count(held)
-    # One short row a bucket, summed by Spark.
-    ints = lambda df, n: df.filter("kind = 2").agg(*[F.sum(F.col("n")[k]) for k in range(n)]).first()
-    two = discounts(*[x or 0 for x in ints(bigrams, 4)])
-    kinds, m1, m2, m3, m4, more, train_tokens, distinct = [x or 0 for x in ints(words, 8)]
-    one = discounts(m1, m2, m3, m4)
-
-    def final(key: tuple, own: pa.Table, replies: pa.Table) -> pa.Table:
-        parts = []
-        for row in own.to_pylist():
-            c = Chunk(row)
-            pairs = np.concatenate([unpacked(x) for x in _replies([replies.filter(pa.compute.field("of") == 2)], "a")]).astype(np.int64) >> 1
-            figures = np.concatenate([unpacked(x).reshape(5, -1) for x in _replies([replies.filter(pa.compute.field("of") == 1)], "b")], axis=1).astype(np.int64)
-            raw, *follow, ended = figures
-            base = np.log10((raw + 1) / (train_tokens + 1 * (distinct + 1)))
-            some = max(kinds, 1)
-            left_over = (one[0] * m1 + one[1] * m2 + one[2] * more) / some if kinds else 1.0
-            lower = np.maximum(ended - np.where(ended > 0, one[np.clip(ended, 1, 3) - 1], 0), 0) / some + left_over / (distinct + 1)
-            seen = follow[0] + follow[1] + follow[2]
-            total = raw.copy()
-            total[c.end] = 0
-            total[c.begin] = raw[c.end]  # as many documents begin as end
-            gamma = np.where(seen > 0, (two[0] * follow[0] + two[1] * follow[1] + two[2] * follow[2]) / np.maximum(total, 1), 1.0)
-            p = np.maximum(pairs - np.where(pairs > 0, two[np.clip(pairs, 1, 3) - 1], 0), 0) / np.maximum(total[c.left], 1) + gamma[c.left] * lower[c.right]
-            first = np.cumsum(c.sizes) - c.sizes
-            sums = lambda x: np.add.reduceat(x, first)
-            parts.append(pa.table({
-                "doc_id": pa.array(c.doc_ids, own.schema.field("doc_ids").type.value_type), "held_out": c.held, "n_tokens": c.sizes, "n_known": sums((raw > 0)[c.tokens].astype(np.int64)),
-                "train_tokens": np.full(len(c.sizes), train_tokens), "base_score": sums(base[c.tokens]), "score": sums(np.log10(p)[c.bigram]),
-            }))
-        return pa.concat_tables(parts)
-
-    answers = bigrams.filter("kind = 0").select("chunk", "bucket", F.lit(2).alias("of"), "a", "b").union(words.filter("kind = 0").select("chunk", "bucket", F.lit(1).alias("of"), "a", "b"))
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    out = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(final, schema)
+                c = Chunk(row, order)
+                for message in _messages(c, row["chunk"], order, bits, c.figures(order, order)):
+                    yield _sent([message])
+
+    def shorter(level: int):
+        def run(key: tuple, own: pa.Table, replies: pa.Table) -> pa.Table:
+            above = _answers(replies, level + 1, _figures(level + 1, order) + 1)
+            rows = []
+            for row in own.to_pylist():
+                c = Chunk(row, order)
+                rows += _messages(c, row["chunk"], level, bits, c.figures(level, order, above))
+            return pa.Table.from_batches([_sent(rows)])
+
+        return run
+
+    told = []
+    for level in range(order, 0, -1):
+        sent = held.mapInArrow(longest, _SENT) if level == order else held.groupBy("chunk").cogroup(told[-1].filter("kind = 0").select("chunk", "level", "bucket", "b").groupBy("chunk")).applyInArrow(shorter(level), _SENT)
+        told.append(written(sent.groupBy("level", "bucket").applyInArrow(_bucket(folder, order), _OUT), f"level{level}"))
+    # One short row a bucket and level, summed by Spark.
+    sums = [[x or 0 for x in t.filter("kind = 2").agg(*[F.sum(F.col("n")[k]) for k in range(8)]).first()] for t in reversed(told)]
+    cuts = [discounts(*s[1:5]).tolist() for s in sums]
+    kinds, m1, m2, _, _, more, train_tokens, distinct = sums[0]
+    left_over = (cuts[0][0] * m1 + cuts[0][1] * m2 + cuts[0][2] * more) / kinds if kinds else 1.0
+    model = Model(folder, order, bits, train_tokens, distinct, kinds, left_over, cuts)
+    model.save()
+    answers = told[0]
+    for t in told[1:]:
+        answers = answers.union(t)
+    return model, answers.filter("kind = 0").select("chunk", "level", "bucket", "b")
+
+
+def _scored(held: DataFrame, model: Model, answers: DataFrame, marked: bool) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity) of a table of chunks and its answers; `marked` ones have a row of marks besides."""
+    kind = held.schema["doc_ids"].dataType.elementType
+
+    def run(key: tuple, own: pa.Table, replies: pa.Table) -> pa.Table:
+        of = own.schema.field("doc_ids").type.value_type
+        found = {level: _answers(replies, level, _figures(level, model.order) + marked) for level in range(1, model.order + 1)}
+        return pa.concat_tables([Chunk(row, model.order).scored(model, found, of) for row in own.to_pylist()])
+
+    schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    out = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
-def held_out(docs: DataFrame) -> DataFrame:
-    """`score` with the documents whose crc32(doc_id) mod 7 isn't 2 as training documents."""
-    return score(docs, fold(F.col("doc_id"), 7) != 2)
+def train(docs: DataFrame, trained: Column | None = None, order: int = ORDER) -> Model:
+    """A model of the documents that `trained` holds for, stored in the shared folder; `Model.load` reads it again from its `folder`."""
+    return _counted(table_of_chunks(docs, F.lit(True) if trained is None else trained), order)[0]
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """The scores of any table by a stored model: chunks ask buckets, whose workers map the stored arrays."""
+    held = table_of_chunks(docs, F.lit(False))
+    folder, order, bits = model.folder, model.order, model.bits
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = Chunk(row, order)
+                for level in range(1, order + 1):
+                    for message in _messages(c, row["chunk"], level, bits, None):
+                        yield _sent([message])
+
+    def answer(table: pa.Table) -> pa.Table:
+        level, bucket = table.column("level")[0].as_py(), table.column("bucket")[0].as_py()
+        none = _local(_file(folder, level, bucket, "keys"))
+        # A bucket that no chunk sent anything to has no file.
+        look = _lookup(folder, level, order, bucket) if none is None or os.path.exists(none) else lambda h: np.zeros((_figures(level, order), len(h)), np.int64)
+        return _told([(0, level, bucket, chunk, packed(look(unpacked_sorted(a)).ravel().astype(np.uint64)), None) for chunk, a in zip(table.column("chunk").to_pylist(), table.column("a").to_pylist(), strict=True)])
+
+    answers = held.mapInArrow(asked, _SENT).groupBy("level", "bucket").applyInArrow(answer, _OUT)
+    return _scored(held, model, answers.select("chunk", "level", "bucket", "b"), marked=False)
+
+
+def train_and_score(docs: DataFrame, trained: Column, order: int = ORDER) -> DataFrame:
+    """The scores of all documents by a model of those that `trained` holds for; the buckets answer while they count, so nothing is asked twice."""
+    held = table_of_chunks(docs, trained)
+    model, answers = _counted(held, order)
+    return _scored(held, model, answers, marked=True)
+
+
+def held_out(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """`train_and_score` with the documents whose crc32(doc_id) mod 7 isn't 2 as training documents, and held_out."""
+    return train_and_score(docs, fold(F.col("doc_id"), 7) != 2, order).withColumn("held_out", fold(F.col("doc_id"), 7) == 2)

@@ -291,43 +291,76 @@ def test_cutting_goes_on_until_nothing_is_left(spark):
 # --- 3: language model
 
 
-def test_model_against_brute_force(spark, docs, monkeypatch):
+def brute_model(tokens, train, order):
+    """The probability of the last of some words, by plain counting."""
+    counts = [Counter() for _ in range(order + 1)]
+    for i in train:
+        padded = ["<s>"] * (order - 1) + tokens[i]
+        counts[order].update(tuple(padded[k : k + order]) for k in range(len(tokens[i])))
+    for n in range(order - 1, 0, -1):
+        counts[n].update(g[1:] for g in counts[n + 1])
+    of = [Counter(c.values()) for c in counts]
+    cuts = [None, *[kneser_ney.discounts(*[of[n][k] for k in (1, 2, 3, 4)]) for n in range(1, order + 1)]]
+    followed = [defaultdict(list) for _ in range(order + 1)]
+    for n in range(1, order + 1):
+        for g, c in counts[n].items():
+            followed[n][g[:-1]].append(c)
+    v = len({t for i in train for t in tokens[i]})
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / (v + 1)
+        after = followed[n].get(gram[:-1])
+        if not after:
+            return p(gram[1:])
+        c = counts[n][gram]
+        left = sum(cuts[n][min(x, 3) - 1] for x in after)
+        return (max(c - cuts[n][min(c, 3) - 1], 0) if c else 0) / sum(after) + left / sum(after) * p(gram[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_model_against_brute_force(spark, docs, monkeypatch, order):
     monkeypatch.setattr(kneser_ney, "CHUNK_TEXT", 1 << 16)
-    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(-5, None), (-6, ""), (-7, "Zz qq  zz")]
+    rows = [(r.doc_id, r.text) for r in docs.filter("doc_id % 3 = 0").collect()] + [(-5, None), (-6, ""), (-7, "Zz qq  zz")]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r for r in kneser_ney.held_out(table).collect()}
+    got = {r.doc_id: r for r in kneser_ney.held_out(table, order).collect()}
     tokens = {i: [*low(x).split(), "</s>"] for i, x in rows}
     train = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2}
-    one, two = Counter(), Counter()
-    for i in train:
-        one.update(tokens[i])
-        two.update(zip(["<s>", *tokens[i]], tokens[i], strict=False))
+    one = Counter(t for i in train for t in tokens[i])
     n, v = sum(one.values()), len(one)
-    begun, follow, ended = Counter(), defaultdict(lambda: [0, 0, 0]), Counter()
-    for (a, b), c in two.items():
-        begun[a] += c
-        follow[a][min(c, 3) - 1] += 1
-        ended[b] += 1
-    d2, m = Counter(two.values()), Counter(ended.values())
-    d2, d1 = (kneser_ney.discounts(*[c[k] for k in (1, 2, 3, 4)]) for c in (d2, m))
-    left = (d1[0] * m[1] + d1[1] * m[2] + d1[2] * sum(x for k, x in m.items() if k > 2)) / len(two)
-
-    def lower(w):
-        c = ended[w]
-        return (max(c - d1[min(c, 3) - 1], 0) if c else 0) / len(two) + left / (v + 1)
-
-    def p(a, w):
-        if not begun[a]:
-            return lower(w)
-        c = two[a, w]
-        return (max(c - d2[min(c, 3) - 1], 0) if c else 0) / begun[a] + sum(d2[k] * follow[a][k] for k in range(3)) / begun[a] * lower(w)
-
-    assert math.isclose(sum(p("the", w) for w in one) + p("the", "<never>"), 1)
+    p = brute_model(tokens, train, order)
+    context = ("<s>",) * (order - 2) + ("the",)
+    assert math.isclose(sum(p((*context, w)) for w in one) + p((*context, "<never>")), 1)
     for i, ts in tokens.items():
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ts), sum(one[t] > 0 for t in ts), n, i not in train)
         assert math.isclose(r.base_score, sum(math.log10((one[t] + 1) / (n + v + 1)) for t in ts), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip(["<s>", *ts], ts, strict=False)), rel_tol=1e-9)
+        padded = ["<s>"] * (order - 1) + ts
+        assert math.isclose(r.score, sum(math.log10(p(tuple(padded[k : k + order]))) for k in range(len(ts))), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_a_stored_model_scores_other_tables(spark, docs, monkeypatch, order):
+    """What a second table gets from the files alone is what it gets along with the counting; the files are what the arrays are mapped from."""
+    import os
+
+    monkeypatch.setattr(kneser_ney, "CHUNK_TEXT", 1 << 18)
+    from pyspark.sql import functions as F
+
+    trained = F.col("doc_id") % 3 != 1
+    both = {r.doc_id: r for r in kneser_ney.train_and_score(docs, trained, order).collect()}
+    folder = kneser_ney.train(docs, trained, order).folder
+    model = kneser_ney.Model.load(folder)
+    keys = kneser_ney.mapped(kneser_ney._file(folder, order, 0, "keys"), "<u8")
+    assert isinstance(keys, np.memmap) and len(keys) and (np.diff(keys) > 0).all() and os.path.exists(keys.filename)
+    other = docs.filter(~trained).repartition(2)
+    got = kneser_ney.score(other, model).collect()
+    assert len(got) == other.count() and all((r.score, r.base_score, r.n_known) == (both[r.doc_id].score, both[r.doc_id].base_score, both[r.doc_id].n_known) for r in got)
+    assert kneser_ney.score(docs.limit(0), model).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tallyfold")]
 
 
 def test_model_on_odd_rows(spark, odd, none):
@@ -335,7 +368,7 @@ def test_model_on_odd_rows(spark, odd, none):
 
     assert kneser_ney.held_out(odd).count() == len(ODD)
     assert kneser_ney.held_out(none).count() == 0
-    untrained = kneser_ney.score(odd, F.lit(False)).collect()
+    untrained = kneser_ney.train_and_score(odd, F.lit(False)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.score == 0 for r in untrained)
 
 
