@@ -1,10 +1,11 @@
-"""Media columns, GIF: texts (or any bytes) stored as animated greyscale GIFs, and any GIF read back:
+"""Media columns, GIF: texts (or any bytes) stored as animated colour GIFs, and any GIF read back:
 LZW code streams decoded, palettes applied, disposal and transparency followed, timed frames kept with
 colour-histogram columns.
 
-A payload of n x 576 bytes becomes frames 24 pixels wide and up to 384 high (16 blocks of 24 x 24, the last
-frame as high as what is left); the palette maps sample i to grey i, so the samples of the stored form are
-the payload itself.
+A payload of n x 576 bytes becomes interlaced frames 24 pixels wide and up to 384 high (16 blocks of 24 x 24, the last
+frame as high as what is left). A sample is a byte of the payload; the palette gives it a colour of three bits of red, three of
+green and two of blue. Byte 255, which no UTF-8 text has, is transparent, so padding isn't drawn, and each frame
+is cleared before the next one. The samples of the stored form are the payload itself.
 
 Cases: null and empty texts give one frame of 255; equal texts give equal files; repeated rows give repeated
 rows; a broken stream raises GifError in `read_gif`, and `frame_rows` gives its row an error text and no frames;
@@ -34,7 +35,9 @@ ROWS = 16 * SIDE
 DELAY = 4  # hundredths of a second a frame
 PAD = 255
 _SINGLE = [bytes([i]) for i in range(256)]
-_PALETTE = bytes(v for i in range(256) for v in (i, i, i))
+_PALETTE = bytes(v for i in range(256) for v in ((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 255 // 3))
+#: Ranges of red, green and blue each that colours are counted by.
+BINS = 4
 
 
 class GifError(ValueError):
@@ -146,13 +149,17 @@ def _blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(x := data[i : i + 255])]) + x for i in range(0, len(data), 255)) + b"\0"
 
 
-def write_gif(payload: bytes) -> bytes:
-    """The payload, a multiple of 576 samples, as an animated greyscale GIF."""
+def write_gif(payload: bytes, palette: bytes = _PALETTE, disposal: int = 2, transparent: int | None = PAD, interlaced: bool = True) -> bytes:
+    """The payload, a multiple of 576 samples, as an animated GIF."""
     height = min(ROWS, len(payload) // SIDE)
-    parts = [b"GIF89a", struct.pack("<HHBBB", SIDE, height, 0xF7, 0, 0), _PALETTE, b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0"]
+    parts = [b"GIF89a", struct.pack("<HHBBB", SIDE, height, 0xF7, PAD, 0), palette, b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0"]
     for i in range(0, len(payload), ROWS * SIDE):
         piece = payload[i : i + ROWS * SIDE]
-        parts += [b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, DELAY, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, SIDE, len(piece) // SIDE, 0), b"\x08", _blocks(lzw_encode(piece))]
+        rows = len(piece) // SIDE
+        if interlaced:
+            piece = np.frombuffer(piece, np.uint8).reshape(rows, SIDE)[_rows(rows, True)].tobytes()
+        parts += [b"\x21\xf9\x04", struct.pack("<BHB", disposal << 2 | (transparent is not None), DELAY, transparent or 0), b"\0"]
+        parts += [b"\x2c", struct.pack("<HHHHB", 0, 0, SIDE, rows, 0x40 * interlaced), b"\x08", _blocks(lzw_encode(piece))]
     return b"".join([*parts, b"\x3b"])
 
 
@@ -241,12 +248,20 @@ def read_gif(data: bytes) -> Iterator[Frame]:
             raise GifError(f"unknown block {kind:#x}")
 
 
-def histogram(canvas: np.ndarray, bins: int = 4) -> np.ndarray:
+def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Pixels of the canvas by its red, green and blue cut into `bins` equal ranges each."""
-    q = canvas.astype(np.int64) * bins >> 8
+    q = canvas.astype(np.int32) * bins >> 8
     return np.bincount((q[..., 0] * bins * bins + q[..., 1] * bins + q[..., 2]).ravel(), minlength=bins**3)
 
 
+def timed_frames(gif: bytes, bins: int = BINS) -> Iterator[tuple[int, Frame, np.ndarray]]:
+    """Of each frame when it begins to show, in hundredths of a second, the frame, and the histogram of the screen while it shows."""
+    start = 0
+    for frame in read_gif(gif):
+        yield start, frame, histogram(frame.canvas, bins)
+        start += frame.delay
+
+
 def payload_of(text: str | None) -> tuple[int, bytes]:
     """Unpadded length, and the UTF-8 bytes padded with 255 to a positive multiple of 576."""
     raw = (text or "").encode()
@@ -256,26 +271,26 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 def _measured(raw_len: int, gif: bytes) -> tuple:
     sha, last, size, frames, shown = hashlib.sha256(), b"", 0, 0, 0
-    grey = np.zeros(16, np.int64)
-    for frame in read_gif(gif):
+    colours = np.zeros(BINS**3, np.int64)
+    for start, frame, counts in timed_frames(gif):
         piece = frame.samples.tobytes()
         sha.update(piece)
         last = (last + piece)[-32:]
         size += len(piece)
         frames += 1
-        shown += frame.delay
-        grey += np.bincount(frame.canvas[: len(frame.samples), :, 0].ravel() >> 4, minlength=16)
-    return (raw_len, size, sha.hexdigest(), zlib.crc32(last), len(gif), hashlib.sha256(gif).hexdigest(), frames, shown, grey.tolist())
+        shown = start + frame.delay
+        colours += counts
+    return (raw_len, size, sha.hexdigest(), zlib.crc32(last), len(gif), hashlib.sha256(gif).hexdigest(), frames, shown, colours.tolist())
 
 
 _OUT = [
     ("n_bytes", T.LongType(), pa.int64()), ("payload_bytes", T.LongType(), pa.int64()), ("payload_sha256", T.StringType(), pa.string()), ("tail_crc32", T.LongType(), pa.int64()),
-    ("media_bytes", T.LongType(), pa.int64()), ("media_sha256", T.StringType(), pa.string()), ("n_frames", T.LongType(), pa.int64()), ("duration_cs", T.LongType(), pa.int64()), ("grey16", T.ArrayType(T.LongType()), pa.list_(pa.int64())),
+    ("media_bytes", T.LongType(), pa.int64()), ("media_sha256", T.StringType(), pa.string()), ("n_frames", T.LongType(), pa.int64()), ("duration_cs", T.LongType(), pa.int64()), ("colours", T.ArrayType(T.LongType()), pa.list_(pa.int64())),
 ]
 
 
 def gif_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
-    """doc_id with the figures of each text's stored GIF, read back from its bytes: sizes, hashes, frames, shown time and the grey histogram of 16 bins; with keep_media the GIF itself as `media`. One pass, no shuffle."""
+    """doc_id with the figures of each text's stored GIF, read back from its bytes: sizes, hashes, frames, shown time and the summed colour histogram of 64 bins; with keep_media the GIF itself as `media`. One pass, no shuffle."""
     docs = docs.select("doc_id", "text")
     out = [*_OUT, *([("media", T.BinaryType(), pa.binary())] if keep_media else [])]
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, t) for n, t, _ in out]])
@@ -293,7 +308,7 @@ def gif_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def frame_rows(media: DataFrame, column: str = "media", bins: int = 4) -> DataFrame:
+def frame_rows(media: DataFrame, column: str = "media", bins: int = BINS) -> DataFrame:
     """One row per frame of each GIF: the other columns of `media`, frame, delay_cs, disposal, start_cs, histogram (bins**3 counts), pixels (RGB); a GIF that can't be read gives one row with its error."""
     kept = [f for f in media.schema.fields if f.name not in {column, "frame", "delay_cs", "disposal", "start_cs", "histogram", "pixels", "error"}]
     extra = T.StructType.fromDDL("frame int, delay_cs int, disposal int, start_cs long, histogram array<long>, pixels binary, error string")
@@ -303,11 +318,10 @@ def frame_rows(media: DataFrame, column: str = "media", bins: int = 4) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, gif in enumerate(batch.column(column).to_pylist()):
-                rows, start, error = [], 0, None
+                rows, error = [], None
                 try:
-                    for k, f in enumerate(read_gif(gif or b"")):
-                        rows.append((k, f.delay, f.disposal, start, histogram(f.canvas, bins).tolist(), f.canvas.tobytes(), None))
-                        start += f.delay
+                    for k, (start, f, counts) in enumerate(timed_frames(gif or b"", bins)):
+                        rows.append((k, f.delay, f.disposal, start, counts.tolist(), f.canvas.tobytes(), None))
                 except (GifError, IndexError, struct.error) as e:
                     error = str(e) or type(e).__name__
                 if error is not None:
@@ -321,6 +335,6 @@ def frame_rows(media: DataFrame, column: str = "media", bins: int = 4) -> DataFr
 
 
 def digests(columns: DataFrame) -> DataFrame:
-    """The figures with `feature`, the grey histogram, frames and shown time as one text, for comparing rows."""
-    feature = F.concat(F.lit("f"), F.col("n_frames"), F.lit(" d"), F.col("duration_cs"), F.lit(" g"), F.array_join("grey16", ","))
-    return columns.withColumn("feature", feature).drop("n_frames", "duration_cs", "grey16")
+    """The figures with `feature`, the colour histogram, frames and shown time as one text, for comparing rows."""
+    feature = F.concat(F.lit("f"), F.col("n_frames"), F.lit(" d"), F.col("duration_cs"), F.lit(" c"), F.array_join("colours", ","))
+    return columns.withColumn("feature", feature).drop("n_frames", "duration_cs", "colours")

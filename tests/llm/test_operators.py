@@ -418,6 +418,21 @@ def test_interlaced_rows_and_histogram():
     assert media_gif.histogram(frame.canvas, 2).sum() == 9
 
 
+def test_written_forms_come_back():
+    payload = ("Ça va? " * 400).encode()
+    payload += b"\xff" * (-len(payload) % 576)
+    for disposal in (0, 1, 2, 3):
+        for transparent in (None, 255, 7):
+            for interlaced in (False, True):
+                frames = list(media_gif.read_gif(media_gif.write_gif(payload, disposal=disposal, transparent=transparent, interlaced=interlaced)))
+                assert b"".join(f.samples.tobytes() for f in frames) == payload and {f.disposal for f in frames} == {disposal}
+    (_, first, counts), = media_gif.timed_frames(media_gif.write_gif(payload))
+    seen = [tuple(int(payload[i]) >> k & m for k, m in ((5, 7), (2, 7), (0, 3))) for i in range(len(payload)) if payload[i] != 255]
+    slow = Counter((r * 255 // 7 * 4 >> 8) * 16 + (g * 255 // 7 * 4 >> 8) * 4 + (b * 255 // 3 * 4 >> 8) for r, g, b in seen)
+    slow[0] += payload.count(255)  # transparent padding shows the empty screen
+    assert dict(slow) == {i: int(n) for i, n in enumerate(counts) if n}
+
+
 def test_stored_texts(spark, docs, odd, none):
     rows = {r.doc_id: r.text for r in docs.collect()}
     for r in media_gif.digests(media_gif.gif_columns(docs)).collect():
