@@ -3,12 +3,15 @@ buffers, and word boundaries and word hashes computed for a whole buffer at once
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_path(path: str) -> str | None:
+    """A path that the machine can open, if the shared folder is one."""
+    parsed = urlparse(path)
+    return unquote(parsed.path) if parsed.scheme in ("", "file") else None
+
+
+def put(path: str, data: bytes) -> None:
+    """Writes a file of the shared folder, whole or not at all."""
+    aside = f"{path}.{uuid.uuid4().hex}"
+    if (at := local_path(aside)) is not None:
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        with open(at, "wb") as f:
+            f.write(data)
+        os.replace(at, local_path(path))
+        return
+    fs, at = pa.fs.FileSystem.from_uri(aside)
+    fs.create_dir(os.path.dirname(at))
+    with fs.open_output_stream(at) as f:
+        f.write(data)
+    fs.move(at, pa.fs.FileSystem.from_uri(path)[1])
+
+
+def mapped(path: str, dtype: str) -> np.ndarray:
+    """A stored array, memory-mapped; from a store that can't be mapped it is read (so it must be bounded)."""
+    if (at := local_path(path)) is not None:
+        return np.memmap(at, dtype, "r") if os.path.getsize(at) else np.zeros(0, dtype)
+    fs, at = pa.fs.FileSystem.from_uri(path)
+    with fs.open_input_stream(at) as f:
+        return np.frombuffer(f.read(), dtype)
+
+
 def clear(spark: SparkSession) -> None:
     """Removes what `written` has left so far. Results that are still to be computed from it are lost, so it is for the end of a job."""
     jvm = spark.sparkContext._jvm

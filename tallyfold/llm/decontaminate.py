@@ -7,7 +7,8 @@ suffix position and every run's start kept; windows are searched through the mat
 word to their first, occurrences are located by walking to a kept position, and overlapping ones merge to
 spans that can be removed.
 
-A benchmark of more than BLOCK_BYTES is taken in blocks, one after another in the same pass.
+The benchmark is made into blocks of about BLOCK_BYTES of text by Spark, each written to the shared folder; the driver
+knows their paths only, and a worker loads one after another in the same pass over the documents.
 
 Cases: null and empty texts have no words and no hits; items without words have no window, and items with a
 null id are left out; items that repeat an id count as one; repeated documents give repeated rows; with an
@@ -16,8 +17,10 @@ empty benchmark nothing is hit; other columns pass through, and a column with on
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, chunks, flat, small_batches, spans, word_hashes
+from .common import ALNUM, CHUNK_BYTES, LOWER, chunks, flat, mapped, put, shared_path, small_batches, spans, word_hashes
 
 WINDOW = 10
 SAMPLE = 16
@@ -127,12 +130,14 @@ class FmIndex:
 
 @dataclass
 class Windows:
-    """The windows of benchmark items: vocabulary (sorted word hashes), patterns of word numbers from 1 set to the right, and the items of each."""
+    """The windows of benchmark items: vocabulary (sorted word hashes), patterns of word numbers from 1 set to the right, and the items of each: window w has items[at[w] : at[w + 1]], numbers in `ids`."""
 
     words: np.ndarray
     patterns: np.ndarray
     lengths: np.ndarray
-    items: list[list[str]]
+    ids: np.ndarray
+    items: np.ndarray
+    at: np.ndarray
 
     @classmethod
     def of(cls, rows: list[tuple[str, str | None]], width: int = WINDOW) -> Windows:
@@ -140,15 +145,35 @@ class Windows:
         low = LOWER[raw]
         starts, ends, cuts = spans(low, offs, ALNUM)
         words, number = np.unique(word_hashes(low, starts, ends), return_inverse=True)
-        found: dict[tuple[int, ...], set[str]] = {}
-        for (item, _), a, b in zip(rows, cuts[:-1], cuts[1:], strict=True):
+        ids, item_of = np.unique(np.array([i for i, _ in rows], object), return_inverse=True) if rows else (np.zeros(0, object), np.zeros(0, np.int64))
+        found: dict[tuple[int, ...], set[int]] = {}
+        for item, a, b in zip(item_of.tolist(), cuts[:-1], cuts[1:], strict=True):
             own = (number[a:b] + 1).tolist()
             for i in range(max(1, len(own) - width + 1) if own else 0):
                 found.setdefault(tuple(own[i : i + width]), set()).add(item)
-        patterns = np.zeros((len(found), width), np.int64)
+        patterns = np.zeros((len(found), width), np.int32)
         for i, p in enumerate(found):
             patterns[i, width - len(p) :] = p
-        return cls(words, patterns, np.array([len(p) for p in found], np.int64), [sorted(x) for x in found.values()])
+        n = np.array([len(x) for x in found.values()], np.int64)
+        return cls(words, patterns, np.array([len(p) for p in found], np.int64), ids, np.array([x for own in found.values() for x in sorted(own)], np.int64), np.concatenate([[0], np.cumsum(n)]))
+
+    def items_of(self, window: int) -> list[str]:
+        return self.ids[self.items[self.at[window] : self.at[window + 1]]].tolist()
+
+    def save(self, path: str) -> None:
+        parts = [pa.array(x) for x in (self.words, self.patterns.ravel(), self.lengths, self.ids.astype(str), self.items, self.at)]
+        out = io.BytesIO()
+        with pa.ipc.new_file(out, pa.schema([(f"c{i}", pa.list_(x.type)) for i, x in enumerate(parts)])) as f:
+            f.write_batch(pa.RecordBatch.from_arrays([pa.array([x], pa.list_(x.type)) for x in parts], [f"c{i}" for i in range(len(parts))]))
+        put(path, out.getvalue())
+
+
+@lru_cache(1)
+def load(path: str) -> Windows:
+    """A stored block; a worker keeps one."""
+    row = pa.ipc.open_file(pa.BufferReader(mapped(path, "u1"))).get_batch(0)
+    words, patterns, lengths, ids, items, at = (row.column(i).flatten() for i in range(6))
+    return Windows(words.to_numpy(), patterns.to_numpy().reshape(len(lengths), -1), lengths.to_numpy(), np.array(ids.to_pylist(), object), items.to_numpy(), at.to_numpy())
 
 
 @dataclass
@@ -223,13 +248,26 @@ def merged(found: Found, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.searchsorted(found.cuts, first, side="right") - 1, first, after, sums[found.cuts[1:]] - sums[found.cuts[:-1]]
 
 
-def blocks(benchmark: DataFrame) -> list[Windows]:
-    """The benchmark's windows in blocks of about BLOCK_BYTES of text."""
+def blocks(benchmark: DataFrame) -> list[str]:
+    """The benchmark's windows in blocks of about BLOCK_BYTES of text: the paths that they were written to."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter(F.col("item").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // BLOCK_BYTES)
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(max(n, 1))))
-    return [Windows.of([(r["item"], r["text"]) for r in dealt.filter(F.col("block") == b).orderBy("item", "text").collect()]) for b in range(n)]
+    folder = shared_path(benchmark.sparkSession, "benchmark")
+
+    def one(table: pa.Table) -> pa.Table:
+        path = f"{folder}/{table.column('block')[0].as_py():08d}.arrow"
+        table = table.sort_by([("item", "ascending"), ("text", "ascending")])
+        Windows.of(list(zip(table.column("item").to_pylist(), table.column("text").to_pylist(), strict=True))).save(path)
+        return pa.table({"path": [path]})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(-(-size // BLOCK_BYTES) or 1)))
+    # One path a block.
+    return sorted(r["path"] for r in dealt.groupBy("block").applyInArrow(one, "path string").collect())
+
+
+def shard(parts: list[str]) -> int:
+    """Bytes of text of a shard: larger where several blocks are loaded for each."""
+    return CHUNK_BYTES * max(1, min(16, len(parts)))
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("after", T.LongType())]))
@@ -243,16 +281,16 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts = blocks(benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches):
+        for table in chunks(batches, shard(parts)):
             raw, offs = flat(table.column("text"))
-            founds = [search(raw, offs, w) for w in parts] or [search(raw, offs, Windows.of([]))]
             items: list[set[str]] = [set() for _ in range(table.num_rows)]
-            for f, w in zip(founds, parts, strict=False):
-                for text, window in np.unique(np.stack([f.text, f.window], 1), axis=0).tolist():
-                    items[text].update(w.items[window])
-            f = founds[0]
-            if len(founds) > 1:
-                f.first, f.after = np.concatenate([x.first for x in founds]), np.concatenate([x.after for x in founds])
+            f = search(raw, offs, Windows.of([]))
+            for path in parts:
+                w = load(path)
+                found = search(raw, offs, w)
+                for text, window in np.unique(np.stack([found.text, found.window], 1), axis=0).tolist():
+                    items[text].update(w.items_of(window))
+                f.first, f.after = np.concatenate([f.first, found.first]), np.concatenate([f.after, found.after])
             text, first, after, n_hit = merged(f, table.num_rows)
             own: list[list] = [[] for _ in range(table.num_rows)]
             for t, a, b in zip(text.tolist(), (first - f.cuts[text]).tolist(), (after - f.cuts[text]).tolist(), strict=True):
@@ -281,17 +319,18 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts = blocks(benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches):
+        for table in chunks(batches, shard(parts)):
             texts = None
             open_ = np.arange(table.num_rows)
             now = table.column("text")
             while len(open_):
                 raw, offs = flat(now)
-                founds = [search(raw, offs, w) for w in parts]
-                if not sum(len(f.first) for f in founds):
+                f = search(raw, offs, Windows.of([]))
+                for path in parts:
+                    found = search(raw, offs, load(path))
+                    f.first, f.after = np.concatenate([f.first, found.first]), np.concatenate([f.after, found.after])
+                if not len(f.first):
                     break
-                f = founds[0]
-                f.first, f.after = np.concatenate([x.first for x in founds]), np.concatenate([x.after for x in founds])
                 text, first, after, _ = merged(f, len(open_))
                 texts = table.column("text").to_pylist() if texts is None else texts
                 own: dict[int, list[tuple[int, int]]] = {}

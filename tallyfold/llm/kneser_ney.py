@@ -27,21 +27,18 @@ from __future__ import annotations
 import json
 import os
 import struct
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_SPACE, chunks, flat, fold, pair, shared_path, small_batches, spans, word_hashes, written
+from .common import LOWER, NOT_SPACE, chunks, flat, fold, local_path, mapped, pair, put, shared_path, small_batches, spans, word_hashes, written
 
 #: Bytes of text of a chunk, and tokens of the input for each bucket.
 CHUNK_TEXT, BUCKET_TOKENS, LEAST_BUCKETS = 8 << 20, 3_000_000, 16
@@ -78,37 +75,6 @@ def unpacked_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
-def _local(path: str) -> str | None:
-    """A path that the machine can open, if the shared folder is one."""
-    parsed = urlparse(path)
-    return unquote(parsed.path) if parsed.scheme in ("", "file") else None
-
-
-def put(path: str, data: bytes) -> None:
-    """Writes a file of the shared folder, whole or not at all."""
-    aside = f"{path}.{uuid.uuid4().hex}"
-    if (at := _local(aside)) is not None:
-        os.makedirs(os.path.dirname(at), exist_ok=True)
-        with open(at, "wb") as f:
-            f.write(data)
-        os.replace(at, _local(path))
-        return
-    fs, at = pa.fs.FileSystem.from_uri(aside)
-    fs.create_dir(os.path.dirname(at))
-    with fs.open_output_stream(at) as f:
-        f.write(data)
-    fs.move(at, pa.fs.FileSystem.from_uri(path)[1])
-
-
-def mapped(path: str, dtype: str) -> np.ndarray:
-    """A stored array, memory-mapped; from a store that can't be mapped it is read (a bucket's arrays are bounded)."""
-    if (at := _local(path)) is not None:
-        return np.memmap(at, dtype, "r") if os.path.getsize(at) else np.zeros(0, dtype)
-    fs, at = pa.fs.FileSystem.from_uri(path)
-    with fs.open_input_stream(at) as f:
-        return np.frombuffer(f.read(), dtype)
-
-
 def _figures(level: int, order: int) -> int:
     """How many figures an n-gram of a level has."""
     return 1 if level == order else 6 if level == 1 else 5
@@ -443,7 +409,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def answer(table: pa.Table) -> pa.Table:
         level, bucket = table.column("level")[0].as_py(), table.column("bucket")[0].as_py()
-        none = _local(_file(folder, level, bucket, "keys"))
+        none = local_path(_file(folder, level, bucket, "keys"))
         # A bucket that no chunk sent anything to has no file.
         look = _lookup(folder, level, order, bucket) if none is None or os.path.exists(none) else lambda h: np.zeros((_figures(level, order), len(h)), np.int64)
         return _told([(0, level, bucket, chunk, packed(look(unpacked_sorted(a)).ravel().astype(np.uint64)), None) for chunk, a in zip(table.column("chunk").to_pylist(), table.column("a").to_pylist(), strict=True)])

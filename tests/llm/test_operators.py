@@ -251,7 +251,7 @@ def test_index_search_against_brute_force():
         found = decontaminate.search(*flat(pa.array(texts, pa.string())), windows)
         text, first, after, n_hit = decontaminate.merged(found, len(texts))
         hits = [sorted({w - int(found.cuts[t]) for t, a, b in zip(text, first, after, strict=True) if t == i for w in range(a, b)}) for i in range(len(texts))]
-        own = [sorted({x for t, w in zip(found.text, found.window, strict=True) if t == i for x in windows.items[w]}) for i in range(len(texts))]
+        own = [sorted({x for t, w in zip(found.text, found.window, strict=True) if t == i for x in windows.items_of(w)}) for i in range(len(texts))]
         assert [(int(n), h, o) for n, h, o in zip(np.diff(found.cuts), hits, own, strict=True)] == brute_hits(texts, items)
         assert n_hit.tolist() == [len(h) for h in hits]
 
