@@ -79,10 +79,15 @@ def compact(x: Column) -> Column:
 # --- dates
 
 
+#: A day, or a moment of it with any fraction and zone; its date is the one that is written, whatever the zone.
+_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)?)?$"
+
+
 def parse_date(s: Column) -> Column:
-    """The first of the known formats that fits; null if none does."""
+    """The first of the known formats that fits, else the date of an ISO moment; null if none does."""
     s = F.trim(s)
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)).cast("date") for f in fixed.DATE_FORMATS])
+    iso = F.when(s.rlike(_ISO), F.try_to_timestamp(F.substring(s, 1, 10), F.lit("yyyy-MM-dd")).cast("date"))
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)).cast("date") for f in fixed.DATE_FORMATS], iso)
 
 
 def public_date(signed: Column, entered: Column, today: Column, embargo_days: int = 90) -> Column:
@@ -111,10 +116,10 @@ def ago(d: Column, asof: Column) -> Column:
 
 
 def strip_legal(name: Column) -> Column:
-    """Trailing legal forms off, and '(dba ...)' or '(formerly ...)'; a name of nothing else stays."""
+    """Trailing legal forms off, in three passes of one form of any case and one in capitals before it, and '(dba ...)' or '(formerly ...)'; something always stays."""
     s = F.regexp_replace(F.trim(name), r"(?i)\s*\((?:d/?b/?a|formerly)[^)]*\)", "")
-    forms = rf"(?:(?i:[\s,]+(?:{fixed.LEGAL})\.?)|[\s,]+(?:{fixed.LEGAL_CAPITALS})\.?){{1,6}}[ ,]*$"
-    return F.coalesce(F.nullif(F.regexp_replace(s, forms, ""), F.lit("")), s)
+    a_pass = rf"(?:[\s,]+(?:{fixed.LEGAL_CAPITALS})\.?)?(?:[\s,]+(?i:{fixed.LEGAL})\.?)?[ ,]*"
+    return F.regexp_replace(s, rf"(?<=[^\s,])(?:{a_pass}){{1,3}}$", "")
 
 
 def normalize_name(name: Column) -> Column:

@@ -37,4 +37,7 @@ DESCRIPTIVE = r"\s+(technologies|technology|labs|lab|systems|ai|robotics|industr
 # Fixed value: query parameters that only track.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "fbclid", "gclid"]
 # Fixed value: date formats of public sources, most exact first.
-DATE_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd", "MM/dd/yyyy", "yyyyMMdd", "MMMM d, yyyy", "MMM d, yyyy", "MM-dd-yyyy"]
+DATE_FORMATS = [
+    "yyyy-M-d'T'H:m:s'Z'", "yyyy-M-d'T'H:m:s.SSSSSS'Z'", "yyyy-M-d", "M/d/yyyy", "yyyyMMdd",
+    "MMMM d, yyyy", "MMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "M-d-yyyy",
+]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ladder
@@ -73,17 +73,45 @@ def same_post(domain: Column, name: Column, opening: Column, author: Column) ->
 
 
 def variant_clusters(names: DataFrame, group: str, name: str, n: str, legal: Column, share: float = 0.2) -> DataFrame:
-    """The name of each group's heaviest cluster. Names of one group are related if one's words begin the other's, or they share a first word of five letters or more.
-
-    Related names meet on their first word, so a cluster is the names of a group with one first word (a shorter first word stands for itself
-    and what begins with it); a legal form is preferred if it has two uses or more and a fifth of the cluster's top."""
-    first = F.element_at(F.split(F.col(name), " "), 1)
-    heavy = names.withColumn("_first", first).groupBy(group, "_first").agg(F.sum(n).alias("_n"))
-    best = top_per(heavy, [group], [F.desc("_n"), F.col("_first")]).select(group, "_first", F.col("_n").alias("uses"))
-    own = names.withColumn("_first", first).join(best, [group, "_first"])
-    top = F.max(n).over(Window.partitionBy(group))
-    good = legal & (F.col(n) >= F.greatest(F.lit(2), F.col("_top") * share))
-    return top_per(own.withColumn("_top", top), [group], [F.desc(good.cast("int")), F.desc(n), F.col(name)]).select(group, name, "uses")
+    """(group, name, uses) of each group's heaviest cluster of names. Two names of a group are related if one's words begin the other's, or if they share a first word of five letters or more.
+
+    Clusters grow greedily, names in order of their uses: a name joins the first cluster whose founder it is related to, else it founds one. A name's
+    founder is therefore the related one of most uses among founders, which rounds of joins within the group find: in each, names with no
+    related name of more uses left found clusters, and those related to them leave. A legal form is preferred as the cluster's name if it
+    has two uses or more and a fifth of the cluster's top."""
+    from .lineage import cut_lineage
+
+    own = names.groupBy(group, name).agg(F.sum(n).alias("_n"), F.max(legal.cast("int")).alias("_legal"))
+    words = F.split(F.lower(F.trim(F.col(name))), r"\s+")
+    own = cut_lineage(own.withColumn("_words", words).withColumn("_first", F.element_at("_words", 1)).withColumn("_rank", F.struct((-F.col("_n")).alias("a"), F.col(name).alias("b"))), "names")
+    # Related names share their first word: if it is short, one must begin the other.
+    a, b = own.select(group, "_first", F.col(name).alias("_a"), F.col("_words").alias("_wa"), F.col("_rank").alias("_ra")), own.select(group, "_first", F.col(name).alias("_b"), F.col("_words").alias("_wb"), F.col("_rank").alias("_rb"))
+    fewer = F.least(F.size("_wa"), F.size("_wb"))
+    related = (F.length("_first") >= 5) | (F.slice("_wa", F.lit(1), fewer) == F.slice("_wb", F.lit(1), fewer))
+    pairs = cut_lineage(a.join(b, [group, "_first"]).filter((F.col("_rb") < F.col("_ra")) & related).select(group, "_a", "_b", "_rb"), "related")
+    left = own.select(group, F.col(name).alias("_a"))
+    clusters = None
+    while True:
+        blocked = pairs.join(left.withColumnRenamed("_a", "_b"), [group, "_b"], "left_semi").select(group, "_a").distinct()
+        founders = cut_lineage(left.join(blocked, [group, "_a"], "left_anti"), "founders")
+        followers = pairs.join(left, [group, "_a"], "left_semi").join(founders.withColumnRenamed("_a", "_b"), [group, "_b"], "left_semi").groupBy(group, "_a").agg(F.min_by("_b", "_rb").alias("_f"))
+        made = cut_lineage(founders.select(group, "_a", F.col("_a").alias("_f")).unionByName(followers), "joined")
+        clusters = made if clusters is None else clusters.unionByName(made)
+        left = cut_lineage(left.join(made, [group, "_a"], "left_anti"), "left")
+        if left.isEmpty():
+            break
+    placed = own.join(clusters.withColumnRenamed("_a", name), [group, name])
+    heavy = placed.groupBy(group, "_f").agg(F.sum("_n").alias("uses"), F.max("_n").alias("_top"))
+    best = top_per(heavy, [group], [F.desc("uses"), F.col("_f")])
+    good = (F.col("_legal") == 1) & (F.col("_n") >= F.greatest(F.lit(2), F.col("_top") * share))
+    return top_per(placed.join(best, [group, "_f"]), [group], [F.desc(good.cast("int")), F.desc("_n"), F.col(name)]).select(group, name, "uses")
+
+
+def overlapping(spans: DataFrame, keys: Sequence[str], item: str, first: str, last: str, least: int = 1) -> DataFrame:
+    """Pairs of a key's spans (each with its first and last day) that share `least` days or more: item_a before item_b, and the days shared. An equi-join on the key; a key's spans are few (roles, stays, grants)."""
+    a, b = (spans.select(*keys, F.col(item).alias(f"{item}_{x}"), F.col(first).alias(f"_first_{x}"), F.col(last).alias(f"_last_{x}")) for x in "ab")
+    days = F.datediff(F.least("_last_a", "_last_b"), F.greatest("_first_a", "_first_b")) + 1
+    return a.join(b, list(keys)).filter(F.col(f"{item}_a") < F.col(f"{item}_b")).withColumn("days", days).filter(F.col("days") >= least).select(*keys, f"{item}_a", f"{item}_b", "days")
 
 
 def entrant_rate(ranks: DataFrame, rank: str, is_new: str, band: float = 1.5) -> DataFrame:

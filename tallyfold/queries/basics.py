@@ -110,13 +110,16 @@ def s1_clean_domain(spark, sf):
 
 
 def _name():
-    end = X.ladder((F.col("p_size") % 4 == 0, F.lit(", Inc.")), (F.col("p_size") % 4 == 1, F.lit(" Robotics LLC")), (F.col("p_size") % 4 == 2, F.lit(" Labs (formerly Acme) GmbH")), otherwise=F.lit(""))
+    end = X.ladder((F.col("p_size") % 4 == 0, F.lit(", Inc.")), (F.col("p_size") % 4 == 1, F.lit(" Robotics LLC")), (F.col("p_size") % 4 == 2, F.lit(" Labs (formerly Acme) GmbH")), (F.col("p_size") % 8 == 3, F.lit(" Inc LLC, Ltd. Corp")), otherwise=F.lit(" SA Inc AG, "))
     return F.concat(F.initcap("p_name"), end)
 
 
 _NAME_SQL = """array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ') ||
-  CASE p_size % 4 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' Robotics LLC' WHEN 2 THEN ' Labs (formerly Acme) GmbH' ELSE '' END"""
-_BARE_SQL = r"regexp_replace(regexp_replace(name, '\s*\(formerly[^)]*\)', '', 'gi'), '(?i)[\s,]+(inc|llc|gmbh)\.?$', '')"
+  CASE WHEN p_size % 4 = 0 THEN ', Inc.' WHEN p_size % 4 = 1 THEN ' Robotics LLC' WHEN p_size % 4 = 2 THEN ' Labs (formerly Acme) GmbH'
+    WHEN p_size % 8 = 3 THEN ' Inc LLC, Ltd. Corp' ELSE ' SA Inc AG, ' END"""
+_BARE_SQL = r"regexp_replace(trim(name), '\s*\(formerly[^)]*\)', '', 'gi')"
+for _ in range(3):
+    _BARE_SQL = rf"rtrim(regexp_replace(regexp_replace({_BARE_SQL}, '(?i)[\s,]+(inc|llc|gmbh|ltd|corp)\.?$', ''), '[\s,]+(SA|AG)\.?$', ''), ' ,')"
 
 
 @query("s2_strip_legal", f"SELECT {_BARE_SQL} AS bare, count(*) AS n FROM (SELECT {_NAME_SQL} AS name FROM part) GROUP BY 1")
@@ -148,10 +151,14 @@ def s7_slugs(spark, sf):
     return p.withColumn("nth", nth).select("p_partkey", F.when(F.col("nth") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("nth").cast("string"))).alias("slug"))
 
 
-@query("s8_parse_date", "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, count(*) AS n FROM orders WHERE o_orderkey % 5 <> 4 GROUP BY 1")
+_SAID = ["yyyy-MM-dd", "MM/dd/yyyy", "MMMM d, yyyy", "yyyyMMdd", "MMM d yyyy", "MMMM d yyyy", "MMM d, yyyy", "M-d-yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T22:00:00+02:00'"]
+
+
+@query("s8_parse_date", f"SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, count(*) AS n FROM orders WHERE o_orderkey % {len(_SAID) + 1} <> {len(_SAID)} GROUP BY 1")
 def s8_parse_date(spark, sf):
-    d, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 5
-    said = X.ladder((k == 0, F.date_format(d, "yyyy-MM-dd")), (k == 1, F.date_format(d, "MM/dd/yyyy")), (k == 2, F.date_format(d, "MMMM d, yyyy")), (k == 3, F.date_format(d, "yyyyMMdd")), otherwise=F.lit("some day"))
+    """Order dates written in each of the known ways, and a text that is no date."""
+    d, k = F.to_timestamp("o_orderdate"), F.col("o_orderkey") % (len(_SAID) + 1)
+    said = X.ladder(*[(k == i, F.date_format(d, f)) for i, f in enumerate(_SAID)], otherwise=F.lit("some day"))
     return table(spark, sf, "orders").groupBy(X.parse_date(said).cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("day").isNotNull())
 
 

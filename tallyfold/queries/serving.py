@@ -103,8 +103,8 @@ def _tables(spark, sf):
         "papers_filed": a.select((F.col("firm") % 300).alias("docket"), F.col("firm").alias("party"), "day", F.col("priority").alias("kind"), F.floor(F.col("award_id") / 2).alias("package")),
         "hiring_posts": table(spark, sf, "conversations").select((F.col("conv_id") % 70).alias("company"), F.floor(F.col("conv_id") / 20).alias("thread"), F.date_add(F.to_date(F.lit("2024-01-01")), F.floor(F.col("conv_id") / 20).cast("int")).alias("day"), F.when(F.col("turn") % 2 == 0, F.col("turn") * 9 + 1).alias("team_size"), F.lit(0.5).alias("fit"), (F.col("conv_id") % 9 != 0).alias("complete")),
         "launches": a.select(F.col("firm").alias("company"), "day", (F.col("award_id") % 900).alias("votes")),
-        "cohort_posts": a.filter("award_id % 7 = 0").select(F.col("award_id").alias("post"), F.when(F.col("firm") % 2 == 0, F.floor(F.col("firm") / 4)).alias("portal_id"), F.concat(F.lit("f"), F.col("firm").cast("string")).alias("slug"), "day", F.when(F.col("firm") % 5 > 0, 1990 + F.col("firm") % 12).cast("int").alias("founded")),
-        "papers": table(spark, sf, "documents").select(F.col("source").alias("company"), F.substring("text", 1, 30).alias("title"), F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 28).cast("int")).alias("day"), F.lit(True).alias("complete")),
+        "cohort_posts": a.select(F.col("award_id").alias("post"), F.when(F.col("firm") % 2 == 0, F.floor(F.col("firm") / 4)).alias("portal_id"), F.concat(F.lit("f"), F.col("firm").cast("string")).alias("slug"), "day", F.when(F.col("firm") % 5 > 0, 1990 + F.col("firm") % 12).cast("int").alias("founded")),
+        "papers": table(spark, sf, "documents").select(F.col("source").alias("company"), F.col("text").alias("title"), F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 28).cast("int")).alias("day"), F.lit(True).alias("complete")),
     }
 
 
@@ -125,7 +125,7 @@ _JOB_SQL = {
     + _HEAD.format("sec_form_d", "capital", "CASE WHEN prior > 0 THEN 'form_d_amendment' ELSE 'form_d' END", "firm", "day", "coalesce(amount - before, amount)", f"least(greatest(0.15 + 0.66 * {_SIZE} * (0.35 + 0.35 * least(greatest(1 - (year(day) - year_inc) / 5, 0), 1) + 0.30 * (CASE WHEN prior = 0 THEN 1.0 ELSE 1 / (1 + prior) END)), 0.15), 0.97)", "h"),
     "sbir_awards": f"{AW}, h AS (SELECT *, {_PRIOR} AS prior FROM awards) " + _HEAD.format("sbir_awards", "capital", "'sbir_phase1'", "firm", "day", "amount", "CASE WHEN firm % 11 = 0 THEN 0.42 WHEN prior = 0 THEN 0.70 WHEN prior <= 2 THEN 0.50 WHEN prior <= 9 THEN 0.40 WHEN prior <= 24 THEN 0.28 ELSE 0.18 END", "h"),
     "fpds_ot": f"{AW}, h AS (SELECT *, {_PRIOR} AS prior, least(greatest(1 - (firm % 3000) / 1825, 0), 1) AS fresh, {sq('amount', 750000)} AS money FROM awards) " + _HEAD.format("fpds_ot", "capital", "CASE WHEN prior = 0 THEN 'ot_first_award' ELSE 'ot_award' END", "firm", "least(day + 90, DATE '2001-08-01')", "amount", "least(greatest(0.18 + 0.25 * fresh + 0.17 * money + (CASE WHEN prior = 0 THEN 0.10 + 0.15 * fresh + 0.15 * money ELSE -0.05 END), 0.05), 0.97)", "h"),
-    "research_affil": "WITH p AS (SELECT source AS company, left(text, 30) AS title, DATE '2024-01-01' + CAST(doc_id % 28 AS INTEGER) AS day FROM documents), k AS (SELECT *, trim(regexp_replace(lower(regexp_replace(title, '[’''`]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) AS key FROM p), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company, key ORDER BY day, title) AS x FROM k) WHERE x = 1), f AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY day, key) = 1 AS first FROM o) " + _HEAD.format("research_affil", "research", "CASE WHEN first THEN 'company_first_paper' ELSE 'company_papers' END", "company", "day", "1", "CASE WHEN first THEN 0.6 ELSE 0.35 END", "f"),
+    "research_affil": "WITH p AS (SELECT source AS company, text AS title, DATE '2024-01-01' + CAST(doc_id % 28 AS INTEGER) AS day FROM documents), k AS (SELECT *, trim(regexp_replace(lower(regexp_replace(title, '[’''`]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) AS key FROM p), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company, key ORDER BY day, title) AS x FROM k) WHERE x = 1), f AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY day, key) = 1 AS first FROM o) " + _HEAD.format("research_affil", "research", "CASE WHEN first THEN 'company_first_paper' ELSE 'company_papers' END", "company", "day", "1", "CASE WHEN first THEN 0.6 ELSE 0.35 END", "f"),
     "uspto_trademarks": f"{AW}, n AS (SELECT firm, count(*) AS n, count(DISTINCT lower(priority)) AS brands, min(day) AS first_day FROM awards GROUP BY 1), r AS (SELECT a.*, n.n, n.brands, row_number() OVER (PARTITION BY a.firm ORDER BY day DESC, priority) AS x FROM awards a JOIN n ON a.firm = n.firm WHERE n.n < 25 AND date_diff('day', first_day, DATE '2001-08-01') <= 2920) " + _HEAD.format("uspto_trademarks", "regulatory", "CASE WHEN status = 'F' THEN 'trademark_in_use' ELSE 'trademark_intent_to_use' END", "firm", "day", "n", "least(greatest(0.35 + (CASE WHEN status = 'F' THEN 0 ELSE 0.2 END) + 0.15 / brands, 0.15), 0.97)", "r WHERE x <= 3"),
 }
 _JOB_SQL.pop("uspto_trademarks")  # rows of one owner, day and mark may differ in use, and either may be the third
@@ -160,7 +160,34 @@ def x7_sql_functions(spark, sf):
 
     register(spark)
     table(spark, sf, "events").createOrReplaceTempView("tallyfold_events")
-    return spark.sql("SELECT event_type, round(noisy_or(squash(value, 50) / 1000), 6) AS either FROM tallyfold_events GROUP BY 1")
+    either = spark.sql("SELECT event_type, noisy_or(sum(left_of(squash(value, 50) / 1000))) AS either FROM tallyfold_events GROUP BY 1")
+    return either.select("event_type", F.round("either", 6).alias("either"))
+
+
+@query("x8_sql_names", r"""
+SELECT regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\.', '') AS domain, CASE WHEN regexp_matches(lower(html), 'privacy') THEN 'legal' WHEN regexp_matches(lower(html), '<table') THEN 'data' ELSE 'page' END AS kind,
+  coalesce(nullif(lower(regexp_extract(html, '<title>([A-Za-z]+)', 1)), ''), 'inc') AS name, count(*) AS n
+FROM pages WHERE NOT regexp_matches(lower(url), '\.(edu|gov|mil)(/|$)') GROUP BY ALL""")
+def x8_sql_names(spark, sf):
+    from ..functions.register import register
+
+    register(spark)
+    table(spark, sf, "pages").createOrReplaceTempView("tallyfold_pages")
+    rules = "array(named_struct('pattern', 'privacy', 'label', 'legal'), named_struct('pattern', '<table', 'label', 'data'))"
+    return spark.sql(f"SELECT clean_domain(url) AS domain, classify(html, {rules}, 'page') AS kind, normalize_name(concat(regexp_extract(html, '<title>([A-Za-z]+)', 1), ', Inc.')) AS name, count(*) AS n FROM tallyfold_pages GROUP BY ALL").filter("domain IS NOT NULL")
+
+
+@query("x7_explode_series", f"{SIG}, g AS (SELECT DISTINCT entity_id, CAST(d AS DATE) AS day FROM signals, (SELECT unnest(generate_series({DAY} - 21, {DAY}, INTERVAL 7 DAY)) AS d)) SELECT g.entity_id, CAST(g.day AS VARCHAR) AS day, arg_max(v, occurred_at) AS v FROM g JOIN (SELECT entity_id, occurred_at, max(value) AS v FROM signals GROUP BY ALL) s ON s.entity_id = g.entity_id AND s.occurred_at <= g.day + 1 GROUP BY ALL")
+def x7_explode_series(spark, sf):
+    """Each entity's best value a day as a series, read back on four days by the table function."""
+    from ..functions.register import register
+
+    register(spark)
+    daily = signals(spark, sf).groupBy("entity_id", F.col("occurred_at").alias("t")).agg(F.max("value").alias("v"))
+    # A series has a point a day at most.
+    daily.groupBy("entity_id").agg(F.collect_list(F.struct("t", "v")).alias("series")).createOrReplaceTempView("tallyfold_series")
+    days = ", ".join(f"DATE '{ASOF}' - {k}" for k in (21, 14, 7, 0))
+    return spark.sql(f"SELECT entity_id, CAST(day AS STRING) AS day, v FROM tallyfold_series, LATERAL explode_series(series, array({days}))")
 
 
 @query("p4_entity_scores", f"{SIG}, {scored()}, m AS (SELECT user_id AS entity_id, count(*) AS n, max(value) AS top FROM events GROUP BY 1), c AS (SELECT entity_id, round(round(1 - (1 - {over('n * 100', 500, 8000)}) * (1 - {over('n', 5, 120)}), 4), 4) AS consensus FROM m) SELECT s.entity_id, momentum, round(100.0 * momentum * (0.4 + 0.6 * (1 - consensus)) * (CASE WHEN convergence < 2 THEN 0.85 ELSE 1.0 END), 2) AS edge FROM scored s JOIN c USING (entity_id)")

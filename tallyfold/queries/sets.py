@@ -51,11 +51,11 @@ def u5_pages_union(spark, sf):
     return both.groupBy("o_custkey", "o_orderpriority").agg(n_rows().alias("n")).agg(F.sum("n").alias("walked"), n_rows().alias("kept"))
 
 
-@query("u6_snapshot_diff", "WITH a AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 40 < 9 GROUP BY 1), b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 40 >= 31 GROUP BY 1) SELECT o_custkey, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'updated' END AS change FROM a FULL JOIN b USING (o_custkey) WHERE a.n IS DISTINCT FROM b.n")
+@query("u6_snapshot_diff", "WITH a AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) SELECT o_custkey, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'updated' END AS change FROM a FULL JOIN b USING (o_custkey) WHERE a.n IS DISTINCT FROM b.n")
 def u6_snapshot_diff(spark, sf):
     o = table(spark, sf, "orders")
-    a = o.filter("o_orderkey % 40 < 9").groupBy("o_custkey").agg(n_rows().alias("n"))
-    b = o.filter("o_orderkey % 40 >= 31").groupBy("o_custkey").agg(n_rows().alias("n"))
+    a = o.filter("o_orderkey % 2 = 0").groupBy("o_custkey").agg(n_rows().alias("n"))
+    b = o.filter("o_orderkey % 2 = 1").groupBy("o_custkey").agg(n_rows().alias("n"))
     return store.snapshot_diff(a, b, "o_custkey", ["n"])
 
 
@@ -140,10 +140,13 @@ def j24_agreement(spark, sf):
     return o.groupBy(verdict.alias("verdict")).agg(n_rows().alias("n"))
 
 
-@query("j26_interval_overlap", "WITH y AS (SELECT DISTINCT o_custkey, o_orderpriority AS p, year(o_orderdate) AS yr FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')) SELECT a.o_custkey, count(*) AS shared FROM y a JOIN y b ON a.o_custkey = b.o_custkey AND a.yr = b.yr AND a.p < b.p GROUP BY 1 HAVING count(*) >= 2")
+@query("j26_interval_overlap", "WITH p AS (SELECT o_custkey AS firm, o_orderpriority AS role, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders GROUP BY ALL) SELECT x.firm, x.role AS role_a, y.role AS role_b, date_diff('day', greatest(x.a, y.a), least(x.b, y.b)) + 1 AS days FROM p x JOIN p y ON x.firm = y.firm AND x.role < y.role WHERE date_diff('day', greatest(x.a, y.a), least(x.b, y.b)) >= 365")
 def j26_interval_overlap(spark, sf):
-    y = table(spark, sf, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "5-LOW")).groupBy("o_custkey", F.year("o_orderdate").alias("yr")).agg(F.countDistinct("o_orderpriority").alias("k"))
-    return y.filter("k = 2").groupBy("o_custkey").agg(n_rows().alias("shared")).filter("shared >= 2")
+    """Pairs of a firm's roles, from a role's first to its last award, that ran side by side for a year or more."""
+    from ..operators.matching import overlapping
+
+    p = awards(spark, sf).groupBy("firm", F.col("priority").alias("role")).agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    return overlapping(p, ["firm"], "role", "a", "b", 366).select("firm", "role_a", "role_b", F.col("days").cast("long").alias("days"))
 
 
 @query("j21_registry", "SELECT c_custkey, n_name, CASE WHEN r_name = 'EUROPE' THEN 'same place' ELSE 'elsewhere' END AS place FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_acctbal < 0")

@@ -108,7 +108,7 @@ def b6_terms_held(spark, sf):
 _PAD = r"' ' || trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')) || ' '"
 
 
-@query("j22_phrase_join", f"WITH p AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:3], ' ') AS phrase FROM benchmark) SELECT doc_id, phrase FROM documents, p WHERE trim(regexp_replace(lower(phrase), '[^a-z0-9]+', ' ', 'g')) <> '' AND contains({_PAD.format('text')}, {_PAD.format('phrase')})")
+@query("j22_phrase_join", f"WITH p AS (SELECT DISTINCT text AS phrase FROM benchmark), n AS (SELECT phrase, {_PAD.format('phrase')} AS words FROM p), d AS (SELECT doc_id, {_PAD.format('text')} AS words FROM documents) SELECT doc_id, phrase FROM d, n WHERE trim(n.words) <> '' AND contains(d.words, n.words)")
 def j22_phrase_join(spark, sf):
-    phrases = table(spark, sf, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("phrase"))
-    return X.phrase_hits(table(spark, sf, "documents"), "doc_id", "text", phrases, "phrase")
+    """Whole benchmark texts that stand in a document."""
+    return X.phrase_hits(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark").select(F.col("text").alias("phrase")), "phrase")

@@ -182,3 +182,64 @@ def test_record_readers(spark):
     assert got[0][:] == ("Acme GmbH", "Berlin", True) and got[1].is_company is False and got[2].company is None
     maps = spark.createDataFrame([("k", 2, {"a": "late", "b": "x"}), ("k", 1, {"a": "first", "b": None})], "k string, o int, m map<string,string>")
     assert records.merged_maps(maps, ["k"], "m", [F.col("o")]).first().m == {"a": "first", "b": "x"}
+
+
+def brute_clusters(names, share=0.2):
+    """Greedy: names by uses, each to the first founder it is related to."""
+    first = lambda x: x.lower().split()[0]
+
+    def related(a, b):
+        x, y = a.lower().split(), b.lower().split()
+        k = min(len(x), len(y))
+        return x[:k] == y[:k] or (first(a) == first(b) and len(first(a)) >= 5)
+
+    founders = []
+    for n, (uses, legal) in sorted(names.items(), key=lambda r: (-r[1][0], r[0])):
+        own = next((f for f in founders if related(f[0], n)), None)
+        if own is None:
+            founders.append([n, [(n, uses, legal)]])
+        else:
+            own[1].append((n, uses, legal))
+    _, best = min(founders, key=lambda f: (-sum(u for _, u, _ in f[1]), f[0]))
+    top = max(u for _, u, _ in best)
+    name = min(best, key=lambda r: (-(r[2] and r[1] >= max(2, top * share)), -r[1], r[0]))[0]
+    return name, sum(u for _, u, _ in best)
+
+
+def test_variant_clusters_are_greedy(spark):
+    import random
+
+    from tallyfold.operators import matching
+
+    rng = random.Random(3)
+    words = ["US", "Steel", "Nuclear", "Acme", "Orbital", "Works", "Inc"]
+    rows, want = [], {}
+    for docket in range(40):
+        names = {}
+        for _ in range(rng.randrange(1, 9)):
+            names[" ".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))] = rng.randrange(1, 6)
+        rows += [(docket, n, u) for n, u in names.items()]
+        want[docket] = brute_clusters({n: (u, n.endswith("Inc")) for n, u in names.items()})
+    table = spark.createDataFrame(rows, "docket long, name string, n long")
+    got = matching.variant_clusters(table, "docket", "name", "n", F.col("name").endswith("Inc")).collect()
+    assert {r.docket: (r.name, r.uses) for r in got} == want
+    assert brute_clusters({"US Steel": (3, False), "US Nuclear": (2, False)}) == ("US Steel", 3)
+
+
+def test_record_groups_against_union_find(spark):
+    from tallyfold.operators import resolve
+
+    rows = [(k, k * 7 % 23 if k % 3 else None, k * 5 % 31 if k % 2 else None) for k in range(120)]
+    table = spark.createDataFrame(rows, "id long, firm long, slot long")
+    label = {k: k for k, _, _ in rows}
+    while True:
+        least = {}
+        for k, *keys in rows:
+            for key in enumerate(keys):
+                if key[1] is not None:
+                    least[key] = min(least.get(key, k), label[k])
+        now = {k: min([label[k], *[least[x] for x in enumerate(keys) if x[1] is not None]]) for k, *keys in rows}
+        if now == label:
+            break
+        label = now
+    assert {r.id: r.component for r in resolve.hard_links(table, "id", ["firm", "slot"]).collect()} == label

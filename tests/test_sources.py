@@ -136,3 +136,23 @@ def test_registered_sql_names(spark):
     assert spark.sql("SELECT squash(10D, 10D), over_floor(15D, 5D, 10D), decay(1D, 30, 30D)").first()[:] == (0.5, 0.5, 0.5)
     got = spark.sql("SELECT * FROM explode_series(array(named_struct('t', DATE '2024-01-01', 'v', 1.0D), named_struct('t', DATE '2024-01-10', 'v', 2.0D)), array(DATE '2024-01-05', DATE '2024-01-09', DATE '2023-01-01'))").collect()
     assert [r.v for r in got] == [1.0, 2.0]
+    assert spark.sql("SELECT noisy_or(sum(left_of(x))) FROM VALUES (0.5D), (0.5D), (NULL) AS t(x)").first()[0] == 0.75
+    assert spark.sql("SELECT noisy_or(sum(left_of(x))) FROM VALUES (0.5D), (1D) AS t(x)").first()[0] == 1.0
+    names = ["Acme Robotics, Inc.", "Terra Innovatum s.r.l", "Advanced Float Co., Ltd", "Acme Inc LLC Ltd Corp", "X (d/b/a Y) AG", "O'Neil’s (old) Ltd", "The Boring Company"]
+    urls = ["https://www.acme.io/x", "http://foo.github.io", "user@host.com:80/x", "mit.edu", "localhost", "https://Blog.Example.org/?q"]
+    from tallyfold.functions import exprs as X
+
+    n, u = spark.createDataFrame([(x,) for x in names], "x string"), spark.createDataFrame([(x,) for x in urls], "x string")
+    assert all(a == b for a, b in n.select(X.normalize_name(F.col("x")), F.expr("normalize_name(x)")).collect())
+    assert all(a == b for a, b in u.select(X.clean_domain(F.col("x")), F.expr("clean_domain(x)")).collect())
+
+
+def test_dates_and_legal_forms(spark):
+    from tallyfold.functions import exprs as X
+
+    said = ["2026-09-18T12:00:00Z", "09/18/2026", "Jun 18 2026", "June 18 2026", "2026-09-18T12:00:00+02:00", "2026-09-18 12:00:00", "2026-09-18T23:59:59.123456Z", "20260918", "Sep 18, 2026", "9/8/2026", "soon", "2026-13-45", ""]
+    got = [str(r.d) for r in spark.createDataFrame([(x,) for x in said], "x string").select(X.parse_date(F.col("x")).alias("d")).collect()]
+    assert got == ["2026-09-18", "2026-09-18", "2026-06-18", "2026-06-18", "2026-09-18", "2026-09-18", "2026-09-18", "2026-09-18", "2026-09-18", "2026-09-08", "None", "None", "None"]
+    names = {"Acme Inc LLC Ltd Corp": "Acme Inc", "Acme Robotics, Inc.": "Acme Robotics", "X AG Inc": "X", "Inc": "Inc", "Acme ,": "Acme", "Advanced Float Co., Ltd": "Advanced Float", "NV": "NV", "Foo SA AG SE NV": "Foo SA"}
+    rows = spark.createDataFrame([(x,) for x in names], "x string").select("x", X.strip_legal(F.col("x")).alias("s")).collect()
+    assert {r.x: r.s for r in rows} == names
