@@ -128,14 +128,14 @@ def fit(rows: DataFrame, kind: Kind, l1: float = 1.0, **params) -> np.ndarray:
         for table in chunks(batches):
             made = examples(*flat(table.column("text")), kind)
             at = pa.array([a.astype("<i4").tobytes() for a, _ in made], pa.binary())
-            x = pa.array([x.tobytes() for _, x in made], pa.binary())
+            x = pa.array([x.astype("<f4").tobytes() for _, x in made], pa.binary())
             yield from table.drop_columns(["text"]).append_column("at", at).append_column("x", x).combine_chunks().to_batches()
 
     def one(table: pa.Table) -> pa.Table:
         # In order of ids and rows, so that a task that runs again learns the same.
         table = table.sort_by([("doc_id", "ascending"), ("y", "ascending"), ("at", "ascending"), ("x", "ascending")])
         y = table.column("y").to_numpy()
-        data = [(np.frombuffer(a, "<i4"), np.frombuffer(x)) for a, x in zip(table.column("at").to_pylist(), table.column("x").to_pylist(), strict=True)]
+        data = [(np.frombuffer(a, "<i4"), np.frombuffer(x, "<f4").astype(float)) for a, x in zip(table.column("at").to_pylist(), table.column("x").to_pylist(), strict=True)]
         model = Ftrl(bits=kind.bits, l1=l1 * len(data) / 1000, **params)
         dealt = np.random.default_rng(7)
         for _ in range(model.epochs):
