@@ -15,13 +15,37 @@ STRONG, CONTEXT, OTHERS, SCALE, LONE_CAP = 1.0, 0.45, 0.35, 1.6, 0.28
 
 
 def term_pattern(term: str) -> str:
-    """A pattern for a term in lower-cased text: words joined by space or hyphen, a hyphen may be missing, a plural allowed, alphanumeric edges. Plain enough for any engine."""
+    """A pattern for a term in lower-cased text: words joined by spaces or hyphens, a hyphen may be missing, a plural allowed, alphanumeric edges. Plain enough for any engine."""
     body = re.escape(term).replace(r"\ ", " ").replace(r"\-", "-")
     body = body[:-1] + "(y|ys|ies)" if body.endswith("y") else body + "(s|es)?"
-    body = body.replace("-", "[ -]?").replace(" ", r"[\s-]+")
+    body = body.replace("-", "@").replace(" ", r"[\s-]+").replace("@", r"[\s-]*")
     return f"(^|[^a-z0-9]){body}($|[^a-z0-9])"
 
 
+def spaced(low: Column) -> Column:
+    """Lower-cased text in which each run of spaces and hyphens is one space and other characters than letters and digits stand apart, so that a term is found as a plain piece of text between spaces."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9\s-]+", " | "), r"[\s-]+", " "), F.lit(" "))
+
+
+def term_forms(term: str) -> list[str]:
+    """The pieces of spaced text that say a term, what `term_pattern` matches. Terms are letters, digits, spaces and hyphens."""
+    ends = [term[:-1] + e for e in ("y", "ys", "ies")] if term.endswith("y") else [term + e for e in ("", "s", "es")]
+    out = []
+    for t in ends:
+        made = [""]
+        for part in re.split("(-)", t):
+            made = [m + j for m in made for j in ("", " ")] if part == "-" else [m + part for m in made]
+        out += made
+    return [f" {' '.join(x.split())} " for x in out]
+
+
+def said(text: Column, term: str) -> Column:
+    """Does spaced text say the term?"""
+    if not re.fullmatch("[a-z0-9 -]+", term):
+        raise ValueError(f"a term is lower-case letters, digits, spaces and hyphens: {term!r}")
+    return reduce(lambda a, b: a | b, [text.contains(x) for x in term_forms(term)])
+
+
 def mass_of(scores: Sequence[Column]) -> Column:
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
     return best + OTHERS * (reduce(lambda a, b: a + b, scores) - best)
@@ -36,12 +60,12 @@ class Terms:
         self.names = {t: f"_t{i}" for i, t in enumerate(dict.fromkeys(t for _, t, _ in self.terms))}
 
     def low(self, text: Column) -> Column:
-        """Lower-case text with the false friends blanked out."""
+        """Lower-case spaced text with the false friends blanked out."""
         low = F.lower(text)
-        return F.regexp_replace(low, "|".join(re.escape(x) for x in self.friends), " ") if self.friends else low
+        return spaced(F.regexp_replace(low, "|".join(re.escape(x) for x in self.friends), " ") if self.friends else low)
 
     def hits(self, low: Column) -> list[Column]:
-        return [F.coalesce(low.rlike(term_pattern(t)), F.lit(False)).alias(n) for t, n in self.names.items()]
+        return [F.coalesce(said(low, t), F.lit(False)).alias(n) for t, n in self.names.items()]
 
     def verdict(self, hits: DataFrame, kept: Sequence[str]) -> DataFrame:
         add = lambda a, b: a + b
@@ -64,15 +88,15 @@ def classify(df: DataFrame, text: str, dictionary: Mapping[str, Mapping[str, Seq
     One projection and no shuffle: each distinct term counts once, 1 if strong and 0.45 if context; the best sector's sum
     and 0.35 of the others' make fit = 1 - exp(-mass / 1.6); one lone term that isn't unambiguous holds fit at 0.28."""
     t = Terms(dictionary, false_friends, unambiguous)
-    low = df.withColumn("_low", t.low(F.col(text)))
-    # As a generator's output the hits are made once a row: a filter on fit above isn't pushed below with all patterns in it.
+    # As generators' outputs the spaced text and the hits are made once a row: a filter on fit above isn't pushed below with all terms in it.
+    low = df.select("*", F.explode(F.array(t.low(F.col(text)))).alias("_low"))
     return t.verdict(low.select("*", F.inline(F.array(F.struct(*t.hits(F.col("_low")))))), df.columns)
 
 
 def classify_groups(df: DataFrame, keys: Sequence[str], text: str, dictionary: Mapping[str, Mapping[str, Sequence[str]]], false_friends: Sequence[str] = (), unambiguous: Sequence[str] = ()) -> DataFrame:
     """The same of all texts of a key together. Only which terms a row has is aggregated, so texts are neither joined nor gathered; a term doesn't reach over two rows."""
     t = Terms(dictionary, false_friends, unambiguous)
-    hits = df.withColumn("_low", t.low(F.col(text))).select(*keys, *t.hits(F.col("_low")))
+    hits = df.select(*keys, F.explode(F.array(t.low(F.col(text)))).alias("_low")).select(*keys, *t.hits(F.col("_low")))
     return t.verdict(hits.groupBy(*keys).agg(*[F.bool_or(c).alias(c) for c in t.names.values()]), keys)
 
 
@@ -97,16 +121,30 @@ def longest_matches(df: DataFrame, key: str, text: str, terms: Sequence[str]) ->
     return df.select(key, text).mapInPandas(run, schema)
 
 
-def phrase_hits(texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
-    """(key, phrase): phrases whose words stand consecutively in a text. Blocked by each phrase's rarest word, so no text meets a phrase that it can't hold."""
-    words = lambda c: F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " "))
-    padded = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), F.lit(" "))
-    wanted = phrases.select(phrase).distinct().filter(F.trim(F.regexp_replace(F.lower(phrase), "[^a-z0-9]+", " ")) != "")
+#: Bytes of phrases up to which they are sent to every task.
+SENT_BYTES = 8 << 20
+
+
+def phrase_hits(texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str, sent: int = SENT_BYTES) -> DataFrame:
+    """(key, phrase): phrases whose words stand consecutively in a text. Blocked by each phrase's rarest word, so no text meets a phrase that it can't hold.
+
+    Phrases of up to `sent` bytes in all go to the texts, and no text is shuffled; more of them meet the texts' words in a join, and only texts with candidates are brought back."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    words = lambda c: F.array_distinct(F.split(plain(c), " "))
+    padded = lambda c: F.concat(F.lit(" "), plain(c), F.lit(" "))
+    wanted = phrases.select(phrase).distinct().filter(plain(F.col(phrase)) != "")
+    few = (wanted.agg(F.sum(F.octet_length(phrase))).first()[0] or 0) <= sent
+    hint = F.broadcast if few else lambda df: df
     exploded = wanted.select(phrase, F.explode(words(F.col(phrase))).alias("w"))
     in_texts = texts.select(F.col(key).alias("_k"), F.explode(words(F.col(text))).alias("w"))
-    known = in_texts.join(exploded.select("w").distinct(), "w", "left_semi")
+    known = in_texts.join(hint(exploded.select("w").distinct()), "w", "left_semi")
     often = known.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     rarest = exploded.join(often, "w", "left").groupBy(phrase).agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), F.col("w"))).alias("w"))
+    if few:
+        # Each text with its own words that some phrase is blocked by; the phrases follow by a broadcast join.
+        own = texts.select(F.col(key).alias("_k"), F.explode(F.array(padded(F.col(text)))).alias("_text"))
+        met = own.select("_k", "_text", F.explode(F.array_distinct(F.split(F.trim("_text"), " "))).alias("w")).join(F.broadcast(rarest), "w")
+        return met.filter(F.col("_text").contains(padded(F.col(phrase)))).select(F.col("_k").alias(key), phrase)
     candidates = known.join(rarest, "w").select("_k", phrase)
-    full = texts.select(F.col(key).alias("_k"), padded(F.col(text)).alias("_text"))
-    return candidates.join(full, "_k").filter(F.col("_text").contains(padded(F.col(phrase)))).select(F.col("_k").alias(key), phrase)
+    full = texts.select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(candidates.select("_k").distinct(), "_k", "left_semi")
+    return candidates.join(full, "_k").filter(padded(F.col("_text")).contains(padded(F.col(phrase)))).select(F.col("_k").alias(key), phrase)

@@ -8,13 +8,14 @@ from ..functions import fixed
 from ..operators import quality
 from ..operators.ranking import ranked_top
 from ..plans import score
-from ..sources.views import ASOF, asof_day, awards, signals, table
-from .sqltext import AW, CONVERGENCE, DAY, MOMENTUM, SIG, families, live, over, scored, sq
+from ..sources.views import ASOF, asof_day, awards, measured, signals, table
+from .sqltext import AW, CONVERGENCE, MOMENTUM, SIG, families, live, over, scored, sq
+from .sqltext import measured as all_signals
 
 
-@query("m0_board", f"{SIG}, {scored()} SELECT entity_id, momentum, CAST(convergence AS INTEGER) AS convergence, edge, CAST(row_number() OVER (ORDER BY edge DESC, entity_id) AS INTEGER) AS rank FROM scored ORDER BY edge DESC, entity_id LIMIT 20")
+@query("m0_board", f"{all_signals(1)} SELECT entity_id, momentum, CAST(convergence AS INTEGER) AS convergence, edge, CAST(row_number() OVER (ORDER BY edge DESC, entity_id) AS INTEGER) AS rank FROM edges ORDER BY edge DESC, entity_id LIMIT 20")
 def m0_board(spark, sf):
-    s = score.score_entities(signals(spark, sf), ASOF, weeks=1)
+    s = score.score_entities(measured(spark, sf), ASOF, weeks=1)
     return ranked_top(s.select("entity_id", "momentum", "convergence", "edge"), [F.desc("edge"), F.col("entity_id")], 20)
 
 
@@ -288,9 +289,10 @@ def g3_momentum(spark, sf):
     return score.score_entities(signals(spark, sf), ASOF, weeks=1).select("entity_id", "momentum", "convergence")
 
 
-@query("t4_backcast", f"{SIG}, " + ", ".join(scored(f"({DAY} - {7 * k})", f"w{k}") for k in range(5)) + " " + " UNION ALL ".join(f"SELECT entity_id, CAST(CAST({DAY} - {7 * k} AS DATE) AS VARCHAR) AS t, edge FROM w{k}" for k in range(5)))
+@query("t4_backcast", f"{all_signals(13)} SELECT entity_id, CAST(d AS VARCHAR) AS t, edge FROM edges")
 def t4_backcast(spark, sf):
-    s = score.score_entities(signals(spark, sf), ASOF, weeks=5)
+    """The edge of each of the last thirteen weeks, from single and continuous signals."""
+    s = score.score_entities(measured(spark, sf), ASOF)
     return s.select("entity_id", F.explode("history").alias("h")).select("entity_id", F.col("h.t").cast("string").alias("t"), "h.edge")
 
 

@@ -7,9 +7,12 @@ from ..functions import fixed
 from ..operators.ranking import ranked_top, top_per
 from ..plans import score
 from ..sources import jobs, readers
-from ..sources.views import ASOF, asof_day, awards, n_rows, signals, table
+from ..operators.text import classify_groups
+from ..sources.views import ASOF, asof_day, awards, measured, n_rows, signals, table
 from ..streaming import stream
+from . import texts
 from .sqltext import AW, DAY, SIG, over, scored, sq
+from .sqltext import measured as all_signals
 
 
 def _board(spark, sf, n=30):
@@ -190,14 +193,26 @@ def x7_explode_series(spark, sf):
     return spark.sql(f"SELECT entity_id, CAST(day AS STRING) AS day, v FROM tallyfold_series, LATERAL explode_series(series, array({days}))")
 
 
-@query("p4_entity_scores", f"{SIG}, {scored()}, m AS (SELECT user_id AS entity_id, count(*) AS n, max(value) AS top FROM events GROUP BY 1), c AS (SELECT entity_id, round(round(1 - (1 - {over('n * 100', 500, 8000)}) * (1 - {over('n', 5, 120)}), 4), 4) AS consensus FROM m) SELECT s.entity_id, momentum, round(100.0 * momentum * (0.4 + 0.6 * (1 - consensus)) * (CASE WHEN convergence < 2 THEN 0.85 ELSE 1.0 END), 2) AS edge FROM scored s JOIN c USING (entity_id)")
+_KNOWN = (
+    f"c_ AS (SELECT entity_id, round(1 - round(1 - (1 - {over('n * 100', 500, 8000)}) * (1 - {over('n', 5, 120)}), 4), 4) AS earliness FROM (SELECT user_id AS entity_id, count(*) AS n FROM events GROUP BY 1)), "
+    f"p_ AS (SELECT conv_id AS entity_id, round(1 - product(pow(0.45, CASE WHEN role = 'user' THEN firsts ELSE 0 END) * pow(0.7, CASE WHEN role = 'user' THEN 0 ELSE firsts END) * (1 - 0.6 * {sq('h', 25)})), 4) AS team FROM (SELECT conv_id, role, least(count(*), 3) AS firsts, max(length(text)) AS h FROM conversations GROUP BY ALL) GROUP BY 1), "
+    + texts.classify_ctes("(SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1)")
+    + ", k AS (SELECT * FROM (SELECT conv_id AS entity_id, fit FROM c) FULL JOIN c_ USING (entity_id) FULL JOIN p_ USING (entity_id))"
+)
+
+
+@query("p4_entity_scores", f"{all_signals(1, _KNOWN, 'coalesce(fit, 0.0) AS fit, coalesce(earliness, 0.8) AS earliness, coalesce(team, 0.0) AS team')} SELECT entity_id, momentum, fit, earliness, team, edge FROM edges")
 def p4_entity_scores(spark, sf):
-    """Momentum from signals and earliness from what was measured of the same entity."""
-    s = score.score_entities(signals(spark, sf), ASOF, weeks=1)
-    m = table(spark, sf, "events").groupBy(F.col("user_id").alias("entity_id")).agg(n_rows().alias("n"))
-    parts = score.consensus_parts({"stars_total": F.col("n") * 100.0, "hn_mentions_total": F.col("n").cast("double")})
-    one, e = F.lit(1.0), s.join(m.select("entity_id", score.consensus(parts).alias("consensus")), "entity_id")
-    return e.select("entity_id", "momentum", score.edge(F.col("momentum"), one, 1 - F.col("consensus"), one, F.col("convergence")).alias("edge"))
+    """The whole score: momentum of all signals, fit from what is written (a conversation of the entity's number), earliness from what was measured, team from the people who speak."""
+    c = table(spark, sf, "conversations").withColumn("entity_id", F.col("conv_id"))
+    fits = classify_groups(c, ["entity_id"], "text", texts.DICTIONARY, texts.FRIENDS, texts.SURE)
+    metrics = table(spark, sf, "events").groupBy(F.col("user_id").alias("entity_id")).agg((n_rows() * 100.0).alias("stars_total"), n_rows().cast("double").alias("hn_mentions_total"))
+    user, zero = F.col("role") == "user", F.lit(0)
+    people = c.groupBy("entity_id", "role").agg(n_rows().alias("n"), F.max(F.length("text")).alias("h_index"))
+    people = people.select("entity_id", F.when(user, F.col("n")).otherwise(zero).alias("tier_one"), F.when(user, zero).otherwise(F.col("n")).alias("other"), "h_index", zero.alias("followers"), F.lit(False).alias("repeat"))
+    known = score.factors("entity_id", fits, metrics, people, asof_day())
+    s = score.score_entities(measured(spark, sf), ASOF, weeks=1, known=known, defaults={"fit": 0.0, "earliness": 1 - fixed.UNMEASURED, "team": 0.0})
+    return s.select("entity_id", "momentum", "fit", F.round("earliness", 4).alias("earliness"), "team", "edge")
 
 
 # --- streams: the given events replayed, equal to the batch

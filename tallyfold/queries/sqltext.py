@@ -1,7 +1,7 @@
 """SQL that says what the column builders say, for the checks against another engine."""
 
 from ..functions import fixed
-from ..sources.views import ASOF, AWARDS_SQL, SIGNALS_SQL
+from ..sources.views import ASOF, AWARDS_SQL, LIVE_SQL, SIGNALS_SQL
 
 DAY = f"DATE '{ASOF}'"
 
@@ -39,3 +39,14 @@ def scored(asof: str = DAY, name: str = "scored") -> str:
 
 
 SIG, AW = f"WITH {SIGNALS_SQL}", f"WITH {AWARDS_SQL}"
+
+
+def measured(weeks: int, known: str = "", factors: str = "1.0 AS fit, 1.0 AS earliness, 1.0 AS team") -> str:
+    """CTEs up to `edges`: entity_id, d, momentum, convergence, edge of each of the last weeks, from all signals. `known` are CTEs of its own, the last of which is `k`, to be joined."""
+    cells = ", ".join(f"round(1 - product(CASE WHEN family = '{f}' AND live > {fixed.LIVE} THEN 1 - least(greatest(live, 0), 1) ELSE 1 END), 4) AS {f}" for f in fixed.FAMILIES)
+    join = "LEFT JOIN k USING (entity_id)" if known else ""
+    return f"""WITH asofs AS (SELECT {DAY} - CAST(7 * k AS INTEGER) AS d FROM (SELECT unnest(range({weeks})) AS k)), {LIVE_SQL.format(half=half_life())},
+fam AS (SELECT entity_id, d, {cells} FROM counted GROUP BY entity_id, d),
+every AS (SELECT e.entity_id, a.d, {', '.join(f'coalesce({f}, 0) AS {f}' for f in fixed.FAMILIES)} FROM (SELECT DISTINCT entity_id FROM (SELECT entity_id FROM signals UNION ALL SELECT entity_id FROM weekly)) e CROSS JOIN asofs a LEFT JOIN fam USING (entity_id, d)){', ' + known if known else ''},
+edges AS (SELECT entity_id, d, momentum, convergence, fit, earliness, team, round(100.0 * momentum * (0.25 + 0.75 * fit) * (0.4 + 0.6 * earliness) * (0.85 + 0.15 * team) * (CASE WHEN convergence < 2 THEN {fixed.UNCORROBORATED} ELSE 1.0 END), 2) AS edge
+  FROM (SELECT entity_id, d, {MOMENTUM} AS momentum, {CONVERGENCE} AS convergence, {factors} FROM every {join}))"""

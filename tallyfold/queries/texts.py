@@ -13,7 +13,8 @@ DICTIONARY = {"alpha": {"strong": ["then", "there", "heat"], "context": ["with",
 FRIENDS, SURE = ["this was", "to be"], ["heat", "para"]
 
 
-def _classify_sql(source: str) -> str:
+def classify_ctes(source: str) -> str:
+    """CTEs up to `c`, the rows of a source with sector and fit."""
     terms = [(s, t, w) for s, g in DICTIONARY.items() for kind, w in (("strong", X.STRONG), ("context", X.CONTEXT)) for t in g[kind]]
     hits = ", ".join(f"regexp_matches(low, '{X.term_pattern(t)}') AS t{i}" for i, (_, t, _) in enumerate(terms))
     sums = ", ".join(f"({' + '.join(f'CASE WHEN t{i} THEN {w} ELSE 0.0 END' for i, (x, _, w) in enumerate(terms) if x == s)}) AS s_{s}" for s in DICTIONARY)
@@ -22,11 +23,15 @@ def _classify_sql(source: str) -> str:
     every = ", ".join(f"s_{s}" for s in DICTIONARY)
     pick = " ".join(f"WHEN s_{s} > 0 AND s_{s} = greatest({every}) THEN '{s}'" for s in DICTIONARY)
     fit = f"1 - exp(-(greatest({every}) + {X.OTHERS} * ({' + '.join(f's_{s}' for s in DICTIONARY)} - greatest({every}))) / {X.SCALE})"
-    return f"""WITH l AS (SELECT *, regexp_replace(lower(text), 'this was|to be', ' ', 'g') AS low FROM {source}),
+    return f"""l AS (SELECT *, regexp_replace(lower(text), 'this was|to be', ' ', 'g') AS low FROM {source}),
 h AS (SELECT *, {hits} FROM l), s AS (SELECT *, {sums}, {count} AS n, ({sure}) AS sure FROM h),
 c AS (SELECT *, CASE {pick} END AS sector, round(CASE WHEN n = 1 AND NOT sure THEN least({fit}, {X.LONE_CAP}) ELSE {fit} END, 3) AS fit FROM s)"""
 
 
+def _classify_sql(source: str) -> str:
+    return f"WITH {classify_ctes(source)}"
+
+
 @query("d1_classify", f"{_classify_sql('documents')} SELECT doc_id, sector, fit FROM c")
 def d1_classify(spark, sf):
     return X.classify(table(spark, sf, "documents").select("doc_id", "text"), "text", DICTIONARY, FRIENDS, SURE).select("doc_id", "sector", "fit")

@@ -243,3 +243,59 @@ def test_record_groups_against_union_find(spark):
             break
         label = now
     assert {r.id: r.component for r in resolve.hard_links(table, "id", ["firm", "slot"]).collect()} == label
+
+
+def test_series_strength(spark):
+    day = lambda x: dt.date.fromisoformat(x)
+    rows = [(1, "github", day("2026-10-01"), 0.9, None, [(day("2026-09-01"), 5.0, 0.2), (day("2026-09-29"), 90.0, 0.9), (day("2026-09-30"), 1.0, None)]),
+            (2, "capital", day("2026-06-01"), 0.8, day("2026-08-30"), None), (3, "capital", day("2026-09-01"), 0.8, None, [])]
+    table = spark.createDataFrame(rows, "entity_id long, family string, occurred_at date, strength double, public_at date, series array<struct<t: date, v: double, s: double>>")
+    at = lambda d: [round(r.x, 4) for r in table.select("entity_id", score.live_strength(table, F.to_date(F.lit(d))).alias("x")).orderBy("entity_id").collect()]
+    assert at("2026-09-01") == [0.2, round(0.8 * 0.5 ** (2 / 45), 4), 0.8]
+    assert at("2026-08-01") == [0.0, 0.0, 0.0] and at("2026-10-02")[0] == round(0.9 * 0.5 ** (3 / 21), 4)
+    assert at("2026-08-30")[1] == 0.8 and at("2026-10-16")[2] == 0.4
+
+
+def test_awards_count_once_and_factors_join(spark):
+    day = dt.date(2026, 9, 1)
+    rows = [(1, "capital", day, 0.5, "a"), (1, "capital", day, 0.4, "a"), (1, "capital", day, 0.5, None), (1, "social", day, 0.4, "a"), (2, "capital", day, 0.5, None)]
+    table = spark.createDataFrame(rows, "entity_id long, family string, occurred_at date, strength double, award_key string")
+    known = score.factors("entity_id", spark.createDataFrame([(1, 0.5)], "entity_id long, fit double"), people=spark.createDataFrame([(1, 1, 0, 0, 0, False)], "entity_id long, tier_one int, other int, h_index int, followers int, repeat boolean"))
+    got = {r.entity_id: r for r in score.score_entities(table, "2026-09-01", weeks=2, known=known, defaults={"fit": 0.0, "earliness": 0.8, "team": 0.0}).collect()}
+    assert (got[1].capital, got[1].social, got[1].fit, got[1].team) == (0.75, 0.4, 0.5, 0.55) and (got[2].fit, got[2].team, got[2].earliness) == (0.0, 0.0, 0.8)
+    m = got[1].momentum
+    assert got[1].edge == round(100 * m * (0.25 + 0.75 * 0.5) * (0.4 + 0.6 * 0.8) * (0.85 + 0.15 * 0.55), 2) and got[2].history[0].edge == 0
+
+
+@pytest.mark.parametrize("n", [1, 7, 150])
+def test_cohort_share_against_all_pairs(spark, n):
+    import random
+
+    rng = random.Random(n)
+    rows = [(k, float(rng.randrange(1, 60)), rng.randrange(9)) for k in range(n)]
+    table = spark.createDataFrame(rows, "k long, r double, q long")
+    got = {r.k: (r.cohort, r.below) for r in ranking.cohort_share(table, "r", "q", "k", least=1).collect()}
+    for k, r, q in rows:
+        near = [y for _, x, y in rows if x <= r * 1.5 and x * 1.5 >= r]
+        assert got[k] == (len(near), sum(y < q for y in near))
+
+
+def test_terms_are_found_as_their_patterns_match(spark):
+    import random
+    import re
+
+    rng = random.Random(4)
+    terms = ["drone", "launch vehicle", "sim-to-real", "power supply", "battery", "ai", "counter-uas radar"]
+    parts = ["drone", "drones", "launch", "vehicles", "sim", "to", "real", "power", "supplies", "supply", "battery", "batteries", "ai", "said", "counter", "uas", "radar", "radars", "é", ",", ".", "-", " ", " ", "  ", "\n", "simto", "-real", "counteruas"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").withColumn("s", text.spaced(F.col("x")))
+    for r in df.select("x", *[text.said(F.col("s"), t).alias(f"t{k}") for k, t in enumerate(terms)]).collect():
+        assert [r[f"t{k}"] for k in range(len(terms))] == [bool(re.search(text.term_pattern(t), r.x)) for t in terms], r.x
+
+
+def test_phrases_are_found_whichever_way_they_travel(spark):
+    texts = spark.createDataFrame([(1, "The quick, brown fox"), (2, "quick brown dogs"), (3, None), (4, ""), (5, "brown quick brown")], "k long, x string")
+    phrases = spark.createDataFrame([("Quick brown",), ("fox",), ("own fox",), ("!!",), (None,), ("brown",)], "p string")
+    want = {(1, "Quick brown"), (1, "fox"), (2, "Quick brown"), (5, "Quick brown"), (1, "brown"), (2, "brown"), (5, "brown")}
+    for sent in (0, 1 << 20):
+        assert {tuple(r) for r in text.phrase_hits(texts, "k", "x", phrases, "p", sent).collect()} == want
