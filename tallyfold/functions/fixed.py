@@ -41,3 +41,18 @@ DATE_FORMATS = [
     "yyyy-M-d'T'H:m:s'Z'", "yyyy-M-d'T'H:m:s.SSSSSS'Z'", "yyyy-M-d", "M/d/yyyy", "yyyyMMdd",
     "MMMM d, yyyy", "MMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "M-d-yyyy",
 ]
+
+# What each source's kinds of signal are worth.
+SBIR_FIRST, SBIR_UNCLEAR, SBIR_REPEAT = 0.70, 0.42, [(2, 0.50), (9, 0.40), (24, 0.28)]
+SBIR_MANY, SBIR_TEAM, SBIR_ONE_KEYWORD = 0.18, [(10, 0.08), (50, 0.02), (250, -0.10)], 0.465
+SBIR_LARGE_TEAM, SBIR_LARGE_REPEAT, SBIR_ORDER = -0.22, -0.03, -0.05
+NSF_BASE, NSF_FAST_TRACK, NSF_FIRST, NSF_REPEAT = 0.38, 0.15, 0.07, -0.10
+ARPA_BASE = {"announced earlier": 0.35, "selected": 0.45, "started": 0.40}
+ARPA_SIZE, ARPA_HALF, ARPA_FIRST, ARPA_FIRST_EARLIER, ARPA_REPEAT = 0.25, 3_000_000, 0.20, 0.10, -0.10
+WAIVER_BOTH, WAIVER_SIGHT, WAIVER_MANY, WAIVER_OTHER = 0.56, 0.45, 0.40, 0.27
+TRADEMARK_SCOPE = {"goods": 0.15, "related": 0.09, "software": 0.05, "services": 0.0}
+LAUNCH_HALF, LAUNCH_BONUS, LAUNCH_FLOOR, FIRST_STORY, FIRST_STORY_POINTS = 60, 0.05, 0.40, 0.07, 20
+GOVCLOUD = {"mail and dns": 0.40, "mail": 0.35, "dns": 0.30, "sender": 0.25}
+YOUNG_DOMAIN = 0.05
+REGISTERED, REGISTERED_PROJECT = 0.45, 0.35
+BACK_FILLED = 0.3

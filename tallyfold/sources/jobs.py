@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import history, quality
+from ..operators.lineage import cut_lineage
 from ..operators.ranking import top_per
 
 Job = Callable[[Mapping[str, DataFrame], Column], DataFrame]
@@ -29,14 +30,14 @@ def made(df: DataFrame, slug: str, kind: Column, entity: str, day: str, value: C
 
 
 def run(spark: SparkSession, tables: Mapping[str, DataFrame], asof: Column, stage: str = "discover") -> tuple[DataFrame, dict[str, str]]:
-    """Signals of all jobs of a stage, and by slug what went wrong while a job was set up."""
+    """Signals of all jobs of a stage, each written when it has run, and by slug what went wrong. A job that fails, at once or in its data, is recorded and doesn't stop the others."""
     out, errors = None, {}
     for slug, (_, at, job) in JOBS.items():
         if at != stage:
             continue
         try:
-            rows = job(tables, asof).select(*SIGNAL)
-        except Exception as e:  # a job that can't be planned must not stop the others
+            rows = cut_lineage(job(tables, asof).select(*SIGNAL), f"source-{slug}")
+        except Exception as e:
             errors[slug] = f"{type(e).__name__}: {e}"[:200]
             continue
         out = rows if out is None else out.unionByName(rows)
@@ -138,7 +139,7 @@ def uspto_trademarks(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame
     m = tables["marks"]
     owners = m.groupBy("owner").agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("first_day"), F.countDistinct(F.lower("mark")).alias("brands"))
     young = owners.filter((F.col("n") < 25) & (F.datediff(asof, "first_day") <= 8 * 365))
-    rows = top_per(m.join(young, "owner"), ["owner"], [F.desc("day"), F.col("mark")], 3)
+    rows = top_per(m.join(young, "owner"), ["owner"], [F.desc("day"), F.col("mark"), F.col("in_use")], 3)
     s = 0.35 + 0.2 * (~F.col("in_use")).cast("int") + 0.15 / F.col("brands")
     return made(rows, "uspto_trademarks", F.when(F.col("in_use"), "trademark_in_use").otherwise("trademark_intent_to_use"), "owner", "day", F.col("n"), X.clamp(s, 0.15, 0.97))
 
@@ -147,7 +148,7 @@ def uspto_trademarks(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame
 def hn_launch(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     """posts(entity, day, url, points, comments): reposts of one page are one launch, its best one."""
     p = tables["posts"].withColumn("page", X.url_key(F.col("url")))
-    best = top_per(p, ["entity", "page"], [F.desc("points"), F.col("day")])
+    best = top_per(p, ["entity", "page"], [F.desc("points"), F.col("day"), F.desc("comments"), F.col("url")])
     return made(best, "hn_launch", F.lit("launch_hn"), "entity", "day", F.col("points"), 0.15 + 0.75 * X.squash(F.col("points") + 0.5 * F.col("comments"), 60))
 
 
@@ -186,7 +187,7 @@ def fcc_els(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     """licences(applicant, day, status, kind, units): three of an applicant and kind at most; units count, and applicants with many this run less."""
     a = tables["licences"].withColumn("key", X.loose_name(F.col("applicant")))
     many = a.groupBy("key").agg(F.count(F.lit(1)).alias("filings"))
-    rows = top_per(a, ["key", "kind"], [F.desc("day"), F.desc("units")], 3).join(many, "key")
+    rows = top_per(a, ["key", "kind"], [F.desc("day"), F.desc("units"), F.col("status"), F.col("applicant")], 3).join(many, "key")
     base = X.ladder((F.col("kind") == "sta", F.lit(0.30)), (F.col("status") == "granted", F.lit(0.55)), otherwise=F.lit(0.45))
     s = base + 0.14 * X.squash(F.col("units"), 40) + F.when(F.col("filings") == 1, 0.1).otherwise(-0.05)
     return made(rows, "fcc_els", F.concat(F.lit("fcc_"), F.col("kind"), F.lit("_"), F.col("status")), "applicant", "day", F.col("units"), X.clamp(s, 0.15, 0.95))
@@ -218,7 +219,7 @@ def nrc_adams(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
 @source("hn_hiring", "hiring")
 def hn_hiring(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     """hiring_posts(company, thread, day, team_size, fit, complete): the earliest post of a company and thread; a first one counts most, small teams more."""
-    one = top_per(tables["hiring_posts"], ["company", "thread"], [F.col("day"), F.col("thread")])
+    one = top_per(tables["hiring_posts"], ["company", "thread"], [F.col("day"), F.col("team_size").asc_nulls_last(), F.desc("fit"), F.col("complete")])
     h = history.prior_counts(one, ["company"], "day")
     first = (F.col("prior") == 0) & F.col("complete")
     s = 0.15 + X.ladder((first, F.lit(0.36)), (F.col("prior") <= 2, F.lit(0.20)), otherwise=F.lit(0.0)) + 0.30 * (1 - X.squash(F.col("team_size"), 15)) * F.col("team_size").isNotNull().cast("int") + 0.1 * F.col("fit")
