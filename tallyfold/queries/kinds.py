@@ -11,7 +11,7 @@ ASOF_AWARDS = "2001-08-01"
 _DAY = f"DATE '{ASOF_AWARDS}'"
 
 
-def _sql(slug: str, family: str, kind: str, entity: str, day: str, value: str, strength: str, source: str) -> str:
+def job_sql(slug: str, family: str, kind: str, entity: str, day: str, value: str, strength: str, source: str) -> str:
     return f"SELECT '{slug}' AS source, '{family}' AS family, {kind} AS kind, CAST({entity} AS VARCHAR) AS entity, CAST({day} AS VARCHAR) AS occurred_at, CAST({value} AS DOUBLE) AS value, round(least(greatest({strength}, 0.0), 1.0), 6) AS strength FROM {source}"
 
 
@@ -40,7 +40,7 @@ _GAP = _clamp("(fit - 0.465) * CASE WHEN fit - 0.465 >= 0 THEN 0.33 ELSE 0.6 END
 _GRANT = _clamp(f"CASE WHEN NOT whole THEN 0.42 WHEN prior = 0 THEN 0.70 + {_TEAM} ELSE {_REPEAT} END + {_GAP} - 0.05", 0.15, 0.97)
 
 
-@query("c_afwerx_order", f"{AW}, h AS (SELECT *, {_PRIOR} AS prior, firm % 11 <> 0 AS whole, CASE WHEN award_id % 4 > 0 THEN award_id % 400 END AS staff, (award_id % 100) / 100 AS fit FROM awards) " + _sql("sbir_awards", "capital", "'afwerx_order'", "firm", "day", "amount", _GRANT, "h"))
+@query("c_afwerx_order", f"{AW}, h AS (SELECT *, {_PRIOR} AS prior, firm % 11 <> 0 AS whole, CASE WHEN award_id % 4 > 0 THEN award_id % 400 END AS staff, (award_id % 100) / 100 AS fit FROM awards) " + job_sql("sbir_awards", "capital", "'afwerx_order'", "firm", "day", "amount", _GRANT, "h"))
 def c_afwerx_order(spark, sf):
     k, f = F.col("award_id"), F.col("firm")
     orders = awards(spark, sf).select("firm", "day", "amount", (f % 11 != 0).alias("complete"), F.when(k % 4 > 0, k % 400).alias("employees"), (k % 100 / 100).alias("fit"))
@@ -54,7 +54,7 @@ _NSF = "0.38 + (CASE WHEN contains(program, 'fast_track') THEN 0.15 ELSE 0 END)
 _SEEN = "CASE WHEN award_id % 6 > 0 THEN day + CAST(award_id % 90 AS INTEGER) ELSE day END"
 
 
-@query("c_energy_by_program", f"{AW}, e AS (SELECT firm, amount, {_one_of_sql(_PROGRAMS, 'award_id')} AS program, {_one_of_sql(_EVENTS, 'firm')} AS event, {_SEEN} AS seen FROM awards), h AS (SELECT *, count(*) OVER (PARTITION BY firm, program ORDER BY seen RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS prior FROM e) " + _sql("energy_grants", "capital", "program", "firm", "seen", "amount", f"CASE WHEN program = 'arpa_e_project' THEN {_ARPA} ELSE {_NSF} END", "h"))
+@query("c_energy_by_program", f"{AW}, e AS (SELECT firm, amount, {_one_of_sql(_PROGRAMS, 'award_id')} AS program, {_one_of_sql(_EVENTS, 'firm')} AS event, {_SEEN} AS seen FROM awards), h AS (SELECT *, count(*) OVER (PARTITION BY firm, program ORDER BY seen RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS prior FROM e) " + job_sql("energy_grants", "capital", "program", "firm", "seen", "amount", f"CASE WHEN program = 'arpa_e_project' THEN {_ARPA} ELSE {_NSF} END", "h"))
 def c_energy_by_program(spark, sf):
     k = F.col("award_id")
     released = F.when(k % 6 > 0, F.date_add("day", (k % 90).cast("int")))
@@ -65,7 +65,7 @@ def c_energy_by_program(spark, sf):
 _WAIVER = f"CASE WHEN sight AND many THEN 0.56 WHEN sight THEN 0.45 WHEN many THEN 0.40 ELSE 0.27 END + CASE WHEN award_id % 5 = 0 AND (sight OR many) THEN 0.05 ELSE 0 END - CASE WHEN award_id % 200 < 90 THEN 0.1 ELSE 0 END - 0.06 * {sq('others', 3)} + CASE WHEN firm % 4 = 0 THEN 0.05 ELSE 0 END"
 
 
-@query("c_faa_waivers", f"{AW}, w AS (SELECT *, 'holder ' || firm AS key, award_id % 2 = 0 AS sight, award_id % 3 = 0 AS many, count(*) OVER (PARTITION BY firm) - 1 AS others FROM awards) " + _sql("faa_uas", "regulatory", "'faa_part107_waiver'", "key", "day", "others + 1", _clamp(f"least({_WAIVER}, CASE WHEN firm % 7 = 0 OR firm % 3 = 0 THEN 0.3 WHEN firm % 3 = 1 THEN 0.5 ELSE 0.8 END)", 0.15, 0.8), "w"))
+@query("c_faa_waivers", f"{AW}, w AS (SELECT *, 'holder ' || firm AS key, award_id % 2 = 0 AS sight, award_id % 3 = 0 AS many, count(*) OVER (PARTITION BY firm) - 1 AS others FROM awards) " + job_sql("faa_uas", "regulatory", "'faa_part107_waiver'", "key", "day", "others + 1", _clamp(f"least({_WAIVER}, CASE WHEN firm % 7 = 0 OR firm % 3 = 0 THEN 0.3 WHEN firm % 3 = 1 THEN 0.5 ELSE 0.8 END)", 0.15, 0.8), "w"))
 def c_faa_waivers(spark, sf):
     k, f = F.col("award_id"), F.col("firm")
     w = awards(spark, sf).select(
@@ -88,7 +88,7 @@ h AS (SELECT l.firm, l.day, l.basis, b.* EXCLUDE (firm), o.before, o.first_day F
 _FILED = f"0.12 + CASE WHEN intended THEN 0.07 ELSE 0 END + CASE WHEN before = 0 THEN 0.09 WHEN date_diff('day', first_day, {_DAY}) <= 1095 AND before <= 5 THEN 0.04 ELSE 0 END + worth + 0.24 * {sq('brands - 1', 2)} + 0.10 * (best - 0.3) / 0.7 + CASE WHEN before = 0 AND share > 0.5 AND goods AND brands >= 3 AND NOT abroad THEN 0.14 ELSE 0 END - CASE WHEN abroad THEN 0.08 ELSE 0 END - 0.20 * {sq('before', 8)}"
 
 
-@query("c_trademarks_by_owner", _MARKS + _sql("uspto_trademarks", "regulatory", "CASE basis WHEN '1b' THEN 'trademark_intent_to_use' WHEN '1a' THEN 'trademark_in_use' ELSE 'trademark_filing' END", "firm", "day", "brands", _clamp(_FILED, 0.15, 0.97), "h"))
+@query("c_trademarks_by_owner", _MARKS + job_sql("uspto_trademarks", "regulatory", "CASE basis WHEN '1b' THEN 'trademark_intent_to_use' WHEN '1a' THEN 'trademark_in_use' ELSE 'trademark_filing' END", "firm", "day", "brands", _clamp(_FILED, 0.15, 0.97), "h"))
 def c_trademarks_by_owner(spark, sf):
     return _run("uspto_trademarks", "by_owner", {"filings_of_marks": _marks(spark, sf)})
 
@@ -109,7 +109,7 @@ def g11_g17_owner_history(spark, sf):
     return h.select("owner", "n", "before", F.col("first_day").cast("string").alias("first_day"), F.col("brands").cast("long").alias("brands"))
 
 
-@query("c_new_org_repo", f"{AW}, r AS (SELECT firm, award_id, day, day - CAST(award_id % 700 AS INTEGER) AS made, award_id % 30 AS people, award_id % 900 AS stars FROM awards WHERE award_id % 700 <= 365 AND firm % 5 > 0 AND award_id % 30 >= 2), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY day, award_id) AS x FROM r) WHERE x = 1) " + _sql("github_velocity", "github", "'new_org_repo'", "firm", "day", "people", _clamp(f"0.25 + 0.20 * {sq('people - 1', 4)} + 0.20 * {sq('stars', 400)} + CASE WHEN date_diff('day', made, {_DAY}) <= 180 THEN 0.06 ELSE 0 END + CASE WHEN firm % 2 = 0 THEN 0.03 ELSE 0 END + CASE WHEN firm % 3 = 0 THEN 0.03 ELSE 0 END + CASE WHEN firm % 6 >= 3 THEN 0.04 ELSE 0 END + 0.03", 0.2, 0.92), "f"))
+@query("c_new_org_repo", f"{AW}, r AS (SELECT firm, award_id, day, day - CAST(award_id % 700 AS INTEGER) AS made, award_id % 30 AS people, award_id % 900 AS stars FROM awards WHERE award_id % 700 <= 365 AND firm % 5 > 0 AND award_id % 30 >= 2), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY day, award_id) AS x FROM r) WHERE x = 1) " + job_sql("github_velocity", "github", "'new_org_repo'", "firm", "day", "people", _clamp(f"0.25 + 0.20 * {sq('people - 1', 4)} + 0.20 * {sq('stars', 400)} + CASE WHEN date_diff('day', made, {_DAY}) <= 180 THEN 0.06 ELSE 0 END + CASE WHEN firm % 2 = 0 THEN 0.03 ELSE 0 END + CASE WHEN firm % 3 = 0 THEN 0.03 ELSE 0 END + CASE WHEN firm % 6 >= 3 THEN 0.04 ELSE 0 END + 0.03", 0.2, 0.92), "f"))
 def c_new_org_repo(spark, sf):
     k, f = F.col("award_id"), F.col("firm")
     r = awards(spark, sf).select(
@@ -120,13 +120,13 @@ def c_new_org_repo(spark, sf):
 
 
 _STORY = f"0.15 + 0.75 * {sq('points + 0.5 * comments', 60)}"
-_STORIES = r"""WITH p AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS entity, DATE '2024-01-01' + CAST(page_id % 30 AS INTEGER) AS day, url, page_id % 97 AS points, page_id % 13 AS comments, length(url) % 2 = 0 AS launch, length(url) % 3 AS prior,
+STORIES_SQL = r"""WITH p AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS entity, DATE '2024-01-01' + CAST(page_id % 30 AS INTEGER) AS day, url, page_id % 97 AS points, page_id % 13 AS comments, length(url) % 2 = 0 AS launch, length(url) % 3 AS prior,
   regexp_replace(regexp_replace(regexp_replace(url, '^https?://(www\.)?', ''), '#.*$', ''), '/+(\?|$)', '\1') AS bare FROM pages),
 k AS (SELECT *, lower(string_split(bare, '?')[1] || CASE WHEN q = '' THEN '' ELSE '?' || q END) AS page FROM (SELECT *, array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT string_split(x, '=')[1] IN ('utm_source', 'ref'))), '&') AS q FROM p)),
 b AS (SELECT *, row_number() OVER (PARTITION BY entity, page ORDER BY points DESC, day, comments DESC, url) AS x, count(*) OVER (PARTITION BY entity, page) AS posted FROM k) """
 
 
-@query("c_launches_by_kind", _STORIES + _sql("hn_launch", "launch", "CASE WHEN launch THEN 'launch_hn' ELSE 'show_hn' END", "entity", "day", "posted", f"least((CASE WHEN launch THEN greatest({_STORY} + 0.05, 0.40) ELSE {_STORY} END) + CASE WHEN prior = 0 AND points >= 20 THEN 0.07 ELSE 0 END, 0.97)", "b WHERE x = 1"))
+@query("c_launches_by_kind", STORIES_SQL + job_sql("hn_launch", "launch", "CASE WHEN launch THEN 'launch_hn' ELSE 'show_hn' END", "entity", "day", "posted", f"least((CASE WHEN launch THEN greatest({_STORY} + 0.05, 0.40) ELSE {_STORY} END) + CASE WHEN prior = 0 AND points >= 20 THEN 0.07 ELSE 0 END, 0.97)", "b WHERE x = 1"))
 def c_launches_by_kind(spark, sf):
     """Launches and shows; the value is how often the page was posted (U11)."""
     k = F.col("page_id")
@@ -137,7 +137,7 @@ def c_launches_by_kind(spark, sf):
 _AREAS = ["thesis", "industrials", "other"]
 
 
-@query("c_yc_batch", f"{AW}, l AS (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY day, award_id % 100 DESC, award_id % 5 DESC, area, award_id % 2 = 0) AS x FROM (SELECT *, {_one_of_sql(_AREAS, 'firm')} AS area FROM awards)) " + _sql("yc_directory", "launch", "'yc_batch'", "firm", "day", "award_id % 5", "CASE WHEN firm % 4 > 0 THEN least(0.13 + 0.2 * (award_id % 100) / 100 + CASE area WHEN 'thesis' THEN 0.12 WHEN 'industrials' THEN 0.06 ELSE 0 END + CASE WHEN award_id % 2 = 0 THEN 0.1 ELSE 0 END + 0.03 * least(award_id % 5, 3), 0.64) ELSE 0.15 + 0.1 * (award_id % 100) / 100 END", "l WHERE x = 1"))
+@query("c_yc_batch", f"{AW}, l AS (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY day, award_id % 100 DESC, award_id % 5 DESC, area, award_id % 2 = 0) AS x FROM (SELECT *, {_one_of_sql(_AREAS, 'firm')} AS area FROM awards)) " + job_sql("yc_directory", "launch", "'yc_batch'", "firm", "day", "award_id % 5", "CASE WHEN firm % 4 > 0 THEN least(0.13 + 0.2 * (award_id % 100) / 100 + CASE area WHEN 'thesis' THEN 0.12 WHEN 'industrials' THEN 0.06 ELSE 0 END + CASE WHEN award_id % 2 = 0 THEN 0.1 ELSE 0 END + 0.03 * least(award_id % 5, 3), 0.64) ELSE 0.15 + 0.1 * (award_id % 100) / 100 END", "l WHERE x = 1"))
 def c_yc_batch(spark, sf):
     k, f = F.col("award_id"), F.col("firm")
     rows = awards(spark, sf).select(f.alias("company"), "day", (k % 100 / 100).alias("fit"), _one_of(_AREAS, f).alias("area"), (k % 2 == 0).alias("hard"), (k % 5).alias("tags"), (f % 4 > 0).alias("own_words"))
@@ -148,7 +148,7 @@ _RUN = _clamp(f"0.02 + 0.46 * fit + 0.05 * least(labels, 2) + CASE WHEN hard THE
 _HAX = "least(0.22 + 0.28 * fit + CASE WHEN cohort = year(day) THEN 0.08 ELSE 0 END + CASE WHEN founded >= year(day) - 2 THEN 0.04 ELSE 0 END, 0.7)"
 
 
-@query("c_listings_by_program", f"{AW}, g AS (SELECT firm, day, CASE WHEN firm % 2 = 0 THEN 'speedrun' ELSE 'hax' END AS program, (award_id % 100) / 100 AS fit, award_id % 4 AS labels, award_id % 3 = 0 AS hard, CASE WHEN award_id % 5 > 0 THEN 1993 + award_id % 9 END AS founded, CASE WHEN award_id % 7 > 0 THEN year(day) - award_id % 4 END AS cohort FROM awards), f AS (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY day, fit DESC, labels DESC, hard, founded NULLS FIRST, cohort NULLS FIRST) AS x FROM g) " + _sql("accelerators", "launch", "CASE WHEN program = 'speedrun' THEN 'speedrun_cohort' ELSE 'hax_company' END", "firm", "day", "labels", f"CASE WHEN program = 'speedrun' THEN {_RUN} WHEN coalesce(year(day) - cohort >= 2, false) THEN least({_HAX}, 0.3) ELSE {_HAX} END", "f WHERE x = 1"))
+@query("c_listings_by_program", f"{AW}, g AS (SELECT firm, day, CASE WHEN firm % 2 = 0 THEN 'speedrun' ELSE 'hax' END AS program, (award_id % 100) / 100 AS fit, award_id % 4 AS labels, award_id % 3 = 0 AS hard, CASE WHEN award_id % 5 > 0 THEN 1993 + award_id % 9 END AS founded, CASE WHEN award_id % 7 > 0 THEN year(day) - award_id % 4 END AS cohort FROM awards), f AS (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY day, fit DESC, labels DESC, hard, founded NULLS FIRST, cohort NULLS FIRST) AS x FROM g) " + job_sql("accelerators", "launch", "CASE WHEN program = 'speedrun' THEN 'speedrun_cohort' ELSE 'hax_company' END", "firm", "day", "labels", f"CASE WHEN program = 'speedrun' THEN {_RUN} WHEN coalesce(year(day) - cohort >= 2, false) THEN least({_HAX}, 0.3) ELSE {_HAX} END", "f WHERE x = 1"))
 def c_listings_by_program(spark, sf):
     k, f = F.col("award_id"), F.col("firm")
     rows = awards(spark, sf).select(f.alias("company"), F.when(f % 2 == 0, "speedrun").otherwise("hax").alias("program"), "day", (k % 100 / 100).alias("fit"), (k % 4).alias("labels"), (k % 3 == 0).alias("hard"), F.when(k % 5 > 0, 1993 + k % 9).alias("founded"), F.when(k % 7 > 0, F.year("day") - k % 4).alias("cohort_year"))
@@ -159,9 +159,9 @@ _RECORDS = f"""{AW}, r AS (SELECT firm, min(day) AS registered, bool_and(award_i
 d AS (SELECT a.firm, bool_or(award_id % 11 = 0) AS mail, bool_or(award_id % 13 = 0) AS dns, bool_or(award_id % 17 = 0) AS sender, date_diff('day', any_value(registered), {_DAY}) AS age FROM awards a LEFT JOIN r ON r.firm = a.firm GROUP BY 1),
 t AS (SELECT firm, count(*) AS n, sum(weight) AS weight, bool_or(telling) AS telling FROM (SELECT firm, priority, max(award_id % 10) / 10 AS weight, bool_or(award_id % 6 = 0) AS telling FROM awards GROUP BY ALL) GROUP BY 1) """
 _KINDS_OF_RECORDS = [
-    _sql("domain_footprint", "traffic", "'domain_registered'", "firm", "registered", f"date_diff('day', registered, {_DAY})", "CASE WHEN project THEN 0.35 ELSE 0.45 END", f"r WHERE date_diff('day', registered, {_DAY}) BETWEEN 0 AND 60"),
-    _sql("domain_footprint", "traffic", "'dns_govcloud'", "firm", _DAY, "NULL", "CASE WHEN mail AND dns THEN 0.40 WHEN mail THEN 0.35 WHEN dns THEN 0.30 ELSE 0.25 END + CASE WHEN age <= 1825 THEN 0.05 ELSE 0 END", "d WHERE mail OR dns OR sender"),
-    _sql("domain_footprint", "traffic", "'dns_tooling'", "firm", _DAY, "n", f"0.15 + 0.15 * {sq('weight', 2)}", "t WHERE telling"),
+    job_sql("domain_footprint", "traffic", "'domain_registered'", "firm", "registered", f"date_diff('day', registered, {_DAY})", "CASE WHEN project THEN 0.35 ELSE 0.45 END", f"r WHERE date_diff('day', registered, {_DAY}) BETWEEN 0 AND 60"),
+    job_sql("domain_footprint", "traffic", "'dns_govcloud'", "firm", _DAY, "NULL", "CASE WHEN mail AND dns THEN 0.40 WHEN mail THEN 0.35 WHEN dns THEN 0.30 ELSE 0.25 END + CASE WHEN age <= 1825 THEN 0.05 ELSE 0 END", "d WHERE mail OR dns OR sender"),
+    job_sql("domain_footprint", "traffic", "'dns_tooling'", "firm", _DAY, "n", f"0.15 + 0.15 * {sq('weight', 2)}", "t WHERE telling"),
 ]
 
 
@@ -175,14 +175,14 @@ def c_domain_records(spark, sf):
     })
 
 
-@query("c_hf_papers", f"{AW}, p AS (SELECT firm, 'paper ' || award_id % 50 AS key, award_id % 300 AS upvotes, award_id % 7 * 100 AS stars, day FROM awards WHERE award_id % 100 >= 55), f AS (SELECT *, row_number() OVER (PARTITION BY firm, key ORDER BY upvotes DESC, stars DESC, day) AS x FROM p) " + _sql("research_affil", "research", "'hf_paper_with_org'", "firm", "day", "upvotes", f"least(0.18 + 0.5 * {sq('upvotes', 60)} + 0.2 * {sq('stars', 400)}, 0.8)", "f WHERE x = 1"))
+@query("c_hf_papers", f"{AW}, p AS (SELECT firm, 'paper ' || award_id % 50 AS key, award_id % 300 AS upvotes, award_id % 7 * 100 AS stars, day FROM awards WHERE award_id % 100 >= 55), f AS (SELECT *, row_number() OVER (PARTITION BY firm, key ORDER BY upvotes DESC, stars DESC, day) AS x FROM p) " + job_sql("research_affil", "research", "'hf_paper_with_org'", "firm", "day", "upvotes", f"least(0.18 + 0.5 * {sq('upvotes', 60)} + 0.2 * {sq('stars', 400)}, 0.8)", "f WHERE x = 1"))
 def c_hf_papers(spark, sf):
     k = F.col("award_id")
     rows = awards(spark, sf).select(F.col("firm").alias("org"), F.concat(F.lit("Paper: "), (k % 50).cast("string")).alias("title"), "day", (k % 300).alias("upvotes"), (k % 7 * 100).alias("stars"), (k % 100 / 100).alias("fit"))
     return _run("research_affil", "hf_paper_with_org", {"claimed_papers": rows})
 
 
-@query("c_website_described", "WITH p AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS entity, url, DATE '2024-01-01' + CAST(page_id % 30 AS INTEGER) AS day, regexp_extract(html, '<p>([^<]*)', 1) AS said FROM pages WHERE page_id % 3 > 0), f AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY length(said) DESC, url, day DESC) AS x FROM p WHERE length(trim(said)) >= 20) " + _sql("web_presence", "traffic", "'website_described'", "entity", "day", "length(said)", "0.0", "f WHERE x = 1"))
+@query("c_website_described", "WITH p AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS entity, url, DATE '2024-01-01' + CAST(page_id % 30 AS INTEGER) AS day, regexp_extract(html, '<p>([^<]*)', 1) AS said FROM pages WHERE page_id % 3 > 0), f AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY length(said) DESC, url, day DESC) AS x FROM p WHERE length(trim(said)) >= 20) " + job_sql("web_presence", "traffic", "'website_described'", "entity", "day", "length(said)", "0.0", "f WHERE x = 1"))
 def c_website_described(spark, sf):
     k = F.col("page_id")
     rows = table(spark, sf, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("entity"), "url", F.date_add(F.to_date(F.lit("2024-01-01")), (k % 30).cast("int")).alias("day"), F.regexp_extract("html", "<p>([^<]*)", 1).alias("said"), F.when(k % 3 == 0, "known").alias("known"))

@@ -11,6 +11,7 @@ from ..operators.text import classify_groups
 from ..sources.views import ASOF, asof_day, awards, measured, n_rows, signals, table
 from ..streaming import stream
 from . import texts
+from .jobsql import JOB_SQL
 from .sqltext import AW, DAY, SIG, over, scored, sq
 from .sqltext import measured as all_signals
 
@@ -129,9 +130,8 @@ _JOB_SQL = {
     "sbir_awards": f"{AW}, h AS (SELECT *, {_PRIOR} AS prior FROM awards) " + _HEAD.format("sbir_awards", "capital", "'sbir_phase1'", "firm", "day", "amount", "CASE WHEN firm % 11 = 0 THEN 0.42 WHEN prior = 0 THEN 0.70 WHEN prior <= 2 THEN 0.50 WHEN prior <= 9 THEN 0.40 WHEN prior <= 24 THEN 0.28 ELSE 0.18 END", "h"),
     "fpds_ot": f"{AW}, h AS (SELECT *, {_PRIOR} AS prior, least(greatest(1 - (firm % 3000) / 1825, 0), 1) AS fresh, {sq('amount', 750000)} AS money FROM awards) " + _HEAD.format("fpds_ot", "capital", "CASE WHEN prior = 0 THEN 'ot_first_award' ELSE 'ot_award' END", "firm", "least(day + 90, DATE '2001-08-01')", "amount", "least(greatest(0.18 + 0.25 * fresh + 0.17 * money + (CASE WHEN prior = 0 THEN 0.10 + 0.15 * fresh + 0.15 * money ELSE -0.05 END), 0.05), 0.97)", "h"),
     "research_affil": "WITH p AS (SELECT source AS company, text AS title, DATE '2024-01-01' + CAST(doc_id % 28 AS INTEGER) AS day FROM documents), k AS (SELECT *, trim(regexp_replace(lower(regexp_replace(title, '[’''`]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) AS key FROM p), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company, key ORDER BY day, title) AS x FROM k) WHERE x = 1), f AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY day, key) = 1 AS first FROM o) " + _HEAD.format("research_affil", "research", "CASE WHEN first THEN 'company_first_paper' ELSE 'company_papers' END", "company", "day", "1", "CASE WHEN first THEN 0.6 ELSE 0.35 END", "f"),
-    "uspto_trademarks": f"{AW}, n AS (SELECT firm, count(*) AS n, count(DISTINCT lower(priority)) AS brands, min(day) AS first_day FROM awards GROUP BY 1), r AS (SELECT a.*, n.n, n.brands, row_number() OVER (PARTITION BY a.firm ORDER BY day DESC, priority) AS x FROM awards a JOIN n ON a.firm = n.firm WHERE n.n < 25 AND date_diff('day', first_day, DATE '2001-08-01') <= 2920) " + _HEAD.format("uspto_trademarks", "regulatory", "CASE WHEN status = 'F' THEN 'trademark_in_use' ELSE 'trademark_intent_to_use' END", "firm", "day", "n", "least(greatest(0.35 + (CASE WHEN status = 'F' THEN 0 ELSE 0.2 END) + 0.15 / brands, 0.15), 0.97)", "r WHERE x <= 3"),
 }
-_JOB_SQL.pop("uspto_trademarks")  # rows of one owner, day and mark may differ in use, and either may be the third
+_JOB_SQL |= JOB_SQL
 for _slug, _day in {"sec_form_d": "2001-08-01", "fpds_ot": "2001-08-01", "sbir_awards": "2001-08-01", "github_velocity": ASOF, "ats_jobs": "2001-08-01", "hn_attention": ASOF, "uspto_trademarks": "2001-08-01", "hn_launch": ASOF, "tranco_rank": ASOF, "domain_footprint": "2001-08-01", "research_affil": ASOF, "energy_grants": "2001-08-01", "fcc_els": "2001-08-01", "faa_uas": "2001-08-01", "nrc_adams": "2001-08-01", "hn_hiring": ASOF, "yc_directory": "2001-08-01", "accelerators": "2001-08-01"}.items():
     query(f"c_{_slug}", _JOB_SQL.get(_slug))(_job(_slug, _day))
 

@@ -128,7 +128,7 @@ def tranco_rank(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     wide = r.crossJoin(F.broadcast(days)).groupBy("domain").agg(F.min(F.when(F.col("list_day") == F.col("newest"), F.col("rank"))).alias("now"), F.min(F.when(F.col("list_day") < F.col("newest"), F.col("rank"))).alias("before"), F.max("newest").alias("day")).filter("now IS NOT NULL")
     entrants = made(wide.filter("before IS NULL"), "tranco_rank", F.lit("tranco_new_entrant"), "domain", "day", F.col("now"), 0.25 + 0.35 * X.tier(F.col("now"), [(100_000, 1.0), (1_000_000, 0.6), (2_000_000, 0.3)], 0.1))
     moved = cohort_share(wide.filter("before IS NOT NULL").withColumn("ratio", F.col("before") / F.col("now")), "now", "ratio", "domain", least=20)
-    tail = -F.log10(F.greatest(1 - F.col("share"), F.lit(0.001)))
+    tail = F.when(F.col("share").isNotNull(), -F.log10(F.greatest(1 - F.col("share"), F.lit(0.001))))
     s = F.coalesce(X.interp(tail, [(0.0, 0.0), (1.0, 0.30), (1.5, 0.42), (2.0, 0.60), (2.5, 0.78), (3.0, 0.88)]), F.lit(0.0))
     return entrants.unionByName(made(moved, "tranco_rank", F.when(tail >= 1, "tranco_rank_move").otherwise("tranco_rank_present"), "domain", "day", F.col("ratio"), F.when(tail >= 1, s).otherwise(F.lit(0.0))))
 
@@ -206,8 +206,8 @@ def faa_uas(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
 @source("nrc_adams", "regulatory")
 def nrc_adams(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     """papers_filed(docket, party, day, kind, package): one of a package, one of a kind and day; a docket's first makes it opened; two of a kind and four of a company at most."""
-    p = top_per(tables["papers_filed"], ["package"], [F.col("day"), F.col("kind")])
-    p = top_per(p, ["docket", "kind", "day"], [F.col("package")])
+    p = top_per(tables["papers_filed"], ["package"], [F.col("day"), F.col("kind"), F.col("docket"), F.col("party")])
+    p = top_per(p, ["docket", "kind", "day"], [F.col("package"), F.col("party")])
     f = history.first_flag(p, ["docket"], [F.col("day"), F.col("package")])
     age = F.datediff(asof, "day")
     fade = X.ladder((age <= 90, F.lit(1.0)), (age <= 180, F.lit(0.85)), otherwise=F.lit(0.7))
