@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import exprs as X
 from ..functions import hosts, wording
-from ..operators import matching
+from ..operators import evidence, matching
 from ..operators.ranking import top_per
 from ..sources.views import awards, n_rows, signals, table
 from .sqltext import AW, SIG
@@ -143,9 +143,11 @@ def s33_name_kind(spark, sf):
     return table(spark, sf, "customer").groupBy(wording.name_kind(name).alias("kind")).agg(n_rows().alias("n"))
 
 
-@query("d10_maker_evidence", r"SELECT role, count(*) AS n FROM conversations WHERE regexp_matches(lower(text), '(^|[^a-z])(i|we|my|our) ') GROUP BY 1")
+@query("d10_maker_evidence", r"SELECT role, count(*) FILTER (WHERE regexp_matches(lower(text), '(^|[^a-z])(i|we|my|our) ')) AS n, role IN ('user') AS own FROM conversations GROUP BY ALL")
 def d10_maker_evidence(spark, sf):
-    return table(spark, sf, "conversations").filter(F.lower("text").rlike("(^|[^a-z])(i|we|my|our) ")).groupBy("role").agg(n_rows().alias("n"))
+    """Texts in the first person by role, and which role is the account "The User"."""
+    own = evidence.same_handle(F.col("role"), F.lit("The User"))
+    return table(spark, sf, "conversations").groupBy("role", own.alias("own")).agg(F.count(F.when(evidence.speaks_as_maker(F.col("text")), 1)).alias("n"))
 
 
 @query("t9_sessions", f"{SIG}, g AS (SELECT entity_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY entity_id ORDER BY ts) >= INTERVAL 3 DAY OR lag(ts) OVER (PARTITION BY entity_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS start FROM signals), s AS (SELECT *, sum(start) OVER (PARTITION BY entity_id ORDER BY ts) AS k FROM g) SELECT entity_id, CAST(CAST(min(ts) AS DATE) AS VARCHAR) AS first_day, count(*) AS n FROM s GROUP BY entity_id, k")
@@ -157,14 +159,38 @@ def t9_sessions(spark, sf):
 @query("t12_peak_dated", f"{SIG}, d AS (SELECT entity_id, occurred_at AS d, count(*) AS n FROM signals GROUP BY ALL) SELECT entity_id, CAST(least(greatest(arg_max(d, (n, -date_diff('day', DATE '1970-01-01', d))), DATE '2024-01-05'), DATE '2024-01-25') AS VARCHAR) AS dated FROM d GROUP BY 1")
 def t12_peak_dated(spark, sf):
     d = signals(spark, sf).groupBy("entity_id", F.col("occurred_at").alias("d")).agg(n_rows().alias("n"))
-    peak = F.max_by("d", F.struct(F.col("n"), -F.unix_date("d")))
-    return d.groupBy("entity_id").agg(F.least(F.greatest(peak, F.to_date(F.lit("2024-01-05"))), F.to_date(F.lit("2024-01-25"))).cast("string").alias("dated"))
+    dated = evidence.peak_day(d, ["entity_id"], "d", "n", F.to_date(F.lit("2024-01-05")), F.to_date(F.lit("2024-01-25")))
+    return dated.select("entity_id", F.col("dated").cast("string").alias("dated"))
 
 
 @query("j8_identity_ladder", f"{AW}, a AS (SELECT firm, priority, count(*) AS n, max(status) AS status FROM awards GROUP BY ALL) SELECT firm, priority, CASE WHEN n % 7 = 0 THEN 'website' WHEN status = 'P' THEN 'registry' ELSE 'name' END AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY CASE WHEN n % 7 = 0 THEN 0 WHEN status = 'P' THEN 1 ELSE 2 END, priority) AS x FROM a WHERE n % 5 <> 0) WHERE x = 1")
 def j8_identity_ladder(spark, sf):
     """Candidates by the strongest evidence that holds; a clash on the strongest rule (here n divisible by 5) rules one out."""
-    a = awards(spark, sf).groupBy("firm", "priority").agg(n_rows().alias("n"), F.max("status").alias("status")).filter("n % 5 <> 0")
-    grade = X.ladder((F.col("n") % 7 == 0, F.lit(0)), (F.col("status") == "P", F.lit(1)), otherwise=F.lit(2))
-    best = top_per(a.withColumn("grade", grade), ["firm"], [F.col("grade"), F.col("priority")])
-    return best.select("firm", "priority", F.element_at(F.array(*[F.lit(x) for x in ("website", "registry", "name")]), F.col("grade") + 1).alias("evidence"))
+    a = awards(spark, sf).groupBy("firm", "priority").agg(n_rows().alias("n"), F.max("status").alias("status"))
+    return evidence.identity(a, "firm", "priority", {"website": F.col("n") % 7 == 0, "registry": F.col("status") == "P", "name": F.lit(True)}, F.col("n") % 5 == 0)
+
+
+@query("j13_trusted_profiles", f"{AW}, p AS (SELECT firm AS person, count(*) AS papers, list(DISTINCT priority) AS own FROM awards GROUP BY 1), h AS (SELECT firm AS person, list(DISTINCT priority) AS homes, max(award_id) AS orcid FROM awards WHERE status = 'P' GROUP BY 1) SELECT p.person, coalesce(p.person % 7 > 0 AND (orcid % 3 = 0 OR len(list_intersect(own, homes)) > 0), false) AS trusted FROM p LEFT JOIN h USING (person)")
+def j13_trusted_profiles(spark, sf):
+    """Firms as people: their priorities as affiliations, those of pending awards as a profile's homes."""
+    a = awards(spark, sf)
+    people = a.groupBy(F.col("firm").alias("person")).agg(F.collect_set("priority").alias("own"))
+    profiles = a.filter("status = 'P'").groupBy(F.col("firm").alias("person")).agg(F.collect_set("priority").alias("homes"), F.max("award_id").alias("orcid"))
+    t = matching.trusted_profiles(people, profiles, "person", F.col("person") % 7 > 0, F.col("orcid") % 3 == 0, "own", "homes")
+    return t.select("person", "trusted")
+
+
+@query("t6_holding_table", f"{AW} SELECT CASE WHEN day <= DATE '2000-01-01' THEN 'now' WHEN day <= DATE '2001-01-01' THEN 'released' ELSE 'held' END AS state, count(*) AS n FROM awards GROUP BY 1")
+def t6_holding_table(spark, sf):
+    """Rows that lie ahead wait in a holding table, from which a later run takes those whose day has come."""
+    now, held = evidence.deferred(awards(spark, sf), "day", F.to_date(F.lit("2000-01-01")))
+    come, stay = evidence.released(held, "day", F.to_date(F.lit("2001-01-01")))
+    state = lambda df, name: df.select(F.lit(name).alias("state"))
+    return state(now, "now").unionByName(state(come, "released")).unionByName(state(stay, "held")).groupBy("state").agg(n_rows().alias("n"))
+
+
+@query("s34_hints", r"SELECT page_id, coalesce(nullif(trim(regexp_extract(title, '^(.{1,60}?)\s*(?:[:\x{2013}\x{2014}]|\s-\s|\(|$)', 1)), ''), '') AS name, CASE WHEN regexp_matches(host, '\.(edu|gov|mil)$') THEN NULL ELSE host END AS domain FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\.', '') AS host FROM pages)")
+def s34_hints(spark, sf):
+    """Pages read as posts: the name and the site that title and address give."""
+    p = table(spark, sf, "pages").select("page_id", evidence.post_hint(F.regexp_extract("html", "<title>([^<]*)", 1), F.col("url")).alias("h"))
+    return p.select("page_id", "h.name", "h.domain")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import fixed
+from ..operators import evidence
 from ..operators.ranking import ranked_top, top_per
 from ..plans import score
 from ..sources import jobs, readers
@@ -55,9 +56,9 @@ def p2_team(spark, sf):
 
 @query("p9_people_table", "SELECT conv_id, role, round(CASE WHEN role = 'user' THEN 1.35 WHEN role = 'assistant' THEN 1.1 ELSE 1.0 END * (1 + 0.6 * least(count(*), 3) + least(max(turn), 60) / 60.0), 6) AS weight FROM conversations GROUP BY conv_id, role")
 def p9_people_table(spark, sf):
-    role = F.when(F.col("role") == "user", 1.35).when(F.col("role") == "assistant", 1.1).otherwise(1.0)
     c = table(spark, sf, "conversations").groupBy("conv_id", "role").agg(n_rows().alias("n"), F.max("turn").alias("turn"))
-    return c.select("conv_id", "role", F.round(role * (1 + 0.6 * F.least("n", F.lit(3)) + F.least("turn", F.lit(60)) / 60), 6).alias("weight"))
+    weight = evidence.role_weight(F.col("role"), {"user": 1.35, "assistant": 1.1}, F.col("n"), F.col("turn"), F.lit(False), F.lit(1.0))
+    return c.select("conv_id", "role", F.round(weight, 6).alias("weight"))
 
 
 @query("p10_run_meta", f"{SIG} SELECT count(*) AS signals, count(DISTINCT entity_id) AS entities, count(DISTINCT kind) AS sources, count(*) FILTER (WHERE strength >= 0.3) AS strong FROM signals")
@@ -65,10 +66,15 @@ def p10_run_meta(spark, sf):
     return signals(spark, sf).agg(n_rows().alias("signals"), F.countDistinct("entity_id").alias("entities"), F.countDistinct("kind").alias("sources"), F.count(F.when(F.col("strength") >= 0.3, 1)).alias("strong"))
 
 
-@query("p12_partition", f"{SIG} SELECT entity_id, count(*) FILTER (WHERE subject % 9 <> 0) AS dated, count(*) FILTER (WHERE subject % 9 = 0) AS undated, count(*) > 3 AS more_than_why FROM signals GROUP BY 1")
+@query("p12_partition", f"{SIG}, n AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY occurred_at DESC, signal_id) AS nth FROM signals), g AS (SELECT entity_id, count(*) FILTER (WHERE subject % 9 <> 0) AS dated, count(*) FILTER (WHERE subject % 9 = 0) AS undated, count(DISTINCT kind) > count(DISTINCT kind) FILTER (WHERE nth <= 3) AS more_than_why, bool_or(kind = 'view') AS v, bool_or(kind = 'click') AS c, bool_or(kind = 'error') AS e FROM n GROUP BY 1) SELECT entity_id, dated, undated, more_than_why, concat_ws(',', CASE WHEN v THEN 'view' END, CASE WHEN c THEN 'click' END, CASE WHEN e THEN 'error' END) AS links FROM g")
 def p12_partition(spark, sf):
+    """Dated and undated signals, whether all kinds say more than the three newest signals' do, and the links that are shown: views first; a purchase has none, a sign-up the reviewer's own."""
     state = F.col("subject") % 9 == 0
-    return signals(spark, sf).groupBy("entity_id").agg(F.count(F.when(~state, 1)).alias("dated"), F.count(F.when(state, 1)).alias("undated"), (n_rows() > 3).alias("more_than_why"))
+    n = top_per(signals(spark, sf), ["entity_id"], [F.desc("occurred_at"), F.col("signal_id")], 1 << 30, nth="nth")
+    g = n.groupBy("entity_id").agg(F.count(F.when(~state, 1)).alias("dated"), F.count(F.when(state, 1)).alias("undated"), F.collect_set("kind").alias("kinds"), F.collect_set(F.when(F.col("nth") <= 3, F.col("kind"))).alias("why"))
+    address = lambda k: F.when(k == "purchase", "none").when(k == "signup", "https://review.example").otherwise(F.concat(F.lit("https://"), k, F.lit(".example")))
+    links = F.map_from_entries(F.transform("kinds", lambda k: F.struct(k, address(k))))
+    return g.select("entity_id", "dated", "undated", evidence.adds_to(F.col("kinds"), F.col("why")).alias("more_than_why"), F.array_join(evidence.shown_links(links, ["view"], "review.example"), ",").alias("links"))
 
 
 @query("a11_csv_view", f"{SIG} SELECT entity_id, string_agg(DISTINCT kind, '; ' ORDER BY kind) AS kinds FROM signals GROUP BY 1")

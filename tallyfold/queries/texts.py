@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..operators import evidence
 from ..operators import text as X
 from ..operators.quality import held_terms
 from ..operators.ranking import top_per
@@ -53,11 +54,25 @@ def d4_longest_matches(spark, sf):
     return X.longest_matches(table(spark, sf, "documents"), "doc_id", "text", ["the", "to the", "of the", "worthless", "and the"])
 
 
-@query("d5_pedigree", "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(^|[^A-Za-z])Than($|[^A-Za-z])') THEN 'Than' WHEN regexp_matches(text, '(^|[^A-Za-z])The($|[^A-Za-z])') THEN 'The' END AS org FROM conversations WHERE regexp_matches(text, '(^|[^A-Za-z])(Than|The)($|[^A-Za-z])')")
+ORGS = [("The", 2, []), ("Than", 1, ["Thth"]), ("Heat", 1, [])]
+
+
+def _stated_sql(alias: str) -> str:
+    e, far = "[^A-Za-z0-9]", "(?:[^.;]{0,39}[^A-Za-z0-9.;])?"
+    bare, before, behind = f"(^|{e}){alias}($|{e})", f"{evidence.BEFORE}{far}{alias}($|{e})", f"(^|{e}){alias}(?:{e}[^.;]{{0,5}})?{evidence.BEHIND}"
+    return f"(regexp_matches(p, '{bare}') AND (length(p) <= {evidence.SENTENCE} OR regexp_matches(p, '{before}') OR regexp_matches(p, '{behind}')))"
+
+
+_ORG_HITS = ", ".join(f"coalesce(bool_or({' OR '.join(_stated_sql(x) for x in [org, *others])}), false) AS has_{org}" for org, _, others in ORGS)
+_ORG_LIST = " || ".join(f"CASE WHEN has_{org} THEN '{tier}:{org};' ELSE '' END" for org, tier, _ in sorted(ORGS, key=lambda o: (o[1], o[0])))
+
+
+@query("d5_pedigree", f"WITH parts AS (SELECT conv_id, turn, unnest(string_split(text, ' ; ')) AS raw FROM conversations), h AS (SELECT conv_id, turn, {_ORG_HITS} FROM (SELECT conv_id, turn, trim(regexp_replace(raw, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS p FROM parts) GROUP BY ALL) SELECT conv_id, turn, {_ORG_LIST} AS orgs FROM h WHERE {' OR '.join(f'has_{o}' for o, _, _ in ORGS)}")
 def d5_pedigree(spark, sf):
-    """The longest alias with edges of its own; case counts."""
-    found = F.coalesce(*[F.when(F.col("text").rlike(f"(^|[^A-Za-z]){a}($|[^A-Za-z])"), F.lit(a)) for a in ("Than", "The")])
-    return table(spark, sf, "conversations").select("conv_id", "turn", found.alias("org")).filter("org IS NOT NULL")
+    """Organisations stated in what people say, best tier first."""
+    found = evidence.pedigree(F.col("text"), ORGS)
+    c = table(spark, sf, "conversations").select("conv_id", "turn", found.alias("found")).filter(F.size("found") > 0)
+    return c.select("conv_id", "turn", F.array_join(F.transform("found", lambda x: F.concat(x["tier"].cast("string"), F.lit(":"), x["org"], F.lit(";"))), "").alias("orgs"))
 
 
 @query("d7_document_kind", "SELECT CASE WHEN regexp_matches(lower(text), '@|password') THEN 'contact' WHEN regexp_matches(lower(text), '[0-9]{4}') THEN 'numbers' WHEN contains(text, '|') THEN 'list' ELSE 'prose' END AS kind, count(*) AS n FROM documents GROUP BY 1")
@@ -68,10 +83,13 @@ def d7_document_kind(spark, sf):
     return table(spark, sf, "documents").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d12_hosts", r"SELECT host, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, 'href=.(/[A-Za-z]+).', 1)) AS host FROM pages) GROUP BY 1")
+@query("d12_hosts", r"""WITH named AS (SELECT page_id, unnest(list_concat(regexp_extract_all(x, 'https?://([^\s"''<>/?#]+)', 1), regexp_extract_all(x, '[a-z0-9._%+-]+@([a-z0-9-]+(?:\.[a-z0-9-]+)+)', 1))) AS u FROM (SELECT page_id, lower(url || ' ' || html) AS x FROM pages)),
+h AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(u, '^.*@', ''), ':.*$', ''), '^www\.', '') AS host FROM named)
+SELECT page_id, host, count(*) AS n FROM h WHERE contains(host, '.') AND NOT regexp_matches(host, '\.(edu|gov|mil)$') GROUP BY ALL""")
 def d12_hosts(spark, sf):
-    hosts = F.explode(F.regexp_extract_all("html", F.lit("href=.(/[A-Za-z]+)."), F.lit(1)))
-    return table(spark, sf, "pages").select(hosts.alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    """How often a page, with its address, names each host."""
+    p = table(spark, sf, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("x"))
+    return evidence.host_mentions(p, "page_id", "x")
 
 
 @query("d14_modal_label", "SELECT source, lang FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS nth FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang)) WHERE nth = 1")
@@ -80,11 +98,18 @@ def d14_modal_label(spark, sf):
     return top_per(n, ["source"], [F.desc("n"), F.col("lang")]).select("source", "lang")
 
 
-@query("d13_backing", "SELECT doc_id, contains(lower(head), 'the') AND contains(lower(rest), 'heat') AS backed FROM (SELECT doc_id, string_split(text, chr(10))[1] AS head, substr(text, length(string_split(text, chr(10))[1]) + 1) AS rest FROM documents)")
+_HEAD = "(SELECT doc_id, string_split(text, chr(10))[1] AS text FROM documents)"
+_REST = "(SELECT doc_id, substr(text, length(string_split(text, chr(10))[1]) + 1) AS text FROM documents)"
+
+
+@query("d13_backing", f"WITH a AS ({_classify_sql(_HEAD)} SELECT * FROM c), b AS ({_classify_sql(_REST)} SELECT * FROM c) SELECT a.doc_id, CASE WHEN a.sure AND a.fit >= 0.3 THEN a.fit WHEN a.fit > 0.465 THEN a.fit WHEN a.fit > 0 AND b.fit >= 0.3 THEN least(greatest(a.fit, 0.3), 0.465) END AS fit FROM a JOIN b USING (doc_id)")
 def d13_backing(spark, sf):
-    head = F.substring_index("text", "\n", 1)
-    rest = F.expr("substring(text, length(substring_index(text, '\n', 1)) + 1)")
-    return table(spark, sf, "documents").select("doc_id", (F.lower(head).contains("the") & F.lower(rest).contains("heat")).alias("backed"))
+    """The fit that a document's first line may claim, backed by the rest of it."""
+    d = table(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("head"), F.expr("substring(text, length(substring_index(text, '\n', 1)) + 1)").alias("rest"))
+    own = X.classify(d, "head", DICTIONARY, FRIENDS, SURE).withColumnRenamed("fit", "own_fit").withColumnRenamed("terms", "own_terms").drop("sector")
+    both = X.classify(own, "rest", DICTIONARY, FRIENDS, SURE)
+    sure = F.arrays_overlap(F.split("own_terms", ","), F.array(*[F.lit(x) for x in SURE]))
+    return both.select("doc_id", evidence.backed(F.col("own_fit"), sure, F.col("fit")).alias("fit"))
 
 
 @query("b10_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'worthless') OR contains(lower(source), 'src7')")
@@ -92,16 +117,19 @@ def b10_search(spark, sf):
     return table(spark, sf, "documents").filter(F.lower("text").contains("worthless") | F.lower("source").contains("src7")).select("doc_id")
 
 
-@query("b17_verified_hits", r"SELECT source, count(*) AS n FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z])The [A-Z]') OR regexp_matches(lower(text), '(^|[^a-z0-9.])example\.com($|[^a-z0-9])') GROUP BY 1")
+@query("b17_verified_hits", r"SELECT value, source, count(*) AS n FROM (SELECT 'example.com' AS value, source FROM documents WHERE regexp_matches(text, '(?i)(^|[^a-z0-9.-])example\.com($|[^a-z0-9.-]|[.]($|[^a-z0-9]))') UNION ALL SELECT 'the heat', source FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9])The[ -]Heat($|[^A-Za-z0-9])') UNION ALL SELECT 'than', source FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9])Than($|[^A-Za-z0-9])')) GROUP BY ALL")
 def b17_verified_hits(spark, sf):
-    hit = F.col("text").rlike("(^|[^A-Za-z])The [A-Z]") | F.lower("text").rlike(r"(^|[^a-z0-9.])example\.com($|[^a-z0-9])")
-    return table(spark, sf, "documents").filter(hit).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    """Texts that a search for three keys found, kept if they bear the key out."""
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value")) for k, v in (("host", "example.com"), ("name", "the heat"), ("name", "than"))]))
+    hits = table(spark, sf, "documents").select("source", "text", keys.alias("key")).select("source", "text", "key.*")
+    return evidence.verified(hits, "text", "kind", "value").groupBy("value", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("b19_own_activity", "SELECT role = 'assistant' AS own, count(*) AS n, count(DISTINCT conv_id) AS convs FROM conversations WHERE role <> 'system' GROUP BY 1")
+@query("b19_own_activity", "SELECT conv_id, count(*) FILTER (WHERE role <> 'assistant') AS attention, count(DISTINCT role) FILTER (WHERE role <> 'assistant') AS authors, count(*) FILTER (WHERE role = 'assistant') AS own, count(DISTINCT role) FILTER (WHERE role = 'assistant') AS own_authors FROM conversations GROUP BY 1")
 def b19_own_activity(spark, sf):
-    c = table(spark, sf, "conversations").filter("role <> 'system'")
-    return c.groupBy((F.col("role") == "assistant").alias("own")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("convs"))
+    """Of each conversation what others said, and what the account whose name is the handle "Assistant" said."""
+    own = evidence.same_handle(F.col("role"), F.lit("Assistant"))
+    return evidence.split_attention(table(spark, sf, "conversations"), ["conv_id"], "role", own)
 
 
 @query("b6_terms_held", "SELECT doc_id, array_to_string(list_filter(['idiot', 'trash', 'scum', 'clown'], lambda t: contains(lower(text), t)), ',') AS held FROM documents WHERE regexp_matches(lower(text), 'idiot|trash|scum|clown')")
