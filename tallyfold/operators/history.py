@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut_lineage
+from .ranking import running_total
+
 
 def days(d: Column | str) -> Column:
     return F.unix_date(F.col(d) if isinstance(d, str) else d)
 
 
+def _by_moment(df: DataFrame, keys: Sequence[str], moment: str, before: Column, name: str) -> DataFrame:
+    """df with `before` (an aggregate of a key's rows at one moment), summed over the key's earlier moments: rows become one a moment first, and the sums go by ranges, so no task has a party's whole history."""
+    at = df.groupBy(*keys, F.col(moment).alias("_at")).agg(before.alias("_n"))
+    sums = running_total(at, keys, [F.col("_at")], "_n", name).select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], "_at", name)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)], F.col(moment).eqNullSafe(F.col("_at")))
+    return df.join(sums, same).drop("_at", *[f"_{i}" for i in range(len(keys))])
+
+
 def prior_counts(df: DataFrame, keys: Sequence[str], day: str, name: str = "prior") -> DataFrame:
-    """Rows of the same party on strictly earlier days."""
-    w = Window.partitionBy(*keys).orderBy(days(day)).rangeBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.count(F.lit(1)).over(w))
+    """Rows of the same party on strictly earlier days (rows without a day come first)."""
+    return _by_moment(df, keys, day, F.count(F.lit(1)), name)
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Mapping[str, str]) -> DataFrame:
@@ -32,7 +43,7 @@ def first_flag(df: DataFrame, keys: Sequence[str], order: Sequence[Column], comp
 
 def ordinal(df: DataFrame, keys: Sequence[str], moment: str, name: str = "nth") -> DataFrame:
     """1 for the first distinct moment of a key, 2 for the next."""
-    return df.withColumn(name, F.dense_rank().over(Window.partitionBy(*keys).orderBy(moment)))
+    return _by_moment(df, keys, moment, F.max(F.lit(1)), name).withColumn(name, (F.col(name) + 1).cast("int"))
 
 
 def islands(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
@@ -61,9 +72,11 @@ def acceleration(now: Column, before: Column) -> Column:
 
 def first_batch(df: DataFrame, keys: Sequence[str], day: str, gap: int = 3) -> DataFrame:
     """Rows, rows within `gap` days of the first, and whether these make a birth: all of at least 3, half of at least 5, or 30 % of at least 10."""
-    start = F.min(day).over(Window.partitionBy(*keys))
-    n, k = F.col("n"), F.col("n_first")
-    marked = df.withColumn("start", start).groupBy(*keys).agg(F.min("start").alias("first_day"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.datediff(F.col(day), F.col("start")) <= gap, 1)).alias("n_first"))
+    daily = cut_lineage(df.groupBy(*keys, F.col(day).alias("_day")).agg(F.count(F.lit(1)).alias("_n")), "daily")
+    totals = daily.groupBy(*keys).agg(F.min("_day").alias("first_day"), F.sum("_n").alias("n"))
+    early = F.when(F.datediff("_day", "first_day") <= gap, F.col("_n"))
+    k, n = F.col("n_first"), F.col("n")
+    marked = daily.join(totals, list(keys)).groupBy(*keys, "first_day", "n").agg(F.coalesce(F.sum(early), F.lit(0)).alias("n_first"))
     return marked.withColumn("is_birth", ((k == n) & (k >= 3)) | ((k >= 5) & (k >= 0.5 * n)) | ((k >= 10) & (k >= 0.3 * n)))
 
 

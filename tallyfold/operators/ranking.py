@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +33,9 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     within = dealt.withColumn("_within", F.coalesce(F.sum(n).over(before.partitionBy("_range", *keys).orderBy(*order)), F.lit(0)))
     ranges = dealt.groupBy("_range", *keys).agg(F.sum(n).alias("_n"))
     above = ranges.withColumn("_above", F.coalesce(F.sum("_n").over(before.partitionBy(*keys).orderBy("_range")), F.lit(0))).drop("_n")
-    return within.join(above, ["_range", *keys]).withColumn(name, F.col("_within") + F.col("_above")).drop("_range", "_within", "_above")
+    above = above.select(F.col("_range").alias("_of"), *[F.col(k).alias(f"_of_{i}") for i, k in enumerate(keys)], "_above")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(keys)], F.col("_range") == F.col("_of"))
+    return within.join(above, same).withColumn(name, F.col("_within") + F.col("_above")).drop("_range", "_within", "_above", "_of", *[f"_of_{i}" for i in range(len(keys))])
 
 
 def global_rank(df: DataFrame, score: str, ties: str, rank: str = "rank") -> DataFrame:

@@ -21,11 +21,12 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     out = shared_place(spark, "drained")
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        # A batch that is replayed after a failure replaces what it wrote before.
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/epoch={epoch}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", shared_place(spark, "progress")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out if mode == "complete" else f"{out}/epoch=*")
 
 
 def ingested_once(events: DataFrame, key: str, moment: str, late: str = "240 days") -> DataFrame:

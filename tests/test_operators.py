@@ -299,3 +299,13 @@ def test_phrases_are_found_whichever_way_they_travel(spark):
     want = {(1, "Quick brown"), (1, "fox"), (2, "Quick brown"), (5, "Quick brown"), (1, "brown"), (2, "brown"), (5, "brown")}
     for sent in (0, 1 << 20):
         assert {tuple(r) for r in text.phrase_hits(texts, "k", "x", phrases, "p", sent).collect()} == want
+
+
+def test_histories_of_nulls_and_hot_parties(spark):
+    rows = [("a", d) for d in (3, 1, 1, 2, None, 5, 5, 5)] + [(None, d) for d in (2, 1, None)] + [("b", 1)]
+    table = spark.createDataFrame([(k, None if d is None else dt.date(2024, 1, d)) for k, d in rows], "k string, d date")
+    key = lambda r: (r.k or "", r.d is not None, r.d.day if r.d else 0)
+    got = sorted(history.prior_counts(table, ["k"], "d").collect(), key=key)
+    assert [r.prior for r in got] == [0, 1, 2, 0, 1, 1, 3, 4, 5, 5, 5, 0]
+    got = sorted(history.ordinal(table, ["k"], "d").collect(), key=key)
+    assert [r.nth for r in got] == [1, 2, 3, 1, 2, 2, 3, 4, 5, 5, 5, 1]
