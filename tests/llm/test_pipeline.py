@@ -29,3 +29,39 @@ def test_stages(spark):
 def test_run_is_its_stages(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 0
+
+
+def test_stages_against_brute_force(spark, sf):
+    """Each stage on what the one before kept: near copies by all pairs of texts, passages by all windows, packed tokens by the vocabulary itself."""
+    from collections import defaultdict
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from tallyfold.llm import packing
+
+    from .test_operators import brute_hits, five_word_sets, naive_best_fit
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = written(stages["toxicity"](spark, written(stages["quality"](spark, documents(spark, sf), sf), "q"), sf), "t")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    of = {i: five_word_sets(x) for i, x in rows.items()}
+    label = {i: i for i in rows}
+    near = {i: [j for j, b in of.items() if len(a & b) >= 0.8 * len(a | b)] for i, a in of.items()}
+    while (now := {i: min(label[j] for j in js) for i, js in near.items()}) != label:
+        label = now
+    kept = written(stages["simhash"](spark, docs, sf), "s")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.values()))
+    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = written(stages["decontaminate"](spark, kept, sf), "d")
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    hit = {i: h for i, (_, h, _) in zip(set(label.values()), brute_hits([rows[i] for i in set(label.values())], items), strict=True)}
+    assert all((texts[i] == rows[i]) == (not hit[i]) for i in texts) and not any(h for _, h, _ in brute_hits(list(texts.values()), items))
+    plain = Tokenizer.from_file(packing.public_path())
+    plain.encode_special_tokens = True
+    pieces = defaultdict(list)
+    for r in stages["packing"](spark, clean, sf).collect():
+        pieces[r.sequence_id].append(r.length)
+    lengths = [n for x in texts.values() for _, n in packing.cut(len(plain.encode(x, add_special_tokens=False).ids) + 1)]
+    assert sorted(x for own in pieces.values() for x in own) == sorted(lengths) and max(map(sum, pieces.values())) <= 1024
+    assert len(pieces) == len(naive_best_fit(lengths, 1024)) >= np.ceil(sum(lengths) / 1024)
