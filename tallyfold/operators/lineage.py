@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_place(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, else under the warehouse."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder under spark.checkpoint.dir, else under the warehouse; on a cluster not under a local one, which would be another on each machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = spark.conf.get("spark.sql.warehouse.dir")
+        if at.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{at.rstrip('/')}/tallyfold/{name}-{uuid.uuid4().hex}"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
@@ -101,21 +102,38 @@ def classify_groups(df: DataFrame, keys: Sequence[str], text: str, dictionary: M
 
 
 def longest_matches(df: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:
-    """(key, term, start): places of terms that don't overlap, longer terms first, then earlier ones. The greedy choice goes from hit to hit, so it is Python over Arrow batches."""
-    ordered = sorted(set(terms), key=lambda t: (-len(t), t))
-    patterns = [(t, re.compile(r"(?<![a-z0-9])" + re.escape(t) + r"(?![a-z0-9])")) for t in ordered]
+    """(key, term, start): places of terms that don't overlap, longer terms first, then by term and place. One automaton finds the places of all terms in a pass; the greedy choice goes from place to place, so it is Python over Arrow batches."""
+    wanted = sorted({t for t in terms if t})
     schema = T.StructType([df.schema[key], T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for t in wanted:
+            found.add_word(t, t)
+        if wanted:
+            found.make_automaton()
+        edge = set("abcdefghijklmnopqrstuvwxyz0123456789")
         for pdf in frames:
             rows = []
             for k, x in zip(pdf[key], pdf[text], strict=True):
-                low, taken = (x or "").lower(), []
-                for t, p in patterns:
-                    for m in p.finditer(low):
-                        if all(m.end() <= a or m.start() >= b for a, b in taken):
-                            taken.append(m.span())
-                            rows.append((k, t, m.start()))
+                low = (x or "").lower()
+                hits = []
+                for end, t in found.iter(low) if wanted else ():
+                    start = end + 1 - len(t)
+                    if not (start and low[start - 1] in edge) and not (end + 1 < len(low) and low[end + 1] in edge):
+                        hits.append((-len(t), t, start))
+                # Taken stretches in order of place: a new one needs to fit between its neighbours.
+                starts: list[int] = []
+                ends: list[int] = []
+                for size, t, start in sorted(hits):
+                    at = bisect(starts, start)
+                    if (at and ends[at - 1] > start) or (at < len(starts) and starts[at] < start - size):
+                        continue
+                    starts.insert(at, start)
+                    ends.insert(at, start - size)
+                    rows.append((k, t, start))
             yield pd.DataFrame(rows, columns=[key, "term", "start"])
 
     return df.select(key, text).mapInPandas(run, schema)

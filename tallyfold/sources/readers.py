@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import parse_date
+
 AWARD_CSV = "`Company` string, `Award Title` string, `Agency` string, `Branch` string, `Phase` string, `Program` string, `Contract` string, `Agency Tracking Number` string, `Proposal Award Date` string, `Award Year` int, `Award Amount` string, `UEI` string, `Duns` string, `Number Employees` int, `Company Website` string, `PI Email` string"
 RANK_CSV = "rank int, domain string"
 ARCHIVE_EVENT = "id string, type string, actor struct<id: long, login: string>, repo struct<id: long, name: string>, public boolean, created_at timestamp"
@@ -23,7 +25,7 @@ def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
 def read_awards(spark: SparkSession, path: str) -> DataFrame:
     """The bulk award file, by header; amounts and days parsed, unreadable ones null."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).schema(AWARD_CSV).csv(path)
-    return df.withColumn("amount", F.expr("try_cast(replace(replace(`Award Amount`, ',', ''), '$', '') AS double)")).withColumn("day", F.coalesce(*[F.try_to_timestamp("Proposal Award Date", F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "MM/dd/yyyy")]))
+    return df.withColumn("amount", F.expr("try_cast(replace(replace(`Award Amount`, ',', ''), '$', '') AS double)")).withColumn("day", parse_date(F.col("Proposal Award Date")))
 
 
 def read_rank_list(spark: SparkSession, path: str) -> DataFrame:

@@ -309,3 +309,23 @@ def test_histories_of_nulls_and_hot_parties(spark):
     assert [r.prior for r in got] == [0, 1, 2, 0, 1, 1, 3, 4, 5, 5, 5, 0]
     got = sorted(history.ordinal(table, ["k"], "d").collect(), key=key)
     assert [r.nth for r in got] == [1, 2, 3, 1, 2, 2, 3, 4, 5, 5, 5, 1]
+
+
+def test_longest_matches_against_trying_all(spark):
+    import random
+    import re
+
+    rng = random.Random(5)
+    terms = ["a", "a b", "b a", "a b c", "b", "c a b", "ab"]
+    texts = ["".join(rng.choice("aAbc  .x1") for _ in range(rng.randrange(30))) for _ in range(400)] + [None, ""]
+    want = set()
+    for k, x in enumerate(texts):
+        low, taken = (x or "").lower(), []
+        for t in sorted(terms, key=lambda t: (-len(t), t)):
+            for i in range(len(low)):
+                if re.compile(r"(?<![a-z0-9])" + re.escape(t) + r"(?![a-z0-9])").match(low, i) and all(i + len(t) <= a or i >= b for a, b in taken):
+                    taken.append((i, i + len(t)))
+                    want.add((k, t, i))
+    table = spark.createDataFrame(list(enumerate(texts)), "k long, x string")
+    assert {tuple(r) for r in text.longest_matches(table, "k", "x", terms).collect()} == want
+    assert text.longest_matches(table, "k", "x", []).count() == 0
