@@ -44,13 +44,22 @@ class GifError(ValueError):
     pass
 
 
+def _widths(n: int, depth: int) -> np.ndarray:
+    """Bits of each of n codes of a stream: a clear code, then stretches that fill the table and end with a clear code. A code is as wide as the entry made before it needs."""
+    entries = np.arange(4096 - (1 << depth))  # codes between two clear codes, and the second one
+    width = np.ceil(np.log2((1 << depth) + 2 + entries)).astype(np.int64)  # bits of the entry that the code before made
+    width = np.clip(width, depth + 1, 12)
+    return np.concatenate([[depth + 1], np.resize(width, n - 1)])
+
+
 def lzw_encode(data: bytes, depth: int = 8) -> bytes:
     """GIF's variable-width LZW: a clear code first, an end code last, a clear code whenever 4096 codes are used up."""
     clear, end = 1 << depth, (1 << depth) + 1
-    codes, widths = [clear], [depth + 1]
+    codes = [clear]
+    add = codes.append
     table: dict[int, int] = {}
     get = table.get
-    free, width = end + 1, depth + 1
+    free = end + 1
     if data:
         held = data[0]
         for byte in data[1:]:
@@ -59,90 +68,100 @@ def lzw_encode(data: bytes, depth: int = 8) -> bytes:
             if seen is not None:
                 held = seen
                 continue
-            codes.append(held)
-            widths.append(width)
+            add(held)
             held = byte
             if free < 4096:
                 table[key] = free
-                if free == 1 << width:
-                    width += 1
                 free += 1
             else:
-                codes.append(clear)
-                widths.append(width)
+                add(clear)
                 table.clear()
-                free, width = end + 1, depth + 1
-        codes.append(held)
-        widths.append(width)
-        if free == 1 << width and width < 12:
-            width += 1
-    codes.append(end)
-    widths.append(width)
-    return _packed(codes, widths)
+                free = end + 1
+        add(held)
+    add(end)
+    return _packed(np.array(codes, np.int64), _widths(len(codes), depth))
 
 
-def _packed(codes: list[int], widths: list[int]) -> bytes:
+def _packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
     """Codes as bits, least significant first."""
-    w = np.array(widths, np.int64)
-    at = np.cumsum(w) - w
-    bits = np.zeros(int(at[-1] + w[-1]) + 7 >> 3 << 3, np.uint8)
-    c = np.array(codes, np.int64)
-    for k in range(int(w.max())):
-        has = w > k
-        bits[at[has] + k] = c[has] >> k & 1
+    at = np.cumsum(widths) - widths
+    bits = np.zeros(int(at[-1] + widths[-1]) + 7 >> 3 << 3, np.uint8)
+    for k in range(int(widths.max())):
+        has = widths > k
+        bits[at[has] + k] = codes[has] >> k & 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
 def lzw_decode(stream: bytes, depth: int, most: int) -> bytes:
     """The samples of a code stream, at most `most` of them."""
     clear, end = 1 << depth, (1 << depth) + 1
-    bits = int.from_bytes(stream, "little")
-    total = len(stream) * 8
+    bits = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
+    total = len(bits)
     out: list[bytes] = []
     size = at = 0
     width = depth + 1
     table: list[bytes] = []
     last = b""
-    # Codes of one width come in runs of known length: read a run as a whole, its bits as one number.
+    # Codes of one width come in runs of known length: a run is read as a whole, up to a clear or end code.
     while at + width <= total and size < most:
         free = len(table)
         run = (1 << width) - free + (not last) if table else 1
         if width == 12 and free >= 4096:
             run = 4096
         run = max(1, min(run, (total - at) // width))
-        chunk = bits >> at & (1 << run * width) - 1
-        for code in _split(chunk, width, run):
-            at += width
-            if code == clear:
-                table = [*_SINGLE[:clear], b"", b""]
-                last = b""
-                width = depth + 1
-                break
-            if not table:
-                raise GifError("no clear code at the start")
-            if code == end:
-                return b"".join(out)[:most]
-            if code < len(table):
-                piece = table[code]
-            elif code == len(table) and last:
-                piece = last + last[:1]
-            else:
+        codes = _split(bits[at : at + run * width], width)
+        marks = np.flatnonzero((codes == clear) | (codes == end))
+        mark = None
+        if len(marks):
+            mark, codes = int(codes[marks[0]]), codes[: marks[0]]
+        if len(codes) and not table:
+            raise GifError("no clear code at the start")
+        before = len(out)
+        codes = codes.tolist()
+        if codes and not last:
+            if codes[0] >= len(table):
                 raise GifError("a code that is not in the table yet")
-            if last and len(table) < 4096:
-                table.append(last + piece[:1])
-            out.append(piece)
-            size += len(piece)
-            last = piece
-        if len(table) == 1 << width and width < 12:
+            last = table[codes[0]]
+            out.append(last)
+            rest = codes[1:]
+        else:
+            rest = codes
+        free = len(table)
+        if free >= 4096:
+            out.extend(map(table.__getitem__, rest))
+            last = out[-1] if out else last
+        else:
+            # Each code makes an entry: what came before, and its own first sample.
+            learn, say = table.append, out.append
+            for code in rest:
+                if code < free:
+                    piece = table[code]
+                elif code == free:
+                    piece = last + last[:1]
+                else:
+                    raise GifError("a code that is not in the table yet")
+                if free < 4096:
+                    learn(last + piece[:1])
+                    free += 1
+                say(piece)
+                last = piece
+        size += sum(map(len, out[before:]))
+        at += width * (len(codes) + (mark is not None))
+        if mark == end and table:
+            break
+        if mark == clear:
+            table = [*_SINGLE[:clear], b"", b""]
+            last = b""
+            width = depth + 1
+        elif mark is not None:
+            raise GifError("no clear code at the start")
+        elif len(table) == 1 << width and width < 12:
             width += 1
     return b"".join(out)[:most]
 
 
-def _split(chunk: int, width: int, run: int) -> list[int]:
-    if run == 1:
-        return [chunk]
-    bits = np.unpackbits(np.frombuffer(chunk.to_bytes((run * width + 7) // 8, "little"), np.uint8), bitorder="little", count=run * width)
-    return (bits.reshape(run, width) @ (1 << np.arange(width))).tolist()
+def _split(bits: np.ndarray, width: int) -> np.ndarray:
+    return bits.reshape(-1, width) @ (1 << np.arange(width))
 
 
 def _blocks(data: bytes) -> bytes:
@@ -236,8 +255,7 @@ def read_gif(data: bytes) -> Iterator[Frame]:
             if clear is None:
                 area[:] = colours
             else:
-                shown = own[: area.shape[0], : area.shape[1]] != clear
-                area[shown] = colours[shown]
+                np.copyto(area, colours, where=(own[: area.shape[0], : area.shape[1]] != clear)[..., None])
             yield Frame(delay, disposal, own, canvas.copy())
             if disposal == 2:
                 area[:] = common[background] if common is not None and background < len(common) and clear is None else 0
@@ -250,8 +268,8 @@ def read_gif(data: bytes) -> Iterator[Frame]:
 
 def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Pixels of the canvas by its red, green and blue cut into `bins` equal ranges each."""
-    q = canvas.astype(np.int32) * bins >> 8
-    return np.bincount((q[..., 0] * bins * bins + q[..., 1] * bins + q[..., 2]).ravel(), minlength=bins**3)
+    cut = (np.arange(256) * bins >> 8).astype(np.int32)
+    return np.bincount(((cut * bins * bins)[canvas[..., 0]] + (cut * bins)[canvas[..., 1]] + cut[canvas[..., 2]]).ravel(), minlength=bins**3)
 
 
 def timed_frames(gif: bytes, bins: int = BINS) -> Iterator[tuple[int, Frame, np.ndarray]]:
