@@ -329,3 +329,53 @@ def test_longest_matches_against_trying_all(spark):
     table = spark.createDataFrame(list(enumerate(texts)), "k long, x string")
     assert {tuple(r) for r in text.longest_matches(table, "k", "x", terms).collect()} == want
     assert text.longest_matches(table, "k", "x", []).count() == 0
+
+
+def test_where_people_come_from(spark):
+    from tallyfold.operators import evidence
+
+    orgs = [("SpaceX", 1, ["Space Exploration"]), ("Figure", 1, []), ("DARPA", 2, []), ("MIT", 2, ["M.I.T."])]
+    said = {
+        "SpaceX": ["SpaceX"],
+        "Previously led avionics at SpaceX and built two companies before that, one of which was acquired in 2021.": ["SpaceX"],
+        "Built a six figure content business and won a hackathon with $17M in DARPA sponsorship behind the lab's research programme.": [],
+        "MIT ; Space Exploration": ["SpaceX", "MIT"],
+        "She grew up in a small town, wrote compilers for a decade and is an ex-Figure founder of a company that builds arms": ["Figure"],
+        "A long sentence that goes on and on about many other things and only then names DARPA. At least it is over": [],
+        "A long sentence that goes on and on about many other things, by a MIT-trained postdoc, who then built something": [],
+        "A long sentence that goes on and on about many other things, by an MIT postdoc, who then built something else": ["MIT"],
+        "MITX and xSpaceX": [],
+        None: [],
+    }
+    df = spark.createDataFrame(list(enumerate(said)), "i int, x string")
+    got = {r.i: [x.org for x in r.p] for r in df.select("i", evidence.pedigree(F.col("x"), orgs).alias("p")).collect()}
+    assert [got[i] for i in range(len(said))] == list(said.values())
+
+
+def test_handles_hosts_links_and_hints(spark):
+    from tallyfold.operators import evidence
+
+    pairs = [("acme-robotics", "AcmeRobotics", True), ("Robotics Acme", "acme robotics", True), ("acme", "acmehq", True), ("abc", "abcd", False), ("", "", False), (None, "x", False), ("bob", "alice", False)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i int, a string, b string").orderBy("i")
+    assert [r.s for r in df.select(evidence.same_handle(F.col("a"), F.col("b")).alias("s")).collect()] == [x for _, _, x in pairs]
+    posts = spark.createDataFrame([(1, "Acme Robotics", "see https://www.acmerobotics.com/x and https://github.com/y, mail jobs@acmerobotics.com or a@gmail.com http://other.io"), (2, "Beta", "nothing")], "k int, name string, x string")
+    assert {(r.k, r.host, r.n) for r in evidence.host_mentions(posts, "k", "x").collect()} == {(1, "acmerobotics.com", 2), (1, "other.io", 1)}
+    assert [tuple(r) for r in evidence.own_host(posts, "k", "name", "x").collect()] == [(1, "acmerobotics.com")]
+    titles = [("Show HN: Acme – robots for farms", "https://acme.io/x", ("Acme", "robots for farms", "acme.io", None)), ("Launch HN: Beta (YC S24)", "https://github.com/Beta-Labs/beta", ("Beta", None, None, "beta-labs"))]
+    df = spark.createDataFrame([(t, u) for t, u, _ in titles], "t string, u string")
+    assert [tuple(r.h) for r in df.select(evidence.post_hint(F.col("t"), F.col("u")).alias("h")).collect()] == [h for *_, h in titles]
+    repo = spark.createDataFrame([("Arm", "Acme", "https://arm.dev", "https://acme.io")], "n string, o string, h string, s string")
+    assert tuple(repo.select(evidence.repo_hint(*[F.col(c) for c in "nohs"]).alias("h")).first().h) == ("Acme", "acme", "acme.io", "acme/arm")
+    links = spark.createDataFrame([({"x": "https://x.com", "site": "https://a.io", "review": "https://rev.io/a", "bad": "ftp://b", "blog": "http://c.io"},)], "m map<string,string>")
+    assert links.select(evidence.shown_links(F.col("m"), ["site", "x"], "rev.io").alias("l")).first().l == ["site", "x", "blog"]
+
+
+def test_backing_and_verified_hits(spark):
+    from tallyfold.operators import evidence
+
+    rows = [(0.3, True, 0.0, 0.3), (0.5, False, 0.0, 0.5), (0.28, False, 0.4, 0.3), (0.28, False, 0.1, None), (0.0, False, 0.9, None), (0.4, False, 0.9, 0.4)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, f double, s boolean, o double, w double").orderBy("i")
+    assert all(r.g == r.w for r in df.select("w", evidence.backed(F.col("f"), F.col("s"), F.col("o")).alias("g")).collect())
+    hits = [("see acme.io/x", "host", "acme.io", 1), ("see notacme.io", "host", "acme.io", 0), ("acme.io.evil.com", "host", "acme.io", 0), ("on acme.io.", "host", "acme.io", 1), ("At Acme Robotics we", "name", "Acme Robotics", 1), ("acme robotics", "name", "Acme Robotics", 0), (None, "host", "acme.io", 0)]
+    df = spark.createDataFrame(hits, "x string, kind string, value string, want int")
+    assert {(r.x, r.value) for r in evidence.verified(df, "x", "kind", "value").collect()} == {(x, v) for x, _, v, w in hits if w}
