@@ -92,6 +92,14 @@ def backed(fit: Column, sure: Column, second: Column, least: float = 0.3, alone:
     return ladder((sure & (fit >= least), fit), (fit > alone, fit), ((fit > 0) & (second >= least), F.least(F.greatest(fit, F.lit(least)), F.lit(alone))))
 
 
+def thesis_verdict(own: Column, sure: Column, labels: Column, off: Column, least: float = 0.3, alone: float = 0.465) -> Column:
+    """A source's gate as a struct (on, basis, fit): own words on thesis, surely or by more than one keyword; own words that a registry's labels back; labels alone, which don't open the gate; a word of the source's list of lookalikes shuts it unless a sure term stands beside it."""
+    off = F.coalesce(off, F.lit(False)) & ~F.coalesce(sure, F.lit(False))
+    basis = ladder((off, "lookalike"), ((own >= least) & (F.coalesce(sure, F.lit(False)) | (own > alone)), "own words"), ((own > 0) & (labels >= least), "backed"), (labels >= least, "labels only"), otherwise="nothing")
+    fit = ladder((basis == "own words", own), (basis == "backed", F.least(F.greatest(own, F.lit(least)), F.lit(alone))), otherwise=F.lit(0.0))
+    return F.struct(basis.isin("own words", "backed").alias("on"), basis.alias("basis"), fit.alias("fit"))
+
+
 def identity(candidates: DataFrame, left: str, right: str, evidence: Mapping[str, Column], clash: Column) -> DataFrame:
     """(left, right, evidence): of each left the candidate with the strongest evidence that holds, by the order given (least right on ties); candidates that clash on the strongest kind are out."""
     grade = F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(i)) for i, c in enumerate(evidence.values())])

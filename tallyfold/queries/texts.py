@@ -112,6 +112,17 @@ def d13_backing(spark, sf):
     return both.select("doc_id", evidence.backed(F.col("own_fit"), sure, F.col("fit")).alias("fit"))
 
 
+@query("d11_gates", f"WITH a AS ({_classify_sql(_HEAD)} SELECT * FROM c), b AS ({_classify_sql(_REST)} SELECT * FROM c), v AS (SELECT a.doc_id, a.fit, CASE WHEN regexp_matches(a.low, '[0-9]') AND NOT a.sure THEN 'lookalike' WHEN a.fit >= 0.3 AND (a.sure OR a.fit > 0.465) THEN 'own words' WHEN a.fit > 0 AND b.fit >= 0.3 THEN 'backed' WHEN b.fit >= 0.3 THEN 'labels only' ELSE 'nothing' END AS basis FROM a JOIN b USING (doc_id)) SELECT basis, count(*) AS n, round(sum(CASE basis WHEN 'own words' THEN fit WHEN 'backed' THEN least(greatest(fit, 0.3), 0.465) ELSE 0 END), 6) AS fit FROM v GROUP BY 1")
+def d11_gates(spark, sf):
+    """Documents through a source's gate: their first line as own words, the rest as labels, digits in the first line as lookalikes."""
+    d = table(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("head"), F.expr("substring(text, length(substring_index(text, '\n', 1)) + 1)").alias("rest"))
+    own = X.classify(d, "head", DICTIONARY, FRIENDS, SURE).withColumnRenamed("fit", "own_fit").withColumnRenamed("terms", "own_terms").drop("sector")
+    both = X.classify(own, "rest", DICTIONARY, FRIENDS, SURE)
+    sure = F.arrays_overlap(F.split("own_terms", ","), F.array(*[F.lit(x) for x in SURE]))
+    v = both.select(evidence.thesis_verdict(F.col("own_fit"), sure, F.col("fit"), F.col("head").rlike("[0-9]")).alias("v"))
+    return v.groupBy("v.basis").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v.fit"), 6).alias("fit"))
+
+
 @query("b10_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'worthless') OR contains(lower(source), 'src7')")
 def b10_search(spark, sf):
     return table(spark, sf, "documents").filter(F.lower("text").contains("worthless") | F.lower("source").contains("src7")).select("doc_id")
