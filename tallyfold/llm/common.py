@@ -74,13 +74,15 @@ def put(path: str, data: bytes) -> None:
     fs.move(at, pa.fs.FileSystem.from_uri(path)[1])
 
 
-def mapped(path: str, dtype: str) -> np.ndarray:
-    """A stored array, memory-mapped; from a store that can't be mapped it is read (so it must be bounded)."""
+def mapped(path: str, dtype: str, tail: int = 0) -> np.ndarray:
+    """A stored array without the last `tail` bytes, memory-mapped; from a store that can't be mapped it is read (so it must be bounded)."""
     if (at := local_path(path)) is not None:
-        return np.memmap(at, dtype, "r") if os.path.getsize(at) else np.zeros(0, dtype)
+        n = (os.path.getsize(at) - tail) // np.dtype(dtype).itemsize
+        return np.memmap(at, dtype, "r", shape=(n,)) if n else np.zeros(0, dtype)
     fs, at = pa.fs.FileSystem.from_uri(path)
     with fs.open_input_stream(at) as f:
-        return np.frombuffer(f.read(), dtype)
+        data = f.read()
+        return np.frombuffer(data[: len(data) - tail], dtype)
 
 
 def clear(spark: SparkSession) -> None:

@@ -88,17 +88,24 @@ def _lookup(folder: str, level: int, order: int, bucket: int) -> Callable[[np.nd
     """The stored figures of hashes, a column each, zeros for what isn't stored."""
     m = _figures(level, order)
     keys = mapped(_file(folder, level, bucket, "keys"), "<u8")
-    values = mapped(_file(folder, level, bucket, "figures"), "<i8").reshape(m, -1)
+    path = _file(folder, level, bucket, "figures")
+    values = mapped(path, f"<u{mapped(path, 'u1')[-1]}", 1).reshape(m, -1)
 
     def found(hashes: np.ndarray) -> np.ndarray:
         if not len(keys):
             return np.zeros((m, len(hashes)), np.int64)
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        return np.where(keys[at] == hashes, values[:, at], 0)
+        return np.where(keys[at] == hashes, values[:, at], 0).astype(np.int64)
 
     return found
 
 
+def _narrow(figures: np.ndarray) -> bytes:
+    """Figures in as few bytes each as the largest needs, and that number as a last byte."""
+    width = next(w for w in (1, 2, 4, 8) if not figures.size or int(figures.max()) < 1 << 8 * w)
+    return np.ascontiguousarray(figures, f"<u{width}").tobytes() + bytes([width])
+
+
 @dataclass
 class Model:
     """What scoring needs besides the stored arrays in `folder`."""
@@ -283,14 +290,15 @@ def _bucket(folder: str, order: int) -> Callable[[pa.Table], pa.Table]:
         owner[ordered[has[where]]] = 1
         stored = (totals > 0).any(0)
         put(_file(folder, level, bucket, "keys"), every[first][stored].astype("<u8").tobytes())
-        put(_file(folder, level, bucket, "figures"), np.ascontiguousarray(totals[:, stored], "<i8").tobytes())
+        put(_file(folder, level, bucket, "figures"), _narrow(totals[:, stored]))
         value = totals[0]
         sums = [value.sum(), *[(value == k).sum() for k in (1, 2, 3, 4)], (value > 2).sum(), *([totals[5].sum(), (totals[5] > 0).sum()] if level == 1 else [0, 0])]
         del every, group, figures, totals
         look = _lookup(folder, level, order, bucket)
         rows, at = [], 0
         for chunk, own in zip(ids, hashes, strict=True):
-            answer = np.concatenate([look(own), owner[None, at : at + len(own)]])
+            answer = look(own)
+            answer[0] = answer[0] << 1 | owner[at : at + len(own)]
             rows.append((0, level, bucket, chunk, packed(answer.ravel().astype(np.uint64)), None))
             at += len(own)
         rows.append((2, level, bucket, None, None, [int(x) for x in sums]))
@@ -308,10 +316,15 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.clip(d, 0.05, [1.0, 2.0, 3.0])
 
 
-def _answers(replies: pa.Table, level: int, rows: int) -> np.ndarray:
-    """A chunk's answers for a level, buckets in order."""
+def _answers(replies: pa.Table, level: int, rows: int, marked: bool) -> np.ndarray:
+    """A chunk's answers for a level, buckets in order; the marks, which travel in the lowest bit of the first figure, as a last row."""
     own = replies.filter(pa.compute.equal(replies.column("level"), level)).sort_by("bucket")
-    return np.concatenate([unpacked(x).reshape(rows, -1) for x in own.column("b").to_pylist()], axis=1).astype(np.int64)
+    found = np.concatenate([unpacked(x).reshape(rows, -1) for x in own.column("b").to_pylist()], axis=1).astype(np.int64)
+    if not marked:
+        return found
+    marks = found[0] & 1
+    found[0] >>= 1
+    return np.concatenate([found, marks[None, :]])
 
 
 def table_of_chunks(docs: DataFrame, trained: Column) -> DataFrame:
@@ -349,7 +362,7 @@ def _counted(held: DataFrame, order: int) -> tuple[Model, DataFrame]:
 
     def shorter(level: int):
         def run(key: tuple, own: pa.Table, replies: pa.Table) -> pa.Table:
-            above = _answers(replies, level + 1, _figures(level + 1, order) + 1)
+            above = _answers(replies, level + 1, _figures(level + 1, order), True)
             rows = []
             for row in own.to_pylist():
                 c = Chunk(row, order)
@@ -376,12 +389,12 @@ def _counted(held: DataFrame, order: int) -> tuple[Model, DataFrame]:
 
 
 def _scored(held: DataFrame, model: Model, answers: DataFrame, marked: bool) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity) of a table of chunks and its answers; `marked` ones have a row of marks besides."""
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity) of a table of chunks and its answers; `marked` ones carry marks besides."""
     kind = held.schema["doc_ids"].dataType.elementType
 
     def run(key: tuple, own: pa.Table, replies: pa.Table) -> pa.Table:
         of = own.schema.field("doc_ids").type.value_type
-        found = {level: _answers(replies, level, _figures(level, model.order) + marked) for level in range(1, model.order + 1)}
+        found = {level: _answers(replies, level, _figures(level, model.order), marked) for level in range(1, model.order + 1)}
         return pa.concat_tables([Chunk(row, model.order).scored(model, found, of) for row in own.to_pylist()])
 
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
