@@ -142,13 +142,17 @@ for _slug, _day in {"sec_form_d": "2001-08-01", "fpds_ot": "2001-08-01", "sbir_a
     query(f"c_{_slug}", _JOB_SQL.get(_slug))(_job(_slug, _day))
 
 
-@query("u7_all_sources")
+#: Jobs of the discovering stage, on one day.
+_DISCOVERED = {k: v.replace(f"DATE '{ASOF}'", "DATE '2001-08-01'") for k, v in _JOB_SQL.items() if jobs.JOBS[k][1] == "discover"}
+
+
+@query("u7_all_sources", "SELECT source, kind, count(*) AS n, round(avg(strength), 3) AS strength FROM (" + " UNION ALL ".join(f"SELECT * FROM ({v})" for v in _DISCOVERED.values()) + ") GROUP BY ALL")
 def u7_all_sources(spark, sf):
     """Every discovering job's signals in one table, counted by source and kind."""
     out, errors = jobs.run(spark, _tables(spark, sf), F.to_date(F.lit("2001-08-01")))
     if errors:
         raise ValueError(str(errors))
-    return out.groupBy("source", "kind").agg(n_rows().alias("n"), F.round(F.avg("strength"), 4).alias("strength"))
+    return out.groupBy("source", "kind").agg(n_rows().alias("n"), F.round(F.avg("strength"), 3).alias("strength"))
 
 
 @query("c_web_presence")

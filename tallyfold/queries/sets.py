@@ -89,7 +89,11 @@ def u12_since_last(spark, sf):
     return signals(spark, sf).groupBy("entity_id").agg(F.max("occurred_at").alias("d")).filter("d > DATE '2024-01-27'").select("entity_id", F.col("d").cast("string").alias("last_day"))
 
 
-@query("u13_hash_sample")
+_BITS = "flatten(list_transform(range(1, length(c_name) + 1), lambda i: list_transform(range(0, 8), lambda k: CAST((ord(c_name[i]) >> k) & 1 AS BIGINT))))"
+_CRC32 = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_BITS}), lambda a, b: CASE WHEN xor(a, b) & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT)"
+
+
+@query("u13_hash_sample", f"SELECT c_custkey, c_name FROM customer WHERE {_CRC32} % 16 = 0")
 def u13_hash_sample(spark, sf):
     return store.hash_sample(table(spark, sf, "customer"), "c_name", 16).select("c_custkey", "c_name")
 
