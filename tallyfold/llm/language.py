@@ -53,8 +53,9 @@ def sample(docs: DataFrame, keep: Column | None = None) -> Samples:
     # SAMPLE_DOCS short rows a language.
     ids = ids.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_DOCS)
     texts = docs.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of"))).groupBy("of", "id").agg(F.min("text").alias("t"))
-    cut = texts.select("of", "id", "t", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / PASSAGE).cast("int"))).alias("k")).filter(F.length("t") > 0)
-    passages = cut.select("of", F.substring("t", F.col("k") * PASSAGE + 1, F.lit(PASSAGE)).alias("text"), F.xxhash64("id", "k").alias("h")).groupBy("of", "text").agg(F.min("h").alias("h"))
+    # Split in one pass over a text; counted from its beginning, the passages of a long one would take the square of its length.
+    cut = texts.filter(F.length("t") > 0).select("of", "id", F.posexplode(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{PASSAGE}}}"), F.lit(0))).alias("k", "text"))
+    passages = cut.groupBy("of", "text").agg(F.min(F.xxhash64("id", "k")).alias("h"))
     chosen = passages.withColumn("n", F.row_number().over(Window.partitionBy("of").orderBy("h", "text"))).filter(F.col("n") <= LANGUAGE_CHARS // PASSAGE)
     out: dict[str, list[str]] = {}
     # LANGUAGE_CHARS characters a language.

@@ -681,6 +681,14 @@ def test_scripts_of_many_letters(spark):
     assert [len(set("".join(x))) > 500 for lang, x in language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")) if lang in ("zh", "ko")] == [True, True]
 
 
+def test_passages_come_from_whole_texts(spark):
+    texts = {1: "abc 😀" * 500, 2: "x" * language.PASSAGE, 3: "é\n" * 300, 4: "short", 5: "", 6: None}
+    table = spark.createDataFrame([(i, x, "l") for i, x in texts.items()], "doc_id long, text string, lang string")
+    (_, got), = language.sample(table)
+    n = language.PASSAGE
+    assert sorted(got) == sorted({x[k : k + n] for x in texts.values() if x for k in range(0, len(x), n)})
+
+
 def test_language_accuracy_and_odd_rows(spark, odd, none):
     d = documents(spark, "/root/testdata/sf0.01")
     truth = {r.doc_id: r.lang for r in d.collect()}
