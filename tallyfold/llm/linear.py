@@ -132,16 +132,22 @@ def fit(rows: DataFrame, kind: Kind, l1: float = 1.0, **params) -> np.ndarray:
             yield from table.drop_columns(["text"]).append_column("at", at).append_column("x", x).combine_chunks().to_batches()
 
     def one(table: pa.Table) -> pa.Table:
-        # In order of ids and rows, so that a task that runs again learns the same.
+        # In order of ids and rows, so that a task that runs again learns the same. Vectors stay where Arrow has them: no object a row.
         table = table.sort_by([("doc_id", "ascending"), ("y", "ascending"), ("at", "ascending"), ("x", "ascending")])
         y = table.column("y").to_numpy()
-        data = [(np.frombuffer(a, "<i4"), np.frombuffer(x, "<f4").astype(float)) for a, x in zip(table.column("at").to_pylist(), table.column("x").to_pylist(), strict=True)]
-        model = Ftrl(bits=kind.bits, l1=l1 * len(data) / 1000, **params)
+        (at, cuts), (x, _) = (flat(table.column(c)) for c in ("at", "x"))
+        del table
+        at, x, cuts = at.view("<i4"), x.view("<f4"), cuts // 4
+        model = Ftrl(bits=kind.bits, l1=l1 * len(y) / 1000, **params)
         dealt = np.random.default_rng(7)
         for _ in range(model.epochs):
-            for i in dealt.permutation(len(data)):
-                model.update(*data[i], y[i])
-        return pa.table({"n": [len(data)], "w": [model.weights().astype(np.float32).tobytes()]})
+            for i in dealt.permutation(len(y)):
+                own = slice(cuts[i], cuts[i + 1])
+                model.update(at[own], x[own].astype(float), y[i])
+        out = pa.table({"n": [len(y)], "w": [model.weights().astype(np.float32).tobytes()]})
+        del at, x, model
+        pa.default_memory_pool().release_unused()
+        return out
 
     schema = T.StructType([f for f in rows.schema.fields if f.name != "text"]).add("at", "binary").add("x", "binary")
     # SHARDS rows of 2**bits weights.

@@ -107,13 +107,21 @@ class Voters:
         """A row per text, a column per voter: 1 toxic, -1 clean, 0 no vote."""
         hits = self.hits(raw, offs)
         words = hits[:, : len(LEXICONS) + 3].sum(1)
-        capitals = np.zeros(len(raw) + 1, np.int32)
-        np.cumsum((raw >= 65) & (raw <= 90), out=capitals[1:])
-        share = (capitals[offs[1:]] - capitals[offs[:-1]]) / np.maximum(np.diff(offs), 1)
+        share = self._capitals(raw, offs) / np.maximum(np.diff(offs), 1)
         patterns = [(share > 0.4) & (words > 0), words >= 3, -1 * (hits.sum(1) == 0)]
         return np.column_stack([hits > 0, *patterns]).astype(np.int8)
 
 
+    @staticmethod
+    def _capitals(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        if len(offs) == 2:
+            parts = (raw[at : at + linear.PIECE] for at in range(0, len(raw), linear.PIECE))
+            return np.array([sum(int(((p >= 65) & (p <= 90)).sum()) for p in parts)])
+        capitals = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum((raw >= 65) & (raw <= 90), out=capitals[1:])
+        return capitals[offs[1:]] - capitals[offs[:-1]]
+
+
 def _distinct(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and kind (0 a word, then beginnings by length) of all that stands in each text, once a text."""
     text, kinds, _ = hashed(raw, offs)

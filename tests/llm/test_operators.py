@@ -72,6 +72,24 @@ def test_dot_is_the_sum_over_distinct_or_counted_features(monkeypatch):
                 assert at.tolist() == at2.tolist() and np.allclose(x, x2)
 
 
+def test_memory_of_a_long_text_and_of_many_empty_ones():
+    import tracemalloc
+
+    text = "Some words, AND more of them; " * 1_000_000  # 30 MB
+    raw, offs = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+    some = [lambda k=kind: linear.dot(raw, offs, k, np.ones(1 << k.bits, np.float32)) for kind in KINDS]
+    some.append(lambda: toxicity.Voters(np.array([1], np.uint64), np.array([0])).votes(raw, offs))
+    for f in some:
+        tracemalloc.start()
+        f()
+        _, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert peak < 160 << 20
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([None, ""] * 200, pa.string())})
+    sizes = [t.num_rows for t in linear.chunks(iter([batch] * 2500))]  # a million texts
+    assert sum(sizes) == 1_000_000 and max(sizes) <= 20_400
+
+
 def naive_weights(rows, kind, l1, alpha, epochs):
     """Shards, passes and coordinates one by one, weights in a dictionary."""
     total, mean = 0, defaultdict(float)
