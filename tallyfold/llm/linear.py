@@ -21,7 +21,7 @@ from .common import ALNUM, LOWER, NOT_SPACE, chunks, flat, mix, pair, small_batc
 #: Makes features: (bytes, offsets of texts, bits) -> text of each feature, its index from 1, and the number of tokens of each text.
 Features = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 #: Shards whose weights are averaged, whatever the sample's size.
-SHARDS = 4
+SHARDS = 2
 #: Bytes of a text from which on it is counted in pieces of about PIECE bytes.
 LONG, PIECE = 4 << 20, 1 << 20
 
