@@ -23,28 +23,11 @@ def term_pattern(term: str) -> str:
     return f"(^|[^a-z0-9]){body}($|[^a-z0-9])"
 
 
-def spaced(low: Column) -> Column:
-    """Lower-cased text in which each run of spaces and hyphens is one space and other characters than letters and digits stand apart, so that a term is found as a plain piece of text between spaces."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9\s-]+", " | "), r"[\s-]+", " "), F.lit(" "))
-
-
-def term_forms(term: str) -> list[str]:
-    """The pieces of spaced text that say a term, what `term_pattern` matches. Terms are letters, digits, spaces and hyphens."""
-    ends = [term[:-1] + e for e in ("y", "ys", "ies")] if term.endswith("y") else [term + e for e in ("", "s", "es")]
-    out = []
-    for t in ends:
-        made = [""]
-        for part in re.split("(-)", t):
-            made = [m + j for m in made for j in ("", " ")] if part == "-" else [m + part for m in made]
-        out += made
-    return [f" {' '.join(x.split())} " for x in out]
-
-
-def said(text: Column, term: str) -> Column:
-    """Does spaced text say the term?"""
-    if not re.fullmatch("[a-z0-9 -]+", term):
-        raise ValueError(f"a term is lower-case letters, digits, spaces and hyphens: {term!r}")
-    return reduce(lambda a, b: a | b, [text.contains(x) for x in term_forms(term)])
+def said(low: Column, term: str) -> Column:
+    """Does lower-cased text say the term? Its first word is looked for as a plain piece of text, so that the pattern is tried on texts that have it alone; there it mostly matches at once."""
+    first = re.split("[ -]", term)[0]
+    stem = first[:-1] if first == term and term.endswith("y") else first
+    return low.contains(stem) & low.rlike(term_pattern(term))
 
 
 def mass_of(scores: Sequence[Column]) -> Column:
@@ -61,9 +44,9 @@ class Terms:
         self.names = {t: f"_t{i}" for i, t in enumerate(dict.fromkeys(t for _, t, _ in self.terms))}
 
     def low(self, text: Column) -> Column:
-        """Lower-case spaced text with the false friends blanked out."""
+        """Lower-case text with the false friends blanked out."""
         low = F.lower(text)
-        return spaced(F.regexp_replace(low, "|".join(re.escape(x) for x in self.friends), " ") if self.friends else low)
+        return F.regexp_replace(low, "|".join(re.escape(x) for x in self.friends), " ") if self.friends else low
 
     def hits(self, low: Column) -> list[Column]:
         return [F.coalesce(said(low, t), F.lit(False)).alias(n) for t, n in self.names.items()]
@@ -89,7 +72,7 @@ def classify(df: DataFrame, text: str, dictionary: Mapping[str, Mapping[str, Seq
     One projection and no shuffle: each distinct term counts once, 1 if strong and 0.45 if context; the best sector's sum
     and 0.35 of the others' make fit = 1 - exp(-mass / 1.6); one lone term that isn't unambiguous holds fit at 0.28."""
     t = Terms(dictionary, false_friends, unambiguous)
-    # As generators' outputs the spaced text and the hits are made once a row: a filter on fit above isn't pushed below with all terms in it.
+    # As generators' outputs the lower-cased text and the hits are made once a row: a filter on fit above isn't pushed below with all terms in it.
     low = df.select("*", F.explode(F.array(t.low(F.col(text)))).alias("_low"))
     return t.verdict(low.select("*", F.inline(F.array(F.struct(*t.hits(F.col("_low")))))), df.columns)
 
