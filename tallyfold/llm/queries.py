@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, kneser_ney, language, license_scan, media_gif, packing, quality, simhash, toxicity
+from . import centroids, chat_format, collocations, decontaminate, kneser_ney, language, license_scan, media_gif, packing, quality, sentence_pieces, simhash, toxicity
 from .common import documents
 
 
@@ -54,9 +54,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(sentence_pieces.encode(documents(spark, sf_dir)))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_kneser_ney, op4_media, op5_toxicity, op6_simhash, op7_license, op8_language, op9_packing, op10_chat)}
+    every = (op1_quality, op2_decontaminate, op3_kneser_ney, op4_media, op5_toxicity, op6_simhash, op7_license, op8_language, op9_packing, op10_chat, op11_sentencepiece, op12_collocations, op13_centroids)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat": chat_format.ROTATE_SQL}
+    return {"op10_chat": chat_format.ROTATE_SQL, "op12_collocations": collocations.MINE_SQL, "op13_centroids": centroids.cluster_sql()}
