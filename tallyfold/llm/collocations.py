@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, byte_table, chunks, flat, mapped, mix, pair, put, shared_path, small_batches, spans, word_hashes, written
 
 UNKNOWN_LANG = "und"
-#: Bytes of text that are counted together.
-CHUNK_TEXT = 8 << 20
+#: Bytes of text that are counted together, and phrases that a task hands over at once.
+CHUNK_TEXT, HANDED_ROWS = 4 << 20, 20_000
 #: Bits of the bitmap for each frequent phrase, and at most (64 MB). Beyond that it lets more phrases be counted.
 BITS_EACH, MOST_BITS = 16, 1 << 29
 #: Bits of a file of the bitmap.
@@ -58,20 +58,17 @@ class Words:
         langs = langs.chunk(0) if isinstance(langs, pa.ChunkedArray) else langs
         self.langs = langs.dictionary
         self.lang = np.repeat(langs.indices.to_numpy(), np.diff(first))
-        seen = np.cumsum(_ENDS[raw], dtype=np.int32)
-        self.follows = np.zeros(len(starts), bool)
-        if len(starts):
-            self.follows[:-1] = seen[starts[1:]] == seen[starts[:-1]]
+        ended = np.searchsorted(np.flatnonzero(_ENDS[raw]), starts)
+        self.follows = np.append(ended[1:] == ended[:-1], False) if len(starts) else np.zeros(0, bool)
         last = first[1:][np.diff(first) > 0] - 1
         self.follows[last] = False
-        letters = np.repeat(starts - np.cumsum(ends - starts) + (ends - starts), ends - starts) + np.arange(int((ends - starts).sum()))
-        bounds = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
-        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(raw[letters])).dictionary_encode()
-        self.words, self.word = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        bounds = np.append(0, np.cumsum(ends - starts))
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(raw[_WORD[raw]])).dictionary_encode()
+        self.words, self.word = words.dictionary, words.indices.to_numpy()
 
     def grams(self, longest: int, passes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For n = 1 to longest: n, language and words (a row each) of the distinct phrases, and how often each stands here. Phrases of n+1 words are those of which both ends pass."""
-        ids, n_words = self.word + self.lang * len(self.words), max(len(self.words), 1)
+        ids, n_words = self.word + self.lang * np.int64(len(self.words)), max(len(self.words), 1)
         valid = np.ones(len(ids), bool)
         rows = np.zeros((0, 0), np.int64)
         for n in range(1, longest + 1):
@@ -160,8 +157,9 @@ def counts(docs: DataFrame, longest: int = 3, least: int = 10) -> tuple[DataFram
                     return bitmap[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
                 for k, lang, rows, count in words.grams(n, passes):
-                    if k == n and len(rows):
-                        yield pa.RecordBatch.from_arrays([words.langs.take(pa.array(lang)), words.phrases(rows).cast(pa.string()), pa.array(count)], ["lang", "phrase", "f"])
+                    for at in range(0, len(rows) if k == n else 0, HANDED_ROWS):
+                        part = slice(at, at + HANDED_ROWS)
+                        yield pa.RecordBatch.from_arrays([words.langs.take(pa.array(lang[part])), words.phrases(rows[part]).cast(pa.string()), pa.array(count[part])], ["lang", "phrase", "f"])
                 if n == 1 and len(words.lang):
                     size = np.bincount(words.lang, minlength=len(words.langs))
                     yield pa.RecordBatch.from_arrays([words.langs, pa.nulls(len(size), pa.string()), pa.array(size)], ["lang", "phrase", "f"])
