@@ -2,10 +2,11 @@
 phrases, and a shunting-yard parser evaluates licence expressions with and/or/with.
 
 Text is taken as bytes, A-Z lower-cased and every non-word byte made a space, so the words stand between
-spaces and one automaton pass finds all phrases, overlapping ones too. Tags (`SPDX-License-Identifier:`)
-are then read from the raw text at the places where the automaton saw their words.
+spaces and one automaton pass finds all phrases, overlapping ones too. Tags (`SPDX-License-Identifier:`) are
+the places where the automaton saw their three words and a colon follows; what stands behind is their value.
 
-Cases: null and empty texts have no words and no labels (score 0.0); ties need no order, as labels are sets;
+Cases: the tag's words without a colon, or with nothing behind it, are no tag; sentence punctuation is no part of an
+identifier, and an expression ends before a word that doesn't look like one; null and empty texts have no words and no labels (score 0.0); ties need no order, as labels are sets;
 repeated rows give repeated rows; other columns pass through `license_columns` untouched, and a column that
 has one of its output names is replaced.
 """
@@ -13,7 +14,7 @@ has one of its output names is replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,23 +65,36 @@ TAG_SCORE, BASE_SCORE, NOTICE_SCORE = 1.0, 0.8, 0.6
 ACCEPTED = frozenset("mit mit-0 apache-2.0 bsd-2-clause bsd-3-clause isc zlib bsl-1.0 unlicense cc0-1.0 cc-by-4.0 0bsd".split())
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
-_TAG_START = re.compile(rb"spdx-license-identifier:[ \t]*", re.I)
+_RAW_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+_COLON = re.compile(rb"[ \t]*:[ \t]*")
 _LINE_END = re.compile(rb"[\r\n]")
+# Identifiers of one word without a digit; all others have a hyphen or a digit.
+ONE_WORD = frozenset("mit isc zlib unlicense wtfpl beerware ncsa ntp psf ruby sleepycat vim postgresql openssl php xnet none noassertion".split())
 
 
-def to_postfix(expression: str) -> list[str] | None:
-    """Shunting-yard: the longest well-formed expression that `expression` begins with, in postfix order; None if there is none. Identifiers are lower-cased; `+` stays part of them."""
+def is_identifier(low: str) -> bool:
+    """Whether a lower-case word looks like an identifier of a licence, so that prose behind a tag isn't taken for one."""
+    return low.rstrip("+") in ONE_WORD or ("-" in low.strip("-") or any(c.isdigit() for c in low)) and any(c.isalpha() for c in low)
+
+
+def to_postfix(expression: str, fits: Callable[[str], bool] | None = None) -> list[str] | None:
+    """Shunting-yard: the longest well-formed expression that `expression` begins with, in postfix order; None if there is none. Identifiers are lower-cased; `+` stays part of them, a full stop or colon at their end doesn't, and ends the expression. With `fits`, a word that doesn't fit is no identifier."""
     best: tuple[int, list[str]] | None = None
     out: list[str] = []
     ops: list[str] = []
-    operand = True
+    operand, ends = True, False
     for match in _TOKEN.finditer(expression):
         low = match[0].lower()
+        bare = low.rstrip(".:")
+        if bare != low:
+            low, ends = bare, True
+        if ends and not low:
+            break
         if operand:
             if low == "(":
                 ops.append(low)
                 continue
-            if low == ")" or low in PRECEDENCE:
+            if low == ")" or low in PRECEDENCE or fits is not None and not fits(low):
                 break
             out.append(low)
             operand = False
@@ -97,6 +111,8 @@ def to_postfix(expression: str) -> list[str] | None:
             break
         if not operand and "(" not in ops:
             best = len(out), ops[::-1]
+        if ends:
+            break
     return best and out[: best[0]] + best[1]
 
 
@@ -133,7 +149,6 @@ def scan(raw: bytes, auto) -> tuple[int, list[tuple[int, str]], list[str]]:
     """Words of a text, (first word, phrase) of each phrase found, and the expressions of its tags."""
     words = raw.translate(_TO_SPACES).split()
     found = []
-    tagged = False
     line = f" {b' '.join(words).decode('latin-1')} "
     at = word = 0
     for end, phrase in auto.iter(line):
@@ -142,15 +157,18 @@ def scan(raw: bytes, auto) -> tuple[int, list[tuple[int, str]], list[str]]:
         word += line.count(" ", at, start) if start >= at else -line.count(" ", start, at)
         at = start
         found.append((word, phrase))
-        tagged |= phrase == TAG
-    return len(words), found, tag_values(raw) if tagged else []
+    tagged = [w for w, p in found if p == TAG]
+    return len(words), found, tag_values(raw, tagged) if tagged else []
 
 
-def tag_values(raw: bytes) -> list[str]:
-    """What stands behind each tag, to the end of its line or the next tag."""
-    places = [m.span() for m in _TAG_START.finditer(raw)]
+def tag_values(raw: bytes, tagged: list[int]) -> list[str]:
+    """What stands behind each tag, to the end of its line or the next tag. tagged: the numbers of the first words of the automaton's hits."""
+    words = [m.span() for m in _RAW_WORD.finditer(raw)]
+    colons = [(words[w][0], _COLON.match(raw, words[w + 2][1])) for w in tagged]
+    places = [(start, colon.end()) for start, colon in colons if colon]
     out = []
-    for (_, at), (to, _) in zip(places, [*places[1:], (len(raw), 0)], strict=True):
+    for k, (_, at) in enumerate(places):
+        to = places[k + 1][0] if k + 1 < len(places) else len(raw)
         end = _LINE_END.search(raw, at, to)
         value = raw[at : end.start() if end else to]
         if value:
@@ -164,7 +182,7 @@ def judged(n_words: int, found: list[tuple[int, str]], tags: list[str]) -> tuple
     own = {NOTICES[p] for _, p in found if p in NOTICES}
     expressions, verdicts = [], []
     for tag in tags:
-        postfix = to_postfix(tag)
+        postfix = to_postfix(tag, is_identifier)
         if postfix:
             expressions.append(" ".join(postfix))
             ok, names = evaluate(postfix)

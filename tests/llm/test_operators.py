@@ -657,7 +657,36 @@ def test_tags_are_read_to_the_end_of_their_line():
     names = [f"licence-{k}" for k in range(20_000)]
     raw = f"SPDX-License-Identifier: ({' AND '.join(names)})\nnext".encode()
     assert set(license_scan.judged(*license_scan.scan(raw, license_scan._automaton()))[5].split(",")) == set(names)
-    assert license_scan.tag_values(b"SPDX-License-Identifier: MIT and SPDX-License-Identifier: ISC\r\n spdx-license-identifier:\n") == ["MIT and ", "ISC"]
+    assert _tags("SPDX-License-Identifier: MIT and SPDX-License-Identifier: ISC\r\n spdx-license-identifier:\n") == ["MIT and ", "ISC"]
+
+
+def _tags(text):
+    return license_scan.scan(text.encode(), license_scan._automaton())[2]
+
+
+TAGGED = {
+    "the SPDX license identifier of this file": ("", None),
+    "SPDX-License-Identifier : MIT": ("mit", True),
+    "SPDX-License-Identifier\nMIT": ("", None),
+    "ends with SPDX-License-Identifier": ("", None),
+    "SPDX-License-Identifier: MIT. It is free": ("mit", True),
+    "SPDX-License-Identifier: Apache-2.0:": ("apache-2.0", True),
+    "SPDX-License-Identifier: MIT or see LICENSE": ("mit", True),
+    "SPDX-License-Identifier: see LICENSE": ("", None),
+    "SPDX-License-Identifier: MIT and LicenseRef-Own-1. Or GPL-2.0": ("licenseref-own-1,mit", False),
+    "é SPDX-License-Identifier:\tGPL-2.0+ WITH Classpath-exception-2.0 */": ("classpath-exception-2.0,gpl-2.0+", False),
+    "SPDX License Identifier: 0BSD": ("0bsd", True),
+    "SPDX-License-Identifier:": ("", None),
+    "spdx spdx license identifier identifier: MIT": ("", None),
+}
+
+
+def test_forms_of_tags(spark):
+    table = spark.createDataFrame(list(enumerate(TAGGED)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in license_scan.license_report(table).collect()}
+    assert len(rows) == len(TAGGED)
+    for k, (labels, permissive) in enumerate(TAGGED.values()):
+        assert (rows[k].labels, rows[k].permissive, rows[k].n_base) == (labels, permissive, 0), rows[k]
 
 
 # --- 8: language
