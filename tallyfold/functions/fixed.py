@@ -56,3 +56,12 @@ GOVCLOUD = {"mail and dns": 0.40, "mail": 0.35, "dns": 0.30, "sender": 0.25}
 YOUNG_DOMAIN = 0.05
 REGISTERED, REGISTERED_PROJECT = 0.45, 0.35
 BACK_FILLED = 0.3
+
+# Days and shares of job boards, series, certificates and careers.
+NEW_SHORT_DAYS, NEW_DAYS = 14, 30
+PHYSICAL_FUNCTIONS = ["hardware", "controls_embedded", "manufacturing"]
+BULK_WINDOW_DAYS, BULK_MIN_ROLES, BULK_SHARE = 3, 4, 0.5
+SUSTAINED_WEEK, WEEKS_LOOKED_AT = 10, 8
+FRESH_DAYS, RENEWAL_MARGIN = 30, 2
+SOLID_YEARS, SHARED_YEARS, MOST_SOLID = 3, 2, 6
+MOST_ALIASES = 12

@@ -114,12 +114,6 @@ def overlapping(spans: DataFrame, keys: Sequence[str], item: str, first: str, la
     return a.join(b, list(keys)).filter(F.col(f"{item}_a") < F.col(f"{item}_b")).withColumn("days", days).filter(F.col("days") >= least).select(*keys, f"{item}_a", f"{item}_b", "days")
 
 
-def entrant_rate(ranks: DataFrame, rank: str, is_new: str, band: float = 1.5) -> DataFrame:
-    """For buckets of like rank the share that is on no older list; buckets are powers of the band."""
-    bucket = F.floor(F.log(rank) / F.log(F.lit(band))).cast("int")
-    return ranks.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col(is_new).cast("double")), 6).alias("rate"))
-
-
 def newest_batches(batches: DataFrame, key: str, begun: Column, members: str, n: int, least: int = 10) -> DataFrame:
     """The n newest batches; one that hasn't begun and is small is a placeholder."""
     return batches.filter(begun | (F.col(members) >= least)).orderBy(F.desc(key)).limit(n)

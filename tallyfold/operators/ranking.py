@@ -61,28 +61,3 @@ def share_below(df: DataFrame, peers: Sequence[str], value: str, name: str = "sh
     below = running_total(counts, peers, [F.col(value)], "_n", "_below").select(*peers, value, "_below")
     totals = counts.groupBy(*peers).agg(F.sum("_n").alias("_total"))
     return df.join(below, [*peers, value]).join(totals, list(peers)).withColumn(name, F.col("_below") / F.col("_total")).drop("_below", "_total")
-
-
-def cohort_share(df: DataFrame, rank: str, ratio: str, key: str, band: float = 1.5, least: int = 200) -> DataFrame:
-    """share: of the rows whose rank is within a factor of `band`, those with a smaller ratio; null with fewer than `least` of them.
-
-    No row meets its cohort. Rows are numbered by rank, so a cohort is a stretch of numbers, and a stretch is a few blocks of
-    2, 4, 8 ... numbers: at most two of each size. What a block has below a ratio is a running total over the block's rows in order of
-    ratio. So rows and stretches make some 3 log n rows in all, sorted twice; `key` tells rows apart."""
-    one = lambda x, kind, n: df.select(x.alias("_x"), F.lit(kind).alias("_kind"), F.lit(n).alias("_n"), F.col(key).alias("_k"), F.col(ratio).alias("_q"))
-    order = [F.col("_x"), F.col("_kind"), F.col("_k")]
-    r = F.col(rank).cast("double")
-    # Numbers of rows whose rank times the band is below a row's rank, and whose rank is at most a row's rank times the band.
-    low = running_total(one(r, 0, 0).unionByName(one(r * band, 1, 1)), [], order, "_n", "_at").filter("_kind = 0").select("_k", F.col("_at").alias("_low"))
-    placed = cut_lineage(running_total(one(r, 0, 1).unionByName(one(r * band, 1, 0)), [], order, "_n", "_at"), "placed")
-    stretch = placed.filter("_kind = 1").select("_k", "_q", F.col("_at").alias("_high")).join(low, "_k")
-    levels = range(max(1, df.count().bit_length()))
-    block = lambda level, at: F.struct(F.lit(level).alias("_level"), at.cast("long").alias("_block"))
-    left = lambda k: F.ceil(F.col("_low") / 2**k)
-    right = lambda k: F.floor(F.col("_high") / 2**k)
-    ends = [(F.when((left(k) < right(k)) & (left(k) % 2 == 1), block(k, left(k))), F.when((left(k) < right(k)) & (right(k) % 2 == 1), block(k, right(k) - 1))) for k in levels]
-    asked = stretch.select("_k", "_q", F.explode(F.filter(F.array(*[e for pair in ends for e in pair]), lambda e: e.isNotNull())).alias("_b")).select("_k", "_q", "_b.*", F.lit(0).alias("_kind"), F.lit(0).alias("_n"))
-    points = placed.filter("_kind = 0").select("_k", "_q", F.explode(F.array(*[block(k, F.floor(F.col("_at") / 2**k)) for k in levels])).alias("_b")).select("_k", "_q", "_b.*", F.lit(1).alias("_kind"), F.lit(1).alias("_n"))
-    below = running_total(asked.unionByName(points), ["_level", "_block"], [F.col("_q"), F.col("_kind"), F.col("_k")], "_n", "_below")
-    found = below.filter("_kind = 0").groupBy("_k").agg(F.sum("_below").alias("below")).join(stretch.select("_k", (F.col("_high") - F.col("_low")).alias("cohort")), "_k")
-    return df.join(found.withColumnRenamed("_k", key), key).withColumn("share", F.when(F.col("cohort") >= least, F.col("below") / F.col("cohort")))

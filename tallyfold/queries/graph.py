@@ -70,15 +70,6 @@ def j11_reviews(spark, sf):
     return resolve.carry_reviews(r, e, a)
 
 
-@query("r9_initials", "SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON string_split(a.p_name, ' ')[2] = string_split(b.p_name, ' ')[2] AND left(a.p_name, 1) = left(b.p_name, 1) AND a.p_name < b.p_name")
-def r9_initials(spark, sf):
-    """Distinct names meet by last word and first letter."""
-    p = table(spark, sf, "part").select("p_name").distinct().select("p_name", F.element_at(F.split("p_name", " "), -1).alias("last"), F.substring("p_name", 1, 1).alias("initial"))
-    q = p.withColumnRenamed("p_name", "b")
-    short = F.concat(F.col("initial"), F.lit(". "), F.col("last"))
-    return p.join(q, ["last", "initial"]).filter((F.col("p_name") < F.col("b")) & X.initials_match(short, F.col("b"))).select(F.col("p_name").alias("a"), "b")
-
-
 @query("r10_settled_domain", f"{AW} SELECT firm, last(priority ORDER BY day, award_id) FILTER (WHERE status <> 'P') AS settled FROM awards GROUP BY 1")
 def r10_settled_domain(spark, sf):
     newest = top_per(awards(spark, sf).filter("status <> 'P'"), ["firm"], [F.desc("day"), F.desc("award_id")]).select("firm", F.col("priority").alias("settled"))

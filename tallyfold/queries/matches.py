@@ -72,12 +72,6 @@ def r8_firmer_person(spark, sf):
     return f.join(c.groupBy("entity").agg(F.min("turn").alias("first_turn")), "entity")
 
 
-@query("w4_entrant_rate", "SELECT CAST(floor(ln(o_totalprice) / ln(1.5)) AS INTEGER) AS bucket, count(*) AS n, round(avg(CASE WHEN o_orderdate >= DATE '2001-01-01' THEN 1.0 ELSE 0.0 END), 6) AS rate FROM orders GROUP BY 1")
-def w4_entrant_rate(spark, sf):
-    o = table(spark, sf, "orders").select("o_totalprice", (F.to_date("o_orderdate") >= "2001-01-01").alias("is_new"))
-    return matching.entrant_rate(o, "o_totalprice", "is_new")
-
-
 @query("k7_newest_batches", f"{AW} SELECT CAST(year(day) * 100 + quarter(day) - 1 AS INTEGER) AS batch, count(*) AS members FROM awards GROUP BY 1 HAVING count(*) >= 10 ORDER BY 1 DESC LIMIT 4")
 def k7_newest_batches(spark, sf):
     b = awards(spark, sf).groupBy((F.year("day") * 100 + F.quarter("day") - 1).alias("batch")).agg(n_rows().alias("members"))

@@ -57,12 +57,6 @@ def w2_rank_move(spark, sf):
     return now.join(before, "entity_id", "left")
 
 
-@query("w3_cohort_share", "WITH c AS (SELECT c_custkey AS k, 1000 + c_acctbal AS r, c_custkey % 97 AS q FROM customer WHERE c_acctbal >= 0), m AS (SELECT a.k, count(*) AS cohort, count(*) FILTER (WHERE b.q < a.q) AS below FROM c a JOIN c b ON b.r <= a.r * 1.5 AND b.r * 1.5 >= a.r GROUP BY 1) SELECT k, cohort, round(CASE WHEN cohort >= 200 THEN below / cohort END, 6) AS share FROM m")
-def w3_cohort_share(spark, sf):
-    c = table(spark, sf, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("k"), (1000 + F.col("c_acctbal")).alias("r"), (F.col("c_custkey") % 97).alias("q"))
-    return ranking.cohort_share(c, "r", "q", "k").select("k", "cohort", F.round("share", 6).alias("share"))
-
-
 @query("w6_peers", f"{AW} SELECT award_id, round((rank() OVER (PARTITION BY priority ORDER BY amount) - 1) / count(*) OVER (PARTITION BY priority), 6) AS share_below FROM awards")
 def w6_peers(spark, sf):
     return ranking.share_below(awards(spark, sf), ["priority"], "amount").select("award_id", F.round("share_below", 6).alias("share_below"))

@@ -121,7 +121,7 @@ def hn_attention(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
 @source("tranco_rank", "traffic", "enrich")
 def tranco_rank(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     """ranks(list_day, domain, rank) of two days: new entrants, and moves against domains of like depth."""
-    from ..operators.ranking import cohort_share
+    from ..operators.cohorts import cohort_share
 
     r = tables["ranks"]
     days = r.agg(F.max("list_day").alias("newest"))

@@ -267,19 +267,6 @@ def test_awards_count_once_and_factors_join(spark):
     assert got[1].edge == round(100 * m * (0.25 + 0.75 * 0.5) * (0.4 + 0.6 * 0.8) * (0.85 + 0.15 * 0.55), 2) and got[2].history[0].edge == 0
 
 
-@pytest.mark.parametrize("n", [1, 7, 150])
-def test_cohort_share_against_all_pairs(spark, n):
-    import random
-
-    rng = random.Random(n)
-    rows = [(k, float(rng.randrange(1, 60)), rng.randrange(9)) for k in range(n)]
-    table = spark.createDataFrame(rows, "k long, r double, q long")
-    got = {r.k: (r.cohort, r.below) for r in ranking.cohort_share(table, "r", "q", "k", least=1).collect()}
-    for k, r, q in rows:
-        near = [y for _, x, y in rows if x <= r * 1.5 and x * 1.5 >= r]
-        assert got[k] == (len(near), sum(y < q for y in near))
-
-
 def test_terms_are_found_as_their_patterns_match(spark):
     import random
     import re
