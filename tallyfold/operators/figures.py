@@ -155,7 +155,7 @@ def certificate_names(certificates: DataFrame, domain: str, label: str, issued:
     parent = F.when(F.instr("_l", ".") > 0, F.expr("substr(_l, instr(_l, '.') + 1)"))
     above = own.select(F.col("_d").alias("_pd"), F.col("_l").alias("_pl"), F.lit(True).alias("nested"))
     met = own.withColumn("_parent", parent).join(above, (F.col("_d") == F.col("_pd")) & (F.col("_parent") == F.col("_pl")), "left")
-    bar = F.least(F.lit(fixed.FRESH_DAYS), F.floor(F.col("_life") / 3)) - fixed.RENEWAL_MARGIN
+    bar = F.when(F.col("_life").isNotNull(), F.least(F.lit(fixed.FRESH_DAYS), F.floor(F.col("_life") / 3)) - fixed.RENEWAL_MARGIN)
     return met.select(F.col("_d").alias(domain), F.col("_l").alias(label), F.col("_i").alias("issued"), F.col("_life").alias("lifetime"), "n", F.coalesce(F.datediff(asof, "_i") <= bar, F.lit(False)).alias("fresh"), F.coalesce("nested", F.lit(False)).alias("nested"))
 
 
