@@ -21,9 +21,9 @@ def r1_components(spark, sf):
     return resolve.hard_links(p, "page_id", ["host", "pair"])
 
 
-@query("r3_golden_record", "SELECT source, arg_min(lang, doc_id) FILTER (WHERE lang IS NOT NULL) AS lang, arg_max(left(text, 20), (length(left(text, 20)), left(text, 20))) AS name, min(n_chars) AS n_chars, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY 1")
+@query("r3_golden_record", "SELECT source, arg_min(lang, doc_id) FILTER (WHERE lang IS NOT NULL) AS lang, arg_max(text, (length(text), text)) AS name, min(n_chars) AS n_chars, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY 1")
 def r3_golden_record(spark, sf):
-    d = table(spark, sf, "documents").select("source", "doc_id", "lang", F.col("lang").alias("langs"), F.substring("text", 1, 20).alias("name"), "n_chars")
+    d = table(spark, sf, "documents").select("source", "doc_id", "lang", F.col("lang").alias("langs"), F.col("text").alias("name"), "n_chars")
     return resolve.golden_record(d, "source", [F.col("doc_id")], first=["lang"], longest=["name"], least=["n_chars"], gathered=["langs"])
 
 

@@ -42,20 +42,26 @@ def j17_dockets(spark, sf):
     return matching.attributed(d, "dockets", "parties", F.lit(False), "parties").groupBy("docket").agg(n_rows().alias("n"))
 
 
-@query("j18_brief_team", "WITH p AS (SELECT conv_id, role, max(CASE WHEN turn % 3 = 0 THEN left(text, 10) END) AS bio FROM conversations WHERE role <> 'system' GROUP BY ALL), b AS (SELECT conv_id, role, max(left(text, 5)) AS bio FROM conversations WHERE turn % 2 = 1 OR role = 'system' GROUP BY ALL) SELECT conv_id, role, coalesce(p.bio, b.bio) AS bio, p.role IS NULL AS added FROM p FULL JOIN b USING (conv_id, role)".replace("p.role IS NULL AS added", "p.present IS NULL AS added").replace("max(CASE WHEN turn % 3 = 0 THEN left(text, 10) END) AS bio FROM", "max(CASE WHEN turn % 3 = 0 THEN left(text, 10) END) AS bio, true AS present FROM"))
+@query("j18_brief_team", "WITH p AS (SELECT conv_id, role, max(CASE WHEN turn % 3 = 0 THEN text END) AS bio, true AS present FROM conversations WHERE role <> 'system' GROUP BY ALL), b AS (SELECT conv_id, role, max(text) AS bio FROM conversations WHERE turn % 2 = 1 OR role = 'system' GROUP BY ALL) SELECT conv_id, role, coalesce(p.bio, b.bio) AS bio, p.present IS NULL AS added FROM p FULL JOIN b USING (conv_id, role)")
 def j18_brief_team(spark, sf):
     c = table(spark, sf, "conversations")
-    p = c.filter("role <> 'system'").groupBy("conv_id", "role").agg(F.max(F.when(F.col("turn") % 3 == 0, F.substring("text", 1, 10))).alias("bio")).withColumn("name", F.col("role"))
-    b = c.filter("turn % 2 = 1 OR role = 'system'").groupBy("conv_id", "role").agg(F.max(F.substring("text", 1, 5)).alias("bio")).withColumn("name", F.col("role"))
+    p = c.filter("role <> 'system'").groupBy("conv_id", "role").agg(F.max(F.when(F.col("turn") % 3 == 0, F.col("text"))).alias("bio")).withColumn("name", F.col("role"))
+    b = c.filter("turn % 2 = 1 OR role = 'system'").groupBy("conv_id", "role").agg(F.max("text").alias("bio")).withColumn("name", F.col("role"))
     return matching.merged_team(p, b, "conv_id", "role", "name", "bio").drop("name")
 
 
-@query("j25_same_posts", "WITH a AS (SELECT conv_id, turn, lower(left(text, 3)) AS opening, role FROM conversations), m AS (SELECT x.role = y.role AS author, x.opening = y.opening AS opening FROM a x JOIN a y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1) SELECT CASE WHEN opening AND author THEN 'doubt' ELSE 'none' END AS verdict, count(*) AS n FROM m GROUP BY 1")
+_POSTS = """SELECT conv_id, turn, role, lower(w[1]) AS name, lower(array_to_string(w[2:3], ' ')) AS opening, nullif(regexp_extract(text, 'https?://([A-Za-z0-9.-]+)', 1), '') AS site FROM (SELECT *, regexp_extract_all(text, '[A-Za-z]+') AS w FROM conversations)"""
+
+
+@query("j25_same_posts", f"""WITH a AS ({_POSTS}), m AS (SELECT x.site = y.site AS site, x.name = y.name AS name, x.opening = y.opening AS opening, x.role = y.role AS author FROM a x JOIN a y ON x.conv_id = y.conv_id AND y.turn IN (x.turn + 1, x.turn + 2))
+SELECT CASE WHEN site THEN 'same' WHEN NOT site THEN 'none' WHEN name AND (coalesce(opening, false) OR coalesce(author, false)) THEN 'same' WHEN coalesce(name, false) OR (opening AND author) THEN 'doubt' ELSE 'none' END AS verdict, count(*) AS n FROM m GROUP BY 1""")
 def j25_same_posts(spark, sf):
-    a = table(spark, sf, "conversations").select("conv_id", "turn", F.lower(F.substring("text", 1, 3)).alias("o"), "role")
-    b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("o").alias("o2"), F.col("role").alias("r2"))
-    none = F.lit(None).cast("boolean")
-    verdict = matching.same_post(none, none, F.col("o") == F.col("o2"), F.col("role") == F.col("r2"))
+    """Turns as posts: the first word is the name in their header, the next two open them, the role is the author, a link's host the site. Each meets the next two of its conversation."""
+    w = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    a = table(spark, sf, "conversations").withColumn("w", w).select("conv_id", "turn", "role", F.lower(F.get("w", 0)).alias("name"), F.lower(F.array_join(F.slice("w", 2, 2), " ")).alias("opening"), F.nullif(F.regexp_extract("text", "https?://([A-Za-z0-9.-]+)", 1), F.lit("")).alias("site"))
+    b = a.select("conv_id", F.explode(F.array(F.col("turn") - 1, F.col("turn") - 2)).alias("turn"), *[F.col(c).alias(f"other_{c}") for c in ("role", "name", "opening", "site")])
+    same = lambda c: F.col(c) == F.col(f"other_{c}")
+    verdict = matching.same_post(same("site"), same("name"), same("opening"), same("role"))
     return a.join(b, ["conv_id", "turn"]).groupBy(verdict.alias("verdict")).agg(n_rows().alias("n"))
 
 

@@ -92,9 +92,9 @@ def g13_certificates(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("host")).agg(n_rows().alias("n"), day.cast("string").alias("earliest"), first.alias("issued_for"), (F.datediff(F.to_date(F.lit("2001-06-01")), day) <= 300).alias("fresh"))
 
 
-@query("g14_papers", "WITH p AS (SELECT *, row_number() OVER (PARTITION BY source, lower(left(text, 40)) ORDER BY doc_id) AS nth FROM documents) SELECT source, count(*) AS papers, count(*) FILTER (WHERE nth > 1) AS repeats FROM p GROUP BY 1")
+@query("g14_papers", "WITH p AS (SELECT *, row_number() OVER (PARTITION BY source, lower(string_split(text, chr(10))[1]) ORDER BY doc_id) AS nth FROM documents) SELECT source, count(*) AS papers, count(*) FILTER (WHERE nth > 1) AS repeats FROM p GROUP BY 1")
 def g14_papers(spark, sf):
-    title = F.lower(F.substring("text", 1, 40))
+    title = F.lower(F.substring_index("text", "\n", 1))
     per = table(spark, sf, "documents").groupBy("source", title.alias("title")).agg(n_rows().alias("n"))
     return per.groupBy("source").agg(F.sum("n").alias("papers"), F.sum(F.col("n") - 1).alias("repeats"))
 

@@ -27,8 +27,8 @@ def family_of(kind: Column) -> Column:
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals from events: those of value 150 or more, with a strength that grows with the value."""
-    e = table(spark, sf_dir, "events").filter(F.col("value") >= 150)
+    """Signals from all events, with a strength that grows with the value."""
+    e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("signal_id"), F.col("user_id").alias("entity_id"), family_of(F.col("event_type")).alias("family"), F.col("event_type").alias("kind"),
         "ts", F.to_date("ts").alias("occurred_at"), "value", (0.6 * F.col("value") / (F.col("value") + 400)).alias("strength"),
@@ -56,7 +56,7 @@ SIGNALS_SQL = f"""signals AS (
     CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in FAMILY_OF.items())} END AS family, event_type AS kind,
     ts, CAST(ts AS DATE) AS occurred_at, value, 0.6 * value / (value + 400) AS strength,
     CAST(json_extract_string(props, '$.k') AS INTEGER) AS subject
-  FROM events WHERE value >= 150)"""
+  FROM events)"""
 AWARDS_SQL = "awards AS (SELECT o_orderkey AS award_id, o_custkey AS firm, CAST(o_orderdate AS DATE) AS day, o_totalprice AS amount, o_orderstatus AS status, o_orderpriority AS priority FROM orders)"
 #: Of each entity, family and date (asofs: d) the strengths that count, as `measured` and the scores have them.
 LIVE_SQL = f"""{SIGNALS_SQL}, weekly AS (
