@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..catalog import SQL, query
 from ..functions import fixed
 from ..operators import evidence
 from ..operators.ranking import ranked_top, top_per
@@ -11,7 +11,7 @@ from ..sources import jobs, readers
 from ..operators.text import classify_groups
 from ..sources.views import ASOF, asof_day, awards, measured, n_rows, signals, table
 from ..streaming import stream
-from . import texts
+from . import kinds, texts
 from .jobsql import JOB_SQL
 from .sqltext import AW, DAY, SIG, over, scored, sq
 from .sqltext import measured as all_signals
@@ -98,22 +98,16 @@ def _tables(spark, sf):
     return {
         "filings": a.select("firm", "day", (F.col("amount") * 10).alias("amount"), (F.year(d) - F.col("firm") % 9).cast("int").alias("year_inc"), F.when(F.col("status") == "P", "Limited Partnership").otherwise("Corporation").alias("kind_of_entity")),
         "agreements": a.select("firm", "day", "amount", F.date_sub(d, (F.col("firm") % 3000).cast("int")).alias("registered")),
-        "grants": a.select("firm", "day", "amount", (F.col("firm") % 11 != 0).alias("complete")),
         "stars": e.select(F.col("user_id").alias("owner"), "day"),
         "roles": a.select(F.col("firm").alias("board"), "day", (F.col("priority") == "1-URGENT").alias("hardware")),
         "mentions": e.select(F.col("user_id").alias("entity"), "day", F.get_json_object("props", "$.k").alias("author"), F.col("value").alias("points")),
-        "marks": a.select(F.col("firm").alias("owner"), "day", F.col("priority").alias("mark"), (F.col("status") == "F").alias("in_use")),
-        "posts": table(spark, sf, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("entity"), F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("page_id") % 30).cast("int")).alias("day"), "url", (F.col("page_id") % 97).alias("points"), (F.col("page_id") % 13).alias("comments")),
         "ranks": table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("domain"), F.when(F.col("l_returnflag") == "R", F.to_date(F.lit("2024-01-01"))).otherwise(F.to_date(F.lit("2024-01-31"))).alias("list_day")).agg(F.sum("l_quantity").cast("int").alias("rank")),
         "certificates": table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("domain"), F.col("l_partkey").alias("host"), F.to_date("l_shipdate").alias("issued"), F.date_add(F.to_date("l_shipdate"), 90).alias("expires")),
-        "energy_awards": a.select("firm", "day", F.date_add(d, (F.col("firm") % 60).cast("int")).alias("released"), "amount", F.when(F.col("status") == "P", "arpa_e_project").otherwise("nsf_sbir_phase1").alias("program"), F.concat(F.lit("DE-"), F.col("award_id").cast("string")).alias("award")),
-        "other_contracts": a.filter("award_id % 4 = 0").select(F.concat(F.lit("de "), F.col("award_id").cast("string")).alias("contract")),
         "licences": a.select(F.concat(F.lit("Firm "), F.col("firm").cast("string"), F.lit(" Labs, Inc.")).alias("applicant"), "day", F.when(F.col("status") == "P", "pending").otherwise("granted").alias("status"), F.when(F.col("priority") == "5-LOW", "sta").otherwise("experimental").alias("kind"), (F.col("award_id") % 120).alias("units")),
         "declarations": a.select(F.concat(F.lit("Maker "), F.col("firm").cast("string")).alias("maker"), F.col("priority").alias("series"), "day", F.when(F.col("status") == "O", "accepted").otherwise("pending").alias("status")),
         "papers_filed": a.select((F.col("firm") % 300).alias("docket"), F.col("firm").alias("party"), "day", F.col("priority").alias("kind"), F.floor(F.col("award_id") / 2).alias("package")),
         "hiring_posts": table(spark, sf, "conversations").select((F.col("conv_id") % 70).alias("company"), F.floor(F.col("conv_id") / 20).alias("thread"), F.date_add(F.to_date(F.lit("2024-01-01")), F.floor(F.col("conv_id") / 20).cast("int")).alias("day"), F.when(F.col("turn") % 2 == 0, F.col("turn") * 9 + 1).alias("team_size"), F.lit(0.5).alias("fit"), (F.col("conv_id") % 9 != 0).alias("complete")),
         "launches": a.select(F.col("firm").alias("company"), "day", (F.col("award_id") % 900).alias("votes")),
-        "cohort_posts": a.select(F.col("award_id").alias("post"), F.when(F.col("firm") % 2 == 0, F.floor(F.col("firm") / 4)).alias("portal_id"), F.concat(F.lit("f"), F.col("firm").cast("string")).alias("slug"), "day", F.when(F.col("firm") % 5 > 0, 1990 + F.col("firm") % 12).cast("int").alias("founded")),
         "papers": table(spark, sf, "documents").select(F.col("source").alias("company"), F.col("text").alias("title"), F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 28).cast("int")).alias("day"), F.lit(True).alias("complete")),
     }
 
@@ -133,26 +127,32 @@ _SIZE = "(CASE WHEN lg <= 5.4 THEN 0.0 WHEN lg <= 6 THEN (lg - 5.4) * (0.35 / 0.
 _JOB_SQL = {
     "sec_form_d": f"{AW}, f AS (SELECT firm, day, amount * 10 AS amount, year(day) - firm % 9 AS year_inc FROM awards WHERE status <> 'P' AND firm % 9 <= 5 AND amount * 10 >= 250000), h AS (SELECT *, log10(amount) AS lg, {_PRIOR} AS prior, lag(amount) OVER (PARTITION BY firm ORDER BY day, amount) AS before FROM f) "
     + _HEAD.format("sec_form_d", "capital", "CASE WHEN prior > 0 THEN 'form_d_amendment' ELSE 'form_d' END", "firm", "day", "coalesce(amount - before, amount)", f"least(greatest(0.15 + 0.66 * {_SIZE} * (0.35 + 0.35 * least(greatest(1 - (year(day) - year_inc) / 5, 0), 1) + 0.30 * (CASE WHEN prior = 0 THEN 1.0 ELSE 1 / (1 + prior) END)), 0.15), 0.97)", "h"),
-    "sbir_awards": f"{AW}, h AS (SELECT *, {_PRIOR} AS prior FROM awards) " + _HEAD.format("sbir_awards", "capital", "'sbir_phase1'", "firm", "day", "amount", "CASE WHEN firm % 11 = 0 THEN 0.42 WHEN prior = 0 THEN 0.70 WHEN prior <= 2 THEN 0.50 WHEN prior <= 9 THEN 0.40 WHEN prior <= 24 THEN 0.28 ELSE 0.18 END", "h"),
     "fpds_ot": f"{AW}, h AS (SELECT *, {_PRIOR} AS prior, least(greatest(1 - (firm % 3000) / 1825, 0), 1) AS fresh, {sq('amount', 750000)} AS money FROM awards) " + _HEAD.format("fpds_ot", "capital", "CASE WHEN prior = 0 THEN 'ot_first_award' ELSE 'ot_award' END", "firm", "least(day + 90, DATE '2001-08-01')", "amount", "least(greatest(0.18 + 0.25 * fresh + 0.17 * money + (CASE WHEN prior = 0 THEN 0.10 + 0.15 * fresh + 0.15 * money ELSE -0.05 END), 0.05), 0.97)", "h"),
     "research_affil": "WITH p AS (SELECT source AS company, text AS title, DATE '2024-01-01' + CAST(doc_id % 28 AS INTEGER) AS day FROM documents), k AS (SELECT *, trim(regexp_replace(lower(regexp_replace(title, '[’''`]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) AS key FROM p), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company, key ORDER BY day, title) AS x FROM k) WHERE x = 1), f AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY day, key) = 1 AS first FROM o) " + _HEAD.format("research_affil", "research", "CASE WHEN first THEN 'company_first_paper' ELSE 'company_papers' END", "company", "day", "1", "CASE WHEN first THEN 0.6 ELSE 0.35 END", "f"),
 }
 _JOB_SQL |= JOB_SQL
-for _slug, _day in {"sec_form_d": "2001-08-01", "fpds_ot": "2001-08-01", "sbir_awards": "2001-08-01", "github_velocity": ASOF, "ats_jobs": "2001-08-01", "hn_attention": ASOF, "uspto_trademarks": "2001-08-01", "hn_launch": ASOF, "tranco_rank": ASOF, "domain_footprint": "2001-08-01", "research_affil": ASOF, "energy_grants": "2001-08-01", "fcc_els": "2001-08-01", "faa_uas": "2001-08-01", "nrc_adams": "2001-08-01", "hn_hiring": ASOF, "yc_directory": "2001-08-01", "accelerators": "2001-08-01"}.items():
+for _slug, _day in {"sec_form_d": "2001-08-01", "fpds_ot": "2001-08-01", "github_velocity": ASOF, "ats_jobs": "2001-08-01", "hn_attention": ASOF, "tranco_rank": ASOF, "domain_footprint": "2001-08-01", "research_affil": ASOF, "fcc_els": "2001-08-01", "faa_uas": "2001-08-01", "nrc_adams": "2001-08-01", "hn_hiring": ASOF, "yc_directory": "2001-08-01"}.items():
     query(f"c_{_slug}", _JOB_SQL.get(_slug))(_job(_slug, _day))
 
 
-#: Jobs of the discovering stage, on one day.
-_DISCOVERED = {k: v.replace(f"DATE '{ASOF}'", "DATE '2001-08-01'") for k, v in _JOB_SQL.items() if jobs.JOBS[k][1] == "discover"}
+#: Each job once, on one day: those above, and those of the kinds that stand for their job (the others run the same job over other tables).
+_KINDS = [n for n in kinds.LANDED if n not in ("c_energy_by_program", "c_trademarks_by_owner", "c_launches_by_kind", "c_listings_by_program")]
+_EVERY = [*(v.replace(f"DATE '{ASOF}'", "DATE '2001-08-01'") for v in _JOB_SQL.values()), *(SQL[n] for n in _KINDS)]
 
 
-@query("u7_all_sources", "SELECT source, kind, count(*) AS n, round(avg(strength), 3) AS strength FROM (" + " UNION ALL ".join(f"SELECT * FROM ({v})" for v in _DISCOVERED.values()) + ") GROUP BY ALL")
+@query("u7_all_sources", "SELECT source, kind, count(*) AS n, round(avg(strength), 3) AS strength FROM (" + " UNION ALL ".join(f"SELECT * FROM ({v})" for v in _EVERY) + ") GROUP BY ALL")
 def u7_all_sources(spark, sf):
-    """Every discovering job's signals in one table, counted by source and kind."""
-    out, errors = jobs.run(spark, _tables(spark, sf), F.to_date(F.lit("2001-08-01")))
-    if errors:
-        raise ValueError(str(errors))
-    return out.groupBy("source", "kind").agg(n_rows().alias("n"), F.round(F.avg("strength"), 3).alias("strength"))
+    """Every job's signals of both stages in one table, counted by source and kind; without website_verified, whose table comes from reading pages (c_web_presence)."""
+    tables = _tables(spark, sf)
+    for n in _KINDS:
+        tables |= kinds.LANDED[n](spark, sf)
+    rows = None
+    for stage in ("discover", "enrich"):
+        out, errors = jobs.run(spark, tables, F.to_date(F.lit("2001-08-01")), stage)
+        if set(errors) - {"web_presence"}:
+            raise ValueError(str(errors))
+        rows = out if rows is None else rows.unionByName(out)
+    return rows.groupBy("source", "kind").agg(n_rows().alias("n"), F.round(F.avg("strength"), 3).alias("strength"))
 
 
 @query("c_web_presence")

@@ -13,6 +13,7 @@ from ..operators.lineage import cut_lineage
 from ..operators.ranking import top_per
 
 Job = Callable[[Mapping[str, DataFrame], Column], DataFrame]
+#: By source, or source/kind for further kinds of a source over a landed table of their own: family, stage and job.
 JOBS: dict[str, tuple[str, str, Job]] = {}
 SIGNAL = ["source", "family", "kind", "entity", "occurred_at", "value", "strength"]
 
@@ -30,13 +31,15 @@ def made(df: DataFrame, slug: str, kind: Column, entity: str, day: str, value: C
 
 
 def run(spark: SparkSession, tables: Mapping[str, DataFrame], asof: Column, stage: str = "discover") -> tuple[DataFrame, dict[str, str]]:
-    """Signals of all jobs of a stage, each written when it has run, and by slug what went wrong. A job that fails, at once or in its data, is recorded and doesn't stop the others."""
+    """Signals of all jobs of a stage, further kinds too, each written when it has run, and by slug what went wrong. A job that fails, at once or in its data, is recorded and doesn't stop the others."""
+    from . import kinds  # noqa: F401  registers its jobs
+
     out, errors = None, {}
     for slug, (_, at, job) in JOBS.items():
         if at != stage:
             continue
         try:
-            rows = cut_lineage(job(tables, asof).select(*SIGNAL), f"source-{slug}")
+            rows = cut_lineage(job(tables, asof).select(*SIGNAL), f"source-{slug.replace('/', '-')}")
         except Exception as e:
             errors[slug] = f"{type(e).__name__}: {e}"[:200]
             continue
@@ -69,15 +72,6 @@ def fpds_ot(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     return made(h, "fpds_ot", F.when(first, "ot_first_award").otherwise("ot_award"), "firm", "public_at", F.col("amount"), X.clamp(strength, 0.05, 0.97))
 
 
-@source("sbir_awards", "capital")
-def sbir_awards(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
-    """grants(firm, day, amount, complete): a firm's first award counts most; where its history isn't whole, less is claimed."""
-    h = history.prior_counts(tables["grants"], ["firm"], "day")
-    p = F.col("prior")
-    strength = X.ladder((~F.col("complete"), F.lit(0.42)), (p == 0, F.lit(0.70)), (p <= 2, F.lit(0.50)), (p <= 9, F.lit(0.40)), (p <= 24, F.lit(0.28)), otherwise=F.lit(0.18))
-    return made(h, "sbir_awards", F.lit("sbir_phase1"), "firm", "day", F.col("amount"), strength)
-
-
 @source("github_velocity", "github")
 def github_velocity(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     """stars(owner, day): owners that move, dated at their biggest day of the last thirty."""
@@ -133,25 +127,6 @@ def tranco_rank(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     return entrants.unionByName(made(moved, "tranco_rank", F.when(tail >= 1, "tranco_rank_move").otherwise("tranco_rank_present"), "domain", "day", F.col("ratio"), F.when(tail >= 1, s).otherwise(F.lit(0.0))))
 
 
-@source("uspto_trademarks", "regulatory")
-def uspto_trademarks(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
-    """marks(owner, day, mark, in_use): owners without a long history, three marks each at most."""
-    m = tables["marks"]
-    owners = m.groupBy("owner").agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("first_day"), F.countDistinct(F.lower("mark")).alias("brands"))
-    young = owners.filter((F.col("n") < 25) & (F.datediff(asof, "first_day") <= 8 * 365))
-    rows = top_per(m.join(young, "owner"), ["owner"], [F.desc("day"), F.col("mark"), F.col("in_use")], 3)
-    s = 0.35 + 0.2 * (~F.col("in_use")).cast("int") + 0.15 / F.col("brands")
-    return made(rows, "uspto_trademarks", F.when(F.col("in_use"), "trademark_in_use").otherwise("trademark_intent_to_use"), "owner", "day", F.col("n"), X.clamp(s, 0.15, 0.97))
-
-
-@source("hn_launch", "launch")
-def hn_launch(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
-    """posts(entity, day, url, points, comments): reposts of one page are one launch, its best one."""
-    p = tables["posts"].withColumn("page", X.url_key(F.col("url")))
-    best = top_per(p, ["entity", "page"], [F.desc("points"), F.col("day"), F.desc("comments"), F.col("url")])
-    return made(best, "hn_launch", F.lit("launch_hn"), "entity", "day", F.col("points"), 0.15 + 0.75 * X.squash(F.col("points") + 0.5 * F.col("comments"), 60))
-
-
 @source("domain_footprint", "traffic", "enrich")
 def domain_footprint(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     """certificates(domain, host, issued, expires): hosts first certified of late weigh more than the inventory."""
@@ -171,17 +146,6 @@ def research_affil(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     return made(f, "research_affil", F.when(first, "company_first_paper").otherwise("company_papers"), "company", "day", F.lit(1.0), F.when(first, 0.6).otherwise(0.35))
 
 
-@source("energy_grants", "capital")
-def energy_grants(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
-    """energy_awards(firm, day, released, amount, program): what another award list already has is dropped (other_contracts(contract)); dated at the later of award and release."""
-    e = tables["energy_awards"].withColumn("contract", X.contract_key(F.col("award")))
-    if "other_contracts" in tables:
-        e = e.join(tables["other_contracts"].select(X.contract_key(F.col("contract")).alias("contract")), "contract", "left_anti")
-    h = history.prior_counts(e.withColumn("seen", F.greatest("day", F.coalesce("released", "day"))), ["firm"], "day")
-    s = 0.30 + 0.35 * X.squash(F.col("amount"), 1_000_000) + F.when(F.col("prior") == 0, 0.2).otherwise(0.0)
-    return made(h, "energy_grants", F.col("program"), "firm", "seen", F.col("amount"), X.clamp(s, 0.15, 0.95))
-
-
 @source("fcc_els", "regulatory")
 def fcc_els(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     """licences(applicant, day, status, kind, units): three of an applicant and kind at most; units count, and applicants with many this run less."""
@@ -237,18 +201,6 @@ def yc_directory(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     return made(ranked, "yc_directory", F.lit("yc_launch"), "company", "day", F.col("votes"), s)
 
 
-@source("accelerators", "launch")
-def accelerators(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
-    """cohort_posts(post, portal_id, slug, day, founded): posts with one portal id or slug are one company; too old companies and back-filled posts go."""
-    from ..operators.resolve import hard_links
-
-    p = tables["cohort_posts"]
-    c = p.join(hard_links(p, "post", ["portal_id", "slug"]), "post")
-    view = c.groupBy("component").agg(F.min("day").alias("day"), F.max_by("slug", F.struct("day", "post")).alias("slug"), F.min("founded").alias("founded"), F.count(F.lit(1)).alias("n"))
-    young = view.filter(F.col("founded").isNull() | (F.year(asof) - F.col("founded") <= 8))
-    return made(young, "accelerators", F.lit("accelerator_cohort"), "slug", "day", F.col("n"), 0.45 + 0.2 * F.when(F.col("founded").isNull(), 0.5).otherwise(X.clamp(1 - (F.year(asof) - F.col("founded")) / 8, 0.0, 1.0)))
-
-
 @source("web_presence", "traffic", "enrich")
 def web_presence(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     """pages_read(entity, name, url, title, site_name, h1, copyright, day): the one site of an entity whose page speaks for it; a baseline of strength 0."""

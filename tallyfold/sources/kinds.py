@@ -1,8 +1,8 @@
-"""Further kinds of signal of the sources: each a job over a landed table of its own, with what its rows are worth."""
+"""Sources whose kinds have scales of their own, and further kinds of the other sources: each a job over a landed table, with what its rows are worth."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,23 +11,25 @@ from ..functions import exprs as X
 from ..functions import fixed
 from ..operators import history
 from ..operators.ranking import top_per
-from .jobs import SIGNAL, made
+from ..operators.resolve import hard_links
+from .jobs import JOBS, Job, made, source
 
 Tables = Mapping[str, DataFrame]
-#: Further jobs by source and kind.
-KINDS: dict[tuple[str, str], object] = {}
 
 
-def kind(slug: str, name: str):
-    def add(f):
-        KINDS[slug, name] = f
+def kind(slug: str, name: str) -> Callable[[Job], Job]:
+    """A further kind of a source, run with its stage."""
+
+    def add(f: Job) -> Job:
+        JOBS[f"{slug}/{name}"] = (*JOBS[slug][:2], f)
         return f
 
     return add
 
 
-def rows_of(slug: str, name: str, tables: Tables, asof: Column) -> DataFrame:
-    return KINDS[slug, name](tables, asof).select(*SIGNAL)
+def given(df: DataFrame, **kinds: str) -> DataFrame:
+    """df with the named columns; those that it lacks are null."""
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in df.columns})
 
 
 def either(c: Column, yes: float, no: float = 0.0) -> Column:
@@ -46,7 +48,15 @@ def grant_strength(prior: Column, whole: Column, employees: Column, fit: Column,
     repeat = upto(prior, fixed.SBIR_REPEAT, fixed.SBIR_MANY) + either(employees > 250, fixed.SBIR_LARGE_REPEAT)
     base = X.ladder((~whole, F.lit(fixed.SBIR_UNCLEAR)), (first, fixed.SBIR_FIRST + team), otherwise=repeat)
     gap = fit - F.lit(fixed.SBIR_ONE_KEYWORD)
-    return X.clamp(base + X.clamp(gap * F.when(gap >= 0, 0.33).otherwise(0.6), -0.10, 0.10) + either(order, fixed.SBIR_ORDER), 0.15, 0.97)
+    moved = F.when(fit.isNotNull(), X.clamp(gap * F.when(gap >= 0, 0.33).otherwise(0.6), -0.10, 0.10)).otherwise(0.0)
+    return X.clamp(base + moved + either(order, fixed.SBIR_ORDER), 0.15, 0.97)
+
+
+@source("sbir_awards", "capital")
+def sbir_awards(tables: Tables, asof: Column) -> DataFrame:
+    """grants(firm, day, amount, complete, and where known employees, fit): a firm's first award counts most, the more the smaller its team; where its history isn't whole, less is claimed."""
+    h = history.prior_counts(given(tables["grants"], employees="int", fit="double"), ["firm"], "day")
+    return made(h, "sbir_awards", F.lit("sbir_phase1"), "firm", "day", F.col("amount"), grant_strength(F.col("prior"), F.col("complete"), F.col("employees"), F.col("fit"), F.lit(False)))
 
 
 @kind("sbir_awards", "afwerx_order")
@@ -67,12 +77,14 @@ def energy_strength(program: Column, prior: Column, amount: Column, event: Colum
     return F.when(program == "arpa_e_project", X.clamp(arpa, 0.15, 0.95)).otherwise(nsf)
 
 
-@kind("energy_grants", "by_program")
-def energy_by_program(tables: Tables, asof: Column) -> DataFrame:
-    """program_awards(firm, day, released, amount, program, event): each program's awards, dated when both award and release are known; prior ones are the firm's of the same program."""
-    e = tables["program_awards"].withColumn("seen", F.greatest("day", F.coalesce("released", "day")))
-    h = history.prior_counts(e, ["firm", "program"], "seen")
-    return made(h, "energy_grants", F.col("program"), "firm", "seen", F.col("amount"), energy_strength(F.col("program"), F.col("prior"), F.col("amount"), F.col("event")))
+@source("energy_grants", "capital")
+def energy_grants(tables: Tables, asof: Column) -> DataFrame:
+    """energy_awards(firm, day, released, amount, program, and where known event, award): what another award list already has is dropped (other_contracts(contract)); dated when both award and release are known; prior ones are the firm's of the same program."""
+    e = given(tables["energy_awards"], event="string", award="string").withColumn("contract", X.contract_key(F.col("award")))
+    if "other_contracts" in tables:
+        e = e.join(tables["other_contracts"].select(X.contract_key(F.col("contract")).alias("contract")), "contract", "left_anti")
+    h = history.prior_counts(e.withColumn("seen", F.greatest("day", F.coalesce("released", "day"))), ["firm", "program"], "seen")
+    return made(h, "energy_grants", F.col("program"), "firm", "seen", F.col("amount"), energy_strength(F.col("program"), F.col("prior"), F.col("amount"), F.coalesce("event", F.lit("selected"))))
 
 
 @kind("faa_uas", "faa_part107_waiver")
@@ -94,8 +106,8 @@ def owner_history(marks: DataFrame, since: Column) -> DataFrame:
     return marks.groupBy("owner").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~new, 1)).alias("before"), F.min("day").alias("first_day"), brands.alias("brands"))
 
 
-@kind("uspto_trademarks", "by_owner")
-def trademarks_by_owner(tables: Tables, asof: Column) -> DataFrame:
+@source("uspto_trademarks", "regulatory")
+def uspto_trademarks(tables: Tables, asof: Column) -> DataFrame:
     """filings_of_marks(owner, day, mark, basis, scope, fit): one signal an owner of the last 180 days, of its newest filing: in use, intended, or neither known (trademark_filing)."""
     m, since = tables["filings_of_marks"], F.date_sub(asof, 180)
     new = m.filter(F.col("day") >= since)
@@ -122,8 +134,8 @@ def new_org_repo(tables: Tables, asof: Column) -> DataFrame:
     return made(first, "github_velocity", F.lit("new_org_repo"), "owner", "created", F.col("contributors"), X.clamp(s, 0.2, 0.92))
 
 
-@kind("hn_launch", "by_kind")
-def launches_by_kind(tables: Tables, asof: Column) -> DataFrame:
+@source("hn_launch", "launch")
+def hn_launch(tables: Tables, asof: Column) -> DataFrame:
     """stories(entity, day, url, points, comments, is_launch, prior): reposts of one page are one story, its best, and say how often it was posted; launches and shows are told apart, and a first story that lands counts more."""
     p = tables["stories"].withColumn("page", X.url_key(F.col("url")))
     n = p.groupBy("entity", "page").agg(F.count(F.lit(1)).alias("posted"))
@@ -141,16 +153,25 @@ def yc_batch(tables: Tables, asof: Column) -> DataFrame:
     return made(one, "yc_directory", F.lit("yc_batch"), "company", "day", F.col("tags"), F.when(F.col("own_words"), F.least(s, F.lit(0.64))).otherwise(0.15 + 0.1 * F.col("fit")))
 
 
-@kind("accelerators", "by_program")
-def listings_by_program(tables: Tables, asof: Column) -> DataFrame:
-    """program_pages(company, program, day, fit, labels, hard, founded, cohort_year): speedrun and hax listings by their own scales; a page that comes two years after its cohort is back-filled and routine."""
-    year = F.year("day")
-    run = X.clamp(0.02 + 0.46 * F.col("fit") + 0.05 * F.least("labels", F.lit(2)) + either(F.col("hard"), 0.07) + either(F.col("founded") >= F.year(asof) - 1, 0.03), 0.15, 0.72)
-    hax = F.least(0.22 + 0.28 * F.col("fit") + either(F.col("cohort_year") == year, 0.08) + either(F.col("founded") >= year - 2, 0.04), F.lit(0.7))
-    late = F.coalesce(year - F.col("cohort_year") >= 2, F.lit(False))
-    rows = top_per(tables["program_pages"], ["company", "program"], [F.col("day"), F.desc("fit"), F.desc("labels"), F.col("hard"), F.col("founded"), F.col("cohort_year")])
-    s = F.when(F.col("program") == "speedrun", run).otherwise(F.when(late, F.least(hax, F.lit(fixed.BACK_FILLED))).otherwise(hax))
-    return made(rows, "accelerators", F.when(F.col("program") == "speedrun", "speedrun_cohort").otherwise("hax_company"), "company", "day", F.col("labels"), s)
+def listing_strength(program: Column, fit: Column, labels: Column, hard: Column, founded: Column, cohort_year: Column, day: Column, asof: Column) -> Column:
+    """Speedrun and hax listings by their own scales; one that comes two years after its cohort is back-filled and routine."""
+    year, fit = F.year(day), F.coalesce(fit, F.lit(0.0))
+    run = X.clamp(0.02 + 0.46 * fit + 0.05 * F.least(F.coalesce(labels, F.lit(0)), F.lit(2)) + either(hard, 0.07) + either(founded >= F.year(asof) - 1, 0.03), 0.15, 0.72)
+    hax = F.least(0.22 + 0.28 * fit + either(cohort_year == year, 0.08) + either(founded >= year - 2, 0.04), F.lit(0.7))
+    late = F.coalesce(year - cohort_year >= 2, F.lit(False))
+    return F.when(program == "speedrun", run).otherwise(F.when(late, F.least(hax, F.lit(fixed.BACK_FILLED))).otherwise(hax))
+
+
+@source("accelerators", "launch")
+def accelerators(tables: Tables, asof: Column) -> DataFrame:
+    """cohort_posts(post, portal_id, slug, day, founded, and where known program, fit, labels, hard, cohort_year): posts with one portal id or slug are one company, of which the earliest tells, the latest names; too old companies go. The value is how often it was posted."""
+    p = given(tables["cohort_posts"], program="string", fit="double", labels="int", hard="boolean", cohort_year="int")
+    c = p.join(hard_links(p, "post", ["portal_id", "slug"]), "post")
+    about = c.groupBy("component").agg(F.max_by("slug", F.struct("day", "post")).alias("name"), F.min("founded").alias("oldest"), F.count("*").alias("n"))
+    lead = top_per(c, ["component"], [F.col("day"), F.desc("fit"), F.desc("labels"), F.col("hard"), F.col("founded"), F.col("cohort_year"), F.col("post")])
+    young = lead.join(about, "component").filter(F.col("oldest").isNull() | (F.year(asof) - F.col("oldest") <= 8))
+    s = listing_strength(*[F.col(x) for x in ("program", "fit", "labels", "hard", "founded", "cohort_year", "day")], asof)
+    return made(young, "accelerators", F.when(F.col("program") == "speedrun", "speedrun_cohort").otherwise("hax_company"), "name", "day", F.col("n"), s)
 
 
 @kind("domain_footprint", "records")

@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tallyfold.sources import jobs, readers
+from tallyfold.sources import jobs, kinds, readers
 from tallyfold.streaming import stream
 
 
@@ -107,7 +107,7 @@ def test_dockets_cohorts_and_sites(spark):
     got = sorted((r.kind, r.strength) for r in jobs.nrc_adams({"papers_filed": filed}, F.to_date(F.lit("2024-03-01"))).collect())
     assert got == [("nrc_preapp_activity", 0.4), ("nrc_preapp_docket_opened", 0.85)]
     posts = spark.createDataFrame([(1, 5, "acme", day(1), 2022), (2, 5, "acme-inc", day(2), None), (3, None, "acme-inc", day(3), 2021), (4, None, "old", day(3), 1990)], "post int, portal_id int, slug string, day date, founded int")
-    got = jobs.accelerators({"cohort_posts": posts}, F.to_date(F.lit("2024-03-01"))).collect()
+    got = kinds.accelerators({"cohort_posts": posts}, F.to_date(F.lit("2024-03-01"))).collect()
     assert [(r.entity, r.value, r.occurred_at) for r in got] == [("acme-inc", 3.0, day(1))]
     pages = spark.createDataFrame([("e", "Acme Robotics", "https://acmerobotics.com", "Acme Robotics", "Acme Robotics", "Acme Robotics", None, day(1)), ("e", "Acme Robotics", "https://elsewhere.com", "News", None, None, None, day(1)), ("f", "Bolt Works", "https://boltworks.com", "Bolt Works", "Bolt Works", None, None, day(1)), ("f", "Bolt Works", "https://bolt-works.io", "Bolt Works", "Bolt Works", "Bolt Works", "Bolt Works", day(1))], "entity string, name string, url string, title string, site_name string, h1 string, copyright string, day date")
     assert [r.entity for r in jobs.web_presence({"pages_read": pages}, F.to_date(F.lit("2024-03-01"))).collect()] == ["e"]
@@ -156,3 +156,17 @@ def test_dates_and_legal_forms(spark):
     names = {"Acme Inc LLC Ltd Corp": "Acme Inc", "Acme Robotics, Inc.": "Acme Robotics", "X AG Inc": "X", "Inc": "Inc", "Acme ,": "Acme", "Advanced Float Co., Ltd": "Advanced Float", "NV": "NV", "Foo SA AG SE NV": "Foo SA"}
     rows = spark.createDataFrame([(x,) for x in names], "x string").select("x", X.strip_legal(F.col("x")).alias("s")).collect()
     assert {r.x: r.s for r in rows} == names
+
+
+def test_every_kind_is_in_one_registry():
+    for name, (family, stage, job) in jobs.JOBS.items():
+        assert family and stage in ("discover", "enrich") and job.__doc__ and "(" in job.__doc__, name
+        assert name.split("/")[0] in jobs.JOBS
+
+
+def test_linked_posts_go_by_their_program(spark):
+    day = lambda m: dt.date(2024, m, 1)
+    rows = [(1, 5, "a", day(1), 2023, "speedrun", 0.5, 3, True, 2024), (2, 5, "a2", day(2), None, "hax", 0.9, 1, False, None), (3, None, "h", day(3), 2023, "hax", 0.5, 1, False, 2024), (4, None, "late", day(3), None, "hax", 1.0, 1, False, 2021), (5, None, "bare", day(3), None, None, None, None, None, None)]
+    posts = spark.createDataFrame(rows, "post int, portal_id int, slug string, day date, founded int, program string, fit double, labels int, hard boolean, cohort_year int")
+    got = {r.entity: (r.kind, r.strength, r.value) for r in kinds.accelerators({"cohort_posts": posts}, F.to_date(F.lit("2024-06-01"))).collect()}
+    assert got == {"a2": ("speedrun_cohort", 0.45, 2.0), "h": ("hax_company", 0.48, 1.0), "late": ("hax_company", 0.3, 1.0), "bare": ("hax_company", 0.22, 1.0)}
