@@ -1,5 +1,7 @@
 """Fixed values that results depend on: families, half-lives, weights, stop lists and term lists."""
 
+from math import log10
+
 # Half-life in days of each signal family, and its weight in the composite.
 HALF_LIFE = {"capital": 45.0, "regulatory": 60.0, "research": 45.0, "hiring": 30.0, "traffic": 30.0, "github": 21.0, "launch": 21.0, "social": 14.0}
 OTHER_HALF_LIFE = 21.0
@@ -65,3 +67,13 @@ SUSTAINED_WEEK, WEEKS_LOOKED_AT = 10, 8
 FRESH_DAYS, RENEWAL_MARGIN = 30, 2
 SOLID_YEARS, SHARED_YEARS, MOST_SOLID = 3, 2, 6
 MOST_ALIASES = 12
+
+# Moves and entries on a rank list.
+COHORT_BAND, COHORT_MIN, COHORT_MAX = 1.5, 200, 4000
+MATERIAL_SHARE, LEAST_RATIO = 0.9, {30: 1.2, 90: 1.3}
+SUSTAINED_MOVE, STALE_WINDOW, MOST_MOVE = 0.06, 0.9, 0.9
+MOVE_ANCHORS = [(1.0, 0.30), (1.3, 0.42), (2.0, 0.60), (3.0, 0.78), (4.0, 0.88)]
+DEPTH_ANCHORS = [(1_000_000, 1.0), (2_000_000, 0.9), (3_000_000, 0.8), (4_000_000, 0.7)]
+ENTRANT_RATES, ENTRANT_RATE_DEEP = [(100_000, 0.006), (1_000_000, 0.019), (2_000_000, 0.071), (3_500_000, 0.26)], 0.50
+ENTRANT_ANCHORS = [(log10(0.005), 0.85), (log10(0.02), 0.70), (log10(0.07), 0.42), (log10(0.26), 0.22), (log10(0.50), 0.15)]
+YOUTH_ANCHORS, UNDATED_ENTRY, MOST_ENTRANT = [(1.0, 0.85), (7.0, 1.0)], 0.9, 0.85

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .history import previous
 from .lineage import cut_lineage
 from .ranking import running_total, top_per
 
@@ -54,8 +55,8 @@ def amendment_baseline(filings: DataFrame, row: str, keys: Sequence[str], order:
 
     Rows of a key are ordered by `order`, then `row`. A pointer is followed once, by a join."""
     whole = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
-    own = Window.partitionBy(*keys).orderBy(*order, row)
-    lag = filings.filter(whole).select(F.col(row).alias("_row"), F.lag(F.struct(F.col(row).alias("r"), F.col(amount).alias("a"))).over(own).alias("_before")).filter("_before IS NOT NULL")
+    lag = previous(filings.filter(whole), keys, [*order, F.col(row)], {"_before_row": row, "_before_amount": amount}).filter(F.col("_before_row").isNotNull())
+    lag = lag.select(F.col(row).alias("_row"), F.struct(F.col("_before_row").alias("r"), F.col("_before_amount").alias("a")).alias("_before"))
     told = filings.select(F.col(row).alias("_at"), F.struct(F.col(row).alias("r"), F.col(amount).alias("a")).alias("_told"))
     out = filings.join(lag, filings[row] == lag["_row"], "left").join(told, (filings[pointer] == told["_at"]) & (filings[pointer] != filings[row]), "left")
     base = F.coalesce("_before", "_told")

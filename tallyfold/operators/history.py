@@ -30,15 +30,26 @@ def prior_counts(df: DataFrame, keys: Sequence[str], day: str, name: str = "prio
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Mapping[str, str]) -> DataFrame:
-    """Values of the row just before of the same key; columns maps new names to old."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.select("*", *[F.lag(old).over(w).alias(new) for new, old in columns.items()])
+    """Values of the row just before of the same key; columns maps new names to old. Rows are dealt by ranges of keys and order, so no task has a key's whole history: a range's first row of a key takes the last one of the nearest range before that has the key. Rows that `order` doesn't tell apart follow one another in any order."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written with its range: sampled bounds may differ when a plan runs again.
+    dealt = cut_lineage(df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("_range", *keys).orderBy(*order)
+    told = F.struct(*[F.col(old).alias(new) for new, old in columns.items()])
+    within = cut_lineage(dealt.withColumn("_told", told).withColumn("_nth", F.row_number().over(own)).withColumn("_own", F.lag("_told").over(own)).withColumn("_last", F.lead(F.lit(1)).over(own).isNull()), "within")
+    # A row a range and key.
+    ends = within.filter("_last").select("_range", *keys, "_told")
+    ends = ends.select(F.col("_range").alias("_of"), *[F.col(k).alias(f"_of_{i}") for i, k in enumerate(keys)], F.lag("_told").over(Window.partitionBy(*keys).orderBy("_range")).alias("_before"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(keys)], F.col("_range") == F.col("_of"))
+    found = within.join(ends, same, "left")
+    value = F.when(F.col("_nth") == 1, F.col("_before")).otherwise(F.col("_own"))
+    return found.select(*df.columns, *[value[new].alias(new) for new in columns])
 
 
 def first_flag(df: DataFrame, keys: Sequence[str], order: Sequence[Column], complete: Column | None = None, name: str = "is_first") -> DataFrame:
-    """First row of its key; null where the key's history isn't complete."""
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
-    return df.withColumn(name, first if complete is None else F.when(complete, first))
+    """First row of its key (one, even of rows that `order` doesn't tell apart); null where the key's history isn't complete. Counted by ranges, so no task has a key's whole history."""
+    first = running_total(df.withColumn("_one", F.lit(1)), keys, order, "_one", "_earlier").withColumn("_first", F.col("_earlier") == 0).drop("_one", "_earlier")
+    return first.withColumn(name, F.col("_first") if complete is None else F.when(complete, F.col("_first"))).drop("_first")
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], moment: str, name: str = "nth") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut_lineage
@@ -55,7 +55,8 @@ def merge_soft(clusters: DataFrame, names: DataFrame, cluster: str = "cluster",
         proposals = top_per(held.filter("bare").join(able, name), ["component"], [F.col(rank), F.col(name)])
         with_one = held.filter("NOT bare").join(able.filter("n_domains = 1").select(name), name).groupBy(name).agg(F.min("component").alias("owner"))
         # Components that have the one domain of a name are one company already by that domain.
-        target = proposals.join(with_one, name, "left").withColumn("to", F.coalesce("owner", F.min("component").over(Window.partitionBy(name))))
+        least = proposals.groupBy(name).agg(F.min("component").alias("least"))
+        target = proposals.join(with_one, name, "left").join(least, name).withColumn("to", F.coalesce("owner", "least"))
         moves = target.filter(F.col("to") != F.col("component")).select("component", "to")
         if moves.isEmpty():
             return now

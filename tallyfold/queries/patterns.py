@@ -9,6 +9,7 @@ from ..sources.views import ASOF, asof_day, awards, n_rows, table
 from ..streaming import keyed, stream
 from .serving import _events_stream
 from .sqltext import AW, DAY
+from .sqltext import cohorts as cohorts_sql
 
 
 @query("t8_keyed_first", "SELECT user_id, event_type, CAST(CAST(min(ts) AS DATE) AS VARCHAR) AS first_day FROM events GROUP BY ALL HAVING min(ts) <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
@@ -46,19 +47,13 @@ def t6_stream_lateness(spark, sf):
     return sorted_.groupBy("event_type", "arrival").agg(n_rows().alias("n"), F.sum("event_id").alias("ids"))
 
 
-_COHORT = """WITH o AS (SELECT o_orderkey AS k, o_totalprice AS r, {by} AS q FROM orders),
-p AS (SELECT *, row_number() OVER (ORDER BY r, q, k) - 1 AS i, rank() OVER (ORDER BY r) - 1 AS mid FROM o),
-a AS (SELECT p.k, count(b.k) AS low FROM p LEFT JOIN o b ON b.r * 1.5 < p.r GROUP BY 1), z AS (SELECT p.k, count(*) AS high FROM p JOIN o b ON b.r <= p.r * 1.5 GROUP BY 1),
-e AS (SELECT p.*, greatest(low, mid - 2000) AS low, least(high, mid + 2000) AS high FROM p JOIN a USING (k) JOIN z USING (k))"""
-
-
-@query("w3_cohort_share", _COHORT.format(by="o_custkey % 97") + " SELECT e.k, e.high - e.low AS cohort, round(CASE WHEN e.high - e.low >= 200 THEN count(*) FILTER (WHERE b.q < e.q) / (e.high - e.low) END, 6) AS share FROM e JOIN p b ON b.i >= e.low AND b.i < e.high GROUP BY e.k, e.low, e.high")
+@query("w3_cohort_share", f"WITH {cohorts_sql('c', 'orders', 'o_orderkey', 'o_totalprice', 'o_custkey % 97')}" + " SELECT e.k, e.high - e.low AS cohort, round(CASE WHEN e.high - e.low >= 200 THEN count(*) FILTER (WHERE b.q < e.q) / (e.high - e.low) END, 6) AS share FROM c_e e JOIN c_p b ON b.i >= e.low AND b.i < e.high GROUP BY e.k, e.low, e.high")
 def w3_cohort_share(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("r"), (F.col("o_custkey") % 97).alias("q"))
     return cohorts.cohort_share(o, "r", "q", "k").select("k", "cohort", F.round("share", 6).alias("share"))
 
 
-@query("w4_entrant_rate", _COHORT.format(by="CAST(o_orderdate >= TIMESTAMP '2001-01-01' AS INTEGER)") + ", s AS (SELECT i, sum(q) OVER (ORDER BY i) AS upto FROM p) SELECT e.k, high - low AS cohort, round(CASE WHEN high - low >= 200 THEN (h.upto - coalesce(l.upto, 0)) / (high - low) END, 6) AS rate FROM e JOIN s h ON h.i = e.high - 1 LEFT JOIN s l ON l.i = e.low - 1")
+@query("w4_entrant_rate", "WITH " + cohorts_sql("c", "orders", "o_orderkey", "o_totalprice", "CAST(o_orderdate >= TIMESTAMP '2001-01-01' AS INTEGER)") + ", s AS (SELECT i, sum(q) OVER (ORDER BY i) AS upto FROM c_p) SELECT e.k, high - low AS cohort, round(CASE WHEN high - low >= 200 THEN (h.upto - coalesce(l.upto, 0)) / (high - low) END, 6) AS rate FROM c_e e JOIN s h ON h.i = e.high - 1 LEFT JOIN s l ON l.i = e.low - 1")
 def w4_entrant_rate(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("r"), (F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp")).alias("fresh"))
     return cohorts.entrant_rate(o, "r", "fresh", "k").select("k", "cohort", F.round("rate", 6).alias("rate"))

@@ -70,8 +70,9 @@ def p10_run_meta(spark, sf):
 def p12_partition(spark, sf):
     """Dated and undated signals, whether all kinds say more than the three newest signals' do, and the links that are shown: views first; a purchase has none, a sign-up the reviewer's own."""
     state = F.col("subject") % 9 == 0
-    n = top_per(signals(spark, sf), ["entity_id"], [F.desc("occurred_at"), F.col("signal_id")], 1 << 30, nth="nth")
-    g = n.groupBy("entity_id").agg(F.count(F.when(~state, 1)).alias("dated"), F.count(F.when(state, 1)).alias("undated"), F.collect_set("kind").alias("kinds"), F.collect_set(F.when(F.col("nth") <= 3, F.col("kind"))).alias("why"))
+    s = signals(spark, sf)
+    why = top_per(s, ["entity_id"], [F.desc("occurred_at"), F.col("signal_id")], 3).groupBy("entity_id").agg(F.collect_set("kind").alias("why"))
+    g = s.groupBy("entity_id").agg(F.count(F.when(~state, 1)).alias("dated"), F.count(F.when(state, 1)).alias("undated"), F.collect_set("kind").alias("kinds")).join(why, "entity_id")
     address = lambda k: F.when(k == "purchase", "none").when(k == "signup", "https://review.example").otherwise(F.concat(F.lit("https://"), k, F.lit(".example")))
     links = F.map_from_entries(F.transform("kinds", lambda k: F.struct(k, address(k))))
     return g.select("entity_id", "dated", "undated", evidence.adds_to(F.col("kinds"), F.col("why")).alias("more_than_why"), F.array_join(evidence.shown_links(links, ["view"], "review.example"), ",").alias("links"))
@@ -98,10 +99,11 @@ def _tables(spark, sf):
     return {
         "filings": a.select("firm", "day", (F.col("amount") * 10).alias("amount"), (F.year(d) - F.col("firm") % 9).cast("int").alias("year_inc"), F.when(F.col("status") == "P", "Limited Partnership").otherwise("Corporation").alias("kind_of_entity")),
         "agreements": a.select("firm", "day", "amount", F.date_sub(d, (F.col("firm") % 3000).cast("int")).alias("registered")),
-        "stars": e.select(F.col("user_id").alias("owner"), "day"),
+        "stars": e.select(F.col("user_id").alias("owner"), (F.col("event_id") % 2).alias("repo"), F.col("ts").cast("timestamp").alias("at")),
+        "star_samples": e.select(F.col("user_id").alias("owner"), (F.col("event_id") % 2).alias("repo")).distinct().selectExpr("owner", "repo", "owner % 23 / 40 AS young", "owner % 7 / 7 AS blank", "owner % 800 AS median_age"),
         "roles": a.select(F.col("firm").alias("board"), "day", (F.col("priority") == "1-URGENT").alias("hardware")),
         "mentions": e.select(F.col("user_id").alias("entity"), "day", F.get_json_object("props", "$.k").alias("author"), F.col("value").alias("points")),
-        "ranks": table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("domain"), F.when(F.col("l_returnflag") == "R", F.to_date(F.lit("2024-01-01"))).otherwise(F.to_date(F.lit("2024-01-31"))).alias("list_day")).agg(F.sum("l_quantity").cast("int").alias("rank")),
+        "ranks": table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("domain"), F.to_date(F.when(F.col("l_returnflag") == "R", "2024-01-01").when(F.col("l_returnflag") == "A", "2023-11-02").otherwise("2024-01-31")).alias("list_day")).agg(F.sum("l_quantity").cast("int").alias("rank")),
         "certificates": table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("domain"), F.col("l_partkey").alias("host"), F.to_date("l_shipdate").alias("issued"), F.date_add(F.to_date("l_shipdate"), 90).alias("expires")),
         "licences": a.select(F.concat(F.lit("Firm "), F.col("firm").cast("string"), F.lit(" Labs, Inc.")).alias("applicant"), "day", F.when(F.col("status") == "P", "pending").otherwise("granted").alias("status"), F.when(F.col("priority") == "5-LOW", "sta").otherwise("experimental").alias("kind"), (F.col("award_id") % 120).alias("units")),
         "declarations": a.select(F.concat(F.lit("Maker "), F.col("firm").cast("string")).alias("maker"), F.col("priority").alias("series"), "day", F.when(F.col("status") == "O", "accepted").otherwise("pending").alias("status")),

@@ -50,3 +50,10 @@ fam AS (SELECT entity_id, d, {cells} FROM counted GROUP BY entity_id, d),
 every AS (SELECT e.entity_id, a.d, {', '.join(f'coalesce({f}, 0) AS {f}' for f in fixed.FAMILIES)} FROM (SELECT DISTINCT entity_id FROM (SELECT entity_id FROM signals UNION ALL SELECT entity_id FROM weekly)) e CROSS JOIN asofs a LEFT JOIN fam USING (entity_id, d)){', ' + known if known else ''},
 edges AS (SELECT entity_id, d, momentum, convergence, fit, earliness, team, round(100.0 * momentum * (0.25 + 0.75 * fit) * (0.4 + 0.6 * earliness) * (0.85 + 0.15 * team) * (CASE WHEN convergence < 2 THEN {fixed.UNCORROBORATED} ELSE 1.0 END), 2) AS edge
   FROM (SELECT entity_id, d, {MOMENTUM} AS momentum, {CONVERGENCE} AS convergence, {factors} FROM every {join}))"""
+
+
+def cohorts(name: str, source: str, k: str, r: str, q: str) -> str:
+    """CTEs: name_p, rows in order of rank (k, r, q, i) and name_e, with the places low to high - 1 of each row's cohort."""
+    return f"""{name}_o AS (SELECT {k} AS k, {r} AS r, {q} AS q FROM {source}), {name}_p AS (SELECT *, row_number() OVER (ORDER BY r, q, k) - 1 AS i, rank() OVER (ORDER BY r) - 1 AS mid FROM {name}_o),
+{name}_a AS (SELECT p.k, count(b.k) AS low FROM {name}_p p LEFT JOIN {name}_o b ON b.r * 1.5 < p.r GROUP BY 1), {name}_z AS (SELECT p.k, count(*) AS high FROM {name}_p p JOIN {name}_o b ON b.r <= p.r * 1.5 GROUP BY 1),
+{name}_e AS (SELECT p.*, greatest(low, mid - 2000) AS low, least(high, mid + 2000) AS high FROM {name}_p p JOIN {name}_a USING (k) JOIN {name}_z USING (k))"""

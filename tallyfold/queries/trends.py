@@ -1,11 +1,11 @@
 """Aggregations and trends: trailing windows, facets, rollups, batches, velocity."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import history, quality
 from ..plans import score
+from ..operators.ranking import top_per
 from ..sources.views import ASOF, asof_day, awards, n_rows, signals, table
 from .sqltext import AW, DAY, SIG, sq
 
@@ -59,8 +59,6 @@ def g8_first_batch(spark, sf):
 
 @query("g9_actor_quality", "WITH a AS (SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS INTEGER) AS repo, user_id FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY user_id DESC) AS nth FROM a), g AS (SELECT repo, count(*) AS n, avg(CAST(user_id % 400 < 90 AS INTEGER)) AS young, avg(CAST(user_id % 3 = 0 AS INTEGER)) AS blank, list_sort(list(user_id % 400))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median FROM r WHERE nth <= 30 GROUP BY 1 HAVING count(*) >= 15) SELECT repo, n, round(young, 6) AS young, median, young > 0.5 OR (young >= 0.3 AND blank >= 0.7 AND median < 365) AS bought FROM g")
 def g9_actor_quality(spark, sf):
-    from ..operators.ranking import top_per
-
     a = table(spark, sf, "events").select(F.get_json_object("props", "$.k").cast("int").alias("repo"), "user_id").distinct()
     newest = top_per(a, ["repo"], [F.desc("user_id")], 30).withColumn("age", F.col("user_id") % 400)
     g = newest.groupBy("repo").agg(n_rows().alias("n"), F.avg((F.col("age") < 90).cast("int")).alias("young"), F.avg((F.col("user_id") % 3 == 0).cast("int")).alias("blank"), F.array_sort(F.collect_list("age")).alias("ages")).filter("n >= 15")
@@ -106,16 +104,15 @@ def g15_prelim(spark, sf):
 
 @query("g16_family_cells", f"{SIG} SELECT entity_id, family, CAST(max(c) AS BIGINT) AS n, string_agg(CAST(signal_id AS VARCHAR), ',' ORDER BY nth) AS top FROM (SELECT *, count(*) OVER (PARTITION BY entity_id, family) AS c, row_number() OVER (PARTITION BY entity_id, family ORDER BY strength DESC, signal_id) AS nth FROM signals) WHERE nth <= 2 GROUP BY ALL")
 def g16_family_cells(spark, sf):
-    own = Window.partitionBy("entity_id", "family")
-    s = signals(spark, sf).withColumn("n", n_rows().over(own)).withColumn("nth", F.row_number().over(own.orderBy(F.desc("strength"), "signal_id"))).filter("nth <= 2")
+    s = top_per(signals(spark, sf), ["entity_id", "family"], [F.desc("strength"), F.col("signal_id")], 2, nth="nth")
+    n = signals(spark, sf).groupBy("entity_id", "family").agg(n_rows().alias("n"))
     top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "signal_id"))), lambda x: x["signal_id"].cast("string")), ",")
-    return s.groupBy("entity_id", "family").agg(F.max("n").alias("n"), top.alias("top"))
+    t = s.groupBy(F.col("entity_id").alias("e"), F.col("family").alias("f")).agg(top.alias("top"))
+    return n.join(t, F.col("entity_id").eqNullSafe(F.col("e")) & F.col("family").eqNullSafe(F.col("f"))).drop("e", "f")
 
 
 @query("g18_novelty", f"{AW}, d AS (SELECT firm, count(DISTINCT priority) AS kinds FROM awards GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY firm, priority ORDER BY day, award_id) AS nth FROM awards) SELECT kinds, count(*) AS emitted FROM r JOIN d USING (firm) WHERE nth <= 3 GROUP BY 1")
 def g18_novelty(spark, sf):
-    from ..operators.ranking import top_per
-
     a = awards(spark, sf)
     kinds = a.groupBy("firm").agg(F.countDistinct("priority").alias("kinds"))
     return top_per(a, ["firm", "priority"], [F.col("day"), F.col("award_id")], 3).join(kinds, "firm").groupBy("kinds").agg(n_rows().alias("emitted"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions import fixed
 from ..operators import history, quality
 from ..operators.lineage import cut_lineage
 from ..operators.ranking import top_per
@@ -72,17 +73,33 @@ def fpds_ot(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     return made(h, "fpds_ot", F.when(first, "ot_first_award").otherwise("ot_award"), "firm", "public_at", F.col("amount"), X.clamp(strength, 0.05, 0.97))
 
 
+def sample_factor(young: Column, blank: Column, median_age: Column) -> Column:
+    """What a sample of the actors leaves of a strength: over a fifth of accounts under 90 days old take it down to two fifths, mostly blank accounts under a year to three fifths of that. Without a sample all stays."""
+    f = F.when(young <= 0.2, 1.0).otherwise(X.clamp(1 - 2 * (young - 0.2), 0.4, 1.0)) * F.when((blank >= 0.7) & (median_age < 365), 0.6).otherwise(1.0)
+    return F.when(young.isNotNull(), F.round(f, 3)).otherwise(1.0)
+
+
 @source("github_velocity", "github")
 def github_velocity(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
-    """stars(owner, day): owners that move, dated at their biggest day of the last thirty."""
+    """stars(owner, repo, and either day or at, a timestamp that falls on its day by Pacific time): repositories that move, dated at their biggest day of the last thirty, of each owner the strongest one. star_samples(owner, repo, young, blank, median_age), where known, discount; an owner with one repository whose stars look bought is left out."""
+    from ..operators.figures import velocity_stats
     from ..plans.score import velocity_strength
 
-    t = history.trailing(tables["stars"], ["owner"], "day", asof, {"s7": (0, 7), "p7": (7, 14), "s30": (0, 30), "p30": (30, 60)})
-    daily = tables["stars"].filter(F.datediff(asof, "day").between(0, 29)).groupBy("owner", "day").agg(F.count(F.lit(1)).alias("n"))
-    peak = daily.groupBy("owner").agg(F.max_by("day", F.struct(F.col("n"), -F.unix_date("day"))).alias("peak_day"))
-    moving = quality.moves(F.lit(True), F.lit(100), F.col("s7"), F.col("s30"), history.acceleration(F.col("s7"), F.col("p7")), history.acceleration(F.col("s30"), F.col("p30")))
-    s = velocity_strength(F.col("s7"), F.col("p7"), F.col("s30"), F.col("p30"), F.lit(0))
-    return made(t.filter(moving).join(peak, "owner"), "github_velocity", F.lit("star_velocity"), "owner", "peak_day", F.col("s30"), s)
+    stars = tables["stars"]
+    if "day" not in stars.columns:
+        stars = stars.withColumn("day", F.to_date(F.from_utc_timestamp("at", "America/Los_Angeles")))
+    key = F.struct("owner", "repo")
+    daily = stars.groupBy(key.alias("key"), "day").agg(F.count("*").alias("n"))
+    t = velocity_stats(daily, "key", "day", "n", asof).select("key.*", "*").drop("key")
+    if "star_samples" in tables:
+        t = t.join(tables["star_samples"], ["owner", "repo"], "left")
+    else:
+        t = t.withColumns({c: F.lit(None).cast("double") for c in ("young", "blank", "median_age")})
+    held = t.filter(quality.bought(F.col("young"), F.col("blank"), F.col("median_age"))).select("owner").distinct()
+    moving = quality.moves(F.lit(True), F.lit(100), F.col("n_7d"), F.col("n_30d"), F.col("accel_7d"), F.col("accel_30d"))
+    s = velocity_strength(F.col("n_7d"), F.col("prev_7d"), F.col("n_30d"), F.col("prev_30d"), F.col("sustained_weeks")) * sample_factor(F.col("young"), F.col("blank"), F.col("median_age"))
+    best = top_per(t.filter(moving & (F.col("n_30d") > 0)).join(held, "owner", "left_anti").withColumn("s", s), ["owner"], [F.desc("s"), F.col("repo")])
+    return made(best, "github_velocity", F.lit("star_velocity"), "owner", "peak_date", F.col("n_30d"), F.col("s"))
 
 
 @source("ats_jobs", "hiring")
@@ -112,19 +129,52 @@ def hn_attention(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     return made(m, "hn_attention", X.ladder((first, "hn_first_mention"), (rise, "hn_attention"), otherwise="hn_baseline"), "entity", "day", F.col("n4"), s)
 
 
+def _material(ranks: DataFrame, old: str, least_ratio: float) -> DataFrame:
+    """(domain, s, ratio) of the domains on both lists that rose more than nine tenths of those that were ranked like them, and by `least_ratio` or more; s by how few did as well."""
+    from ..operators.cohorts import cohort_share
+
+    both = ranks.filter(F.col("now").isNotNull() & F.col(old).isNotNull()).select("domain", F.col(old).alias("was"), (F.col(old) / F.col("now")).alias("ratio"))
+    c = cohort_share(both, "was", "ratio", "domain", fixed.COHORT_BAND, fixed.COHORT_MIN, fixed.COHORT_MAX)
+    tail = F.greatest(1 - F.col("share"), 0.5 / F.col("cohort"))
+    return c.filter((F.col("share") >= fixed.MATERIAL_SHARE) & (F.col("ratio") >= least_ratio)).select("domain", X.interp(-F.log10(tail), fixed.MOVE_ANCHORS).alias("s"), "ratio")
+
+
 @source("tranco_rank", "traffic", "enrich")
 def tranco_rank(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
-    """ranks(list_day, domain, rank) of two days: new entrants, and moves against domains of like depth."""
-    from ..operators.cohorts import cohort_share
+    """ranks(list_day, domain, rank) of the newest list and of older ones: moves over a month and over a quarter (lists within three days of those ages) against domains that were ranked alike, and new entrants by how rare these are at their depth. listings(domain, day), where known, says on which days a domain was listed.
+
+    A quarter's move counts while the last month doesn't give it back; both together count more; deep ranks less. An entrant that has been listed for few days, or off and on, counts less, one without listings a little less."""
+    from ..operators.cohorts import entrant_rate
 
     r = tables["ranks"]
-    days = r.agg(F.max("list_day").alias("newest"))
-    wide = r.crossJoin(F.broadcast(days)).groupBy("domain").agg(F.min(F.when(F.col("list_day") == F.col("newest"), F.col("rank"))).alias("now"), F.min(F.when(F.col("list_day") < F.col("newest"), F.col("rank"))).alias("before"), F.max("newest").alias("day")).filter("now IS NOT NULL")
-    entrants = made(wide.filter("before IS NULL"), "tranco_rank", F.lit("tranco_new_entrant"), "domain", "day", F.col("now"), 0.25 + 0.35 * X.tier(F.col("now"), [(100_000, 1.0), (1_000_000, 0.6), (2_000_000, 0.3)], 0.1))
-    moved = cohort_share(wide.filter("before IS NOT NULL").withColumn("ratio", F.col("before") / F.col("now")), "now", "ratio", "domain", least=20)
-    tail = F.when(F.col("share").isNotNull(), -F.log10(F.greatest(1 - F.col("share"), F.lit(0.001))))
-    s = F.coalesce(X.interp(tail, [(0.0, 0.0), (1.0, 0.30), (1.5, 0.42), (2.0, 0.60), (2.5, 0.78), (3.0, 0.88)]), F.lit(0.0))
-    return entrants.unionByName(made(moved, "tranco_rank", F.when(tail >= 1, "tranco_rank_move").otherwise("tranco_rank_present"), "domain", "day", F.col("ratio"), F.when(tail >= 1, s).otherwise(F.lit(0.0))))
+    lists = r.agg(F.max("list_day").alias("newest"), F.collect_set("list_day").alias("days"))  # one row, a day a list
+    age = F.datediff("newest", "list_day")
+    near = lambda d, n: F.datediff("newest", d).between(n - 3, n + 3)
+    wide = r.crossJoin(F.broadcast(lists)).groupBy("domain").agg(
+        F.min(F.when(age == 0, F.col("rank"))).alias("now"), F.min(F.when(near("list_day", 30), F.col("rank"))).alias("r30"), F.min(F.when(near("list_day", 90), F.col("rank"))).alias("r90"), F.count(F.when(age > 0, 1)).alias("older"),
+        F.max("newest").alias("day"), F.max(F.exists("days", lambda d: near(d, 30))).alias("has30"),
+    ).filter("now IS NOT NULL")
+    wide = cut_lineage(wide, "ranks")
+    month, quarter = _material(wide, "r30", fixed.LEAST_RATIO[30]).toDF("domain", "s30", "q30"), _material(wide, "r90", fixed.LEAST_RATIO[90]).toDF("domain", "s90", "q90")
+    held = ~F.col("has30") | F.coalesce(F.col("r30") >= F.col("now"), F.lit(False))
+    moved = wide.filter("older > 0").join(month, "domain", "left").join(quarter, "domain", "left")
+    s30, s90 = F.coalesce("s30", F.lit(0.0)), F.when(held, F.coalesce(F.col("s90") * fixed.STALE_WINDOW, F.lit(0.0))).otherwise(0.0)
+    moved = moved.withColumn("a", s30).withColumn("b", s90)
+    best = F.greatest("a", "b") + F.when((F.col("a") > 0) & (F.col("b") > 0), fixed.SUSTAINED_MOVE).otherwise(0.0)
+    s = F.least(best * X.interp(F.col("now"), fixed.DEPTH_ANCHORS), F.lit(fixed.MOST_MOVE))
+    is_move = (F.col("a") > 0) | (F.col("b") > 0)
+    value = F.when(is_move, F.when(F.col("a") >= F.col("b"), F.col("q30")).otherwise(F.col("q90"))).otherwise(F.col("r30") / F.col("now"))
+    moves = made(moved, "tranco_rank", F.when(is_move, "tranco_rank_move").otherwise("tranco_rank_present"), "domain", "day", value, F.when(is_move, s).otherwise(0.0))
+    rated = entrant_rate(wide.withColumn("fresh", F.col("older") == 0), "now", "fresh", "domain", fixed.COHORT_BAND, fixed.COHORT_MIN, fixed.COHORT_MAX).filter("fresh")
+    known = X.ladder(*[(F.col("now") <= k, F.lit(v)) for k, v in fixed.ENTRANT_RATES], otherwise=F.lit(fixed.ENTRANT_RATE_DEEP))
+    rarity = X.interp(F.log10(F.greatest(F.coalesce("rate", known), F.lit(1e-4))), fixed.ENTRANT_ANCHORS)
+    if "listings" in tables:
+        seen = tables["listings"].withColumnRenamed("day", "seen").crossJoin(F.broadcast(lists.select("newest"))).filter(F.datediff("newest", "seen").between(0, 29))
+        rated = rated.join(seen.groupBy("domain").agg(F.countDistinct("seen").alias("listed"), (F.max(F.datediff("newest", "seen")) + 1).alias("span")), "domain", "left")
+    else:
+        rated = rated.withColumns({"listed": F.lit(None).cast("long"), "span": F.lit(None).cast("int")})
+    stay = F.when(F.col("listed").isNull(), fixed.UNDATED_ENTRY).otherwise((0.6 + 0.4 * F.least(F.lit(1.0), F.col("listed") / F.col("span"))) * X.interp(F.col("listed"), fixed.YOUTH_ANCHORS))
+    return moves.unionByName(made(rated, "tranco_rank", F.lit("tranco_new_entrant"), "domain", "day", F.col("now"), X.clamp(rarity * stay, 0.15, fixed.MOST_ENTRANT)))
 
 
 @source("domain_footprint", "traffic", "enrich")

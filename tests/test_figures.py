@@ -131,3 +131,32 @@ def test_what_isnt_announced(spark):
     told = spark.createDataFrame([("c", day(9)), ("a", day(50))], "k string, d date")
     got = figures.unannounced(signals, told, "k", "d", "s", F.lit(day(10)), {"n": 2, "strength": 0.5}).collect()
     assert [tuple(r) for r in got] == [("a", day(1), 9, 2, 0.6)]
+
+
+def test_the_row_before_across_ranges(spark):
+    """One key has most rows, so it spans several ranges; others fall between them; order is descending too."""
+    from tallyfold.operators import history
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot"] * 12 + ["a", "z", None]), k, rng.choice([None, k * 2])) for k in range(400)]
+    table = spark.createDataFrame(rows, "k string, o int, v int")
+    for order, up in ((F.col("o"), True), (F.desc("o"), False)):
+        got = {(r.k, r.o): (r.was, r.at) for r in history.previous(table, ["k"], [order], {"was": "v", "at": "o"}).collect()}
+        assert len(got) == len(rows)
+        for key in {"hot", "a", "z", None}:
+            own = sorted((o, v) for k, o, v in rows if k == key)[:: 1 if up else -1]
+            assert [got[key, o] for o, _ in own] == [(None, None)] + [(v, o) for o, v in own[:-1]]
+        first = {(r.k, r.o) for r in history.first_flag(table, ["k"], [order]).filter("is_first").collect()}
+        assert first == {(key, (min if up else max)(o for k, o, _ in rows if k == key)) for key in {"hot", "a", "z", None}}
+    dealt = table.repartitionByRange(4, "k", "o").select(F.spark_partition_id().alias("p"), "k").filter("k = 'hot'").groupBy("p").count().collect()
+    assert len(dealt) > 1 and history.previous(table.limit(0), ["k"], [F.col("o")], {"was": "v"}).count() == 0
+
+
+def test_written_tables_can_be_removed(spark):
+    from tallyfold.operators import lineage
+
+    path = lineage.shared_place(spark, "gone")
+    spark.range(3).write.parquet(path)
+    lineage.clear(spark)
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(made)

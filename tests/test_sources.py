@@ -170,3 +170,41 @@ def test_linked_posts_go_by_their_program(spark):
     posts = spark.createDataFrame(rows, "post int, portal_id int, slug string, day date, founded int, program string, fit double, labels int, hard boolean, cohort_year int")
     got = {r.entity: (r.kind, r.strength, r.value) for r in kinds.accelerators({"cohort_posts": posts}, F.to_date(F.lit("2024-06-01"))).collect()}
     assert got == {"a2": ("speedrun_cohort", 0.45, 2.0), "h": ("hax_company", 0.48, 1.0), "late": ("hax_company", 0.3, 1.0), "bare": ("hax_company", 0.22, 1.0)}
+
+
+def _ranked(spark, moves, entrants=(), at=(0, 30)):
+    """A newest list and one a month older: 1,000 domains that stay, those that move (name, was, now), and entrants (name, now)."""
+    newest = dt.date(2024, 6, 1)
+    rows = [(newest - dt.timedelta(days=d), f"s{k}", 10_000 + k) for k in range(1000) for d in at]
+    rows += [x for n, was, now in moves for x in ((newest, n, now), (newest - dt.timedelta(days=at[1]), n, was))] + [(newest, n, now) for n, now in entrants]
+    return spark.createDataFrame(rows, "list_day date, domain string, rank int")
+
+
+def test_rank_moves_by_rarity(spark):
+    got = {r.entity: (r.kind, r.strength) for r in jobs.tranco_rank({"ranks": _ranked(spark, [("up", 10_500, 5_000), ("little", 10_500, 9_900)], [("in", 10_400)])}, F.lit(None)).collect()}
+    assert got["up"][0] == "tranco_rank_move" and abs(got["up"][1] - 0.78) < 1e-3 and got["little"] == ("tranco_rank_present", 0.0) and got["s3"] == ("tranco_rank_present", 0.0)
+    kind, s = got["in"]
+    assert kind == "tranco_new_entrant" and s == round(0.85 * 0.9, 6)
+    quarter = {r.entity: (r.kind, r.strength) for r in jobs.tranco_rank({"ranks": _ranked(spark, [("up", 10_500, 5_000)], at=(0, 90))}, F.lit(None)).collect()}
+    assert quarter["up"][0] == "tranco_rank_move" and abs(quarter["up"][1] - 0.78 * 0.9) < 1e-3
+
+
+def test_entrants_by_their_listings(spark):
+    newest = dt.date(2024, 6, 1)
+    listings = spark.createDataFrame([("young", newest)] + [("steady", newest - dt.timedelta(days=k)) for k in range(10)] + [("gaps", newest - dt.timedelta(days=k)) for k in (0, 9)], "domain string, day date")
+    got = {r.entity: r.strength for r in jobs.tranco_rank({"ranks": _ranked(spark, [], [("young", 10_400), ("steady", 10_401), ("gaps", 10_402), ("bare", 10_403)]), "listings": listings}, F.lit(None)).collect()}
+    assert (got["steady"], got["young"], got["bare"]) == (0.85, round(0.85 * 0.85, 6), round(0.85 * 0.9, 6)) and got["gaps"] < got["young"]
+
+
+def test_velocity_by_repository_and_sample(spark):
+    asof = dt.date(2024, 6, 30)
+    stars = [(o, r, asof - dt.timedelta(days=k % 20)) for o, r, n in (("a", "x", 60), ("a", "y", 90), ("b", "x", 60), ("c", "x", 60), ("c", "y", 5), ("d", "x", 3)) for k in range(n)]
+    samples = [("b", "x", 0.4, 0.1, 900.0), ("c", "y", 0.6, 0.1, 900.0)]
+    tables = {"stars": spark.createDataFrame(stars, "owner string, repo string, day date"), "star_samples": spark.createDataFrame(samples, "owner string, repo string, young double, blank double, median_age double")}
+    got = {r.entity: (r.value, r.strength) for r in jobs.github_velocity(tables, F.lit(asof)).collect()}
+    assert set(got) == {"a", "b"} and got["a"][0] == 90.0
+    plain = {r.entity: r.strength for r in jobs.github_velocity({"stars": tables["stars"]}, F.lit(asof)).collect()}
+    assert set(plain) == {"a", "b", "c"} and abs(got["b"][1] - plain["b"] * 0.6) < 1e-5
+    at = spark.createDataFrame([("a", "x", dt.datetime(2024, 6, 30, 5))] * 25, "owner string, repo string, at timestamp")
+    (row,) = jobs.github_velocity({"stars": at}, F.lit(asof)).collect()
+    assert row.occurred_at == dt.date(2024, 6, 29)  # still the day before by Pacific time
