@@ -40,6 +40,10 @@ _PALETTE = bytes(v for i in range(256) for v in ((i >> 5) * 255 // 7, (i >> 2 &
 BINS = 4
 
 
+#: Pixels of a screen or frame at most, so that a few bytes can't ask for more memory than a worker has; bytes of frames that are handed over at once.
+MOST_PIXELS, LOT_BYTES = 1 << 24, 16 << 20
+
+
 class GifError(ValueError):
     pass
 
@@ -199,12 +203,21 @@ def read_gif(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise GifError("no GIF header")
     width, height, flags, background, _ = struct.unpack("<HHBBB", data[6:13])
+    if width * height > MOST_PIXELS:
+        raise GifError(f"a screen of {width} x {height}")
     at = 13
     common = None
-    if flags & 0x80:
+
+    def colours_of(flags: int) -> np.ndarray:
+        nonlocal at
         n = 3 << (flags & 7) + 1
-        common = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
+        if at + n > len(data):
+            raise GifError("the data ends inside a palette")
         at += n
+        return np.frombuffer(data[at - n : at], np.uint8).reshape(-1, 3)
+
+    if flags & 0x80:
+        common = colours_of(flags)
     canvas = np.zeros((height, width, 3), np.uint8)
     delay, disposal, clear = 0, 0, None
 
@@ -234,11 +247,9 @@ def read_gif(data: bytes) -> Iterator[Frame]:
         elif kind == 0x2C:
             x, y, w, h, local = struct.unpack("<HHHHB", data[at : at + 9])
             at += 9
-            palette = common
-            if local & 0x80:
-                n = 3 << (local & 7) + 1
-                palette = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
-                at += n
+            if w * h > MOST_PIXELS:
+                raise GifError(f"a frame of {w} x {h}")
+            palette = colours_of(local) if local & 0x80 else common
             if palette is None:
                 raise GifError("no palette")
             depth = data[at]
@@ -264,6 +275,8 @@ def read_gif(data: bytes) -> Iterator[Frame]:
             delay, disposal, clear = 0, 0, None
         else:
             raise GifError(f"unknown block {kind:#x}")
+    if at >= len(data):
+        raise GifError("the data ends without a trailer")
 
 
 def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -326,28 +339,46 @@ def gif_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def fault(gif: bytes) -> str | None:
+    """What keeps a GIF from being read whole, if anything does."""
+    frames = 0
+    try:
+        for _ in read_gif(gif):
+            frames += 1
+    except (GifError, IndexError, ValueError, struct.error) as e:
+        return str(e) or type(e).__name__
+    return None if frames else "no frames"
+
+
 def frame_rows(media: DataFrame, column: str = "media", bins: int = BINS) -> DataFrame:
-    """One row per frame of each GIF: the other columns of `media`, frame, delay_cs, disposal, start_cs, histogram (bins**3 counts), pixels (RGB); a GIF that can't be read gives one row with its error."""
+    """One row per frame of each GIF: the other columns of `media`, frame, delay_cs, disposal, start_cs, histogram (bins**3 counts), pixels (RGB); a GIF that can't be read whole (cut, broken, without frames, a screen or frame of more than MOST_PIXELS) gives one row with its error. Each is read twice, so that frames can be handed over in lots of bounded bytes."""
     kept = [f for f in media.schema.fields if f.name not in {column, "frame", "delay_cs", "disposal", "start_cs", "histogram", "pixels", "error"}]
     extra = T.StructType.fromDDL("frame int, delay_cs int, disposal int, start_cs long, histogram array<long>, pixels binary, error string")
     media = media.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{column}`"))
     small_batches(media.sparkSession, 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.string()]
+
+        def lot(own: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+            index = pa.array([0] * len(rows), pa.int64())
+            return pa.RecordBatch.from_arrays([*[c.take(index) for c in own.columns], *[pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]], [*own.schema.names, *extra.names])
+
         for batch in batches:
             for i, gif in enumerate(batch.column(column).to_pylist()):
-                rows, error = [], None
-                try:
-                    for k, (start, f, counts) in enumerate(timed_frames(gif or b"", bins)):
-                        rows.append((k, f.delay, f.disposal, start, counts.tolist(), f.canvas.tobytes(), None))
-                except (GifError, IndexError, struct.error) as e:
-                    error = str(e) or type(e).__name__
-                if error is not None:
-                    rows = [(None, None, None, None, None, None, error)]
-                types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.string()]
                 own = batch.slice(i, 1).select([f.name for f in kept])
-                index = pa.array([0] * len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([*[c.take(index) for c in own.columns], *[pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]], [*own.schema.names, *extra.names])
+                if error := fault(gif or b""):
+                    yield lot(own, [(None, None, None, None, None, None, error)])
+                    continue
+                rows, size = [], 0
+                for k, (start, f, counts) in enumerate(timed_frames(gif, bins)):
+                    rows.append((k, f.delay, f.disposal, start, counts.tolist(), f.canvas.tobytes(), None))
+                    size += f.canvas.nbytes
+                    if size > LOT_BYTES:
+                        yield lot(own, rows)
+                        rows, size = [], 0
+                if rows:
+                    yield lot(own, rows)
 
     return media.mapInArrow(run, T.StructType([*kept, *extra.fields]))
 

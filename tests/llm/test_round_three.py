@@ -287,3 +287,46 @@ def test_sql_says_the_same(spark, sf, name):
     rows = getattr(queries, name)(spark, sf)
     said = db.sql(queries.oracle_sql()[name])
     assert said.columns == rows.columns and sorted(map(tuple, rows.collect())) == sorted(said.fetchall())
+
+
+# --- media that is cut or broken
+
+
+def _gif():
+    from tallyfold.llm import media_gif
+
+    return media_gif.write_gif(media_gif.payload_of("some text " * 90)[1])
+
+
+def test_a_gif_cut_at_every_byte_has_one_row(spark):
+    from tallyfold.llm import media_gif
+
+    gif = _gif()
+    cuts = [(k, gif[:k]) for k in [*range(0, 900), *range(900, len(gif), 7), len(gif)]]
+    assert media_gif.fault(gif) is None and all(media_gif.fault(g) for k, g in cuts if k < len(gif))
+    rows = media_gif.frame_rows(spark.createDataFrame(cuts[:40] + cuts[-3:], "k int, media binary")).select("k", "frame", "error").collect()
+    assert sorted(r.k for r in rows if r.error) == sorted(k for k, _ in cuts[:40] + cuts[-3:-1]) and [r.k for r in rows if r.frame == 0] == [len(gif)]
+
+
+def test_broken_and_huge_gifs_have_an_error():
+    import struct
+
+    from tallyfold.llm import media_gif
+
+    gif = _gif()
+    head = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0x80, 0, 0) + bytes(6)
+    odd = {
+        "huge screen": head + b";",
+        "huge frame": b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0x80, 0, 0) + bytes(6) + b"," + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x02\x00;",
+        "no frames": b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0x80, 0, 0) + bytes(6) + b";",
+        "half a palette": gif[:100],
+        "third of a colour": gif[:101],
+        "nothing": b"",
+        "text": b"GIF, it says",
+    }
+    assert all(media_gif.fault(g) for g in odd.values())
+    rng = random.Random(9)
+    for _ in range(300):
+        broken = bytearray(gif)
+        broken[rng.randrange(len(gif))] = rng.randrange(256)
+        media_gif.fault(bytes(broken))  # an error or other pictures, never an exception
