@@ -77,3 +77,30 @@ DEPTH_ANCHORS = [(1_000_000, 1.0), (2_000_000, 0.9), (3_000_000, 0.8), (4_000_00
 ENTRANT_RATES, ENTRANT_RATE_DEEP = [(100_000, 0.006), (1_000_000, 0.019), (2_000_000, 0.071), (3_500_000, 0.26)], 0.50
 ENTRANT_ANCHORS = [(log10(0.005), 0.85), (log10(0.02), 0.70), (log10(0.07), 0.42), (log10(0.26), 0.22), (log10(0.50), 0.15)]
 YOUTH_ANCHORS, UNDATED_ENTRY, MOST_ENTRANT = [(1.0, 0.85), (7.0, 1.0)], 0.9, 0.85
+
+# What a filing for an experimental licence is worth.
+FILING_STA, FILING_STA_PENDING, FILING_GRANTED, FILING_PENDING = 0.30, 0.40, 0.42, 0.55
+FILING_SENIOR, FILING_UNITS, FILING_UNITS_HALF, FILING_SIGN = 0.12, 0.14, 40, 0.05
+FILING_ONLY, FILING_SOME, FILING_MANY, FILING_ROUTINE, FILING_OFF_THESIS = 0.05, -0.04, -0.12, 0.22, 0.7
+SENIOR_TITLE = r"(?i)\b(?:co-?founder|founder|ceo|cto|coo|owner|managing\s+director|chief\s+\w+\s+officer|chief\s+(?:engineer|scientist|technologist))\b|(?<!vice )(?<!vice-)\bpresident\b"
+
+# Words that tell a company's name from a person's, and what business a name says.
+ORG_WORD = r"(?i)\b(llc|l\.l\.c|inc|incorporated|corp|corporation|co|company|ltd|limited|lp|llp|pllc|pbc|group|partners|services|solutions|enterprises|associates|holdings)\b"
+NAME_EXTRAS = ["jr", "sr", "ii", "iii", "iv"]
+CUE_AVIATION = r"(?i)aero|aerial|avia|drone|\buas\b|uav|unmanned|uncrewed|robot|autonom|flight|fly|flite|sky|\bair|copter|rotor|hover|\bwing|defen[cs]e"
+CUE_TECHNOLOGY = r"(?i)dynamics|technolog|\btech\b|\bsystems?\b|\blabs?\b|industries|intelligence|sensing|security|delivery|automation|radar"
+CUE_AI = r"(?:\b|[a-z])AI\b"
+SERVICE_NAME = r"(?i)\b(services?|solutions|aerials|on demand)\b"
+GIVEN_NAMES = """
+aaron adam alan albert alex alexander andrew andy anna anthony antonio austin barry ben benjamin
+bill bob brad bradley brandon brent brian bruce bryan carl carlos chad charles chris christian
+christopher cody craig dale dan daniel danny darren dave david dean dennis derek devon don donald
+doug douglas dustin dylan edward eric erik ethan frank gary george gerald glenn greg gregory
+harold henry jack jacob jake james jared jason jay jeff jeffrey jeremy jerry jesse jim jimmy joe
+joel john johnny jon jonathan jordan jose joseph josh joshua juan justin karen keith kelly ken
+kenneth kevin kyle larry lawrence lee linda lisa logan luis luke marc mark martin mary matt
+matthew michael mike nathan nicholas nick nicky pat patrick paul peter phil philip phillip ralph
+randy ray raymond richard rick rob robert rodney roger ron ronald roy russell ryan sam samuel
+sarah scott sean shane shawn stephen steve steven susan ted terry thomas tim timothy todd tom
+tommy tony travis trevor troy tyler victor vincent walter wayne william zach zachary
+""".split()

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import fixed
 from .exprs import ladder, strip_legal
 
 # Words that stay small, and those that stay in capitals.
@@ -34,10 +35,46 @@ def first_sentence(text: Column) -> Column:
     return F.when(found == "", t).otherwise(found)
 
 
-def name_kind(name: Column) -> Column:
-    """person, service or company, by cues in a name."""
-    low = F.lower(name)
-    return ladder((low.rlike(r"\b(llc|inc|corp|systems|robotics|labs|technologies)\b"), F.lit("company")), (low.rlike(r"\b(consulting|services|photography|roofing|insurance|realty)\b"), F.lit("service")), (name.rlike(r"^\p{Lu}\p{Ll}+ (\p{Lu}\. )?\p{Lu}\p{Ll}+$"), F.lit("person")), otherwise=F.lit("company"))
+def name_cue(company: Column) -> Column:
+    """2 if a company's name says aviation or robots, 1 if it says technology, else 0; null for null."""
+    return F.when(company.rlike(fixed.CUE_AVIATION), 2).when(company.rlike(fixed.CUE_TECHNOLOGY) | company.rlike(fixed.CUE_AI), 1).when(company.isNotNull(), 0)
+
+
+def is_service(company: Column) -> Column:
+    """Whether a name is one of a business for hire."""
+    return company.rlike(fixed.SERVICE_NAME)
+
+
+def looks_individual(company: Column, person: Column) -> Column:
+    """Whether the name of a company is a person's, or empty: the person's own one or part of it, one of the same surname, a login made of initial and surname, or two words that begin with a common given name. Words of organisations and cues of a business speak against it. Null is empty."""
+    company, person = F.coalesce(company, F.lit("")), F.coalesce(person, F.lit(""))
+    extras, names = (F.array(*[F.lit(x) for x in xs]) for xs in (fixed.NAME_EXTRAS, fixed.GIVEN_NAMES))
+    tokens = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z']+"), F.lit(0)), lambda t: (F.length(t) > 1) & ~F.array_contains(extras, t)))
+    within = lambda a, b: F.size(F.array_except(a, b)) == 0
+    letters = lambda c: F.transform(F.filter(F.split(F.trim(F.lower(c)), r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(w, "[^a-z]", ""))
+    c, p, told = tokens(company), tokens(person), letters(person)
+    words = F.filter(letters(company), lambda w: (w != "") & ~F.array_contains(extras, w))
+    n, first, last = F.size(words), F.get(words, F.lit(0)), F.get(words, F.size(words) - 1)
+    end = F.get(told, F.size(told) - 1)
+    surname = F.coalesce(F.when((F.size(told) > 1) & F.array_contains(extras, end), F.get(told, F.size(told) - 2)).otherwise(end), F.lit(""))
+    login = (n == 1) & (F.length(surname) >= 3) & first.endswith(surname) & (first != surname) & (F.substring(first, 1, 1) == F.substring(F.get(told, F.lit(0)), 1, 1))
+    plain = F.regexp_replace(company, " ", "").rlike(r"^\p{L}+$")
+    rules = [
+        (F.size(c) == 0, True), (company.rlike(fixed.ORG_WORD), False), ((F.size(p) > 0) & (within(c, p) | within(p, c)), True), (name_cue(company) > 0, False), (n == 0, True),
+        (n.between(2, 3) & (surname != "") & (last == surname), True), (F.coalesce(login, F.lit(False)), True), ((n == 2) & F.array_contains(names, first) & plain, True),
+    ]
+    return ladder(*[(when, F.lit(is_so)) for when, is_so in rules], otherwise=F.lit(False))
+
+
+def name_kind(name: Column, person: Column | None = None) -> Column:
+    """person, service or company, by cues in a name (and in that of the person behind it)."""
+    given = F.lit(None).cast("string") if person is None else person
+    single = name.rlike(r"^\p{Lu}\p{Ll}+ (\p{Lu}\. )?\p{Lu}\p{Ll}+$") & (name_cue(name) == 0) & ~name.rlike(fixed.ORG_WORD) & ~name.rlike(FOR_HIRE)
+    return ladder((name.rlike(FOR_HIRE) | is_service(name), F.lit("service")), (single | looks_individual(name, given), F.lit("person")), otherwise=F.lit("company"))
+
+
+#: Trades whose names speak of a business for hire.
+FOR_HIRE = r"(?i)\b(consulting|photography|roofing|insurance|realty)\b"
 
 
 class _Page(HTMLParser):

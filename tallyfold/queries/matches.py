@@ -143,6 +143,14 @@ def s33_name_kind(spark, sf):
     return table(spark, sf, "customer").groupBy(wording.name_kind(name).alias("kind")).agg(n_rows().alias("n"))
 
 
+@query("s33_name_cues", "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS cue, c_custkey % 6 = 2 AS service, c_custkey % 6 IN (3, 4) AS individual FROM customer")
+def s33_name_cues(spark, sf):
+    """Customers' names made into six kinds: of aviation, of technology, of a business for hire, a person's own, a login, and a company's without a cue."""
+    k, nth = F.col("c_custkey") % 6, F.regexp_extract("c_name", "([0-9]+)$", 1)
+    name = X.ladder((k == 0, F.concat(F.lit("Skydrone "), nth)), (k == 1, F.concat(nth, F.lit(" Dynamics"))), (k == 2, F.concat(F.lit("Acme Services "), nth)), (k == 3, F.lit("J. Burke Jr.")), (k == 4, F.lit("pburke")), otherwise=F.concat(F.lit("Acme "), nth, F.lit(" Holdings")))
+    return table(spark, sf, "customer").select("c_custkey", wording.name_cue(name).alias("cue"), wording.is_service(name).alias("service"), wording.looks_individual(name, F.lit("Peter Burke")).alias("individual"))
+
+
 @query("d10_maker_evidence", r"SELECT role, count(*) FILTER (WHERE regexp_matches(lower(text), '(^|[^a-z])(i|we|my|our) ')) AS n, role IN ('user') AS own FROM conversations GROUP BY ALL")
 def d10_maker_evidence(spark, sf):
     """Texts in the first person by role, and which role is the account "The User"."""

@@ -105,7 +105,7 @@ def _tables(spark, sf):
         "mentions": e.select(F.col("user_id").alias("entity"), "day", F.get_json_object("props", "$.k").alias("author"), F.col("value").alias("points")),
         "ranks": table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("domain"), F.to_date(F.when(F.col("l_returnflag") == "R", "2024-01-01").when(F.col("l_returnflag") == "A", "2023-11-02").otherwise("2024-01-31")).alias("list_day")).agg(F.sum("l_quantity").cast("int").alias("rank")),
         "certificates": table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("domain"), F.col("l_partkey").alias("host"), F.to_date("l_shipdate").alias("issued"), F.date_add(F.to_date("l_shipdate"), 90).alias("expires")),
-        "licences": a.select(F.concat(F.lit("Firm "), F.col("firm").cast("string"), F.lit(" Labs, Inc.")).alias("applicant"), "day", F.when(F.col("status") == "P", "pending").otherwise("granted").alias("status"), F.when(F.col("priority") == "5-LOW", "sta").otherwise("experimental").alias("kind"), (F.col("award_id") % 120).alias("units")),
+        "licences": a.select(F.concat(F.lit("Firm "), F.col("firm").cast("string"), F.lit(" Labs, Inc.")).alias("applicant"), "day", F.when(F.col("status") == "P", "pending").otherwise("granted").alias("status"), F.when(F.col("priority") == "5-LOW", "sta").otherwise("experimental").alias("kind"), (F.col("award_id") % 120).alias("units"), F.get(F.array(*[F.lit(x) for x in ("Engineer", "Chief Operating Officer", "Vice President", "Founder")]), (F.col("award_id") % 4).cast("int")).alias("title"), (F.col("award_id") % 10 / 10).alias("fit"), F.when(F.col("award_id") % 3 == 0, "call").alias("callsign"), *[(F.col("award_id") % k == 0).alias(c) for k, c in ((5, "own_design"), (7, "gov_contract"), (11, "on_thesis"), (13, "routine"))]),
         "declarations": a.select(F.concat(F.lit("Maker "), F.col("firm").cast("string")).alias("maker"), F.col("priority").alias("series"), "day", F.when(F.col("status") == "O", "accepted").otherwise("pending").alias("status")),
         "papers_filed": a.select((F.col("firm") % 300).alias("docket"), F.col("firm").alias("party"), "day", F.col("priority").alias("kind"), F.floor(F.col("award_id") / 2).alias("package")),
         "hiring_posts": table(spark, sf, "conversations").select((F.col("conv_id") % 70).alias("company"), F.floor(F.col("conv_id") / 20).alias("thread"), F.date_add(F.to_date(F.lit("2024-01-01")), F.floor(F.col("conv_id") / 20).cast("int")).alias("day"), F.when(F.col("turn") % 2 == 0, F.col("turn") * 9 + 1).alias("team_size"), F.lit(0.5).alias("fit"), (F.col("conv_id") % 9 != 0).alias("complete")),

@@ -196,17 +196,6 @@ def research_affil(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     return made(f, "research_affil", F.when(first, "company_first_paper").otherwise("company_papers"), "company", "day", F.lit(1.0), F.when(first, 0.6).otherwise(0.35))
 
 
-@source("fcc_els", "regulatory")
-def fcc_els(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
-    """licences(applicant, day, status, kind, units): three of an applicant and kind at most; units count, and applicants with many this run less."""
-    a = tables["licences"].withColumn("key", X.loose_name(F.col("applicant")))
-    many = a.groupBy("key").agg(F.count(F.lit(1)).alias("filings"))
-    rows = top_per(a, ["key", "kind"], [F.desc("day"), F.desc("units"), F.col("status"), F.col("applicant")], 3).join(many, "key")
-    base = X.ladder((F.col("kind") == "sta", F.lit(0.30)), (F.col("status") == "granted", F.lit(0.55)), otherwise=F.lit(0.45))
-    s = base + 0.14 * X.squash(F.col("units"), 40) + F.when(F.col("filings") == 1, 0.1).otherwise(-0.05)
-    return made(rows, "fcc_els", F.concat(F.lit("fcc_"), F.col("kind"), F.lit("_"), F.col("status")), "applicant", "day", F.col("units"), X.clamp(s, 0.15, 0.95))
-
-
 @source("faa_uas", "regulatory")
 def faa_uas(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     """declarations(maker, series, day, status): makers with new declarations; more if all series are new."""

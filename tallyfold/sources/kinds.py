@@ -87,6 +87,29 @@ def energy_grants(tables: Tables, asof: Column) -> DataFrame:
     return made(h, "energy_grants", F.col("program"), "firm", "seen", F.col("amount"), energy_strength(F.col("program"), F.col("prior"), F.col("amount"), F.coalesce("event", F.lit("selected"))))
 
 
+def filing_strength(sta: Column, granted: Column, extension: Column, title: Column, units: Column, signs: Column, filings: Column, fit: Column, on_thesis: Column, routine: Column) -> Column:
+    """A new licence that is still pending says most, a short test least; who files, how many units, and `signs` (how many of: own design, government contract, thesis type) add to it, several filings of an applicant take away. Routine devices are held down, and what has no thesis evidence is scaled down."""
+    base = F.when(sta, F.when(granted | extension, fixed.FILING_STA).otherwise(fixed.FILING_STA_PENDING)).otherwise(F.when(granted, fixed.FILING_GRANTED).otherwise(fixed.FILING_PENDING))
+    many = X.ladder(((filings <= 1) & ~extension, F.lit(fixed.FILING_ONLY)), (filings >= 4, F.lit(fixed.FILING_MANY)), (filings >= 2, F.lit(fixed.FILING_SOME)), otherwise=F.lit(0.0))
+    s = base + either(title.rlike(fixed.SENIOR_TITLE), fixed.FILING_SENIOR) + fixed.FILING_UNITS * X.squash(units, fixed.FILING_UNITS_HALF) + fixed.FILING_SIGN * signs + many
+    held = X.ladder((routine, F.least(s, F.lit(fixed.FILING_ROUTINE))), ((fit < 0.3) & ~on_thesis, s * fixed.FILING_OFF_THESIS), otherwise=s)
+    return X.clamp(held, 0.15, 0.95)
+
+
+@source("fcc_els", "regulatory")
+def fcc_els(tables: Tables, asof: Column) -> DataFrame:
+    """licences(applicant, day, status, kind, units, and where known title, fit, callsign, own_design, gov_contract, on_thesis, routine): three of an applicant and kind at most, the newest."""
+    flags = ("own_design", "gov_contract", "on_thesis", "routine")
+    a = given(tables["licences"], title="string", fit="double", callsign="string", **{c: "boolean" for c in flags}).withColumn("key", X.loose_name(F.col("applicant")))
+    a = a.withColumns({c: F.coalesce(c, F.lit(False)) for c in flags})
+    many = a.groupBy("key").agg(F.count("*").alias("filings"))
+    rows = top_per(a, ["key", "kind"], [F.desc("day"), F.desc("units"), F.col("status"), F.col("applicant"), F.col("title"), F.desc("fit")], 3).join(many, "key")
+    sta, granted = F.col("kind") == "sta", F.col("status") == "granted"
+    signs = sum((F.col(c).cast("int") for c in flags[:3]), F.lit(0))
+    s = filing_strength(sta, granted, sta & ~granted & F.col("callsign").isNotNull(), F.coalesce("title", F.lit("")), F.col("units"), signs, F.col("filings"), F.coalesce("fit", F.lit(1.0)), F.col("on_thesis"), F.col("routine"))
+    return made(rows, "fcc_els", F.when(sta, "fcc_sta").otherwise(F.concat(F.lit("fcc_"), F.col("kind"), F.lit("_"), F.col("status"))), "applicant", "day", F.col("units"), s)
+
+
 @kind("faa_uas", "faa_part107_waiver")
 def faa_part107_waiver(tables: Tables, asof: Column) -> DataFrame:
     """waivers(holder, day, until, beyond_sight, many_aircraft, over_people, cue, service, maker): what a waiver allows, less for a short term, for a holder of several and for names that don't say aviation (cue 0 or 1)."""

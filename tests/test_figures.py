@@ -160,3 +160,28 @@ def test_written_tables_can_be_removed(spark):
     lineage.clear(spark)
     made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     assert not made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(made)
+
+
+def test_names_of_persons_and_businesses(spark):
+    from tallyfold.functions import wording
+
+    rows = {
+        ("", ""): True, (None, None): True, ("Acme LLC", "Acme"): False, ("Peter Burke", "Burke, Peter"): True, ("Peter", "Peter Burke"): True, ("Ann Burke", "Peter Burke"): True, ("Ann Burke", "Peter Burke Jr."): True,
+        ("pburke", "Peter Burke"): True, ("xburke", "Peter Burke"): False, ("burke", "Ann Lee"): False, ("James Michael", "Ann Lee"): True, ("James Michael2", "Ann Lee"): False, ("Bolt Works", "Ann Lee"): False, ("Sky Burke", "Peter Burke"): False,
+        ("Jr", "x y"): True, ("12 34", "Ann Lee"): True, ("James Co", "Ann Lee"): False,
+    }
+    table = spark.createDataFrame([(c, p) for c, p in rows], "c string, p string")
+    got = {(r.c, r.p): r.is_one for r in table.select("*", wording.looks_individual(F.col("c"), F.col("p")).alias("is_one")).collect()}
+    assert got == rows
+    cues = {"Skydio": 2, "Windy Wings": 2, "Acme Labs": 1, "OpenAI": 1, "Acme": 0, None: None}
+    table = spark.createDataFrame([(c,) for c in cues], "c string").withColumn("cue", wording.name_cue(F.col("c")))
+    assert {r.c: r.cue for r in table.collect()} == cues
+
+
+def test_filings_by_who_and_what(spark):
+    from tallyfold.sources import kinds
+
+    rows = [("A", "pending", "experimental", 0, "Founder", None, None, None), ("B", "granted", "sta", 0, None, 0.1, None, None), ("C", "pending", "sta", 0, "Vice President", 0.9, "WX1", None), ("D", "pending", "experimental", 40, "CTO", 0.9, None, True)]
+    table = spark.createDataFrame([(a, dt.date(2024, 1, 1), *r) for a, *r in rows], "applicant string, day date, status string, kind string, units int, title string, fit double, callsign string, routine boolean")
+    got = {r.entity: (r.kind, r.strength) for r in kinds.fcc_els({"licences": table}, F.lit(None)).collect()}
+    assert got == {"A": ("fcc_experimental_pending", 0.72), "B": ("fcc_sta", 0.245), "C": ("fcc_sta", 0.3), "D": ("fcc_experimental_pending", 0.22)}
