@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .history import previous
 from .lineage import cut_lineage
 from .ranking import running_total
 
@@ -143,6 +144,26 @@ def rank_slopes(ranks: DataFrame, keys: Sequence[str], period: str, rank: str, s
     return s.select(*keys, "velocity", "before", (F.col("velocity") - F.col("before")).alias("acceleration"))
 
 
+def round_steps(rounds: DataFrame, party: str, day: str, amount: str, asof: Column) -> DataFrame:
+    """(party, rounds, first_day, last_day, days_between, step_up, last_step, per_year) of each party's rounds: the mean wait between rounds, the geometric mean of how they grow and the latest of these, and rounds a year since the first. Rounds of a day are one, their amounts together; without a second round waits and steps are null, as are steps from or to nothing.
+
+    Rounds meet the one before them by ranges, so no party's rounds are in one task."""
+    r = rounds.filter(F.col(party).isNotNull() & (F.col(day) <= asof)).groupBy(F.col(party).alias("_p"), F.col(day).alias("_d")).agg(F.sum(amount).alias("_a"))
+    r = previous(r, ["_p"], [F.col("_d")], {"_was": "_a", "_on": "_d"})
+    step = F.when((F.col("_a") > 0) & (F.col("_was") > 0), F.col("_a") / F.col("_was"))
+    years = F.greatest(F.datediff(asof, F.min("_d")), F.lit(1)) / 365.25
+    out = r.groupBy("_p").agg(F.count("*").alias("rounds"), F.min("_d").alias("first_day"), F.max("_d").alias("last_day"), F.avg(F.datediff("_d", "_on")).alias("days_between"), F.exp(F.avg(F.log(step))).alias("step_up"), F.max_by(step, "_d").alias("last_step"), (F.count("*") / years).alias("per_year"))
+    return out.withColumnRenamed("_p", party)
+
+
+def surfaces(launches: DataFrame, party: str, surface: str, day: str, within: int) -> DataFrame:
+    """(party, first_day, surfaces, named) of each party: on how many surfaces it launched within so many days of its first launch, and which, in order of name (their number is a surface list's, not a party's rows')."""
+    seen = launches.filter(F.col(party).isNotNull() & F.col(surface).isNotNull() & F.col(day).isNotNull()).groupBy(F.col(party).alias("_p"), F.col(surface).alias("_s")).agg(F.min(day).alias("_d"))
+    first = seen.groupBy("_p").agg(F.min("_d").alias("first_day"))
+    out = seen.join(first, "_p").filter(F.datediff("_d", "first_day") <= within).groupBy("_p", "first_day").agg(F.count("*").alias("surfaces"), F.array_sort(F.collect_list("_s")).alias("named"))
+    return out.withColumnRenamed("_p", party)
+
+
 # --- persons and words
 
 

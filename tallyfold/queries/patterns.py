@@ -172,3 +172,27 @@ def x14_new_words(spark, sf):
     """Words that the documents of one source have more often than the others'."""
     d = table(spark, sf, "documents").withColumn("fresh", F.col("source") == "src3")
     return patterns.telling_words(d, "text", "fresh").withColumn("score", F.round("score", 4))
+
+
+@query("x14_round_steps", f"""{AW}, r AS (SELECT firm, day, sum(amount) AS a FROM awards WHERE day <= DATE '2001-07-01' GROUP BY ALL), s AS (SELECT *, a / lag(a) OVER w AS step, date_diff('day', lag(day) OVER w, day) AS wait FROM r WINDOW w AS (PARTITION BY firm ORDER BY day))
+SELECT firm, count(*) AS rounds, CAST(max(day) AS VARCHAR) AS last_day, round(avg(wait), 4) AS days_between, round(exp(avg(ln(step))), 4) AS step_up, round(arg_max(step, day), 4) AS last_step, round(count(*) / (greatest(date_diff('day', min(day), DATE '2001-07-01'), 1) / 365.25), 4) AS per_year FROM s GROUP BY 1""")
+def x14_round_steps(spark, sf):
+    """Awards as rounds: how fast a firm raises, and how its rounds grow."""
+    r = patterns.round_steps(awards(spark, sf), "firm", "day", "amount", F.to_date(F.lit("2001-07-01")))
+    return r.select("firm", "rounds", F.col("last_day").cast("string").alias("last_day"), *[F.round(c, 4).alias(c) for c in ("days_between", "step_up", "last_step", "per_year")])
+
+
+@query("x14_launch_surfaces", f"{AW}, s AS (SELECT firm, priority, min(day) AS d FROM awards GROUP BY ALL), f AS (SELECT firm, min(d) AS first_day FROM s GROUP BY 1) SELECT s.firm, CAST(first_day AS VARCHAR) AS first_day, count(*) AS surfaces, string_agg(priority, ',' ORDER BY priority) AS named FROM s JOIN f USING (firm) WHERE date_diff('day', first_day, d) <= 365 GROUP BY ALL")
+def x14_launch_surfaces(spark, sf):
+    """Priorities as surfaces: on how many of them a firm was within a year of its first award."""
+    s = patterns.surfaces(awards(spark, sf), "firm", "priority", "day", 365)
+    return s.select("firm", F.col("first_day").cast("string").alias("first_day"), "surfaces", F.array_join("named", ",").alias("named"))
+
+
+@query("u2_stream_buckets", "SELECT user_id || '|' || event_type AS fingerprint, max(event_id) AS run_id, arg_max(value, event_id) AS value, CAST(CAST(min(ts) AS DATE) AS VARCHAR) AS first_day FROM events GROUP BY ALL")
+def u2_stream_buckets(spark, sf):
+    """Events merged into a store of buckets, one row a user and type: the latest event's value, the earliest time."""
+    e = _events_stream(spark, sf).select(F.concat_ws("|", "user_id", "event_type").alias("fingerprint"), F.col("event_id").alias("run_id"), "value", F.col("ts").alias("observed_at"))
+    store = shared_place(spark, "store")
+    stream.upsert_buckets(e, store, buckets=16)
+    return stream.stored(spark, store, e.schema).select("fingerprint", "run_id", "value", F.to_date("observed_at").cast("string").alias("first_day"))

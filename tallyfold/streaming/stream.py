@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.lineage import shared_place
 from ..operators.store import upsert
@@ -48,6 +50,58 @@ def upsert_stream(events: DataFrame, store: str, key: str = "fingerprint") -> No
     q.awaitTermination()
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _versions(spark: SparkSession, store: str, epoch: int | None = None) -> dict[int, int]:
+    """Of each bucket of a store the batch that wrote it last, as of a batch (the newest, unless told): a row a bucket."""
+    try:
+        known = spark.read.schema("bucket int, version long, epoch long").parquet(f"{store}/versions")
+    except AnalysisException:  # nothing written yet
+        return {}
+    at = known.agg(F.max("epoch")).first()[0] if epoch is None else epoch
+    return {r["bucket"]: r["version"] for r in known.filter(F.col("epoch") == F.lit(at)).collect()}
+
+
+def _place(store: str, bucket: int, version: int) -> str:
+    return f"{store}/data/v{version:08d}/_bucket={bucket}"
+
+
+def upsert_buckets(events: DataFrame, store: str, key: str = "fingerprint", buckets: int = 64, progress: str | None = None) -> None:
+    """Batches of a stream merged into a store that is cut into buckets by a hash of the key: a batch reads and rewrites only the buckets that it has rows for. `stored` reads the whole.
+
+    Which batch wrote a bucket last is kept with each batch's number, and what a batch reads stays until the batch after it is done, so a batch that is replayed writes the same again."""
+    spark = events.sparkSession
+    schema = events.schema
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        before = _versions(spark, store, epoch - 1) if epoch else {}
+        dealt = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = sorted(r["_bucket"] for r in dealt.select("_bucket").distinct().collect())  # `buckets` rows at most
+        paths = [_place(store, b, before[b]) for b in touched if b in before]
+        old = spark.read.schema(schema).parquet(*paths) if paths else batch.limit(0)
+        new = upsert(old, batch, key).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        new.write.mode("overwrite").partitionBy("_bucket").parquet(f"{store}/data/v{epoch:08d}")
+        now = before | dict.fromkeys(touched, epoch)
+        spark.createDataFrame(list(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{store}/versions/epoch={epoch}")
+        if epoch > 1:
+            for b, v in _versions(spark, store, epoch - 2).items():
+                if before.get(b) != v:
+                    _removed(spark, _place(store, b, v))
+            _removed(spark, f"{store}/versions/epoch={epoch - 2}")
+
+    q = events.writeStream.foreachBatch(merge).option("checkpointLocation", progress or shared_place(spark, "progress")).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def stored(spark: SparkSession, store: str, schema: StructType) -> DataFrame:
+    """All rows of a store of buckets."""
+    paths = [_place(store, b, v) for b, v in _versions(spark, store).items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def latest_reading(events: DataFrame, keys: list[str], moment: str, columns: list[str]) -> DataFrame:
     """The latest reading of each subject as running state: a max over a struct, so state is one row a subject."""
     return events.groupBy(*keys).agg(F.max(F.struct(moment, *columns)).alias("r")).select(*keys, "r.*")

@@ -202,6 +202,31 @@ def test_rank_slopes_against_least_squares(spark):
             assert (got is None) == (want is None) and (got is None or math.isclose(got, want, abs_tol=1e-9))
 
 
+def test_rounds_and_their_steps(spark):
+    rng = random.Random(8)
+    rounds = [(p, day(rng.randrange(300)), rng.choice([0.0, 1.0, 2.5, 9.0, None])) for p in range(12) for _ in range(rng.randrange(1, 7))] + [(None, day(1), 1.0), (1, day(500), 1.0)]
+    got = {r.p: r for r in patterns.round_steps(spark.createDataFrame(rounds, "p int, d date, a double"), "p", "d", "a", F.lit(day(400))).collect()}
+    for p in range(12):
+        daily = {}
+        for q, d, a in rounds:
+            if q == p and d <= day(400):
+                daily.setdefault(d, []).append(a)
+        days = sorted(daily)
+        amounts = [sum(x for x in daily[d] if x is not None) if any(x is not None for x in daily[d]) else None for d in days]
+        steps = [(b / a if a and b else None) for a, b in zip(amounts, amounts[1:])]
+        r, known = got[p], [s for s in steps if s is not None]
+        assert (r.rounds, r.first_day, r.last_day) == (len(days), days[0], days[-1])
+        assert r.days_between == (pytest.approx(mean((b - a).days for a, b in zip(days, days[1:]))) if steps else None)
+        assert r.step_up == (pytest.approx(math.exp(mean(map(math.log, known)))) if known else None)
+        assert r.per_year == pytest.approx(len(days) / ((day(400) - days[0]).days / 365.25))
+
+
+def test_launch_surfaces(spark):
+    rows = [("a", "hn", day(5)), ("a", "ph", day(9)), ("a", "hn", day(1)), ("a", "yc", day(60)), ("b", "ph", day(3)), ("b", None, day(1)), (None, "ph", day(1)), ("c", "ph", None)]
+    got = {tuple(r)[0]: (r.first_day, r.surfaces, r.named) for r in patterns.surfaces(spark.createDataFrame(rows, "p string, s string, d date"), "p", "s", "d", 30).collect()}
+    assert got == {"a": (day(1), 2, ["hn", "ph"]), "b": (day(3), 1, ["ph"])}
+
+
 # --- persons and words
 
 
@@ -325,3 +350,22 @@ def test_an_empty_stream(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(path)
     assert keyed.sorted_by_lateness(_lots(spark, path), "k", "ts", {}, 5, F.lit(_at(0))).count() == 0
     assert stream.drained(keyed.sightings(_lots(spark, path), ["k"], "ts"), "append").count() == 0
+
+
+def test_a_store_rewrites_only_what_a_batch_touches(spark, tmp_path):
+    schema = "fingerprint string, run_id int, v int, observed_at timestamp"
+    path, store, progress = (str(tmp_path / x) for x in ("in", "store", "progress"))
+    lots = [[(f"k{k}", 1, k, _at(k)) for k in range(40)], [("k1", 2, 100, _at(0)), ("k1", 2, 90, _at(9))], [("k2", 3, 7, _at(50)), ("new", 3, 1, _at(3))], [("k1", 1, -5, _at(70))]]
+    schema_of = spark.createDataFrame([], schema).schema
+    for n, lot in enumerate(lots):
+        _write(spark, path, lot, schema)
+        if n in (1, 3):  # two runs, the second from the checkpoint of the first
+            frame = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+            stream.upsert_buckets(frame, store, buckets=8, progress=progress)
+    got = {r.fingerprint: (r.run_id, r.v, r.observed_at) for r in stream.stored(spark, store, schema_of).collect()}
+    want = {f"k{k}": (1, k, _at(k)) for k in range(40)} | {"k1": (2, 100, _at(0)), "k2": (3, 7, _at(2)), "new": (3, 1, _at(3))}
+    assert got == want
+    written = {v.name: len([b for b in v.iterdir() if b.name.startswith("_bucket")]) for v in (tmp_path / "store" / "data").iterdir()}
+    assert written["v00000003"] == 1 and written["v00000002"] <= 2
+    assert len(list((tmp_path / "store" / "versions").iterdir())) == 2
+    assert stream.stored(spark, str(tmp_path / "none"), schema_of).count() == 0
