@@ -185,3 +185,48 @@ def test_filings_by_who_and_what(spark):
     table = spark.createDataFrame([(a, dt.date(2024, 1, 1), *r) for a, *r in rows], "applicant string, day date, status string, kind string, units int, title string, fit double, callsign string, routine boolean")
     got = {r.entity: (r.kind, r.strength) for r in kinds.fcc_els({"licences": table}, F.lit(None)).collect()}
     assert got == {"A": ("fcc_experimental_pending", 0.72), "B": ("fcc_sta", 0.245), "C": ("fcc_sta", 0.3), "D": ("fcc_experimental_pending", 0.22)}
+
+
+def _soft(clusters, names):
+    """Rounds of cautious merges, by plain loops."""
+    of = {c: c for c, _ in clusters}
+    own = {c: d for c, d in clusters}
+    while True:
+        parts = {}
+        for c, p in of.items():
+            parts.setdefault(p, []).append(c)
+        domains = {p: {own[c] for c in cs if own[c] is not None} for p, cs in parts.items()}
+        held = {}
+        for c, n, rank in names:
+            held.setdefault(n, {})[of[c]] = rank
+        able = {}
+        for n, ps in held.items():
+            bare = [p for p in ps if not domains[p]]
+            if len(ps) > 1 and (len(set().union(*(domains[p] for p in ps))) <= 1 or len(bare) > 1):
+                able[n] = ps
+        proposals = {}
+        for p in parts:
+            tried = sorted((ps[p], n) for n, ps in able.items() if p in ps)
+            if not domains[p] and tried:
+                proposals[p] = tried[0][1]
+        moves = {}
+        for p, n in proposals.items():
+            with_one = [q for q in able[n] if domains[q]]
+            one = len(set().union(*(domains[q] for q in able[n]))) == 1
+            to = min(with_one) if one and with_one else min(q for q, m in proposals.items() if m == n)
+            if to != p:
+                moves[p] = to
+        if not moves:
+            return of
+        of = {c: moves.get(p, p) for c, p in of.items()}
+
+
+def test_soft_merges_against_plain_rounds(spark):
+    from tallyfold.operators import resolve
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        clusters = [(c, rng.choice([None, None, "x.com", "y.com", "z.com"])) for c in range(40)]
+        names = sorted({(c, f"n{n}", n) for c in range(40) for n in rng.sample(range(22), rng.randrange(0, 3))})
+        got = resolve.merge_soft(spark.createDataFrame(clusters, "cluster int, domain string"), spark.createDataFrame(names, "cluster int, name string, rank int")).collect()
+        assert {r.cluster: r.component for r in got} == _soft(clusters, names)
