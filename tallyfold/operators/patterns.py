@@ -156,6 +156,29 @@ def round_steps(rounds: DataFrame, party: str, day: str, amount: str, asof: Colu
     return out.withColumnRenamed("_p", party)
 
 
+def award_profile(awards: DataFrame, raised: DataFrame, party: str, office: str, day: str, ceiling: str, obligated: str, asof: Column, mill: int = 20) -> DataFrame:
+    """A row a party, of its awards up to asof: lifetime, offices (how many different ones awarded), new_90 and prev_90 (awards of the last 90 days and of those before), acceleration, is_novel (none older than a year), is_mill (more than `mill` awards, and never in `raised`), ceiling_ratio (what may be ordered by what is obligated; null without obligations)."""
+    age = F.datediff(asof, day)
+    a = awards.filter((age >= 0) & F.col(party).isNotNull())
+    within = lambda x, y: F.count(F.when((age >= x) & (age < y), 1))
+    out = a.groupBy(party).agg(
+        F.count("*").alias("lifetime"), F.countDistinct(office).alias("offices"), within(0, 90).alias("new_90"), within(90, 180).alias("prev_90"), F.max(age).alias("_oldest"),
+        (F.sum(ceiling) / F.nullif(F.sum(obligated), F.lit(0))).alias("ceiling_ratio"),
+    ).join(raised.select(F.col(party), F.lit(True).alias("_raised")).distinct(), party, "left")
+    is_mill = (F.col("lifetime") > mill) & F.col("_raised").isNull()
+    return out.select(party, "lifetime", "offices", "new_90", "prev_90", ((F.col("new_90") + 1) / (F.col("prev_90") + 1)).alias("acceleration"), (F.col("_oldest") <= 365).alias("is_novel"), is_mill.alias("is_mill"), "ceiling_ratio")
+
+
+def new_directors(filings: DataFrame, party: str, filing: str, day: str, directors: str, officers: str) -> DataFrame:
+    """(party, filing, day, director): who sits on a party's board by a filing, runs nothing there, and wasn't named in the filing before. A party's first filing tells no one new. Filings of a day go by `filing`; null lists are empty.
+
+    A filing meets only the one before it, by ranges."""
+    none = F.array().cast("array<string>")
+    f = filings.filter(F.col(party).isNotNull()).select(F.col(party), F.col(filing), F.col(day), F.coalesce(directors, none).alias("_d"), F.coalesce(officers, none).alias("_o")).withColumn("_named", F.array_union("_d", "_o"))
+    f = previous(f, [party], [F.col(day), F.col(filing)], {"_before": "_named"}).filter(F.col("_before").isNotNull())
+    return f.select(party, filing, day, F.explode(F.array_except(F.array_except("_d", "_o"), "_before")).alias("director"))
+
+
 def surfaces(launches: DataFrame, party: str, surface: str, day: str, within: int) -> DataFrame:
     """(party, first_day, surfaces, named) of each party: on how many surfaces it launched within so many days of its first launch, and which, in order of name (their number is a surface list's, not a party's rows')."""
     seen = launches.filter(F.col(party).isNotNull() & F.col(surface).isNotNull() & F.col(day).isNotNull()).groupBy(F.col(party).alias("_p"), F.col(surface).alias("_s")).agg(F.min(day).alias("_d"))

@@ -196,3 +196,22 @@ def u2_stream_buckets(spark, sf):
     store = shared_place(spark, "store")
     stream.upsert_buckets(e, store, buckets=16)
     return stream.stored(spark, store, e.schema).select("fingerprint", "run_id", "value", F.to_date("observed_at").cast("string").alias("first_day"))
+
+
+@query("x14_award_profile", f"""{AW}, r AS (SELECT DISTINCT firm FROM awards WHERE status = 'P')
+SELECT firm, count(*) AS lifetime, count(DISTINCT priority) AS offices, count(*) FILTER (WHERE a < 90) AS new_90, count(*) FILTER (WHERE a BETWEEN 90 AND 179) AS prev_90, round((count(*) FILTER (WHERE a < 90) + 1) / (count(*) FILTER (WHERE a BETWEEN 90 AND 179) + 1), 6) AS acceleration, max(a) <= 365 AS is_novel,
+  count(*) > 12 AND firm NOT IN (FROM r) AS is_mill, round(sum(amount * (1 + award_id % 4)) / nullif(sum(amount), 0), 6) AS ceiling_ratio FROM (SELECT *, date_diff('day', day, DATE '2001-07-01') AS a FROM awards) WHERE a >= 0 GROUP BY 1""")
+def x14_award_profile(spark, sf):
+    """Priorities as offices; a firm with an award of status P has raised capital; the ceiling is up to four times the amount."""
+    a = awards(spark, sf).withColumn("ceiling", F.col("amount") * (1 + F.col("award_id") % 4))
+    p = patterns.award_profile(a, a.filter("status = 'P'"), "firm", "priority", "day", "ceiling", "amount", F.to_date(F.lit("2001-07-01")), mill=12)
+    return p.withColumns({c: F.round(c, 6) for c in ("acceleration", "ceiling_ratio")})
+
+
+@query("x14_new_directors", f"""{AW}, f AS (SELECT firm, award_id, day, [priority, 'd' || award_id % 3] AS d, CASE WHEN award_id % 5 = 0 THEN [priority] ELSE [status] END AS o FROM awards), p AS (SELECT *, lag(list_concat(d, o)) OVER (PARTITION BY firm ORDER BY day, award_id) AS before FROM f),
+x AS (SELECT firm, award_id, unnest(list_distinct(list_filter(d, lambda v: NOT list_contains(o, v) AND NOT list_contains(before, v)))) AS director FROM p WHERE before IS NOT NULL) SELECT firm, award_id, director FROM x""")
+def x14_new_directors(spark, sf):
+    """Awards as filings: the priority and a third of the number sit on the board, the status runs the firm (in every fifth the priority does)."""
+    k = F.col("award_id")
+    f = awards(spark, sf).select("firm", "award_id", "day", F.array("priority", F.concat(F.lit("d"), k % 3)).alias("d"), F.when(k % 5 == 0, F.array("priority")).otherwise(F.array("status")).alias("o"))
+    return patterns.new_directors(f, "firm", "award_id", "day", "d", "o").select("firm", "award_id", "director")

@@ -221,6 +221,20 @@ def test_rounds_and_their_steps(spark):
         assert r.per_year == pytest.approx(len(days) / ((day(400) - days[0]).days / 365.25))
 
 
+def test_profiles_of_awards(spark):
+    asof = day(400)
+    rows = [("a", f"o{k % 3}", day(400 - 20 * k), 10.0, 5.0) for k in range(12)] + [("b", "o", day(0), 4.0, None), ("b", "o", day(401), 4.0, 1.0), (None, "o", day(1), 1.0, 1.0), ("c", None, day(390), None, 0.0)]
+    table = spark.createDataFrame(rows, "p string, o string, d date, c double, n double")
+    got = {r.p: tuple(r)[1:] for r in patterns.award_profile(table, table.filter("p = 'b'"), "p", "o", "d", "c", "n", F.lit(asof), mill=10).collect()}
+    assert got == {"a": (12, 3, 5, 4, 6 / 5, True, True, 2.0), "b": (1, 1, 0, 0, 1.0, False, False, None), "c": (1, 0, 1, 0, 2.0, True, False, None)}
+
+
+def test_new_directors(spark):
+    rows = [("a", 1, day(1), ["x", "y"], ["z"]), ("a", 2, day(5), ["x", "w", "z", "v"], ["v"]), ("a", 3, day(5), ["w", "y"], None), ("b", 4, day(1), ["n"], []), ("b", 5, day(2), None, ["n"]), ("b", 6, day(3), ["m", "m"], []), (None, 7, day(1), ["q"], [])]
+    table = spark.createDataFrame(rows, "p string, f int, d date, b array<string>, o array<string>")
+    assert {(r.p, r.f, r.director) for r in patterns.new_directors(table, "p", "f", "d", "b", "o").collect()} == {("a", 2, "w"), ("a", 3, "y"), ("b", 6, "m")}
+
+
 def test_launch_surfaces(spark):
     rows = [("a", "hn", day(5)), ("a", "ph", day(9)), ("a", "hn", day(1)), ("a", "yc", day(60)), ("b", "ph", day(3)), ("b", None, day(1)), (None, "ph", day(1)), ("c", "ph", None)]
     got = {tuple(r)[0]: (r.first_day, r.surfaces, r.named) for r in patterns.surfaces(spark.createDataFrame(rows, "p string, s string, d date"), "p", "s", "d", 30).collect()}
