@@ -19,6 +19,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +49,17 @@ class GifError(ValueError):
     pass
 
 
-def _widths(n: int, depth: int) -> np.ndarray:
-    """Bits of each of n codes of a stream: a clear code, then stretches that fill the table and end with a clear code. A code is as wide as the entry made before it needs."""
-    entries = np.arange(4096 - (1 << depth))  # codes between two clear codes, and the second one
+@lru_cache(12)
+def _stretch(depth: int) -> np.ndarray:
+    """Bits of the codes between two clear codes, and of the second one: a code is as wide as the entry made before it needs."""
+    entries = np.arange(4096 - (1 << depth))
     width = np.ceil(np.log2((1 << depth) + 2 + entries)).astype(np.int64)  # bits of the entry that the code before made
-    width = np.clip(width, depth + 1, 12)
-    return np.concatenate([[depth + 1], np.resize(width, n - 1)])
+    return np.clip(width, depth + 1, 12)
+
+
+def _widths(n: int, depth: int) -> np.ndarray:
+    """Bits of each of n codes of a stream: a clear code, then stretches that fill the table and end with a clear code."""
+    return np.concatenate([[depth + 1], np.resize(_stretch(depth), n - 1)])
 
 
 def lzw_encode(data: bytes, depth: int = 8) -> bytes:
@@ -88,12 +94,8 @@ def lzw_encode(data: bytes, depth: int = 8) -> bytes:
 
 def _packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
     """Codes as bits, least significant first."""
-    at = np.cumsum(widths) - widths
-    bits = np.zeros(int(at[-1] + widths[-1]) + 7 >> 3 << 3, np.uint8)
-    for k in range(int(widths.max())):
-        has = widths > k
-        bits[at[has] + k] = codes[has] >> k & 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    bits = np.unpackbits(codes.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(bits[np.arange(16) < widths[:, None]], bitorder="little").tobytes()
 
 
 def lzw_decode(stream: bytes, depth: int, most: int) -> bytes:
