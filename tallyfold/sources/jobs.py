@@ -141,7 +141,7 @@ def _material(ranks: DataFrame, old: str, least_ratio: float) -> DataFrame:
 
 @source("tranco_rank", "traffic", "enrich")
 def tranco_rank(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
-    """ranks(list_day, domain, rank) of the newest list and of older ones: moves over a month and over a quarter (lists within three days of those ages) against domains that were ranked alike, and new entrants by how rare these are at their depth. listings(domain, day), where known, says on which days a domain was listed.
+    """ranks(list_day, domain, rank) of the newest list and of older ones: moves over a month and over a quarter (lists within three days of those ages) against domains that were ranked alike, and new entrants by how rare these are at their depth. rank_listings(domain, day), where known, says on which days a domain was listed.
 
     A quarter's move counts while the last month doesn't give it back; both together count more; deep ranks less. An entrant that has been listed for few days, or off and on, counts less, one without listings a little less."""
     from ..operators.cohorts import entrant_rate
@@ -168,8 +168,8 @@ def tranco_rank(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     rated = entrant_rate(wide.withColumn("fresh", F.col("older") == 0), "now", "fresh", "domain", fixed.COHORT_BAND, fixed.COHORT_MIN, fixed.COHORT_MAX).filter("fresh")
     known = X.ladder(*[(F.col("now") <= k, F.lit(v)) for k, v in fixed.ENTRANT_RATES], otherwise=F.lit(fixed.ENTRANT_RATE_DEEP))
     rarity = X.interp(F.log10(F.greatest(F.coalesce("rate", known), F.lit(1e-4))), fixed.ENTRANT_ANCHORS)
-    if "listings" in tables:
-        seen = tables["listings"].withColumnRenamed("day", "seen").crossJoin(F.broadcast(lists.select("newest"))).filter(F.datediff("newest", "seen").between(0, 29))
+    if "rank_listings" in tables:
+        seen = tables["rank_listings"].withColumnRenamed("day", "seen").crossJoin(F.broadcast(lists.select("newest"))).filter(F.datediff("newest", "seen").between(0, 29))
         rated = rated.join(seen.groupBy("domain").agg(F.countDistinct("seen").alias("listed"), (F.max(F.datediff("newest", "seen")) + 1).alias("span")), "domain", "left")
     else:
         rated = rated.withColumns({"listed": F.lit(None).cast("long"), "span": F.lit(None).cast("int")})

@@ -192,7 +192,7 @@ def test_rank_moves_by_rarity(spark):
 def test_entrants_by_their_listings(spark):
     newest = dt.date(2024, 6, 1)
     listings = spark.createDataFrame([("young", newest)] + [("steady", newest - dt.timedelta(days=k)) for k in range(10)] + [("gaps", newest - dt.timedelta(days=k)) for k in (0, 9)], "domain string, day date")
-    got = {r.entity: r.strength for r in jobs.tranco_rank({"ranks": _ranked(spark, [], [("young", 10_400), ("steady", 10_401), ("gaps", 10_402), ("bare", 10_403)]), "listings": listings}, F.lit(None)).collect()}
+    got = {r.entity: r.strength for r in jobs.tranco_rank({"ranks": _ranked(spark, [], [("young", 10_400), ("steady", 10_401), ("gaps", 10_402), ("bare", 10_403)]), "rank_listings": listings}, F.lit(None)).collect()}
     assert (got["steady"], got["young"], got["bare"]) == (0.85, round(0.85 * 0.85, 6), round(0.85 * 0.9, 6)) and got["gaps"] < got["young"]
 
 
