@@ -111,6 +111,17 @@ def ladder_days(events: DataFrame, keys: Sequence[str], rung: str, day: str, run
     return climbed.filter(F.element_at("days", 1).isNotNull()).select(*keys, F.size(F.filter("days", lambda d: d.isNotNull())).alias("reached"), "days", waits.alias("waits"))
 
 
+def running_deviation(values: Column) -> Column:
+    """The population deviation of an array, by means that run along it (Welford's). Where a figure is compared with a threshold that it may meet exactly, the last bits decide, so each step is rounded as SQL engines do that take row by row; Spark's own stddev_pop rounds otherwise."""
+    none = F.struct(F.lit(0.0).alias("k"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(s: Column, x: Column) -> Column:
+        mean = s["mean"] + (x - s["mean"]) / (s["k"] + 1)
+        return F.struct((s["k"] + 1).alias("k"), mean.alias("mean"), (s["squares"] + (x - mean) * (x - s["mean"])).alias("squares"))
+
+    return F.aggregate(F.transform(values, lambda x: x.cast("double")), none, step, lambda s: F.when(s["k"] > 0, F.sqrt(s["squares"] / s["k"])))
+
+
 def breakouts(df: DataFrame, keys: Sequence[str], day: str, asof: Column, step: int = 7, back: int = 12, z: float = 3.0, least: int = 5) -> DataFrame:
     """(keys, period, n, mean, deviation, z, breaks) of each whole period of `step` days up to asof (period 0 is the latest): its rows against the mean and the deviation of the `back` periods before it. Periods without rows are zeros, from a key's first period on; a period with
     fewer than `back` before it has no figures. It breaks out with `least` rows or more and z or more deviations above the mean; where the deviation is 0, with any rows above the mean. The calendar is filled, so a key has as many rows as it has periods."""
@@ -119,7 +130,7 @@ def breakouts(df: DataFrame, keys: Sequence[str], day: str, asof: Column, step:
     spans = counts.groupBy(*keys).agg(F.max("_p").alias("_first"))
     filled = spans.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_first"))).alias("_p")).join(counts, [*keys, "_p"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     w = Window.partitionBy(*keys).orderBy(F.desc("_p")).rowsBetween(-back, -1)
-    stats = filled.withColumn("_whole", F.count("*").over(w) == back).withColumn("mean", F.when(F.col("_whole"), F.avg("n").over(w))).withColumn("deviation", F.when(F.col("_whole"), F.stddev_pop("n").over(w)))
+    stats = filled.withColumn("_whole", F.count("*").over(w) == back).withColumn("mean", F.when(F.col("_whole"), F.avg("n").over(w))).withColumn("deviation", F.when(F.col("_whole"), running_deviation(F.collect_list("n").over(w))))
     score = F.when(F.col("deviation") > 0, (F.col("n") - F.col("mean")) / F.col("deviation"))
     breaks = F.coalesce((F.col("n") >= least) & ((score >= z) | ((F.col("deviation") == 0) & (F.col("n") > F.col("mean")))), F.lit(False))
     return stats.select(*keys, F.col("_p").alias("period"), "n", "mean", "deviation", score.alias("z"), breaks.alias("breaks"))

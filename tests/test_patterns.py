@@ -183,6 +183,27 @@ def test_breakouts_against_plain_weeks(spark):
             assert r.breaks == (n >= 5 and (n > m if s == 0 else (n - m) / s >= 3))
 
 
+def test_breakouts_at_just_three_deviations_fall_as_in_sql(spark, tmp_path):
+    """Twelve days of mean 2 and deviation 1 in many orders, then a day of 5: z is 3 but for the last bits."""
+    import duckdb
+
+    import tallyfold.queries  # noqa: F401  registers the queries
+    from tallyfold.catalog import QUERIES, SQL
+
+    rng = random.Random(5)
+    events = []
+    for user in range(150):
+        past = [1, 3] * 6 if user % 2 else [2, 2, 2, 2, 2, 2, 2, 2, 1, 1, 1, 5]
+        rng.shuffle(past)
+        events += [(user, dt.datetime(2024, 1, 18 + d)) for d, n in enumerate([*past, 5]) for _ in range(n)]
+    spark.createDataFrame(events, "user_id long, ts timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {(u, p): (n, m, breaks) for u, p, n, m, _, breaks in c.execute(SQL["x14_breakouts"]).fetchall()}
+    got = {(r.user_id, r.period): (r.n, r["mean"], r.breaks) for r in QUERIES["x14_breakouts"](spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 150 * 13
+
+
 def test_rank_slopes_against_least_squares(spark):
     rng = random.Random(5)
     counts = [(k, p, rng.randrange(1, 20)) for k in range(9) for p in range(14) if rng.random() < 0.8]
