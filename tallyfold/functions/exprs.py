@@ -115,22 +115,27 @@ def ago(d: Column, asof: Column) -> Column:
 # --- names
 
 
+def _without_forms(name: Column) -> Column:
+    a_pass = rf"(?:[\s,]+(?:{fixed.LEGAL_CAPITALS})\.?)?(?:[\s,]+(?i:{fixed.LEGAL})\.?)?[ ,]*"
+    # Forms begin where a word ends; told first, as the passes are dear to try at every letter of a long text.
+    return F.regexp_replace(name, rf"(?<=[^\s,])(?=[\s,]|$)(?:{a_pass}){{1,3}}$", "")
+
+
 def strip_legal(name: Column) -> Column:
     """Trailing legal forms off, in three passes of one form of any case and one in capitals before it, and '(dba ...)' or '(formerly ...)'; something always stays."""
-    s = F.regexp_replace(F.trim(name), r"(?i)\s*\((?:d/?b/?a|formerly)[^)]*\)", "")
-    a_pass = rf"(?:[\s,]+(?:{fixed.LEGAL_CAPITALS})\.?)?(?:[\s,]+(?i:{fixed.LEGAL})\.?)?[ ,]*"
-    return F.regexp_replace(s, rf"(?<=[^\s,])(?:{a_pass}){{1,3}}$", "")
+    return _without_forms(F.regexp_replace(F.trim(name), r"(?i)\s*\((?:d/?b/?a|formerly)[^)]*\)", ""))
 
 
 def normalize_name(name: Column) -> Column:
-    s = F.regexp_replace(F.lower(strip_legal(name)), "[’'`]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"\(.*?\)", " "), "[^a-z0-9]+", " "))
+    low = lambda s: F.translate(F.lower(s), "’'`", "")
+    # Most names have no parentheses, and need no patterns for them.
+    s = F.when(name.contains("("), F.regexp_replace(low(strip_legal(name)), r"\(.*?\)", " ")).otherwise(low(_without_forms(F.trim(name))))
+    return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
 
 
 def loose_name(name: Column) -> Column:
-    """normalize_name without one trailing descriptive word."""
-    s = normalize_name(name)
-    return F.coalesce(F.nullif(F.trim(F.regexp_replace(s, "(?i)" + fixed.DESCRIPTIVE, "")), F.lit("")), s)
+    """normalize_name without one trailing descriptive word, before which a word stays."""
+    return F.regexp_replace(normalize_name(name), "(?i)" + fixed.DESCRIPTIVE, "")
 
 
 def firm_key(name: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from .lineage import cut_lineage
 from .ranking import running_total
@@ -17,9 +18,14 @@ def days(d: Column | str) -> Column:
 
 
 def _by_moment(df: DataFrame, keys: Sequence[str], moment: str, before: Column, name: str) -> DataFrame:
-    """df with `before` (an aggregate of a key's rows at one moment), summed over the key's earlier moments: rows become one a moment first, and the sums go by ranges, so no task has a party's whole history."""
+    """df with `before` (an aggregate of a key's rows at one moment), summed over the key's earlier moments. Rows become one a moment first. Days of a key are as many as the calendar has at most; sums over other moments go by ranges, so no task has a party's whole history."""
     at = df.groupBy(*keys, F.col(moment).alias("_at")).agg(before.alias("_n"))
-    sums = running_total(at, keys, [F.col("_at")], "_n", name).select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], "_at", name)
+    if isinstance(df.schema[moment].dataType, DateType):
+        earlier = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        sums = at.withColumn(name, F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    else:
+        sums = running_total(at, keys, [F.col("_at")], "_n", name)
+    sums = sums.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], "_at", name)
     same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)], F.col(moment).eqNullSafe(F.col("_at")))
     return df.join(sums, same).drop("_at", *[f"_{i}" for i in range(len(keys))])
 

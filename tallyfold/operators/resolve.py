@@ -31,9 +31,16 @@ def components(members: DataFrame, member: str, key: str) -> DataFrame:
 
 
 def hard_links(signals: DataFrame, row: str, keys: Sequence[str]) -> DataFrame:
-    """Rows that share a domain, login or registry number are one cluster; a key counts with its kind."""
+    """Rows that share a domain, login or registry number are one cluster; a key counts with its kind. Rows of the same keys are one member (the least of them) while labels spread."""
     pairs = F.filter(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in keys]), lambda x: x.isNotNull())
-    return components(signals.select(row, F.explode_outer(pairs).alias("key")), row, "key")
+    rows = cut_lineage(signals.filter(F.col(row).isNotNull()).select(F.col(row).alias("m"), pairs.alias("keys")).distinct(), "rows")
+    sets = cut_lineage(rows.filter(F.size("keys") > 0).groupBy("keys").agg(F.min("m").alias("least")), "sets")
+    # A row of several key sets ties them together, as a key does.
+    several = rows.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m")
+    ties = rows.join(several, "m", "left_semi").join(sets, "keys").select("least", F.concat(F.lit(":"), F.col("m").cast("string")).alias("key"))
+    found = components(sets.select("least", F.explode("keys").alias("key")).unionByName(ties), "least", "key")
+    of = rows.join(sets, "keys", "left").join(found, "least", "left")
+    return of.groupBy(F.col("m").alias(row)).agg(F.min(F.coalesce("component", "m")).alias("component"))
 
 
 def merge_soft(clusters: DataFrame, names: DataFrame, cluster: str = "cluster", domain: str = "domain", name: str = "name", rank: str = "rank") -> DataFrame:

@@ -31,6 +31,11 @@ def made(df: DataFrame, slug: str, kind: Column, entity: str, day: str, value: C
     return df.select(F.lit(slug).alias("source"), F.lit(JOBS[slug][0]).alias("family"), kind.alias("kind"), F.col(entity).cast("string").alias("entity"), F.col(day).alias("occurred_at"), value.cast("double").alias("value"), F.round(X.clamp(strength, 0.0, 1.0), 6).alias("strength"))
 
 
+def named(df: DataFrame, name: str, key: Callable[[Column], Column]) -> DataFrame:
+    """(name, key, n) of each distinct name, n rows of which have it: patterns run once a name, not once a row."""
+    return cut_lineage(df.groupBy(name).agg(F.count(F.lit(1)).alias("n")).withColumn("key", key(F.col(name))), "names")
+
+
 def run(spark: SparkSession, tables: Mapping[str, DataFrame], asof: Column, stage: str = "discover") -> tuple[DataFrame, dict[str, str]]:
     """Signals of all jobs of a stage, further kinds too, each written when it has run, and by slug what went wrong. A job that fails, at once or in its data, is recorded and doesn't stop the others."""
     from . import kinds  # noqa: F401  registers its jobs
@@ -199,8 +204,9 @@ def research_affil(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
 @source("faa_uas", "regulatory")
 def faa_uas(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     """declarations(maker, series, day, status): makers with new declarations; more if all series are new."""
-    d = tables["declarations"].withColumn("key", X.normalize_name(F.col("maker")))
-    series = d.groupBy("key", "series").agg(F.min("day").alias("first_day"), F.max("day").alias("day"), F.count(F.when(F.col("status") == "accepted", 1)).alias("accepted"))
+    d = tables["declarations"].groupBy("maker", "series").agg(F.min("day").alias("first_day"), F.max("day").alias("day"), F.count(F.when(F.col("status") == "accepted", 1)).alias("accepted"))
+    d = d.withColumn("key", X.normalize_name(F.col("maker")))
+    series = d.groupBy("key", "series").agg(F.min("first_day").alias("first_day"), F.max("day").alias("day"), F.sum("accepted").alias("accepted"))
     m = series.withColumn("fresh", F.datediff(asof, "first_day") <= 90).groupBy("key").agg(F.max("day").alias("day"), F.sum("accepted").alias("accepted"), F.bool_and("fresh").alias("all_new"), F.count(F.when(F.col("fresh"), 1)).alias("n_new"))
     s = 0.35 + F.when(F.col("all_new"), 0.3).otherwise(0.0) + 0.15 * X.squash(F.col("n_new"), 2)
     return made(m.filter("n_new > 0"), "faa_uas", F.lit("faa_remote_id_doc"), "key", "day", F.col("accepted"), X.clamp(s, 0.15, 0.95))

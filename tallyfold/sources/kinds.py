@@ -12,7 +12,7 @@ from ..functions import fixed
 from ..operators import history
 from ..operators.ranking import top_per
 from ..operators.resolve import hard_links
-from .jobs import JOBS, Job, made, source
+from .jobs import JOBS, Job, made, named, source
 
 Tables = Mapping[str, DataFrame]
 
@@ -100,9 +100,10 @@ def filing_strength(sta: Column, granted: Column, extension: Column, title: Colu
 def fcc_els(tables: Tables, asof: Column) -> DataFrame:
     """licences(applicant, day, status, kind, units, and where known title, fit, callsign, own_design, gov_contract, on_thesis, routine): three of an applicant and kind at most, the newest."""
     flags = ("own_design", "gov_contract", "on_thesis", "routine")
-    a = given(tables["licences"], title="string", fit="double", callsign="string", **{c: "boolean" for c in flags}).withColumn("key", X.loose_name(F.col("applicant")))
-    a = a.withColumns({c: F.coalesce(c, F.lit(False)) for c in flags})
-    many = a.groupBy("key").agg(F.count("*").alias("filings"))
+    a = given(tables["licences"], title="string", fit="double", callsign="string", **{c: "boolean" for c in flags})
+    names = named(a, "applicant", X.loose_name)
+    a = a.withColumns({c: F.coalesce(c, F.lit(False)) for c in flags}).join(names.drop("n"), "applicant")
+    many = names.groupBy("key").agg(F.sum("n").alias("filings"))
     rows = top_per(a, ["key", "kind"], [F.desc("day"), F.desc("units"), F.col("status"), F.col("applicant"), F.col("title"), F.desc("fit")], 3).join(many, "key")
     sta, granted = F.col("kind") == "sta", F.col("status") == "granted"
     signs = sum((F.col(c).cast("int") for c in flags[:3]), F.lit(0))
@@ -113,13 +114,14 @@ def fcc_els(tables: Tables, asof: Column) -> DataFrame:
 @kind("faa_uas", "faa_part107_waiver")
 def faa_part107_waiver(tables: Tables, asof: Column) -> DataFrame:
     """waivers(holder, day, until, beyond_sight, many_aircraft, over_people, cue, service, maker): what a waiver allows, less for a short term, for a holder of several and for names that don't say aviation (cue 0 or 1)."""
-    w = tables["waivers"].withColumn("key", X.normalize_name(F.col("holder")))
-    held = w.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others"))
+    w = tables["waivers"]
+    names = named(w, "holder", X.normalize_name)
+    held = names.join(names.groupBy("key").agg((F.sum("n") - 1).alias("others")), "key").select("holder", "key", "others")
     sight, many = F.col("beyond_sight"), F.col("many_aircraft")
     base = X.ladder((sight & many, F.lit(fixed.WAIVER_BOTH)), (sight, F.lit(fixed.WAIVER_SIGHT)), (many, F.lit(fixed.WAIVER_MANY)), otherwise=F.lit(fixed.WAIVER_OTHER))
     s = base + either(F.col("over_people") & (sight | many), 0.05) - either(F.datediff("until", "day") < 90, 0.1) - 0.06 * X.squash(F.col("others"), 3.0) + either(F.col("maker"), 0.05)
     most = X.ladder((F.col("service") | (F.col("cue") == 0), F.lit(0.3)), (F.col("cue") == 1, F.lit(0.5)), otherwise=F.lit(0.8))
-    return made(w.join(held, "key"), "faa_uas", F.lit("faa_part107_waiver"), "key", "day", F.col("others") + 1, X.clamp(F.least(s, most), 0.15, 0.8))
+    return made(w.join(held, "holder"), "faa_uas", F.lit("faa_part107_waiver"), "key", "day", F.col("others") + 1, X.clamp(F.least(s, most), 0.15, 0.8))
 
 
 def owner_history(marks: DataFrame, since: Column) -> DataFrame:

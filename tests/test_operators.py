@@ -100,6 +100,12 @@ def test_hard_links_and_chains(spark):
     assert [got[i] for i in range(1, 6)] == [1, 1, 1, 4, 5] and {got[i] for i in range(10, 40)} == {10}
 
 
+def test_hard_links_of_rows_with_several_key_sets(spark):
+    rows = [(5, "a", None), (3, "a", None), (9, "b", "x"), (3, "b", "x"), (7, None, None), (9, None, None), (2, None, "y"), (4, "c", "y"), (None, "a", "z"), (8, "d", "z"), (8, "d", "z")]
+    got = resolve.hard_links(spark.createDataFrame(rows, "id long, domain string, github string"), "id", ["domain", "github"]).collect()
+    assert sorted((r.id, r.component) for r in got) == [(2, 2), (3, 3), (4, 2), (5, 3), (7, 7), (8, 8), (9, 3)]
+
+
 def test_soft_merge_never_joins_two_domains(spark):
     clusters = spark.createDataFrame([("bare", None), ("one", "1.io"), ("two", "2.io"), ("x", None), ("y", None), ("z", "z.io"), ("w", "w.io"), ("v", None)], "cluster string, domain string")
     names = spark.createDataFrame([("bare", "A", 1), ("bare", "B", 2), ("one", "A", 1), ("two", "B", 2), ("x", "C", 3), ("y", "C", 3), ("z", "D", 4), ("w", "D", 4), ("v", "E", 5)], "cluster string, name string, rank int")

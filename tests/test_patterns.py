@@ -50,6 +50,33 @@ def test_cohort_is_capped_to_the_nearest(spark):
     assert cohorts.cohort_share(table, "r", "q", "k").filter("k = 5000").first().cohort == 4000
 
 
+def test_cohorts_by_pieces_of_the_list(spark, monkeypatch):
+    """Small pieces, each asked by several tasks; ranks that many rows have; ratios that are null or no number."""
+    monkeypatch.setattr(cohorts, "PIECE", 8)
+    monkeypatch.setattr(cohorts, "ASKED", 5)
+    rng = random.Random(2)
+    rows = [(k, float(rng.choice([3, 4, rng.randrange(1, 60)])), rng.choice([None, float("nan"), 0.5, 1.5, 2.5, 3.5])) for k in range(120)]
+    size = lambda q: (0, 0) if q is None else (2, 0) if math.isnan(q) else (1, q)
+    ordered = sorted(rows, key=lambda x: (x[1], size(x[2]), x[0]))
+    got = {r.k: (r.cohort, r.below) for r in cohorts.cohort_share(spark.createDataFrame(rows, "k long, r double, q double"), "r", "q", "k", least=1, nearest=20).collect()}
+    for k, r, q in rows:
+        low, high = _stretch(rows, r, 1.5, 20)
+        assert got[k] == (high - low, sum(size(y) < size(q) for _, _, y in ordered[low:high]))
+
+
+def test_a_cohort_sends_a_row_a_few_times(spark, monkeypatch):
+    sent, running_total = [], cohorts.running_total
+
+    def counted(df, *args):
+        sent.append(df.count())
+        return running_total(df, *args)
+
+    monkeypatch.setattr(cohorts, "running_total", counted)
+    table = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") + 100).alias("r"), (F.col("id") * 7 % 101).alias("q"))
+    assert cohorts.cohort_share(table, "r", "q", "k").count() == 3000
+    assert sum(sent) <= 8 * 3000
+
+
 def test_entrant_rate_of_an_even_list(spark):
     table = spark.range(1000).select(F.col("id").alias("k"), (10_000 + F.col("id")).alias("r"), ((F.col("id") % 4 == 0) & (F.col("id") % 8 > 0)).alias("new_one"))
     assert {(r.cohort, r.rate) for r in cohorts.entrant_rate(table, "r", "new_one", "k").collect()} == {(1000, 0.125)}
