@@ -57,7 +57,7 @@ def interleaved(df: DataFrame, group: str, order: Sequence[Column], picks: Colum
 
 def share_below(df: DataFrame, peers: Sequence[str], value: str, name: str = "share_below") -> DataFrame:
     """The share of a row's peers whose value is strictly below its own: counts of distinct values, summed in order, joined back."""
-    counts = df.groupBy(*peers, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(df.groupBy(*peers, value).agg(F.count(F.lit(1)).alias("_n")), "counts")
     below = running_total(counts, peers, [F.col(value)], "_n", "_below").select(*peers, value, "_below")
     totals = counts.groupBy(*peers).agg(F.sum("_n").alias("_total"))
     return df.join(below, [*peers, value]).join(totals, list(peers)).withColumn(name, F.col("_below") / F.col("_total")).drop("_below", "_total")

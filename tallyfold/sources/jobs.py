@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from ..operators.ranking import top_per
 Job = Callable[[Mapping[str, DataFrame], Column], DataFrame]
 #: By source, or source/kind for further kinds of a source over a landed table of their own: family, stage and job.
 JOBS: dict[str, tuple[str, str, Job]] = {}
+#: Jobs that are submitted side by side: one's short steps leave cores to the others.
+AT_ONCE = 4
 SIGNAL = ["source", "family", "kind", "entity", "occurred_at", "value", "strength"]
 
 
@@ -37,19 +41,24 @@ def named(df: DataFrame, name: str, key: Callable[[Column], Column]) -> DataFram
 
 
 def run(spark: SparkSession, tables: Mapping[str, DataFrame], asof: Column, stage: str = "discover") -> tuple[DataFrame, dict[str, str]]:
-    """Signals of all jobs of a stage, further kinds too, each written when it has run, and by slug what went wrong. A job that fails, at once or in its data, is recorded and doesn't stop the others."""
+    """Signals of all jobs of a stage, further kinds too, each written when it has run, and by slug what went wrong. Some run side by side; a job that fails, at once or in its data, is recorded and doesn't stop the others."""
     from . import kinds  # noqa: F401  registers its jobs
 
-    out, errors = None, {}
-    for slug, (_, at, job) in JOBS.items():
-        if at != stage:
-            continue
+    def ran(slug: str) -> DataFrame | str:
         try:
-            rows = cut_lineage(job(tables, asof).select(*SIGNAL), f"source-{slug.replace('/', '-')}")
+            return cut_lineage(JOBS[slug][2](tables, asof).select(*SIGNAL), f"source-{slug.replace('/', '-')}")
         except Exception as e:
-            errors[slug] = f"{type(e).__name__}: {e}"[:200]
-            continue
-        out = rows if out is None else out.unionByName(rows)
+            return f"{type(e).__name__}: {e}"[:200]
+
+    slugs = [slug for slug, (_, at, _) in JOBS.items() if at == stage]
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        found = dict(zip(slugs, pool.map(inheritable_thread_target(spark)(ran), slugs)))
+    out, errors = None, {}
+    for slug, rows in found.items():
+        if isinstance(rows, str):
+            errors[slug] = rows
+        else:
+            out = rows if out is None else out.unionByName(rows)
     if out is None:
         out = spark.createDataFrame([], "source string, family string, kind string, entity string, occurred_at date, value double, strength double")
     return out, errors
@@ -240,7 +249,7 @@ def yc_directory(tables: Mapping[str, DataFrame], asof: Column) -> DataFrame:
     """launches(company, day, votes): ordinal of the launch, and how its votes stand among those of the same month."""
     from ..operators.ranking import share_below
 
-    nth = history.ordinal(tables["launches"], ["company"], "day")
+    nth = cut_lineage(history.ordinal(tables["launches"], ["company"], "day"), "launches")
     ranked = share_below(nth.withColumn("month", F.trunc("day", "month")), ["month"], "votes")
     s = X.interp(F.log1p("votes"), [(0.0, 0.15), (3.0, 0.4), (5.0, 0.7), (7.0, 0.9)]) * F.when(F.col("nth") > 1, 0.7).otherwise(1.0) + 0.05 * F.col("share_below")
     return made(ranked, "yc_directory", F.lit("yc_launch"), "company", "day", F.col("votes"), s)

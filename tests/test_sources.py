@@ -79,6 +79,22 @@ def test_a_failing_job_does_not_stop_the_others(spark):
     assert "sbir_awards" not in errors and "sec_form_d" in errors
 
 
+def test_jobs_run_side_by_side(spark, monkeypatch):
+    """Two jobs that wait for one another, and one that fails; signals come in the registry's order."""
+    import threading
+
+    both = threading.Barrier(2, timeout=30)
+
+    def waits(tables, asof):
+        both.wait()
+        return tables["rows"]
+
+    monkeypatch.setattr(jobs, "JOBS", {"a": ("f", "discover", waits), "bad": ("f", "discover", lambda tables, asof: tables["none"]), "b": ("f", "discover", waits), "late": ("f", "enrich", waits)})
+    rows = spark.createDataFrame([("s", "f", "k", "e", dt.date(2024, 1, 1), 1.0, 0.5)], "source string, family string, kind string, entity string, occurred_at date, value double, strength double")
+    out, errors = jobs.run(spark, {"rows": rows}, F.to_date(F.lit("2024-03-01")))
+    assert out.count() == 2 and errors == {"bad": "KeyError: 'none'"}
+
+
 def test_mentions(spark):
     rows = [("new", dt.date(2024, 3, 1), "a", 10), ("rise", dt.date(2024, 1, 10), "a", 1), ("rise", dt.date(2024, 3, 1), "a", 5), ("rise", dt.date(2024, 3, 2), "b", 5), ("flat", dt.date(2024, 1, 10), "a", 1), ("flat", dt.date(2024, 3, 1), "a", 1)]
     m = spark.createDataFrame(rows, "entity string, day date, author string, points int")
